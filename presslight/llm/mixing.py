@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, hex_long, id_key, text_or_empty
 
-#: Slices of a source (three hex digits of the shuffle key), and of the time up to the water level.
+#: Slices of a source (three hex digits of the shuffle key); slices of the time up to the water level, and of each doubling beyond.
 SOURCE_SLICES = 4096
 TIME_SLICES = 2048
 
@@ -96,7 +96,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, share: float
         .select("_source", "_key", "size", "weight", "level", "budget", "source_size", "_at", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("_repeat"))
         .withColumn("_at", F.col("_at") + F.col("_repeat") * F.col("source_size"))
         .withColumn("_time", F.col("_at") / F.col("weight"))
-        .withColumn("_tick", F.coalesce(F.least(F.floor(F.try_divide(F.col("_time") * TIME_SLICES, F.col("level"))), F.lit(2 * TIME_SLICES)), F.lit(0)))
+        .withColumn("_tick", F.try_divide(F.col("_time"), F.col("level")))
+        .withColumn("_tick", F.coalesce(F.floor(F.when(F.col("_tick") <= 1, F.col("_tick")).otherwise(1 + F.log2("_tick")) * TIME_SLICES), F.lit(0)))
     )
     ticks = copies.groupBy("_tick").agg(F.sum("size").alias("_sum"))
     ticks = ticks.withColumn("_done", F.coalesce(F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_tick").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
