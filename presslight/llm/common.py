@@ -37,9 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so many rows, so that a batch of very long texts fits into a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Arrow batches of so many rows and bytes at most, so that a batch of very long texts fits into a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, knn, minhash, mixing, quality, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_sharding": sharding.op4_sharding,
+    "op6_exact_top_k": knn.op6_exact_top_k,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
 }
 
 #: The others can't be expressed in SQL; tests/llm hold them against brute force, round trips or held-out labels.
 SQL = {
     "op1_mixing": mixing.SQL,
+    "op6_exact_top_k": knn.SQL,
     "op8_chat_formatting": chat.SQL,
 }
