@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, knn, minhash, mixing, quality, sharding
+from . import bpe, chat, imatch, knn, minhash, mixing, quality, sharding, tokenfile
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_bpe": bpe.op2_bpe,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_sharding": sharding.op4_sharding,
+    "op5_document_fingerprints": imatch.op5_document_fingerprints,
     "op6_exact_top_k": knn.op6_exact_top_k,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
+    "op10_token_files": tokenfile.op10_token_files,
 }
 
 #: The others can't be expressed in SQL; tests/llm hold them against brute force, round trips or held-out labels.
