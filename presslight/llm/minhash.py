@@ -262,5 +262,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return known.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one document of each group of near-duplicates: that of the smallest doc_id.
+
+    Documents without shingles and rows without an id stay. Of rows that share an id, one stays.
+    """
+    found = written(near_duplicates(docs, n, percent), "near-duplicates").filter(F.col("doc_id").isNotNull())
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    again = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), n=2, percent=80)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, imatch, knn, minhash, mixing, quality, sharding, tokenfile
+from . import bpe, chat, imatch, knn, lm, minhash, mixing, quality, sharding, tokenfile
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_document_fingerprints": imatch.op5_document_fingerprints,
     "op6_exact_top_k": knn.op6_exact_top_k,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_token_files": tokenfile.op10_token_files,
