@@ -4,14 +4,15 @@ A document's set is its distinct word shingles. Documents with equal sets form a
 one, so copies never meet in pairs. Of each class 128 minima are taken: bands of four give the
 candidate buckets (a pair of similarity 0.8 misses all 32 with probability 5e-8), and the low four
 bits of each minimum, packed, give the estimate: equal codes, corrected for the 1 in 16 that collide.
-Candidates whose estimate stays far below the threshold (six standard deviations) go; the others
+Candidates whose estimate stays far below the threshold (five standard deviations) go; the others
 are confirmed on their full sets.
 
 Buckets are not expanded into pairs. First each member is compared with its bucket's smallest member
 (a star), and confirmed links are joined into components. Pairs that a star leaves open lie in buckets
 that still hold several components; there the members outside the hub's component are compared, by
-signatures and in blocks of bounded size, with the members of other components. Then every
-candidate pair has been confirmed, rejected, or lies within a component.
+signatures and in blocks of bounded size, with the members of other components: round by round each
+with its likeliest partner, as long as that links components, at last with all that are likely. Then
+every candidate pair has been confirmed, rejected, or lies within a component.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 CODES = 64 // BITS  # codes in a long
 #: Estimates this far below the threshold are not confirmed; the estimate's deviation is about 0.037.
-MARGIN = 0.23
+MARGIN = 0.18
 #: Members of a bucket that are compared as one block.
 BLOCK = 1024
 #: Hash buckets of ids that may be broadcast to thin out a scan.
@@ -196,6 +197,47 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_buckets(in_buckets: DataFrame, parts: DataFrame, codes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, in packs of bounded size: key, odd (any member outside the hub's component), and packed nodes, parts, strays, codes."""
+    label = F.coalesce("component", "node")
+    labelled = in_buckets.filter("n > 2").join(parts, "node", "left").select("key", "node", "hub", "n", label.alias("part"))
+    of_hub = F.max(F.when(F.col("node") == F.col("hub"), F.col("part")))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), of_hub.alias("hub_part"), F.max("n").alias("n"))
+    mixed = mixed.filter("_low < _high").select("key", F.coalesce("hub_part", "_low").alias("hub_part"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = labelled.select("key", "node", "part").join(mixed, "key").join(codes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        stray = (pdf["part"] != pdf["hub_part"]).to_numpy(bool)
+        columns = [pdf["node"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64), stray, np.array(pdf["codes"].tolist(), dtype=np.int64)]
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "odd": [bool(stray.any())], **{c: [x.tobytes()] for c, x in zip(("nodes", "parts", "strays", "codes"), columns)}})
+
+    packs = dealt.select("key", "block", "node", "part", "hub_part", "codes").groupBy("key", "block").applyInPandas(packed, "key long, odd boolean, nodes binary, parts binary, strays binary, codes binary")
+    return written(packs, "packs")
+
+
+def _compare(least: float, best: bool):
+    """For pairs of packs: strays against members of other components by their codes; the likeliest partner of each, or all likely pairs."""
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = HASHES // CODES
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                stray = np.frombuffer(r.strays, bool)
+                a, part_a, codes_a = np.frombuffer(r.nodes, np.int64)[stray], np.frombuffer(r.parts, np.int64)[stray], np.frombuffer(r.codes, np.uint64).reshape(-1, width)[stray]
+                b, part_b = np.frombuffer(r.nodes2, np.int64), np.frombuffer(r.parts2, np.int64)
+                near = _estimates(codes_a, np.frombuffer(r.codes2, np.uint64).reshape(-1, width))
+                near[part_a[:, None] == part_b[None]] = -1.0
+                if best:
+                    j = near.argmax(axis=1)
+                    top = near[np.arange(len(a)), j]
+                    yield pd.DataFrame({"a": a, "b": b[j], "likely": top})[top >= least]
+                else:
+                    i, j = np.nonzero(near >= least)
+                    yield pd.DataFrame({"a": np.maximum(a[i], b[j]), "b": np.minimum(a[i], b[j])}).drop_duplicates()
+
+    return compared
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id and kept for each row.
 
@@ -222,39 +264,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     star_links = written(confirmed(written(stars, "stars"), docs, n, percent), "star-links")
     first = components(star_links)
 
-    # Buckets that still hold several components, beyond the pairs with the hub.
-    label = F.coalesce("component", "node")
-    labelled = in_buckets.filter("n > 2").join(first, "node", "left").select("key", "node", "hub", "n", label.alias("part"))
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min_by("part", F.when(F.col("node") == F.col("hub"), 0).otherwise(1)).alias("hub_part"), F.max("n").alias("n")).filter("_low < _high").select("key", "hub_part", "n")
-    rest = labelled.drop("n").join(mixed, "key").join(codes, "node")
-    blocks = F.ceil(F.col("n") / BLOCK)
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        stacked = np.array(pdf["codes"].tolist(), dtype=np.int64)
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "parts": [pdf["part"].to_numpy(np.int64).tobytes()], "codes": [stacked.tobytes()]})
-
-    pack = "key long, nodes binary, parts binary, codes binary"
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).select("key", "block", "node", "part", "hub_part", "codes")
-    everyone = dealt.groupBy("key", "block").applyInPandas(packed, pack)
-    odd = dealt.filter("part <> hub_part").groupBy("key", "block").applyInPandas(packed, pack)
-    least = percent / 100 - MARGIN
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                a, b = np.frombuffer(r.nodes, np.int64), np.frombuffer(r.nodes2, np.int64)
-                pa_, pb = np.frombuffer(r.parts, np.int64), np.frombuffer(r.parts2, np.int64)
-                width = HASHES // CODES
-                near = _estimates(np.frombuffer(r.codes, np.uint64).reshape(-1, width), np.frombuffer(r.codes2, np.uint64).reshape(-1, width)) >= least
-                i, j = np.nonzero(near & (pa_[:, None] != pb[None]))
-                yield pd.DataFrame({"a": np.maximum(a[i], b[j]), "b": np.minimum(a[i], b[j])}).drop_duplicates()
-
-    open_ = odd.join(everyone.toDF("key", "nodes2", "parts2", "codes2"), "key").mapInPandas(compared, "a long, b long").distinct()
-    more = written(open_, "open-pairs")
-    if more.isEmpty():
-        final = first
-    else:
-        final = components(star_links.unionByName(confirmed(more, docs, n, percent)))
+    links, parts, tested = star_links, first, None
+    while True:
+        packs = _open_buckets(in_buckets, parts, codes)
+        pairs = packs.filter("odd").join(packs.select("key", *(F.col(c).alias(f"{c}2") for c in ("nodes", "parts", "codes"))), "key")
+        # Each member outside its hub's component and its likeliest partner in another one: few pairs, which join most of what belongs together.
+        best = pairs.mapInPandas(_compare(percent / 100 - MARGIN, best=True), "a long, b long, likely double")
+        best = best.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
+        best = written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "best-pairs")
+        if best.isEmpty():
+            break
+        tested = best if tested is None else tested.unionByName(best)
+        more = written(confirmed(best, docs, n, percent), "links")
+        if more.isEmpty():
+            # No likeliest partner is linked: compare all that is still open.
+            open_ = pairs.mapInPandas(_compare(percent / 100 - MARGIN, best=False), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+            more = written(confirmed(written(open_, "open-pairs"), docs, n, percent), "links")
+            if not more.isEmpty():
+                parts = components(links.unionByName(more))
+            break
+        links = links.unionByName(more)
+        parts = components(links)
+    final = parts
 
     by_class = classes.select("same", "node").join(final, "node", "left").select("same", F.coalesce("component", "node").alias("_component"))
     known = sigs.select("doc_id", "n_shingles", "same").join(by_class, "same", "left")
