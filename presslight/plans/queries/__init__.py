@@ -1,3 +1,3 @@
 """Registered queries, by group."""
 
-from . import basics  # noqa: F401
+from . import basics, joined, reports  # noqa: F401
