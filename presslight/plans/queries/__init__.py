@@ -1,3 +1,3 @@
 """Registered queries, by group."""
 
-from . import basics, joined, messages, reports  # noqa: F401
+from . import basics, functions, joined, messages, reports, states  # noqa: F401
