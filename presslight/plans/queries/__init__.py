@@ -1,3 +1,3 @@
 """Registered queries, by group."""
 
-from . import basics, functions, joined, messages, reports, states  # noqa: F401
+from . import basics, files, functions, joined, messages, reports, states, streams  # noqa: F401
