@@ -18,9 +18,8 @@ OUTLET_COLUMNS = ["Person_ID", "Reporter_Name", "Outlet_ID", "Outlet_Name", "Out
 MODEL_COLUMNS, URL_COLUMNS = ("Model Short Name", "Model"), ("Links", "Media Link", "WO Link")
 
 
-def _strings(columns: Sequence[str], corrupt: bool = False) -> T.StructType:
-    fields = [T.StructField(c, T.StringType()) for c in columns]
-    return T.StructType(fields + [T.StructField("_corrupt", T.StringType())] * corrupt)
+def _strings(columns: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
 def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, sample: int = 1 << 20) -> str:
@@ -56,10 +55,10 @@ def read_loans(spark: SparkSession, path: str) -> DataFrame:
 
 def read_loans_feed(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The headerless feed: its rows, and the lines that don't fit."""
-    raw = spark.read.schema(_strings(FEED_COLUMNS, True)).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").csv(path)
-    fields = F.size(F.split(F.coalesce("_corrupt", F.lit("")), ","))
-    good = raw.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = raw.filter(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("line"), fields.alias("fields"), F.col("ActivityID").alias("first_field"))
+    ddl = ", ".join(f"`{c}` string" for c in [*FEED_COLUMNS, "_corrupt"])
+    lines = spark.read.text(path).filter("value <> ''").select("value", F.from_csv("value", ddl, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("_row"))
+    good = lines.filter(F.col("_row._corrupt").isNull()).select(*(F.col(f"_row.`{c}`").alias(c) for c in FEED_COLUMNS))
+    bad = lines.filter(F.col("_row._corrupt").isNotNull()).select(F.col("value").alias("line"), F.size(F.split("value", ",")).alias("fields"))
     return (good if limit is None else good.limit(limit)), bad
 
 
