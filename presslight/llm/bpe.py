@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,7 +110,8 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     small_batches(spark)
     table = spark.sparkContext.broadcast(shared_chunk_table(texts.select("text")))
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
-    scanned = pa.schema([("row", pa.int64()), *out, ("text", pa.string())])
+    # The texts of documents that wait are compressed one by one; they are most of what moves.
+    scanned = pa.schema([("row", pa.int64()), *out, ("text", pa.binary())])
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
     def digest(ids: bytes, shown: bytes) -> tuple:
@@ -126,17 +128,17 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             waits = [bool(hit[x - len(c) : x].any()) for x, c in zip(ends, chunks)]
             now = e.encode_and_show([t for t, w in zip(texts_, waits) if not w])
             done = iter(now)
-            rows = [(row + k, i, None, None, None, None, t) if w else (row + k, i, *digest(*next(done)), None) for k, (i, t, w) in enumerate(zip(ids, texts_, waits))]
+            rows = [(row + k, i, None, None, None, None, zstandard.compress(t.encode())) if w else (row + k, i, *digest(*next(done)), None) for k, (i, t, w) in enumerate(zip(ids, texts_, waits))]
             row += len(rows)
             yield pa.RecordBatch.from_pydict(dict(zip(scanned.names, zip(*rows) if rows else [()] * len(scanned))), schema=scanned)
 
-    first = written(texts.mapInArrow(scan, f"row long, {ddl}, text string"), "bpe-scan")
+    first = written(texts.mapInArrow(scan, f"row long, {ddl}, text binary"), "bpe-scan")
     waiting = first.filter(F.col("text").isNotNull()).select("row", "doc_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row", pa.int64()), ("seq", pa.int32()), ("hash", pa.binary()), ("chunk", pa.binary())])
         for b in batches:
-            found = [(r, k, xxhash.xxh3_128_digest(c), c) for r, t in zip(b["row"].to_pylist(), b["text"].to_pylist()) for k, c in enumerate(_chunks(t.encode()))]
+            found = [(r, k, xxhash.xxh3_128_digest(c), c) for r, t in zip(b["row"].to_pylist(), map(zstandard.decompress, b["text"].to_pylist())) for k, c in enumerate(_chunks(t))]
             if found:
                 found = [x for x, h in zip(found, _may_be_shared(table.value, [x[2] for x in found])) if h]
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*found) if found else [()] * 4)), schema=schema)
@@ -158,10 +160,17 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         e = encoder(path)
         for b in batches:
             plans, windows = [], []
-            for t, codes_ in zip(b["text"].to_pylist(), b["codes"].to_pylist()):
+            for t, codes_ in zip(map(zstandard.decompress, b["text"].to_pylist()), b["codes"].to_pylist()):
                 known = {c["seq"]: c["code"] for c in codes_ or []}
                 plan, carry, left = [], b"", b""
-                for k, c in enumerate(_chunks(t.encode())):
+                # Neighbouring chunks without shared ids go on as one.
+                runs: list[tuple[bytes | None, bytes]] = []
+                for k, c in enumerate(_chunks(t)):
+                    if k in known or not runs or runs[-1][0] is not None:
+                        runs.append((known.get(k), c))
+                    else:
+                        runs[-1] = (None, runs[-1][1] + c)
+                for code, c in runs:
                     parts = _parts(c)
                     if parts is None:
                         carry += c
@@ -172,7 +181,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                         windows.append((left, carry + head, inner[0] if inner else b""))
                         left = carry + head
                     if inner:
-                        plan.append(("chunk", known.get(k), b" ".join(inner)))
+                        plan.append(("chunk", code, b" ".join(inner)))
                         left = inner[-1]
                     carry = tail
                 if carry:
@@ -193,7 +202,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     else:
                         ids.append(new[at] if p[1] is None else p[1])
                     at += 1
-                all_ids = e.encode_batch([t.encode()])[0][0] if whole else b"".join(ids)
+                all_ids = e.encode_batch([t])[0][0] if whole else b"".join(ids)
                 rows.append((i, *digest(all_ids, e.decode(all_ids))))
             yield pa.RecordBatch.from_pydict(dict(zip(out.names, zip(*rows) if rows else [()] * len(out))), schema=out)
 

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker keeps before it starts anew.
-KEPT = 250_000
+KEPT = 400_000
 #: In byte-level tokenizers a piece may start at a single space between visible characters.
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 _BESIDE = re.compile(r"\s | \s")
