@@ -41,7 +41,7 @@ BINDINGS = {
     "b_track": """SELECT o_orderkey AS wo_number, CASE o_orderstatus WHEN 'F' THEN 'found' ELSE 'searching' END AS status,
         CAST(o_orderdate AS DATE) AS last_attempt_date, CAST(o_custkey % 5 AS INT) AS attempt_count,
         CASE WHEN o_orderstatus <> 'F' AND o_custkey % 2 = 0 THEN DATE '2001-07-25' + CAST(o_custkey % 14 AS INT) END AS retry_after
-        FROM {orders} WHERE o_orderkey % 3 <> 0""",
+        FROM {orders} WHERE o_orderpriority <> '5-LOW'""",
     "b_event": """SELECT event_id, ts, user_id AS worker_id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'CRITICAL' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END AS level,
         event_type, value, props AS metadata FROM {events}""",
     "b_intent": "SELECT DISTINCT p_brand AS make, split_part(p_name, ' ', 2) AS feature FROM {part}",

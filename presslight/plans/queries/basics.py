@@ -53,16 +53,16 @@ query(
     sql=r"""SELECT * FROM (SELECT p_partkey, p_name AS feature, array_to_string(list_filter([CASE WHEN length(trim(p_name)) < 4 THEN 'too_short' END,
     CASE WHEN regexp_matches(trim(p_name), '^[0-9]+$') THEN 'digits_only' END, CASE WHEN regexp_matches(trim(p_name), '[^A-Za-z0-9 \-]') THEN 'special_characters' END,
     CASE WHEN regexp_matches(lower(trim(p_name)), '\b(mm|cm|kg|lb|mph|hp)$') THEN 'unit_suffix' END], lambda x: x IS NOT NULL), ',') AS reasons
-    FROM (SELECT p_partkey, substr(p_name, 1, 1 + p_size % 9) AS p_name FROM part)) WHERE reasons <> ''""",
-)(lambda p: Q.bad_features(p.select("p_partkey", F.substring("p_name", F.lit(1), 1 + F.col("p_size") % 9).alias("feature"))))
+    FROM (SELECT p_partkey, concat(p_size, CASE p_type WHEN 'ECONOMY' THEN ' mm' WHEN 'PROMO' THEN '#inch' WHEN 'SMALL' THEN ' speakers' ELSE '' END) AS p_name FROM part)) WHERE reasons <> ''""",
+)(lambda p: Q.bad_features(p.select("p_partkey", F.concat(F.col("p_size").cast("string"), F.when(F.col("p_type") == "ECONOMY", " mm").when(F.col("p_type") == "PROMO", "#inch").when(F.col("p_type") == "SMALL", " speakers").otherwise("")).alias("feature"))))
 query(
     "PF-20", "part",
     sql="""SELECT p_partkey, p_brand AS make, p_name AS model, p_size AS year, CASE WHEN e.y IS NULL THEN 'not_expected' ELSE 'wrong_year' END AS reason
-    FROM part LEFT JOIN (SELECT p_brand AS b, p_name AS n, max(p_size) AS y FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2) e ON b = p_brand AND n = p_name WHERE e.y IS NULL OR e.y <> p_size""",
+    FROM part LEFT JOIN (SELECT p_brand AS b, p_name AS n, max(p_size) AS y FROM part WHERE p_type <> 'ECONOMY' GROUP BY 1, 2) e ON b = p_brand AND n = p_name WHERE e.y IS NULL OR e.y <> p_size""",
 )(
     lambda p: Q.bad_reference_rows(
         p.select("p_partkey", F.col("p_brand").alias("make"), F.col("p_name").alias("model"), F.col("p_size").alias("year")),
-        p.filter("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("make"), F.col("p_name").alias("model")).agg(F.max("p_size").alias("year")),
+        p.filter("p_type <> 'ECONOMY'").groupBy(F.col("p_brand").alias("make"), F.col("p_name").alias("model")).agg(F.max("p_size").alias("year")),
     )
 )
 query(

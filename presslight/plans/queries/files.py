@@ -129,9 +129,9 @@ def _sk05(c):
     return rows_again
 
 
-@query("SK-06", "b_clip", sql="SELECT wo_number, CASE WHEN wo_number % 5 = 0 THEN 'rejected' ELSE status END AS status FROM b_clip")
+@query("SK-06", "b_clip", sql="SELECT wo_number, CASE WHEN stage = 'rejected' THEN 'rejected' ELSE status END AS status FROM b_clip")
 def _sk06(c):
-    return Wr.upsert_table(c.select("wo_number", "status"), c.filter("wo_number % 5 = 0").select("wo_number", F.lit("rejected").alias("status")), ["wo_number"], _path(c, "clips"))
+    return Wr.upsert_table(c.select("wo_number", "status"), c.filter("stage = 'rejected'").select("wo_number", F.lit("rejected").alias("status")), ["wo_number"], _path(c, "clips"))
 
 
 query("UD-01", "pages")(lambda p: P.extract_articles(p))

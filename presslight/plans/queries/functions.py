@@ -53,11 +53,11 @@ query(
 )(
     lambda c: c.select(*K, U.is_index_url(F.when(F.col("relevance") % 4 == 0, F.col("url")).when(F.col("relevance") % 4 == 1, F.lit("https://a.com/blog/")).when(F.col("relevance") % 4 == 2, F.concat(F.lit("https://a.com/x/category/"), "model")).otherwise(F.concat(F.lit("https://a.com/x/news/review-"), "trim"))).alias("is_index"))
 )
-query("PF-15", "pages", sql=f"SELECT page_id, url IS NOT NULL AND NOT {lit_list(U.NO_ARTICLE, 'lower(url)')} AND length(trim(left(html, 5))) > 0 AS is_article FROM pages")(
-    lambda p: p.select("page_id", U.is_article_url(F.col("url"), F.substring("html", 1, 5)).alias("is_article"))
+query("PF-15", "pages", sql=f"SELECT page_id, url IS NOT NULL AND NOT {lit_list(U.NO_ARTICLE, 'lower(url)')} AND length(trim(url)) > 0 AS is_article FROM pages")(
+    lambda p: p.select("page_id", U.is_article_url(F.col("url"), F.col("url")).alias("is_article"))
 )
-query("PF-16", "b_cand", sql=f"SELECT {k}, year(published) < 2000 OR {lit_list(U.ARCHIVE_MARKS, 'lower(url)')} AS is_old FROM b_cand WHERE year(published) >= 2000")(
-    lambda c: c.filter("year(published) >= 2000").select(*K, U.is_old_url(F.col("url"), AS_OF).alias("is_old"))
+query("PF-16", "b_cand", sql=f"SELECT {k}, year(published) BETWEEN 2000 AND 2001 OR {lit_list(U.ARCHIVE_MARKS, 'lower(url)')} AS is_old FROM b_cand")(
+    lambda c: c.select(*K, U.is_old_url(F.col("url"), "2003-06-01").alias("is_old"))
 )
 query("PF-17", "pages", sql=f"SELECT page_id, (length(html) > 5 * 10000 AND length(html) % 1500 < 1000) OR ((p IN ({', '.join(repr(x) for x in U.INDEX_PATHS)}) OR {' OR '.join(f'ends_with(p, {chr(39)}/{x}{chr(39)})' for x in U.INDEX_PATHS[1:])} OR ({lit_list(U.LISTING_PARTS, 'p')} AND NOT {lit_list(U.ARTICLE_MARKS, 'p')})) AND length(html) % 1500 < 0.02 * length(html)) AS is_index FROM (SELECT *, {_PATH.replace('lower(u)', 'lower(url)')} AS p FROM pages)")(
     lambda p: p.select("page_id", U.is_index_page(F.col("url"), F.length("html"), F.length("html") % 1500).alias("is_index"))
@@ -132,8 +132,8 @@ query("SF-48", "b_clip", sql="SELECT wo_number, CASE status WHEN 'approved' THEN
 query("SF-49", "b_clip", sql="SELECT wo_number, coalesce(published_date BETWEEN start_date AND start_date + 90, false) AS inside FROM b_clip")(lambda c: c.select("wo_number", D.in_forward_window(F.col("published_date"), F.col("start_date"), 90).alias("inside")))
 query("SF-50", "b_clip", sql="SELECT wo_number, relevance FROM b_clip WHERE relevance >= 8")(lambda c: S.high_quality(c).select("wo_number", "relevance"))
 
-query("SF-08", "part", sql="SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_name ELSE concat(p_name, ' X') END AS base_model, CASE p_size % 3 WHEN 0 THEN 'Grand Touring AWD' WHEN 1 THEN 'XLT' END AS trim_level FROM part WHERE p_size % 3 < 2")(
-    lambda p: S.split_trim(p.filter("p_size % 3 < 2").withColumn("model", F.concat("p_name", F.lit(" "), F.when(F.col("p_size") % 3 == 0, "Grand Touring AWD").otherwise("XLT")))).select("p_partkey", "base_model", "trim_level")
+query("SF-08", "part", sql="SELECT p_partkey, CASE p_size % 3 WHEN 2 THEN concat(p_name, ' of late') ELSE p_name END AS base_model, CASE p_size % 3 WHEN 0 THEN 'Grand Touring AWD' WHEN 1 THEN 'XLT' END AS trim_level FROM part")(
+    lambda p: S.split_trim(p.withColumn("model", F.concat("p_name", F.lit(" "), F.when(F.col("p_size") % 3 == 0, "Grand Touring AWD").when(F.col("p_size") % 3 == 1, "XLT").otherwise("of late")))).select("p_partkey", "base_model", "trim_level")
 )
 
 
@@ -142,7 +142,7 @@ def _vehicles(p):
 
 
 query("SF-09", "part")(lambda p: S.model_variations(_vehicles(p)))
-query("SF-10", "b_cand", "part")(lambda c, p: S.fuzzy_match(c.select(F.concat_ws("-", "wo_number", "url_pos").alias("doc_id"), "make", F.col("url").alias("text")), S.model_variations(_vehicles(p.filter("p_size <= 2")))))
+query("SF-10", "b_cand", "part")(lambda c, p: S.fuzzy_match(c.select(F.col("url").alias("doc_id"), "make", F.col("url").alias("text")).distinct(), S.model_variations(_vehicles(p))).filter("matched"))
 query("SF-11", "b_cand", "part")(lambda c, p: S.link_tier_score(c.select(*K, "make", "model", "url"), S.model_variations(_vehicles(p))).select(*K, "tier_score"))
 query("TK-02", "b_cand", "part")(lambda c, p: S.top_links(c.select(*K, "make", "model", "url"), S.model_variations(_vehicles(p)), ["make"], 10))
 query("SF-12", "b_cand", sql=f"SELECT {k}, relevance % 3 <> 2 AS matched FROM b_cand")(
@@ -161,8 +161,12 @@ query(
 )(lambda d: S.lexicon_analysis(d, "text", F.lit("moron"), F.lit("scum")).select("doc_id", "lex_relevance", "lex_sentiment", "overall_score", "brand_alignment"))
 query("SF-15", "b_cand")(lambda c: S.social_score(c.select(*K, "make", "model", F.concat("make", F.lit(" "), "model").alias("title"), F.concat(F.lit("ride #"), F.replace("model", F.lit(" "), F.lit(""))).alias("description"), F.col("url").alias("transcript"))).select(*K, "social_score", "confidence"))
 query("SF-16", "documents")(lambda d: S.validate_social(d, F.lit("the"), F.col("n_chars") / 20).select("doc_id", "validation", "flags", "valid"))
-query("SF-17", "b_cand", sql=f"SELECT {k}, 200 + CASE WHEN relevance % 2 = 0 THEN 100 ELSE 0 END + 30 - 50 * (len(string_split(model, ' ')) - 1) AS search_score FROM b_cand WHERE split_part(model, ' ', 1) <> split_part(model, ' ', 2)")(
-    lambda c: S.score_search_results(c.filter("split_part(model, ' ', 1) <> split_part(model, ' ', 2)").withColumn("title", F.concat(F.split_part("model", F.lit(" "), F.lit(1)), F.when(F.col("relevance") % 2 == 0, F.concat(F.lit(" - "), "make")).otherwise("")))).select(*K, F.col("search_score"))
+query(
+    "SF-17", "b_cand",
+    sql=f"""SELECT {k}, 200 + CASE WHEN relevance % 2 = 0 THEN 100 ELSE 0 END + 30 * len(list_filter(w, lambda x: contains(title, x))) - 50 * len(list_filter(w, lambda x: NOT contains(title, x))) AS search_score
+    FROM (SELECT *, string_split(lower(model), ' ') AS w, lower(concat(split_part(model, ' ', 1), CASE WHEN relevance % 2 = 0 THEN concat(' - ', make) ELSE '' END)) AS title FROM b_cand)""",
+)(
+    lambda c: S.score_search_results(c.withColumn("title", F.concat(F.split_part("model", F.lit(" "), F.lit(1)), F.when(F.col("relevance") % 2 == 0, F.concat(F.lit(" - "), "make")).otherwise("")))).select(*K, "search_score")
 )
 query("SF-18", "b_cand", sql=f"SELECT {k}, 60 + CASE WHEN contains(lower(url), lower(make)) THEN 20 ELSE 0 END AS url_score FROM b_cand")(lambda c: S.score_url(c).select(*K, "url_score"))
 query("SF-19", "documents", sql="SELECT doc_id, CASE WHEN length(text) < 100 THEN 0 WHEN contains(lower(text), 'thing') AND contains('a thing', 'thing') AND length(text) >= 1000 THEN 8 END AS shortcut FROM documents")(

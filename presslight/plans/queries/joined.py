@@ -15,8 +15,8 @@ _OEM = "(SELECT DISTINCT p_brand AS make, p_name AS model, 1995 + p_size % 7 AS
 query("JN-02", "b_clip", "part", sql=f"SELECT wo_number, c.make, c.model, year, trim_wanted FROM b_clip c JOIN {_OEM} o ON c.make = o.make AND c.model = o.model AND year(published_date) = o.year")(
     lambda c, p: J.oem_vs_media(c, p.select(F.col("p_brand").alias("make"), F.col("p_name").alias("model"), (1995 + F.col("p_size") % 7).alias("year"), F.col("p_type").alias("trim_wanted")).distinct()).select("wo_number", "make", "model", "year", "trim_wanted")
 )
-query("JN-03", "b_clip", "part", sql="SELECT wo_number, c.make, model, oem_model FROM b_clip c JOIN (SELECT DISTINCT p_brand AS make, split_part(p_name, ' ', 1) AS oem_model FROM part WHERE p_size < 10) o ON c.make = o.make AND starts_with(model, oem_model)")(
-    lambda c, p: J.prefix_join(c, p.filter("p_size < 10").select(F.col("p_brand").alias("make"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("model")).distinct()).select("wo_number", "make", "model", "oem_model")
+query("JN-03", "b_clip", "part", sql="SELECT wo_number, c.make, model, oem_model FROM b_clip c JOIN (SELECT DISTINCT p_brand AS make, split_part(p_name, ' ', 1) AS oem_model FROM part WHERE p_type <> 'SMALL') o ON c.make = o.make AND starts_with(model, oem_model)")(
+    lambda c, p: J.prefix_join(c, p.filter("p_type <> 'SMALL'").select(F.col("p_brand").alias("make"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("model")).distinct()).select("wo_number", "make", "model", "oem_model")
 )
 query(
     "JN-04", "b_loan", "b_outlet",
@@ -65,17 +65,17 @@ query("JN-11", "b_cand", "b_intent", sql=f"SELECT DISTINCT make, lower(feature)
 query(
     "JN-12", "b_track", "b_clip",
     sql="""SELECT coalesce(t.wo_number, c.wo_number) AS wo_number, coalesce(c.status, t.status) AS status, coalesce(attempt_count, 0) + coalesce(n, 0) AS attempt_count, last_attempt_date
-    FROM b_track t FULL JOIN (SELECT wo_number, status, 1 AS n FROM b_clip WHERE wo_number % 5 = 0) c ON t.wo_number = c.wo_number""",
-)(lambda t, c: J.merge_by_key(t.select("wo_number", "status", "attempt_count", "last_attempt_date"), c.filter("wo_number % 5 = 0").select("wo_number", "status", F.lit(1).alias("attempt_count")), ["wo_number"], ["attempt_count"]))
+    FROM b_track t FULL JOIN (SELECT wo_number, status, 1 AS n FROM b_clip WHERE status = 'no_content_found') c ON t.wo_number = c.wo_number""",
+)(lambda t, c: J.merge_by_key(t.select("wo_number", "status", "attempt_count", "last_attempt_date"), c.filter("status = 'no_content_found'").select("wo_number", "status", F.lit(1).alias("attempt_count")), ["wo_number"], ["attempt_count"]))
 query(
     "JN-13", "b_clip",
-    sql="""WITH p AS (SELECT CASE WHEN wo_number % 7 = 0 THEN NULL WHEN wo_number % 5 = 0 THEN -wo_number ELSE wo_number END AS wo_number, wo_number AS src, CASE WHEN wo_number % 2 = 0 THEN upper(make) END AS make, model FROM b_clip WHERE wo_number > 0 AND make IS NOT NULL)
+    sql="""WITH p AS (SELECT CASE WHEN wo_number % 7 = 0 THEN NULL WHEN wo_number % 5 = 0 THEN -wo_number ELSE wo_number END AS wo_number, wo_number AS src, CASE WHEN wo_number % 2 = 0 THEN upper(make) END AS make, model FROM b_clip WHERE make IS NOT NULL)
     SELECT p.wo_number, CASE WHEN p.wo_number IS NULL THEN 'invalid' WHEN b.wo_number IS NULL THEN 'not_found' WHEN (p.make IS NULL OR p.make = b.make) AND (p.model IS NULL OR p.model = b.model) THEN 'no_change' ELSE 'updated' END AS outcome,
     coalesce(p.make, b.make) AS make, coalesce(p.model, b.model) AS model FROM p LEFT JOIN b_clip b ON p.wo_number = b.wo_number""",
 )(
     lambda c: J.patch_columns(
         c.select("wo_number", "make", "model"),
-        c.filter("wo_number > 0 AND make IS NOT NULL").select(F.when(F.col("wo_number") % 7 == 0, F.lit(None)).when(F.col("wo_number") % 5 == 0, -F.col("wo_number")).otherwise(F.col("wo_number")).alias("wo_number"), F.when(F.col("wo_number") % 2 == 0, F.upper("make")).alias("make"), "model"),
+        c.filter("make IS NOT NULL").select(F.when(F.col("wo_number") % 7 == 0, F.lit(None)).when(F.col("wo_number") % 5 == 0, -F.col("wo_number")).otherwise(F.col("wo_number")).alias("wo_number"), F.when(F.col("wo_number") % 2 == 0, F.upper("make")).alias("make"), "model"),
         ["wo_number"], ["make", "model"],
     )
 )
@@ -96,13 +96,13 @@ query(
 )(lambda c, r: J.repoint_duplicates(c, r.withColumn("start_time", F.to_timestamp(F.lit("1995-01-01")))).select("wo_number", "run_id", "kept_run_id"))
 query(
     "JN-18", "part",
-    sql="""WITH r AS (SELECT DISTINCT p_brand AS url, lower(p_name) AS model FROM part WHERE p_size < 20), s AS (SELECT DISTINCT p_brand AS url, lower(split_part(p_name, ' ', 1)) AS section FROM part WHERE p_size % 8 = 0),
+    sql="""WITH r AS (SELECT DISTINCT p_brand AS url, lower(p_name) AS model FROM part WHERE p_type <> 'ECONOMY'), s AS (SELECT DISTINCT p_brand AS url, lower(split_part(p_name, ' ', 1)) AS section FROM part WHERE p_type = 'ECONOMY'),
     m AS (SELECT r.url, model, section FROM r JOIN s ON r.url = s.url AND (contains(model, section) OR contains(section, model)))
     SELECT url, model, min(section) AS section, 'matched' AS match FROM m GROUP BY 1, 2 UNION ALL SELECT url, model, NULL, 'unmatched' FROM r WHERE (url, model) NOT IN (SELECT (url, model) FROM m)
     UNION ALL SELECT url, NULL, section, 'bonus' FROM s WHERE (url, section) NOT IN (SELECT (url, section) FROM m)""",
-)(lambda p: J.match_sections(p.filter("p_size < 20").select(F.col("p_brand").alias("url"), F.col("p_name").alias("model")), p.filter("p_size % 8 = 0").select(F.col("p_brand").alias("url"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("section"))))
+)(lambda p: J.match_sections(p.filter("p_type <> 'ECONOMY'").select(F.col("p_brand").alias("url"), F.col("p_name").alias("model")), p.filter("p_type = 'ECONOMY'").select(F.col("p_brand").alias("url"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("section"))))
 query(
     "JN-19", "b_loan", "b_clip", "b_track",
     sql=f"""SELECT l.wo_number, c.status AS clip_status, t.status AS track_status, retry_after, NOT (coalesce(c.status IN ('approved', 'pending_review', 'rejected'), false) OR coalesce(t.status = 'found', false) OR coalesce(DATE '{AS_OF}' < retry_after, false)) AS should_retry
-    FROM b_loan l LEFT JOIN (SELECT * FROM b_clip WHERE wo_number % 4 <> 0) c ON l.wo_number = c.wo_number LEFT JOIN b_track t ON l.wo_number = t.wo_number""",
-)(lambda l, c, t: J.should_retry(l, c.filter("wo_number % 4 <> 0"), t, AS_OF))
+    FROM b_loan l LEFT JOIN (SELECT * FROM b_clip WHERE stage <> 'exported') c ON l.wo_number = c.wo_number LEFT JOIN b_track t ON l.wo_number = t.wo_number""",
+)(lambda l, c, t: J.should_retry(l, c.filter("stage <> 'exported'"), t, AS_OF))

@@ -43,12 +43,12 @@ query(
 )(lambda c: S.vehicle_summary(_documents(c), make="Brand#3"))
 query(
     "AG-13", "part",
-    sql="""WITH f AS (SELECT p_brand AS b, to_json(list({'item': p_name, 'size': p_size} ORDER BY p_partkey)) AS j FROM part WHERE p_size <= 3 GROUP BY 1), m AS (SELECT DISTINCT p_brand AS b FROM part)
+    sql="""WITH f AS (SELECT p_brand AS b, to_json(list({'item': p_name, 'size': p_size} ORDER BY p_partkey)) AS j FROM part WHERE p_name IS NOT NULL GROUP BY 1), m AS (SELECT DISTINCT p_brand AS b FROM part)
     SELECT m.b AS model_id, concat('{"make":"', m.b, '","features":', coalesce(j, '[]'), '}') AS document FROM m LEFT JOIN f ON m.b = f.b""",
 )(
     lambda p: S.oem_document(
         p.select(F.col("p_brand").alias("model_id"), F.col("p_brand").alias("make")).distinct(),
-        features=p.filter("p_size <= 3").select(F.col("p_brand").alias("model_id"), F.col("p_partkey").alias("position"), F.col("p_name").alias("item"), F.col("p_size").alias("size")),
+        features=p.filter("p_name IS NOT NULL").select(F.col("p_brand").alias("model_id"), F.col("p_partkey").alias("position"), F.col("p_name").alias("item"), F.col("p_size").alias("size")),
     )
 )
 
@@ -75,8 +75,8 @@ def _intended(p):
     make = F.col("p_brand").alias("make")
     return (
         p.select(make, F.split_part("p_name", F.lit(" "), F.lit(2)).alias("item")).distinct(),
-        p.filter("p_size > 45").select(make, F.col("p_type").alias("item")).distinct(),
-        p.filter("p_size > 40").select(make, F.split_part("p_name", F.lit(" "), F.lit(1)).alias("item")).distinct(),
+        p.filter("p_type IN ('PROMO', 'LARGE')").select(make, F.col("p_type").alias("item")).distinct(),
+        p.filter("p_type = 'PROMO'").select(make, F.split_part("p_name", F.lit(" "), F.lit(1)).alias("item")).distinct(),
     )
 
 
@@ -96,7 +96,7 @@ query("AG-15", "b_cand", "part", sql=f"WITH {_COVER} SELECT make, intended, revi
 query(
     "AG-14", "b_cand", "part",
     sql=f"""WITH {_COVER}, f AS (SELECT make, any_value(n_reviews) AS n_reviews, round(100.0 * count(*) FILTER (mentions > 0) / count(*), 4)::DOUBLE AS features_pct, round(100.0 * count(*) FILTER (reviews >= greatest(floor(0.2 * n_reviews), 1)) / count(*), 4)::DOUBLE AS consistency_pct FROM cov GROUP BY 1),
-    ia AS (SELECT DISTINCT p_brand AS make, lower(p_type) AS item FROM part WHERE p_size > 45), idr AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 1)) AS item FROM part WHERE p_size > 40),
+    ia AS (SELECT DISTINCT p_brand AS make, lower(p_type) AS item FROM part WHERE p_type IN ('PROMO', 'LARGE')), idr AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 1)) AS item FROM part WHERE p_type = 'PROMO'),
     a AS (SELECT make, round(100.0 * count(*) FILTER (EXISTS (SELECT 1 FROM b_cand c WHERE c.make = ia.make AND relevance >= 9 AND flag = 'A' AND {_HIT.format('lower(c.trim)', 'ia.item')})) / count(*), 4)::DOUBLE AS attributes_pct FROM ia GROUP BY 1),
     dm AS (SELECT c.make, (SELECT min(item) FROM idr WHERE idr.make = c.make AND {_HIT.format("lower(split_part(c.model, ' ', 1))", 'idr.item')}) AS item FROM b_cand c WHERE relevance = 10 AND price < 5000 AND sentiment = 'positive'),
     d AS (SELECT idr.make, round(100.0 * count(*) FILTER (EXISTS (SELECT 1 FROM dm WHERE dm.make = idr.make AND dm.item = idr.item)) / count(*), 4)::DOUBLE AS drivers_pct FROM idr GROUP BY 1)
@@ -105,12 +105,12 @@ query(
 
 
 def _few(p):
-    return p.filter("p_size = 7").select(F.col("p_brand").alias("make"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("item")).distinct()
+    return p.filter("p_type = 'ECONOMY'").select(F.col("p_brand").alias("make"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("item")).distinct()
 
 
 query(
     "AG-16", "b_cand", "part",
-    sql=f"""WITH i AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 2)) AS item FROM part WHERE p_size = 7), e AS (SELECT make, lower(model) AS item, count(*) AS mentions FROM b_cand c WHERE relevance >= 6 AND NOT EXISTS (SELECT 1 FROM i WHERE i.make = c.make AND {_HIT.format('lower(c.model)', 'i.item')}) GROUP BY 1, 2)
+    sql=f"""WITH i AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 2)) AS item FROM part WHERE p_type = 'ECONOMY'), e AS (SELECT make, lower(model) AS item, count(*) AS mentions FROM b_cand c WHERE relevance >= 6 AND NOT EXISTS (SELECT 1 FROM i WHERE i.make = c.make AND {_HIT.format('lower(c.model)', 'i.item')}) GROUP BY 1, 2)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY make ORDER BY mentions DESC, item)::INTEGER AS rank FROM e) WHERE rank <= 10""",
 )(lambda c, p: S.emergent_features(_few(p), _features(c)))
 query(
@@ -123,13 +123,13 @@ query(
 )(lambda c, p: S.wins_and_gaps(_coverage(c, p), 5.0, 0.34))
 query(
     "AG-18", "b_cand", "part",
-    sql=f"""WITH syn(g, t) AS (VALUES {', '.join(str(x) for x in _SYN)}), i AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 2)) AS item FROM part WHERE p_size = 7), tot AS (SELECT make, count(*) AS total FROM i GROUP BY 1),
+    sql=f"""WITH syn(g, t) AS (VALUES {', '.join(str(x) for x in _SYN)}), i AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 2)) AS item FROM part WHERE p_type = 'ECONOMY'), tot AS (SELECT make, count(*) AS total FROM i GROUP BY 1),
     mm AS (SELECT DISTINCT make, lower(model) AS item FROM b_cand WHERE relevance >= 6), p AS (SELECT mm.make, mm.item, i.item AS intended FROM mm JOIN i ON mm.make = i.make WHERE {_HIT.format('mm.item', 'i.item')} OR EXISTS (SELECT 1 FROM syn a, syn b WHERE a.g = b.g AND contains(mm.item, a.t) AND contains(i.item, b.t)))
     SELECT c.make, wo_number AS review, total, count(DISTINCT intended) AS found, round(100.0 * count(DISTINCT intended) / total, 4)::DOUBLE AS rate FROM b_cand c JOIN tot ON c.make = tot.make LEFT JOIN p ON p.make = c.make AND p.item = lower(c.model) WHERE relevance >= 6 GROUP BY 1, 2, 3""",
 )(lambda c, p: S.pullthrough_review(_few(p), _features(c), c.sparkSession.createDataFrame(_SYN, "group string, term string")))
 query(
     "AG-19", "b_cand", "part",
-    sql=f"""WITH i AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 2)) AS item FROM part), ia AS (SELECT DISTINCT p_brand AS make, lower(p_type) AS item FROM part WHERE p_size > 45)
+    sql=f"""WITH i AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 2)) AS item FROM part), ia AS (SELECT DISTINCT p_brand AS make, lower(p_type) AS item FROM part WHERE p_type IN ('PROMO', 'LARGE'))
     SELECT f.make, features_pct, attributes_pct, reviews, sentiment_pct FROM (SELECT make, round(100.0 * count(*) FILTER (EXISTS (SELECT 1 FROM b_cand c WHERE c.make = i.make AND relevance >= 6 AND {_HIT.format('lower(c.model)', 'i.item')})) / count(*), 4)::DOUBLE AS features_pct FROM i GROUP BY 1) f
     LEFT JOIN (SELECT make, round(100.0 * count(*) FILTER (EXISTS (SELECT 1 FROM b_cand c WHERE c.make = ia.make AND relevance >= 9 AND lower(c.trim) = ia.item)) / count(*), 4)::DOUBLE AS attributes_pct FROM ia GROUP BY 1) a ON f.make = a.make
     LEFT JOIN (SELECT make, count(*) AS reviews, round(100.0 * count(*) FILTER (sentiment = 'positive') / count(*), 4)::DOUBLE AS sentiment_pct FROM b_clip GROUP BY 1) r ON f.make = r.make""",

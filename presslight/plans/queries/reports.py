@@ -33,12 +33,12 @@ query("AG-24", "b_clip", sql="SELECT count(*) AS clips, round(avg(relevance), 4)
 
 _FAILED = f"""SELECT c.wo_number, concat('No Content Found', CASE WHEN DATE '{AS_OF}' < retry_after THEN concat(' (Retry after ', CAST(retry_after AS STRING), ')') ELSE '' END) AS reason, 'No Content Found' AS type, NULL AS details, processed_date
     FROM b_clip c LEFT JOIN b_track t ON c.wo_number = t.wo_number WHERE c.status = 'no_content_found'"""
-_ISSUES = f"""{_FAILED} UNION ALL SELECT wo_number, concat('Skipped: ', CASE status WHEN 'approved' THEN 'Already Approved' ELSE 'Already in Bulk Review' END), 'Skipped', 'Skipped in current run', processed_date FROM b_clip WHERE status <> 'no_content_found' AND wo_number % 4 = 0
+_ISSUES = f"""{_FAILED} UNION ALL SELECT wo_number, concat('Skipped: ', CASE status WHEN 'approved' THEN 'Already Approved' ELSE 'Already in Bulk Review' END), 'Skipped', 'Skipped in current run', processed_date FROM b_clip WHERE status <> 'no_content_found' AND stage = 'found'
     UNION ALL SELECT wo_number, 'User Rejected Clip', 'Rejected Clip', clip_url, processed_date FROM b_clip WHERE stage = 'rejected'"""
 
 
 def _issues(c, t):
-    skipped = c.filter("status <> 'no_content_found' AND wo_number % 4 = 0").withColumn("skip_reason", F.concat(F.lit("already_"), "status"))
+    skipped = c.filter("status <> 'no_content_found' AND stage = 'found'").withColumn("skip_reason", F.concat(F.lit("already_"), "status"))
     return M.issue_log(J.with_retry_status(c.filter("status = 'no_content_found'"), t, AS_OF), skipped, c.filter("stage = 'rejected'"))
 
 

@@ -17,9 +17,9 @@ query(
     CASE WHEN n IS NULL THEN retry_after WHEN r = 'no_content' THEN last_at + 4 WHEN r = 'timeout' THEN last_at + 1 WHEN r = 'blocked_403' THEN last_at + 2 END AS retry_after FROM b_track t FULL JOIN a ON t.wo_number = a.wo_number""",
 )(lambda t, c: S.apply_attempts(t, c.select("wo_number", F.expr(_RES).alias("result"), F.col("published").alias("at"))))
 _SKIP = f"""SELECT l.wo_number, c.status AS s, (coalesce(c.status IN ('approved', 'pending_review', 'rejected'), false) OR coalesce(t.status = 'found', false) OR coalesce(DATE '{AS_OF}' < retry_after, false)) AS skip
-    FROM b_loan l LEFT JOIN (SELECT * FROM b_clip WHERE wo_number % 4 <> 0) c ON l.wo_number = c.wo_number LEFT JOIN b_track t ON l.wo_number = t.wo_number"""
+    FROM b_loan l LEFT JOIN (SELECT * FROM b_clip WHERE stage <> 'exported') c ON l.wo_number = c.wo_number LEFT JOIN b_track t ON l.wo_number = t.wo_number"""
 query("ST-02", "b_loan", "b_clip", "b_track", sql=f"SELECT wo_number, CASE WHEN s IN ('approved', 'pending_review', 'rejected') THEN concat('already_', s) WHEN s IN ('no_content_found', 'processing_failed') THEN 'retry_cooldown' ELSE 'unknown' END AS skip_reason FROM ({_SKIP}) WHERE skip")(
-    lambda l, c, t: S.skip_reasons(l, c.filter("wo_number % 4 <> 0"), t, AS_OF)
+    lambda l, c, t: S.skip_reasons(l, c.filter("stage <> 'exported'"), t, AS_OF)
 )
 query(
     "ST-03", "b_loan", "b_cand",
@@ -30,11 +30,11 @@ query("ST-04", "b_clip", "b_track", sql="SELECT c.wo_number, CASE WHEN t.wo_numb
 )
 query(
     "ST-05", "b_clip",
-    sql=f"""SELECT wo_number, CASE WHEN wo_number % 3 = 0 THEN CASE WHEN wo_number % 2 = 0 THEN 'v2' ELSE 'v1' END ELSE version END AS version, CASE WHEN wo_number % 6 = 0 THEN 'positive' ELSE sentiment END AS sentiment,
-    CASE WHEN wo_number % 3 = 0 THEN DATE '{AS_OF}' ELSE analysed END AS analysed, CASE WHEN wo_number % 3 = 0 THEN 'sentiment_analyzed' ELSE stage END AS stage, 0 AS n_pros FROM b_clip""",
+    sql=f"""SELECT wo_number, CASE WHEN outlet_id < 50 THEN CASE WHEN wo_number % 2 = 0 THEN 'v2' ELSE 'v1' END ELSE version END AS version, CASE WHEN outlet_id < 50 AND wo_number % 2 = 0 THEN 'positive' ELSE sentiment END AS sentiment,
+    CASE WHEN outlet_id < 50 THEN DATE '{AS_OF}' ELSE analysed END AS analysed, CASE WHEN outlet_id < 50 THEN 'sentiment_analyzed' ELSE stage END AS stage, 0 AS n_pros FROM b_clip""",
 )(
     lambda c: S.apply_sentiment(
-        c.select("wo_number", "version", "sentiment", "analysed", "stage"), c.filter("wo_number % 3 = 0").select("wo_number", F.when(F.col("wo_number") % 2 == 0, "positive").alias("classification"), F.lit(None).cast("array<string>").alias("pros")), AS_OF
+        c.select("wo_number", "version", "sentiment", "analysed", "stage"), c.filter("outlet_id < 50").select("wo_number", F.when(F.col("wo_number") % 2 == 0, "positive").alias("classification"), F.lit(None).cast("array<string>").alias("pros")), AS_OF
     ).withColumn("n_pros", F.size("pros")).drop("pros")
 )
 query("ST-06", "b_track", sql=f"SELECT wo_number, CASE WHEN retry_after > DATE '{AS_OF}' THEN retry_after END AS retry_after FROM b_track")(lambda t: S.reset_cooldowns(t, "past", AS_OF).select("wo_number", "retry_after"))
@@ -49,9 +49,9 @@ query("ST-10", "b_run", sql=f"SELECT run_id, run_status = 'running' AND end_time
 query("ST-11", "b_run", sql=f"SELECT run_id, date_diff('day', CAST(start_time AS DATE), DATE '{AS_OF}') AS days_running, concat(CAST(successful_finds + failed_attempts AS BIGINT), '/', total_records) AS progress, round(100.0 * (successful_finds + failed_attempts) / total_records, 2)::DOUBLE AS percent FROM b_run WHERE run_status = 'running'")(
     lambda r: S.active_processes(r, AS_OF)
 )
-query("ST-12", "part", sql="SELECT p_brand AS model_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS position, p_name AS feature, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3 THEN 'primary' ELSE 'secondary' END AS priority FROM part WHERE p_size < 10")(
+query("ST-12", "part", sql="SELECT p_brand AS model_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS position, p_name AS feature, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3 THEN 'primary' ELSE 'secondary' END AS priority FROM part WHERE p_name IS NOT NULL")(
     lambda p: S.split_oem_document(
-        p.filter("p_size < 10").groupBy(F.col("p_brand").alias("model_id")).agg(
+        p.filter("p_name IS NOT NULL").groupBy(F.col("p_brand").alias("model_id")).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: F.struct(s["p_name"].alias("feature"), F.lit(None).cast("string").alias("priority"))).alias("key_features_intended"),
             F.array(F.lit("a")).alias("brand_attributes_intended"), F.array(F.struct(F.lit("r").alias("reason"), F.lit(1).alias("priority"))).alias("purchase_drivers_intended"),
         )
