@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Rows from which pivots (and a first bound) are taken, chosen by a hash of the id: fixed, whatever the table's size.
 SAMPLE = 4096
@@ -82,6 +82,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     Vectors of unequal length compare as if zeros followed the shorter one.
     """
     spark = vectors.sparkSession
+    vectors = written(vectors, "vectors")  # read several times below
     width, rows = vectors.agg(F.max(F.size("v")), F.count("*")).first()
     width = width or 0
     sample = vectors.withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id").limit(SAMPLE).collect()

@@ -11,8 +11,10 @@ Buckets are not expanded into pairs. First each member is compared with its buck
 (a star), and confirmed links are joined into components. Pairs that a star leaves open lie in buckets
 that still hold several components; there the members outside the hub's component are compared, by
 signatures and in blocks of bounded size, with the members of other components: round by round each
-with its likeliest partner, as long as that links components, at last with all that are likely. Then
-every candidate pair has been confirmed, rejected, or lies within a component.
+with its likeliest partner, as long as that links components, at last by full sets with all that are
+likely, where each task gives a stray's best link only. When no stray has a link into another component,
+every candidate pair has been confirmed, rejected, or lies within a component, and no step has made rows
+for all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ CODES = 64 // BITS  # codes in a long
 MARGIN = 0.18
 #: Members of a bucket that are compared as one block.
 BLOCK = 1024
+#: Bytes of full sets in one block, about.
+BLOCK_BYTES = 1 << 22
 #: Hash buckets of ids that may be broadcast to thin out a scan.
 ID_BUCKETS = 1 << 18
 KEPT_WORDS = 200_000
@@ -148,18 +152,17 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar: 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Only texts that a pair asks for move: the scan is thinned by a table of at most ID_BUCKETS rows.
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that ids(doc_id) asks for, and of few others: the scan is thinned by a table of at most ID_BUCKETS rows, so that other texts don't move."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))
     asked = ids.select(bucket.alias("_bucket")).distinct()
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        .withColumn("_bucket", bucket)
-        .join(F.broadcast(asked), "_bucket", "left_semi")
-        .drop("_bucket")
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_bucket", bucket)
+    return texts.join(F.broadcast(asked), "_bucket", "left_semi").drop("_bucket")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets are similar: 100 * intersection >= percent * union."""
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +180,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long").distinct()
 
 
+def _shingle_bytes(n: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, schema = Shingles(n), pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"node": b["doc_id"], "shingles": [shingles(t).tobytes() for t in b["text"].to_pylist()]}, schema=schema)
+
+    return made
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> node, component (the smallest node reachable), of all nodes in links.
 
@@ -197,43 +209,124 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_buckets(in_buckets: DataFrame, parts: DataFrame, codes: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, in packs of bounded size: key, odd (any member outside the hub's component), and packed nodes, parts, strays, codes."""
+def _open_members(in_buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: key, node, part, and whether it strays from the hub's component."""
     label = F.coalesce("component", "node")
-    labelled = in_buckets.filter("n > 2").join(parts, "node", "left").select("key", "node", "hub", "n", label.alias("part"))
+    labelled = in_buckets.filter("n > 2").join(parts, "node", "left").select("key", "node", "hub", label.alias("part"))
     of_hub = F.max(F.when(F.col("node") == F.col("hub"), F.col("part")))
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), of_hub.alias("hub_part"), F.max("n").alias("n"))
-    mixed = mixed.filter("_low < _high").select("key", F.coalesce("hub_part", "_low").alias("hub_part"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = labelled.select("key", "node", "part").join(mixed, "key").join(codes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), of_hub.alias("hub_part"))
+    mixed = mixed.filter("_low < _high").select("key", F.coalesce("hub_part", "_low").alias("hub_part"))
+    return labelled.join(mixed, "key").select("key", "node", "part", (F.col("part") != F.col("hub_part")).alias("stray"))
+
+
+_PACK = "key long, odd boolean, nodes binary, parts binary, strays binary, codes binary, lengths binary, shingles binary"
+
+
+def _packs(members: DataFrame) -> DataFrame:
+    """members(key, node, part, stray, codes[, shingles]) of a bucket in packs of bounded rows and bytes, written."""
+    if "shingles" not in members.columns:
+        members = members.withColumn("shingles", F.lit(b""))
+    weight = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).alias("_blocks"))
+    dealt = members.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("_blocks", F.lit(1))))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        stray = (pdf["part"] != pdf["hub_part"]).to_numpy(bool)
-        columns = [pdf["node"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64), stray, np.array(pdf["codes"].tolist(), dtype=np.int64)]
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "odd": [bool(stray.any())], **{c: [x.tobytes()] for c, x in zip(("nodes", "parts", "strays", "codes"), columns)}})
+        stray, sets = pdf["stray"].to_numpy(bool), [bytes(x) for x in pdf["shingles"]]
+        columns = [pdf["node"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64), stray, np.array(pdf["codes"].tolist(), dtype=np.int64), np.array([len(x) // 8 for x in sets], np.int64)]
+        values = [x.tobytes() for x in columns] + [b"".join(sets)]
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "odd": [bool(stray.any())], **{c: [v] for c, v in zip(("nodes", "parts", "strays", "codes", "lengths", "shingles"), values)}})
+
+    return written(dealt.select("key", "block", "node", "part", "stray", "codes", "shingles").groupBy("key", "block").applyInPandas(packed, _PACK), "packs")
+
+
+def _pairs(packs: DataFrame) -> DataFrame:
+    """Packs with strays beside every pack of their bucket."""
+    return packs.filter("odd").join(packs.select("key", *(F.col(c).alias(f"{c}2") for c in ("nodes", "parts", "codes", "lengths", "shingles"))), "key")
 
-    packs = dealt.select("key", "block", "node", "part", "hub_part", "codes").groupBy("key", "block").applyInPandas(packed, "key long, odd boolean, nodes binary, parts binary, strays binary, codes binary")
-    return written(packs, "packs")
 
+def _sides(r) -> tuple:
+    """Of a pair of packs: strays and members (nodes, places in the packs), and which of them, of different components, have what estimate."""
+    width = HASHES // CODES
+    at = np.flatnonzero(np.frombuffer(r.strays, bool))
+    a, part_a, codes_a = np.frombuffer(r.nodes, np.int64)[at], np.frombuffer(r.parts, np.int64)[at], np.frombuffer(r.codes, np.uint64).reshape(-1, width)[at]
+    b, part_b = np.frombuffer(r.nodes2, np.int64), np.frombuffer(r.parts2, np.int64)
+    near = _estimates(codes_a, np.frombuffer(r.codes2, np.uint64).reshape(-1, width))
+    near[part_a[:, None] == part_b[None]] = -1.0
+    return at, a, b, near
 
-def _compare(least: float, best: bool):
-    """For pairs of packs: strays against members of other components by their codes; the likeliest partner of each, or all likely pairs."""
+
+def _likeliest(least: float):
+    """The likeliest partner of each stray in another component, by codes."""
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = HASHES // CODES
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                stray = np.frombuffer(r.strays, bool)
-                a, part_a, codes_a = np.frombuffer(r.nodes, np.int64)[stray], np.frombuffer(r.parts, np.int64)[stray], np.frombuffer(r.codes, np.uint64).reshape(-1, width)[stray]
-                b, part_b = np.frombuffer(r.nodes2, np.int64), np.frombuffer(r.parts2, np.int64)
-                near = _estimates(codes_a, np.frombuffer(r.codes2, np.uint64).reshape(-1, width))
-                near[part_a[:, None] == part_b[None]] = -1.0
-                if best:
-                    j = near.argmax(axis=1)
-                    top = near[np.arange(len(a)), j]
-                    yield pd.DataFrame({"a": a, "b": b[j], "likely": top})[top >= least]
-                else:
-                    i, j = np.nonzero(near >= least)
-                    yield pd.DataFrame({"a": np.maximum(a[i], b[j]), "b": np.minimum(a[i], b[j])}).drop_duplicates()
+                _, a, b, near = _sides(r)
+                j = near.argmax(axis=1)
+                top = near[np.arange(len(a)), j]
+                yield pd.DataFrame({"a": a, "b": b[j], "likely": top})[top >= least]
+
+    return compared
+
+
+def _in_likely_pairs(least: float):
+    """key and node of all that are in a likely pair of different components."""
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                _, a, b, near = _sides(r)
+                near = near >= least
+                yield pd.DataFrame({"key": r.key, "node": np.concatenate([a[near.any(axis=1)], b[near.any(axis=0)]])})
+
+    return compared
+
+
+def _common(sets_a: list[np.ndarray], sets_b: list[np.ndarray], near: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the near pairs: pair by pair, or by products of 0/1 matrices over the shingles of both sides where that is less work."""
+    out = np.zeros(near.shape, np.int64)
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return out
+    own = lambda sets, at: (np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), [len(sets[i]) for i in at]))
+    (va, ra), (vb, rb) = own(sets_a, rows), own(sets_b, cols)
+    both = np.intersect1d(va, vb)
+    if near.sum() * 15e-6 < len(rows) * len(cols) * len(both) / 1.5e10:
+        for i, j in zip(*np.nonzero(near)):
+            out[i, j] = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
+        return out
+    found = np.zeros((len(rows), len(cols)), np.float32)
+    for at in range(0, len(both), 4096):
+        some = both[at : at + 4096]
+        sides = []
+        for v, r, n in ((va, ra, len(rows)), (vb, rb, len(cols))):
+            place = np.minimum(np.searchsorted(some, v), len(some) - 1)
+            hit = some[place] == v
+            m = np.zeros((n, len(some)), np.float32)
+            m[r[hit], place[hit]] = 1
+            sides.append(m)
+        found += sides[0] @ sides[1].T
+    out[np.ix_(rows, cols)] = np.rint(found).astype(np.int64)
+    return out
+
+
+def _linked_partner(least: float, percent: int):
+    """The most similar partner of each stray in another component, by full sets, if it is similar enough: none here means none at all."""
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                at, a, b, near = _sides(r)
+                near = near >= least
+                cut = lambda data, lengths: np.split(np.frombuffer(data, np.uint64), np.cumsum(np.frombuffer(lengths, np.int64))[:-1])
+                mine, theirs = cut(r.shingles, r.lengths), cut(r.shingles2, r.lengths2)
+                mine = [mine[i] for i in at]
+                common = _common(mine, theirs, near)
+                union = np.array([len(x) for x in mine])[:, None] + np.array([len(x) for x in theirs])[None] - common
+                linked = near & (100 * common >= percent * union)
+                like = np.where(linked, common / np.maximum(union, 1), -1.0)
+                j = like.argmax(axis=1) if len(b) else np.zeros(len(a), int)
+                ok = linked[np.arange(len(a)), j]
+                yield pd.DataFrame({"a": np.maximum(a, b[j])[ok], "b": np.minimum(a, b[j])[ok]})
 
     return compared
 
@@ -264,27 +357,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     star_links = written(confirmed(written(stars, "stars"), docs, n, percent), "star-links")
     first = components(star_links)
 
-    links, parts, tested = star_links, first, None
+    links, parts, least = star_links, first, percent / 100 - MARGIN
     while True:
-        packs = _open_buckets(in_buckets, parts, codes)
-        pairs = packs.filter("odd").join(packs.select("key", *(F.col(c).alias(f"{c}2") for c in ("nodes", "parts", "codes"))), "key")
-        # Each member outside its hub's component and its likeliest partner in another one: few pairs, which join most of what belongs together.
-        best = pairs.mapInPandas(_compare(percent / 100 - MARGIN, best=True), "a long, b long, likely double")
-        best = best.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
+        packs = _packs(_open_members(in_buckets, parts).join(codes, "node"))
+        # Each stray and its likeliest partner: few pairs, which join most of what belongs together.
+        best = _pairs(packs).mapInPandas(_likeliest(least), "a long, b long, likely double").groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
         best = written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "best-pairs")
-        if best.isEmpty():
-            break
-        tested = best if tested is None else tested.unionByName(best)
         more = written(confirmed(best, docs, n, percent), "links")
         if more.isEmpty():
-            # No likeliest partner is linked: compare all that is still open.
-            open_ = pairs.mapInPandas(_compare(percent / 100 - MARGIN, best=False), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-            more = written(confirmed(written(open_, "open-pairs"), docs, n, percent), "links")
-            if not more.isEmpty():
-                parts = components(links.unionByName(more))
             break
         links = links.unionByName(more)
         parts = components(links)
+    while True:
+        # What is still likely, by full sets within the packs, until no stray has a link into another component.
+        likely_members = written(_pairs(packs).mapInPandas(_in_likely_pairs(least), "key long, node long").distinct(), "likely-members")
+        if likely_members.isEmpty():
+            break
+        ids = likely_members.select(F.col("node").alias("doc_id")).distinct()
+        sets = _texts_of(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_shingle_bytes(n), "node long, shingles binary")
+        open_ = _open_members(in_buckets, parts).join(likely_members, ["key", "node"], "left_semi").join(codes, "node").join(sets, "node")
+        more = written(_pairs(_packs(open_)).mapInPandas(_linked_partner(least, percent), "a long, b long").distinct(), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        parts = components(links)
+        packs = _packs(_open_members(in_buckets, parts).join(codes, "node"))
     final = parts
 
     by_class = classes.select("same", "node").join(final, "node", "left").select("same", F.coalesce("component", "node").alias("_component"))

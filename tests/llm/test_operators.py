@@ -324,6 +324,15 @@ def test_estimates_follow_similarity():
         assert abs(minhash._estimates(ca, cb)[0, 0] - true) < 0.17
 
 
+def test_intersections_of_packs():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, 200)).astype(np.uint64) for _ in range(60)]
+    for near in (np.ones((40, 60), bool), rng.random((40, 60)) < 0.002, np.zeros((40, 60), bool)):
+        want = np.array([[len(np.intersect1d(a, b)) if n else 0 for b, n in zip(sets, row)] for a, row in zip(sets[:40], near)])
+        got = minhash._common(sets[:40], sets, near)
+        assert (got[near] == want[near]).all()
+
+
 # 10
 
 def test_token_files_round_trip(spark, docs):
