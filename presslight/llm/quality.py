@@ -24,7 +24,7 @@ from .common import fold_of, small_batches, text_or_empty
 
 BITS, GRAMS = 16, (3, 4)
 #: The most labelled rows that training takes, chosen by a hash of the id.
-SAMPLE = 4000
+SAMPLE = 2000
 DIM, BATCH, RATE, SEED = 12, 2, 1.0, 11
 #: Examples that training goes through, in whole rounds over the sample, within these rounds.
 EXAMPLES, ROUNDS = 20_000, (4, 60)
@@ -57,7 +57,7 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         for b in features(w):
             sums[b] += n
     at = np.flatnonzero(sums)
-    return at.astype(np.int32), sums[at].astype(np.float32)
+    return at.astype(np.uint16), sums[at].astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     small_batches(docs.sparkSession)
     chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(marked), "doc_id").limit(sample)  # at most `sample` rows
     rows = sorted(chosen.mapInArrow(bags, "id long, label int, at binary, n binary").collect(), key=lambda r: (r["id"], r["at"], r["n"]))
-    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32)) for r in rows], np.array([r["label"] for r in rows], dtype=int))
+    return train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.float32)) for r in rows], np.array([r["label"] for r in rows], dtype=int))
 
 
 def score_documents(docs: DataFrame, model: Model, least: float = 0.3, folds: int = 5) -> DataFrame:
