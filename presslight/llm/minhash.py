@@ -398,7 +398,12 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = written(near_duplicates(docs, n, percent), "near-duplicates").filter(F.col("doc_id").isNotNull())
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     again = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Rows whose bucket of ids has none to go stay where they are; only the others meet the table of those that go.
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(ID_BUCKETS))
+    buckets = F.broadcast(gone.select(bucket.alias("_bucket")).distinct())  # at most ID_BUCKETS rows
+    marked = docs.withColumn("_bucket", bucket)
+    sure, maybe = marked.join(buckets, "_bucket", "left_anti"), marked.join(buckets, "_bucket", "left_semi")
+    kept = sure.select(*docs.columns).unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
     if again.isEmpty():
         return kept
     once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
