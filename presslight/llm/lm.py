@@ -2,9 +2,9 @@
 
 The model is a bigram model over the training documents, smoothed by a Dirichlet prior on the
 add-one unigram model: p(w|v) = (c(v w) + MU p1(w)) / (c(v) + MU), p1(w) = (c(w) + 1) / (N + V + 1);
-a context not in training leaves p1. Words become numbers in order of falling frequency class, and a
-word's class stands for its count where the trie needs it; log10 probabilities of the bigrams
-are kept as 16-bit codes.
+a context not in training leaves p1. Words become numbers in order of falling frequency class; what a
+word's count has above the least of its class goes with the bigrams, so that all counts are exact. log10
+probabilities of the bigrams are kept as 16-bit codes.
 
 The corpus is read in batches of documents. Between batches and shards go packed arrays, each
 pre-aggregated: first a batch's distinct words (their counts and numbers come back), then its distinct
@@ -181,16 +181,23 @@ def score_texts(docs: DataFrame) -> DataFrame:
     known = spark.sparkContext.broadcast((offsets, class_ends))
     everything = n_train + n_words + 1
 
-    def counts_of(numbers: np.ndarray) -> np.ndarray:
-        """The count that a word's class stands for."""
+    def least_of(numbers: np.ndarray) -> np.ndarray:
+        """The least count of a word's class; START has its count."""
         back = np.searchsorted(known.value[1], numbers, side="right")
-        return CLASS_LEAST[len(CLASS_LEAST) - 1 - np.minimum(back, len(CLASS_LEAST) - 1)].astype(np.float64)
+        return np.where(numbers == START, train_docs, CLASS_LEAST[len(CLASS_LEAST) - 1 - np.minimum(back, len(CLASS_LEAST) - 1)])
 
-    def prior(numbers: np.ndarray) -> np.ndarray:
-        return np.where(numbers == UNKNOWN, 1.0, counts_of(numbers) + 1) / everything
+    def above(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What the counts of the distinct numbers have above their classes' least, by ascending number."""
+        distinct, at = np.unique(numbers, return_index=True)
+        return (counts[at] - least_of(distinct)).astype(np.uint64)
 
-    def contexts(numbers: np.ndarray) -> np.ndarray:
-        return np.where(numbers == START, float(train_docs), np.where(numbers == UNKNOWN, 0.0, counts_of(numbers)))
+    def counts_of(distinct: np.ndarray, numbers: list[np.ndarray], more: list[np.ndarray]) -> np.ndarray:
+        """The exact counts of distinct numbers, from what each batch sent of its own."""
+        counts = least_of(distinct)
+        for x, m in zip(numbers, more):
+            at = np.searchsorted(distinct, np.unique(x))
+            counts[at] = least_of(distinct[at]) + m.astype(np.int64)
+        return counts.astype(np.float64)
 
     def ask(key: tuple, mine: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         """A batch: its documents' rows, and its bigrams for each shard."""
@@ -208,25 +215,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
         first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
         successor, p1 = number[tokens], np.log10((count[tokens] + 1) / everything)
         context = np.where(first, np.uint64(START), np.roll(successor, 1))
-        c1 = contexts(context)
+        c1 = np.where(first, train_docs, np.roll(count[tokens], 1))
         back_off = np.where(c1 > 0, np.log10(MU / (c1 + MU)) + p1, p1)
         sums = [np.bincount(doc, x, len(doc_sizes)) for x in (count[tokens] > 0, p1, back_off)]
         docs_row = {"batch": row["batch"], "shard": int(row["batch"] % shards), "ids": row["ids"], "data": _squeeze(held, doc_sizes, sums[0].astype(np.uint32), sums[1], sums[2])}
 
         ok = (context != UNKNOWN) & (successor != UNKNOWN)
-        context, successor, doc = context[ok], successor[ok], doc[ok]
+        context, successor, doc, c1, c2 = context[ok], successor[ok], doc[ok], c1[ok], count[tokens][ok]
         order = np.lexsort((doc, successor, context))
-        context, successor, doc = context[order], successor[order], doc[order]
+        context, successor, doc, c1, c2 = context[order], successor[order], doc[order], c1[order], c2[order]
         new = np.concatenate([[True], (context[1:] != context[:-1]) | (successor[1:] != successor[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         times = np.diff(np.append(at, len(new))).astype(np.uint32)
-        context, successor, doc = context[at], successor[at], doc[at]
-        spread = np.maximum(1, contexts(context) // SPLIT_TOKENS).astype(np.uint64)
+        context, successor, doc, c1, c2 = context[at], successor[at], doc[at], c1[at], c2[at]
+        spread = np.maximum(1, c1 // SPLIT_TOKENS).astype(np.uint64)
         to = (_stir(context + _stir(successor + np.uint64(1)) % spread * np.uint64(1 << 40)) % np.uint64(shards)).astype(np.int64)
         rows = [docs_row]
         for s, part in enumerate(np.split(np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=shards))[:-1])):
             if len(part):
-                rows.append({"batch": row["batch"], "shard": s, "ids": None, "data": _squeeze(context[part], successor[part], doc[part], times[part], held)})
+                rows.append({"batch": row["batch"], "shard": s, "ids": None, "data": _squeeze(context[part], successor[part], doc[part], times[part], held, above(context[part], c1[part]), above(successor[part], c2[part]))})
         return pd.DataFrame(rows)
 
     def look_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -240,10 +247,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
         pairs, back = np.unique(pairs, return_inverse=True)
         seen = np.bincount(back, train, len(pairs))
         context, successor = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-        before, p1 = contexts(context), prior(successor)
+        (contexts, c), (successors, w) = np.unique(context, return_inverse=True), np.unique(successor, return_inverse=True)
+        before = counts_of(contexts, [o[0] for o in opened], [o[5] for o in opened])[c]
+        p1 = (counts_of(successors, [o[1] for o in opened], [o[6] for o in opened])[w] + 1) / everything
         in_trie = seen > 0
         p = (seen[in_trie] + MU * p1[in_trie]) / (before[in_trie] + MU)
-        trie = Trie.build(context[in_trie], successor[in_trie], np.clip(np.rint(-np.log10(p) * STEPS), 0, 65535).astype(np.uint16))
+        trie = Trie.build(context[in_trie], successor[in_trie], np.rint(-np.log10(p) * STEPS).astype(np.uint16))
         place = trie.find(context, successor)
         gain = np.where(place >= 0, -trie.codes[np.maximum(place, 0)].astype(np.float64) / STEPS - np.log10(MU * p1 / (before + MU)), 0.0) if trie.codes.size else np.zeros(len(pairs))
         rows, at = [], 0
@@ -259,7 +268,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for d in sorted(pdf["data"][pdf["ids"].isna()]):  # in one order, for equal sums on every run
             score = score + _open(d)[0]
         ids = pd.array([None if pd.isna(i) else int(i) for i in row["ids"]], dtype="Int64")
-        return pd.DataFrame({"doc_id": ids, "held_out": held.astype(bool), "n_tokens": size.astype(np.int64), "n_known": n_known.astype(np.int64), "train_tokens": n_train, "base_score": base, "score": np.minimum(score, 0.0)})
+        return pd.DataFrame({"doc_id": ids, "held_out": held.astype(bool), "n_tokens": size.astype(np.int64), "n_known": n_known.astype(np.int64), "train_tokens": n_train, "base_score": base, "score": score})
 
     requests = batches.select("batch", "ids", "data", "words").groupBy("batch").cogroup(answers.filter("batch >= 0").groupBy("batch")).applyInPandas(ask, "batch long, shard int, ids array<long>, data binary")
     found = requests.groupBy("shard").applyInPandas(look_up, "batch long, ids array<long>, data binary")

@@ -233,6 +233,29 @@ def test_language_model_by_brute_force(spark, docs):
     assert np.mean(gain) > 0
 
 
+def test_language_model_is_exact_for_frequent_words(spark):
+    # Counts just below the next class, far above 64, as contexts and as successors.
+    texts = ["alpha beta " * 1040 + "gamma delta " * 37, "beta alpha " * 33 + "delta alpha gamma " * 90, "alpha beta gamma delta " * 25, "unheard alpha beta delta"]
+    rows = [(i, texts[i % 4]) for i in range(23)] + [(100 + i, "alpha") for i in range(130)]
+    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ones, twos, starts = Counter(), Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = words(t) + [b""]
+            ones.update(w)
+            twos.update(zip([None, *w], w))
+            starts += 1
+    assert sum(c > 1000 and c not in lm.CLASS_LEAST for c in ones.values()) >= 2
+    everything = sum(ones.values()) + len(ones) + 1
+    for i, t in rows:
+        w = words(t) + [b""]
+        score = 0.0
+        for a, b in zip([None, *w], w):
+            c, p1 = starts if a is None else ones[a], (ones[b] + 1) / everything
+            score += math.log10((twos[a, b] + lm.MU * p1) / (c + lm.MU)) if c else math.log10(p1)
+        assert got[i]["score"] == pytest.approx(score, abs=(0.5 / lm.STEPS + 1e-6) * len(w))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in [(0, 1), (1, 5), (1000, 10), (1000, 10**6), (500, 2**40), (7, 2**63)]:
