@@ -1,8 +1,8 @@
 """Document fingerprints by I-Match over several randomised lexicon subsets.
 
 The lexicon are the terms within a band of inverse document frequency. Document frequencies are
-counted over all documents in hashed buckets, a fixed number of them; the band is a bit per bucket, so
-what goes to the tasks has one size. A document keeps its distinct terms in the band (all its terms,
+counted over all documents for each term (by 64-bit hash), added up in each task and then by ranges of
+hashes; the hashes of the band's terms, 8 bytes each, go to the tasks. A document keeps its distinct terms in the band (all its terms,
 if none is), sorts them, and hashes those of each of 64 random subsets of the lexicon. Subsets come in
 rates from 1/4 to 1/4096: the dense ones tell near-identical texts apart, the sparse ones still agree
 after larger edits of long texts. Likeness is the share of equal hashes among the subsets that either
@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -24,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty, written
+from .lm import _open, _squeeze
 
 BUCKET_BITS = 22
 #: A term is in the band if it is in at least so many documents, and in no more than this share of them (and always up to ALWAYS).
@@ -32,6 +35,8 @@ LEAST_DF, SHARE, ALWAYS = 2, 0.05, 10
 RATES = ((4, 4), (16, 8), (64, 12), (256, 14), (1024, 14), (4096, 12))
 SUBSETS = sum(n for _, n in RATES)
 KEPT_WORDS = 150_000
+#: Distinct terms that a task counts before it sends them on; characters for each range of hashes, about, and the least ranges.
+COUNTED_WORDS, SHARD_CHARS, SHARDS_LEAST = 1_000_000, 1 << 24, 64
 
 
 def terms(text: str) -> set[bytes]:
@@ -39,42 +44,66 @@ def terms(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "surrogatepass").lower().split())
 
 
-def band(docs: DataFrame) -> np.ndarray:
-    """A bit per bucket: whether its document frequency is in the band."""
+def band_terms(docs: DataFrame) -> np.ndarray:
+    """The hashes of the terms whose document frequency is in the band, ascending."""
     small_batches(docs.sparkSession)
+    n, size = (int(x or 0) for x in docs.agg(F.count("*"), F.sum(F.length("text"))).first())
+    most, shards = max(ALWAYS, math.floor(SHARE * n)), max(SHARDS_LEAST, size // SHARD_CHARS)
+    schema = pa.schema([("shard", pa.int32()), ("data", pa.binary())])
+
+    def packed(df: Counter) -> pa.RecordBatch:
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, df), np.uint64, len(df))
+        counts = np.fromiter(df.values(), np.uint64, len(df))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ranges of hashes
+        firsts = np.flatnonzero(np.diff(shard, prepend=-1))
+        rows = [_squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), counts[a:b]) for a, b in zip(firsts, np.append(firsts[1:], len(keys)))]
+        return pa.RecordBatch.from_pydict({"shard": pa.array(shard[firsts], pa.int32()), "data": pa.array(rows, pa.binary())}, schema=schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, own = np.zeros(1 << BUCKET_BITS, np.int64), {}
-        mask = (1 << BUCKET_BITS) - 1
+        df: Counter = Counter()
         for b in batches:
             for t in b["text"].to_pylist():
-                found = terms(t)
-                if len(own) > KEPT_WORDS:
-                    own.clear()
-                for w in found.difference(own):
-                    own[w] = xxhash.xxh3_64_intdigest(w) & mask
-                df[list(set(map(own.__getitem__, found)))] += 1
-        at = np.flatnonzero(df)
-        for some in np.array_split(at, max(1, len(at) // 65536)):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int64()), "df": pa.array(df[some], pa.int64())})
-
-    most = max(ALWAYS, math.floor(SHARE * docs.count()))
-    by_bucket = docs.mapInArrow(counted, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
-    words = by_bucket.filter(F.col("df").between(LEAST_DF, most)).groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bucket & 63))")).alias("bits"))
-    out = np.zeros(1 << (BUCKET_BITS - 6), np.int64)  # at most as many rows come to the driver
-    for b in words.toArrow().to_batches():
-        out[b["word"].to_numpy()] = b["bits"].to_numpy()
-    return out.view(np.uint64)
+                df.update(terms(t))
+                if len(df) > COUNTED_WORDS:
+                    yield packed(df)
+                    df.clear()
+        yield packed(df)
 
+    def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        opened = [_open(d) for d in pdf["data"]]
+        keys, back = np.unique(np.concatenate([np.cumsum(o[0], dtype=np.uint64) for o in opened]), return_inverse=True)
+        df = np.bincount(back, np.concatenate([o[1] for o in opened]).astype(np.float64), len(keys))
+        kept = keys[(df >= LEAST_DF) & (df <= most)]
+        return pd.DataFrame({"shard": [key[0]], "data": [_squeeze(np.diff(kept, prepend=np.uint64(0)))]})
 
-class Fingerprinter:
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.known = bits, {}
+    found = docs.mapInArrow(counted, "shard int, data binary").groupBy("shard").applyInPandas(summed, "shard int, data binary")
+    parts = [np.cumsum(_open(r["data"])[0], dtype=np.uint64) for r in sorted(found.collect(), key=lambda r: r["shard"])]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
 
-    def _term(self, word: bytes) -> tuple[bool, tuple[int, ...]]:
-        """Whether a term is in the band, and its subsets."""
-        h = xxhash.xxh3_64_intdigest(word)
-        bucket = h & ((1 << BUCKET_BITS) - 1)
+
+def band(docs: DataFrame) -> np.ndarray:
+    """The band's terms by the low bits of their hashes: a bit per bucket, of a fixed number, that has one."""
+    buckets = np.unique(band_terms(docs) & np.uint64((1 << BUCKET_BITS) - 1))
+    out = np.zeros(1 << (BUCKET_BITS - 6), np.uint64)
+    np.bitwise_or.at(out, (buckets >> np.uint64(6)).astype(np.int64), np.uint64(1) << (buckets & np.uint64(63)))
+    return out
+
+
+class Fingerprinter:
+    def __init__(self, lexicon: np.ndarray):
+        self.lexicon, self.known = lexicon, {}
+
+    def _in_band(self, words: list[bytes]) -> list[bool]:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        if not len(self.lexicon):
+            return [False] * len(words)
+        at = np.searchsorted(self.lexicon, h)
+        return (self.lexicon[np.minimum(at, len(self.lexicon) - 1)] == h).tolist()
+
+    @staticmethod
+    def _subsets(word: bytes) -> tuple[int, ...]:
         slots, first, draw = [], 0, xxhash.xxh3_128_intdigest(word, 5)
         for rate, count in RATES:
             slot = draw % rate
@@ -82,14 +111,15 @@ class Fingerprinter:
             if slot < count:
                 slots.append(first + slot)
             first += count
-        return bool(int(self.bits[bucket >> 6]) >> (bucket & 63) & 1), tuple(slots)
+        return tuple(slots)
 
     def __call__(self, words: set[bytes]) -> list[int]:
         """A hash of 32 bits for each subset, 0 for a subset without terms of the document."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        for w in words.difference(self.known):
-            self.known[w] = self._term(w)
+        new = list(words.difference(self.known))
+        for w, kept in zip(new, self._in_band(new)):
+            self.known[w] = kept, self._subsets(w)
         kept = [w for w in words if self.known[w][0]] or words
         subsets: list[list[bytes]] = [[] for _ in range(SUBSETS)]
         for w in sorted(kept):
@@ -123,7 +153,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bits = spark.sparkContext.broadcast(band(texts.select("text")))
+    lexicon = spark.sparkContext.broadcast(band_terms(texts.select("text")))
     results = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     out = pa.schema(results)
     ends = pa.schema([("kind", pa.string()), ("part", pa.int32()), *results, ("text", pa.string())])
@@ -136,7 +166,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A sorted part: finished rows, and the texts at its two ends, which need another part."""
-        marks, part, last = Fingerprinter(bits.value), TaskContext.get().partitionId(), None
+        marks, part, last = Fingerprinter(lexicon.value), TaskContext.get().partitionId(), None
         for b in batches:
             rows = []
             for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
@@ -151,7 +181,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(dict(zip(ends.names, [[x] for x in ("last", part, last[0], *[None] * 6, last[1])])), schema=ends)
 
     def closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Fingerprinter(bits.value)
+        marks = Fingerprinter(lexicon.value)
         for b in batches:
             rows = [row(marks, i, t, marks(terms(t)), f, marks(terms(f))) for i, t, f in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "following")))]
             yield pa.RecordBatch.from_pydict(dict(zip(out.names, zip(*rows) if rows else [()] * len(out))), schema=out)

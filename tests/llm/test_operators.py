@@ -187,6 +187,26 @@ def test_fingerprints(spark, docs):
     assert kept >= 498
 
 
+def test_band_is_counted_by_term(spark):
+    import xxhash
+
+    by, pairs = {}, []
+    for w in (b"w%d" % k for k in range(20000)):
+        if (other := by.setdefault(xxhash.xxh3_64_intdigest(w) & ((1 << imatch.BUCKET_BITS) - 1), w)) != w:
+            pairs.append((other.decode(), w.decode()))
+    assert len(pairs) > 8
+    # Odd words that share a bucket don't count; a rare word counts that shares its bucket with a frequent one.
+    (often, rare), *single = pairs[:8]
+    shared = "some words that three texts share"
+    texts = [shared, shared + "".join(" " + a for a, _ in single), shared + "".join(" " + b for _, b in single)]
+    texts = [f"{t} {often} {rare}" for t in texts] + [f"{often} {k}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(w for t in texts for w in imatch.terms(t))
+    assert imatch.band_terms(df).tolist() == sorted(xxhash.xxh3_64_intdigest(w) for w, n in counts.items() if 2 <= n <= imatch.ALWAYS)
+    assert imatch.band_terms(df.limit(0)).tolist() == []
+    assert len({r["fingerprint"] for r in imatch.fingerprints(df).filter("doc_id < 3").collect()}) == 1
+
+
 # 6
 
 def test_top_k_with_ties_and_odd_vectors(spark):
