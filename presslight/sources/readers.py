@@ -22,12 +22,11 @@ def _strings(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, sample: int = 1 << 20) -> str:
-    """The first encoding in which the first megabyte of each file decodes; read by Spark, so any store will do."""
-    heads = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("b"))
+def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
+    """The first encoding in which every line of each file decodes; read by Spark, so any store will do and files are split."""
+    lines = spark.read.text(path).select("value")  # the bytes of the files, not validated
     for e in encodings[:-1]:
-        text = F.try_validate_utf8("b") if e == "utf-8" else F.col("b").cast("string")
-        if heads.filter(text.isNull()).isEmpty():
+        if e != "utf-8" or lines.filter(F.try_validate_utf8("value").isNull()).isEmpty():
             return e
     return encodings[-1]
 

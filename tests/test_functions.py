@@ -131,6 +131,21 @@ def test_attempts(spark):
     assert (rows[2]["status"], rows[2]["attempt_count"], rows[2]["retry_after"]) == ("searching", 1, dt.date(2025, 1, 7))
 
 
+def test_encoding_of_whole_files(spark, tmp_path):
+    row = "1,plain words of a row\n"
+    many = "id,name\n" + row * ((1 << 20) // len(row) + 1)
+    (tmp_path / "late.csv").write_bytes((many + "2,café\n").encode("latin1"))
+    ascii_part = "id,name\n" + row * 40000
+    cut = ascii_part + "2," + "x" * ((1 << 20) - len(ascii_part) - 3) + "é\n3,é\n"
+    (tmp_path / "cut.csv").write_bytes(cut.encode())
+    assert cut.encode()[: 1 << 20][-1:] == "é".encode()[:1]
+    for file, encoding, found in (("late", "latin1", {"café"}), ("cut", "utf-8", {"é"})):
+        path = f"file://{tmp_path}/{file}.csv"
+        assert R.encoding_of(spark, path) == encoding
+        rows = R.read_csv_any_encoding(spark, path).filter("id <> '1' AND length(name) < 9").collect()
+        assert {r["name"] for r in rows} == found
+
+
 def test_required_columns(spark, tmp_path):
     (tmp_path / "l.csv").write_text("﻿WO #,Model,Links\n\"1,024\",Kona,http://a.com\n")
     with pytest.raises(ValueError, match="Make"):
