@@ -204,11 +204,47 @@ def page_date(pages: DataFrame, as_of: str) -> DataFrame:
     return dates.withColumn("_d", sound).groupBy("page_id").agg(F.min_by("_d", F.when(F.col("_d").isNotNull(), F.col("rank"))).alias("page_date"))
 
 
+SCRIPT = re.compile(r"<script\b[^>]*>(.*?)(?:</script|\Z)", re.I | re.S)
+ASSIGNED = re.compile(r"(?:\bwindow\.\w+|\bvar \w+|\b__NEXT_DATA__)\s*=\s*(?=\{)")
+NESTING = re.compile(r'"(?:\\.|[^"\\])*"|[{}]', re.S)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _states(html: str | None) -> Iterator[tuple[int, str]]:
+    """Position and text of the objects that parse, with commas before a closing bracket dropped where that is needed."""
+    position = 0
+    for script in SCRIPT.findall(html or ""):
+        at = 0
+        while found := ASSIGNED.search(script, at):
+            at, depth, text = found.end(), 0, None
+            for part in NESTING.finditer(script, at):
+                depth += {"{": 1, "}": -1}.get(part[0], 0)
+                if not depth:
+                    text = script[at : part.end()]
+                    break
+            for t in () if text is None else (text, re.sub(r",(\s*[}\]])", r"\1", text)):
+                try:
+                    json.loads(t, parse_constant=_no_constant)
+                except (ValueError, RecursionError):
+                    continue
+                yield position, t
+                at += len(text)
+                break
+            position += 1
+
+
 def embedded_json(pages: DataFrame) -> DataFrame:
-    """State objects that scripts assign (window.X = {..}), as JSON text that parses."""
-    pattern = r"(?s)(?:window\.\w+|var \w+)\s*=\s*(\{.*?\})\s*;?\s*</script>"
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("position", "json"))
-    return found.filter(F.try_parse_json("json").isNotNull())
+    """State objects that scripts assign (window.X = {..}, var X, __NEXT_DATA__), as JSON text that parses; position counts a page's assignments."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, k, t) for i, html in zip(pdf["page_id"], pdf["html"]) for k, t in _states(html)]
+            yield pd.DataFrame(rows, columns=["page_id", "position", "json"])
+
+    return pages.select("page_id", "html").mapInPandas(made, "page_id long, position int, json string")
 
 
 def feed_items(feeds: DataFrame, term: str) -> DataFrame:

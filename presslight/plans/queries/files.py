@@ -134,12 +134,20 @@ def _sk06(c):
     return Wr.upsert_table(c.select("wo_number", "status"), c.filter("stage = 'rejected'").select("wo_number", F.lit("rejected").alias("status")), ["wo_number"], _path(c, "clips"))
 
 
+def _with_states(p):
+    """The whole pages, with a state before the end of the head, statements after it, and a script whose object is no JSON."""
+    name = F.when(F.col("page_id") % 2 == 0, "window.__INITIAL_STATE__").otherwise("__NEXT_DATA__")
+    script = F.concat(F.lit("<script>"), name, F.lit(' = {"page": '), "page_id", F.lit("}; boot({});</script><script>window.B = {b: 1}; boot();</script>"))
+    at = F.instr("html", "</head>")
+    return p.select("page_id", F.concat(F.substring("html", F.lit(1), at - 1), script, F.substring("html", at, F.length("html"))).alias("html"))
+
+
 query("UD-01", "pages")(lambda p: P.extract_articles(p))
 query("UD-02", "pages")(lambda p: P.extract_links(p))
 query("UD-03", "pages")(lambda p: P.extract_bylines(p))
 query("SF-22", "pages")(lambda p: P.page_date(p, AS_OF))
 query("SF-36", "pages", sql="SELECT page_id, 0 AS position, concat('{\"page\": ', page_id, '}') AS json FROM pages")(
-    lambda p: P.embedded_json(p.select("page_id", F.concat(F.lit("<html><script>window.STATE = {\"page\": "), "page_id", F.lit("};</script></html>")).alias("html")))
+    lambda p: P.embedded_json(_with_states(p))
 )
 query("UD-04", "b_cand", sql="SELECT c.page_id, c.title, c.link FROM (SELECT wo_number AS page_id, model AS title, concat('http://site', outlet_id) AS link FROM b_cand) c WHERE contains(lower(title), 'widget')")(
     lambda c: P.feed_items(

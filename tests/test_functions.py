@@ -114,6 +114,18 @@ def test_pages(spark):
     assert {r["page_id"]: r["page_date"] for r in P.page_date(pages, "2025-07-01").collect()} == {1: dt.date(2025, 2, 3), 2: None, 3: None}
 
 
+def test_embedded_states(spark):
+    texts = [
+        '<script>window.__INITIAL_STATE__ = {"a": {"b": "}; </b>"}}; boot();</script><p>x</p><script>window.B = {"c": 1};</script>',
+        '<script id="n">__NEXT_DATA__ = {"d": [1, 2,], "e": 3,}\n;run({})</script>',
+        '<script>window.C = {no: json}; var x = {"f": "window.D = {}"}; window.E = {"g": NaN}; window.F = {"open": 1</script>',
+        "<p>none</p>",
+        None,
+    ]
+    got = P.embedded_json(spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, '{"a": {"b": "}; </b>"}}'), (0, 1, '{"c": 1}'), (1, 0, '{"d": [1, 2], "e": 3}'), (2, 1, '{"f": "window.D = {}"}')]
+
+
 def test_merge_and_best(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", None)], "k long, v string, n int")
     new = spark.createDataFrame([(2, None, 1), (3, "c", 1)], "k long, v string, n int")
