@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 SKIPPED = {"script", "style", "nav", "header", "footer", "aside", "noscript", "form"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 BLOCKS = {"article", "main", "section", "div", "body"}
+#: Marks of likely articles, best first: parts of the href, then elements and classes around the link.
+LIKELY_HREFS = ("/review", "/test", "/drive", "/first", "/road", "/blog/post/")
+LIKELY_PLACES = ("article", ".post", ".entry", ".article", "h1", "h2", "h3", ".headline", ".title", ".blog-post", ".post-title", ".entry-title")
+NO_ARTICLE = ("/category/", "/tag/", "/author/", "/search", "/page/", ".jpg", ".png", ".pdf")
+VIDEO = ("youtube.com", "youtu.be", "tiktok.com", "instagram.com")
 AD = re.compile(r"\b(ad|ads|advert|sidebar|cookie|comment|share|promo)\b", re.I)
 
 
@@ -26,6 +32,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.title, self.h1, self.paragraphs, self.links, self.meta, self.times, self.json_ld, self.bylines = "", "", [], [], {}, [], [], []
         self._stack: list[tuple[str, bool, int]] = []
+        self._places: list[set[str]] = []
         self._skip, self._block, self._blocks, self._text, self._into, self._link, self._by = 0, 0, 0, None, None, None, None
 
     def handle_starttag(self, tag, attrs):
@@ -41,6 +48,7 @@ class _Page(HTMLParser):
         if tag == "p":
             self._close_p()
         self._stack.append((tag, skip, self._block))
+        self._places.append({tag, *("." + c for c in a.get("class", "").split())})
         self._skip += skip
         if tag in BLOCKS:
             self._blocks += 1
@@ -52,10 +60,18 @@ class _Page(HTMLParser):
         elif tag == "p" and not self._skip:
             self._text = []
         elif tag == "a" and a.get("href"):
-            self._link = (a["href"], [])
+            self._link = (a["href"], [], self._rank(a["href"]))
         if re.search(r"\b(byline|author)\b", mark, re.I):
             self._by = (len(self._stack), [])
 
+    def _rank(self, href: str) -> int:
+        """How early a link of an index page is likely to be an article."""
+        for k, part in enumerate(LIKELY_HREFS):
+            if part in href:
+                return k
+        around = set().union(*self._places[:-1])
+        return len(LIKELY_HREFS) + next((k for k, place in enumerate(LIKELY_PLACES) if place in around), len(LIKELY_PLACES))
+
     def _close_p(self):
         if self._text is not None:
             text = re.sub(r"\s+", " ", "".join(self._text)).strip()
@@ -68,6 +84,7 @@ class _Page(HTMLParser):
             return
         while self._stack:
             t, skip, block = self._stack.pop()
+            self._places.pop()
             if t == "p":
                 self._close_p()
             if self._by and len(self._stack) < self._by[0]:
@@ -76,7 +93,7 @@ class _Page(HTMLParser):
             self._skip -= skip
             self._block = block
             if t == "a" and self._link:
-                self.links.append((self._link[0], re.sub(r"\s+", " ", "".join(self._link[1])).strip()))
+                self.links.append((self._link[0], re.sub(r"\s+", " ", "".join(self._link[1])).strip(), self._link[2]))
                 self._link = None
             if self._into and t in ("title", "h1", "script"):
                 kind, parts = self._into
@@ -136,31 +153,50 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text")).withColumn("quality", F.when(F.col("n_chars") < 100, "poor").when(F.col("method") == "container", "good").otherwise("fair"))
 
 
+def _links(url: str | None, html: str | None) -> list[tuple[str, str, str]]:
+    """Distinct absolute links with anchor text and category, likely articles first, each as where it is likeliest."""
+    own, seen = urlsplit(url or "").netloc.lower(), {}
+    for k, (href, text, rank) in enumerate(parse(html).links):
+        try:
+            to = urljoin(url or "", href)
+            parts = urlsplit(to)
+        except ValueError:
+            continue
+        if parts.scheme in ("http", "https") and (to not in seen or rank < seen[to][0]):
+            host, path = parts.netloc.lower(), parts.path.lower()
+            if own and (host == own or host.endswith("." + own)):
+                kind = "listing" if any(x in path for x in NO_ARTICLE) else "article"
+            else:
+                kind = "video" if any(v in host for v in VIDEO) else "external"
+            seen[to] = (rank, k, text, kind)
+    return [(to, text, kind) for to, (_, _, text, kind) in sorted(seen.items(), key=lambda x: x[1][:2])]
+
+
 def extract_links(pages: DataFrame, n: int = 100) -> DataFrame:
-    """Distinct links of each page in order, the first n: absolute, with anchor text and category."""
-    video = ("youtube.com", "youtu.be", "tiktok.com", "instagram.com")
-    listing = ("/category/", "/tag/", "/author/", "/page/", "/search")
+    """The first n article links of each page, absolute and distinct, with anchor text: on its domain, no listings or files, likely articles first."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                own, seen = urlsplit(url or "").netloc, {}
-                for href, text in parse(html).links:
-                    try:
-                        to = urljoin(url or "", href)
-                        parts = urlsplit(to)
-                    except ValueError:
-                        continue
-                    if parts.scheme in ("http", "https") and to not in seen:
-                        kind = "video" if any(v in parts.netloc for v in video) else "external" if parts.netloc != own else "listing" if any(x in to for x in listing) else "article"
-                        seen[to] = (text, kind)
-                rows += [(i, k + 1, to, text, kind) for k, (to, (text, kind)) in enumerate(list(seen.items())[:n])]
+                articles = [x for x in _links(url, html) if x[2] == "article"]
+                rows += [(i, k + 1, *x) for k, x in enumerate(articles[:n])]
             yield pd.DataFrame(rows, columns=["page_id", "position", "link", "anchor", "category"])
 
     return pages.select("page_id", "url", "html").mapInPandas(made, "page_id long, position int, link string, anchor string, category string")
 
 
+def link_counts(pages: DataFrame) -> DataFrame:
+    """How many distinct links of each category (article, listing, video, external) each page has, all of them."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, kind, n) for i, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]) for kind, n in Counter(kind for _, _, kind in _links(url, html)).items()]
+            yield pd.DataFrame(rows, columns=["page_id", "category", "links"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(made, "page_id long, category string, links long")
+
+
 def extract_bylines(pages: DataFrame) -> DataFrame:
     """page_id and byline: from an author mark or meta tag, else from a line "By Name"."""
 

@@ -144,6 +144,7 @@ def _with_states(p):
 
 query("UD-01", "pages")(lambda p: P.extract_articles(p))
 query("UD-02", "pages")(lambda p: P.extract_links(p))
+query("UD-02b", "pages")(lambda p: P.link_counts(p))
 query("UD-03", "pages")(lambda p: P.extract_bylines(p))
 query("SF-22", "pages")(lambda p: P.page_date(p, AS_OF))
 query("SF-36", "pages", sql="SELECT page_id, 0 AS position, concat('{\"page\": ', page_id, '}') AS json FROM pages")(

@@ -114,6 +114,17 @@ def test_pages(spark):
     assert {r["page_id"]: r["page_date"] for r in P.page_date(pages, "2025-07-01").collect()} == {1: dt.date(2025, 2, 3), 2: None, 3: None}
 
 
+def test_articles_after_many_links(spark):
+    menu = "".join(f'<a href="https://other{k}.com/">o</a>' for k in range(150)) + '<a href="https://youtu.be/abc">v</a><a href="/tag/x">t</a><a href="/a.PDF">f</a>'
+    plain = "".join(f'<a href="/p{k}">p</a>' for k in range(120))
+    html = f'<body>{menu}{plain}<h2><a href="/p119">P 119</a></h2><a href="https://blog.a.com/review/kona">Kona</a><div class="big post"><a href="/kona">K</a></div></body>'
+    pages = spark.createDataFrame([(1, "https://a.com/index", html)], "page_id long, url string, html string")
+    got = [(r["position"], r["link"], r["anchor"]) for r in P.extract_links(pages).orderBy("position").collect()]
+    assert got[:3] == [(1, "https://blog.a.com/review/kona", "Kona"), (2, "https://a.com/kona", "K"), (3, "https://a.com/p119", "P 119")]
+    assert len(got) == 100 and got[3:] == [(k + 4, f"https://a.com/p{k}", "p") for k in range(97)]
+    assert {r["category"]: r["links"] for r in P.link_counts(pages).collect()} == {"external": 150, "video": 1, "listing": 2, "article": 122}
+
+
 def test_embedded_states(spark):
     texts = [
         '<script>window.__INITIAL_STATE__ = {"a": {"b": "}; </b>"}}; boot();</script><p>x</p><script>window.B = {"c": 1};</script>',
