@@ -292,20 +292,70 @@ def feed_items(feeds: DataFrame, term: str) -> DataFrame:
     return items.filter(hit)
 
 
-# Words by which features fall into categories.
-CATEGORIES = {"performance": ["engine", "horsepower", "turbo"], "safety": ["safety", "brake", "airbag"], "comfort": ["seat", "climate", "quiet"], "technology": ["screen", "camera", "audio"]}
-
-
-def parse_oem_text(docs: DataFrame, default_year: int) -> DataFrame:
-    """doc_id, year, positioning (first sentence), features (lines with a dash or star) with category and priority."""
+# Words by which features fall into categories (the first that fits), features found by pattern, and attributes by lexicon.
+CATEGORIES = {
+    "performance": ["engine", "turbo", "hp", "torque", "transmission", "awd", "4wd", "speed"],
+    "technology": ["display", "screen", "connect", "wireless", "smart", "digital", "tech"],
+    "safety": ["safety", "airbag", "collision", "brake", "assist", "monitor", "alert"],
+    "design": ["design", "style", "interior", "exterior", "seat", "wheel", "color"],
+    "comfort": ["comfort", "quiet", "smooth", "climate", "heated", "cooled", "massage"],
+    "utility": ["cargo", "space", "towing", "storage", "capacity", "versatile"],
+}
+FEATURES = {
+    "performance": [r"(\d+(?:\.\d+)?[- ]?(?:liter|L|turbo|hp|horsepower|lb-ft|torque))", r"((?:manual|automatic|AWD|all-wheel|4WD) (?:transmission|drive))", r"((?:sport|dynamic|performance) (?:mode|tuned|suspension))"],
+    "technology": [r"(\d+(?:\.\d+)?[- ]?inch (?:display|screen|infotainment))", r"((?:wireless|Android|Apple|CarPlay|smartphone) (?:integration|connectivity))", r"((?:adaptive|smart|advanced) (?:cruise|safety|driver))"],
+    "design": [r"((?:panoramic|power|sliding) (?:moonroof|sunroof|roof))", r"((?:LED|adaptive|signature) (?:headlights|lighting|lights))", r"((?:leather|premium|sport) (?:seats|interior|trim))"],
+}
+ATTRIBUTES = {
+    "premium": ["premium", "luxury", "upscale", "refined"],
+    "sporty": ["sporty", "dynamic", "athletic", "performance"],
+    "practical": ["practical", "versatile", "functional", "capable"],
+    "innovative": ["innovative", "advanced", "cutting-edge", "modern"],
+    "reliable": ["reliable", "dependable", "quality", "durable"],
+}
+BULLET = r"^\s*(?:\d+\.|[-*•])\s*"
+
+
+def _listed(heading: str):
+    """The bullets that follow the first line with the heading, up to another line."""
+    lines = F.split("text", "\n")
+    at = F.array_position(F.transform(lines, lambda l: l.rlike(heading)), True)
+    rest = F.when(at > 0, F.slice(lines, at.cast("int") + 1, F.size(lines))).otherwise(F.slice(lines, 1, 0))
+    end = F.array_position(F.transform(rest, lambda l: ~l.rlike(BULLET + r"\S")), True)
+    return F.transform(F.slice(rest, 1, F.when(end > 0, end.cast("int") - 1).otherwise(F.size(rest))), lambda l: F.trim(F.regexp_replace(l, BULLET, "")))
+
+
+def parse_oem_text(docs: DataFrame, default_year: int, n: int = 10) -> DataFrame:
+    """doc_id, year, positioning (first sentence), the first n features with category and priority: the bullets of KEY VALUES or FEATURES, then those found by pattern."""
     year = F.coalesce(F.nullif(F.regexp_extract("text", r"\b(20[0-3]\d)\b", 1), F.lit("")).try_cast("int"), F.lit(default_year))
     first = F.trim(F.regexp_extract("text", r"(?s)^(.*?[.!?])(?:\s|$)", 1))
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda l: l.rlike(r"^\s*[-*•]\s+\S")), lambda l: F.trim(F.regexp_replace(l, r"^\s*[-*•]\s+", "")))
-    rows = docs.select("doc_id", year.alias("year"), first.alias("positioning"), F.posexplode_outer(F.slice(lines, 1, 10)).alias("_p", "feature"))
-    kind = F.lit("other")
-    for name, words in CATEGORIES.items():
-        kind = F.when(F.lower("feature").rlike("|".join(words)), name).otherwise(kind)
-    return rows.withColumns({"category": F.when(F.col("feature").isNotNull(), kind), "priority": F.when(F.col("_p") < 3, "primary").when(F.col("_p") >= 3, "secondary")}).withColumn("position", F.col("_p") + 1).drop("_p")
+
+    def category(feature):
+        kind = F.lit("other")
+        for name, words in reversed(CATEGORIES.items()):
+            kind = F.when(F.lower(feature).rlike("|".join(words)), name).otherwise(kind)
+        return kind
+
+    def matches(kind, pattern):
+        return F.transform(F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(1)), lambda f: F.struct(f.alias("feature"), F.lit(kind).alias("category"), F.lit("secondary").alias("priority")))
+
+    ddl = "array<struct<feature: string, category: string, priority: string>>"
+    listed = F.transform(_listed(r"(?i)KEY (?:VALUES|FEATURES)"), lambda f, i: F.struct(f.alias("feature"), category(f).alias("category"), F.when(i < 3, "primary").otherwise("secondary").alias("priority"))).cast(ddl)
+    found = F.concat(*(matches(k, p) for k, patterns in FEATURES.items() for p in patterns)).cast(ddl)
+    known = lambda a, x: F.exists(a, lambda f: F.contains(F.lower(x["feature"]), F.lower(f["feature"])))
+    features = F.aggregate(found, F.slice(listed, 1, n), lambda a, x: F.when((F.size(a) >= n) | known(a, x), a).otherwise(F.concat(a, F.array(x))))
+    rows = docs.select("doc_id", year.alias("year"), first.alias("positioning"), features.alias("_f")).select("doc_id", "year", "positioning", F.posexplode_outer("_f").alias("_p", "_f"))
+    return rows.select("doc_id", "year", "positioning", "_f.feature", "_f.category", "_f.priority", (F.col("_p") + 1).alias("position"))
+
+
+def parse_oem_messages(docs: DataFrame) -> DataFrame:
+    """doc_id, target_audience, purchase_reasons (in order of priority), brand_attributes and competitors of each text."""
+    part = lambda p: F.nullif(F.trim(F.regexp_extract("text", p, 1)), F.lit(""))
+    audience = F.coalesce(part(r"(?i)(?:CUSTOMER|TARGET|BUYER).*?(?:PROFILE|AUDIENCE)[:\s]*([^\n]+)"), part(r"(?i)(?:designed for|targeted at|appeals to)\s+([^.]+)"))
+    attributes = F.array_compact(F.array(*(F.when(F.lower("text").rlike("|".join(words)), name) for name, words in ATTRIBUTES.items())))
+    named = F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (r"(?i)(?:compared to|versus|vs\.?|against)\s+(?:the\s+)?([A-Z]\w+\s+[A-Z]\w+)", r"(?i)(?:competes with|competitors?(?:\s+include)?)[:\s]+([^.]+)")))
+    competitors = F.array_distinct(F.flatten(F.transform(named, lambda m: F.regexp_extract_all(m, F.lit(r"([A-Z]\w+\s+[A-Z0-9\-]+)"), F.lit(1)))))
+    return docs.select("doc_id", audience.alias("target_audience"), F.transform(_listed("(?i)PURCHASE REASONS"), F.lower).alias("purchase_reasons"), attributes.alias("brand_attributes"), competitors.alias("competitors"))
 
 
 def split_models(docs: DataFrame, models: list[str], min_len: int = 500) -> DataFrame:

@@ -114,6 +114,20 @@ def post_summary(posts: DataFrame, n: int = 10) -> DataFrame:
     return by.withColumn("share", share).withColumn("mean", F.round("mean", 4)).orderBy(F.desc("posts"), "creator").limit(n)
 
 
+def post_totals(posts: DataFrame) -> DataFrame:
+    """Posts, sums of their metrics, and means a post, in one row."""
+    metrics = ("impressions", "engagements", "likes", "comments")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in metrics]
+    return posts.agg(F.count("*").alias("posts"), *sums, *(F.coalesce(F.round(F.avg(F.coalesce(c, F.lit(0))), 4), F.lit(0.0)).alias(f"mean_{c}") for c in metrics[:2]))
+
+
+def post_shares(posts: DataFrame, by: str, n: int | None = None) -> DataFrame:
+    """Posts of each platform or creator (by) and their share of all posts in percent, most first; the first n."""
+    counts = posts.groupBy(F.coalesce(by, F.lit("Unknown")).alias(by)).agg(F.count("*").alias("posts"))
+    out = counts.withColumn("share", _pct(F.col("posts"), F.sum("posts").over(W.partitionBy(F.lit(0))))).orderBy(F.desc("posts"), by)
+    return out if n is None else out.limit(n)
+
+
 def cache_stats(cache: DataFrame, as_of) -> DataFrame:
     """Valid and expired entries by domain."""
     valid = F.col("expires_at") > F.lit(as_of).cast("date")

@@ -156,6 +156,7 @@ query("UD-04", "b_cand", sql="SELECT c.page_id, c.title, c.link FROM (SELECT wo_
     ).select("page_id", "title", "link")
 )
 query("SF-45", "documents")(lambda d: P.parse_oem_text(d, 2024))
+query("SF-45b", "documents")(lambda d: P.parse_oem_messages(d))
 query("SF-46", "documents", sql="SELECT doc_id, 'license' AS model, substr(text, l, CASE WHEN m > l THEN m - l ELSE length(text) + 1 - l END) AS section FROM (SELECT doc_id, text, instr(lower(text), 'license') AS l, instr(lower(text), 'moron') AS m FROM documents) WHERE l > 0 AND m > 0 AND length(substr(text, l, CASE WHEN m > l THEN m - l ELSE length(text) + 1 - l END)) > 5 UNION ALL SELECT doc_id, 'moron', substr(text, m, CASE WHEN l > m THEN l - m ELSE length(text) + 1 - m END) FROM (SELECT doc_id, text, instr(lower(text), 'license') AS l, instr(lower(text), 'moron') AS m FROM documents) WHERE l > 0 AND m > 0 AND length(substr(text, m, CASE WHEN l > m THEN l - m ELSE length(text) + 1 - m END)) > 5")(
     lambda d: P.split_models(d, ["license", "moron"], 5)
 )

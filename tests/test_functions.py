@@ -9,6 +9,7 @@ from presslight.functions import scores as S
 from presslight.functions import text as T
 from presslight.functions import urls as U
 from presslight.operators import joins as J
+from presslight.operators import monitor as M
 from presslight.operators import queues as Q
 from presslight.operators import state as St
 from presslight.operators import windows as X
@@ -125,6 +126,36 @@ def test_articles_after_many_links(spark):
     assert {r["category"]: r["links"] for r in P.link_counts(pages).collect()} == {"external": 150, "video": 1, "listing": 2, "article": 122}
 
 
+OEM = "The 2025 CX-50 is a crossover. Designed for active families. It competes with Honda CR-V and Toyota RAV4.\nPURCHASE REASONS:\n" + "".join(f"- Reason {k}\n" for k in range(12)) + """Text
+KEY FEATURES:
+1. Turbo engine
+- Heated seats
+• 10.25-inch display
+- Cargo space
+None of these: premium, durable. It has a panoramic moonroof and a 10.25-inch display."""
+
+
+def test_oem_text(spark):
+    docs = spark.createDataFrame([(1, OEM), (2, "Plain."), (3, None)], "doc_id long, text string")
+    rows = P.parse_oem_text(docs, 2024).orderBy("doc_id", "position").collect()
+    assert [(r["position"], r["feature"], r["category"], r["priority"]) for r in rows if r["doc_id"] == 1] == [
+        (1, "Turbo engine", "performance", "primary"), (2, "Heated seats", "design", "primary"), (3, "10.25-inch display", "technology", "primary"),
+        (4, "Cargo space", "utility", "secondary"), (5, "panoramic moonroof", "design", "secondary"),
+    ]
+    assert [(r["doc_id"], r["year"], r["feature"]) for r in rows if r["doc_id"] != 1] == [(2, 2024, None), (3, 2024, None)]
+    got = P.parse_oem_messages(docs).orderBy("doc_id").first()
+    assert (got["target_audience"], got["purchase_reasons"]) == ("active families", [f"reason {k}" for k in range(12)])
+    assert (got["brand_attributes"], got["competitors"]) == (["premium", "reliable"], ["Honda CR-V", "Toyota RAV4"])
+
+
+def test_post_totals_and_shares(spark):
+    posts = spark.createDataFrame([("x", "TikTok", 10, 1, 1, 0), ("x", "TikTok", 20, 2, 0, 0), ("y", "YouTube", None, 0, 0, 5), ("z", None, 2, 1, 0, 0)], "creator string, platform string, impressions long, engagements long, likes long, comments long")
+    assert tuple(M.post_totals(posts).first()) == (4, 32, 4, 1, 5, 8.0, 1.0)
+    assert tuple(M.post_totals(posts.limit(0)).first()) == (0, 0, 0, 0, 0, 0.0, 0.0)
+    assert [tuple(r) for r in M.post_shares(posts, "platform").collect()] == [("TikTok", 2, 50.0), ("Unknown", 1, 25.0), ("YouTube", 1, 25.0)]
+    assert [tuple(r) for r in M.post_shares(posts, "creator", 1).collect()] == [("x", 2, 50.0)]
+
+
 def test_embedded_states(spark):
     texts = [
         '<script>window.__INITIAL_STATE__ = {"a": {"b": "}; </b>"}}; boot();</script><p>x</p><script>window.B = {"c": 1};</script>',
