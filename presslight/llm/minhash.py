@@ -9,12 +9,11 @@ are confirmed on their full sets.
 
 Buckets are not expanded into pairs. First each member is compared with its bucket's smallest member
 (a star), and confirmed links are joined into components. Pairs that a star leaves open lie in buckets
-that still hold several components; there the members outside the hub's component are compared, by
-signatures and in blocks of bounded size, with the members of other components: round by round each
-with its likeliest partner, as long as that links components, at last by full sets with all that are
-likely, where each task gives a stray's best link only. When no stray has a link into another component,
-every candidate pair has been confirmed, rejected, or lies within a component, and no step has made rows
-for all pairs of a bucket.
+that still hold several components. Members of such a bucket meet in packs of bounded size: signatures
+tell who has a likely partner in another component, each pair counting in the first band that it shares
+only, and these meet once more with their full sets. Of the links that a task confirms it gives a
+spanning forest of the components, so no step makes rows for all pairs of a bucket. Then every
+candidate pair has been confirmed, rejected, or lies within a component.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,10 +33,10 @@ HASHES = BANDS * ROWS
 CODES = 64 // BITS  # codes in a long
 #: Estimates this far below the threshold are not confirmed; the estimate's deviation is about 0.037.
 MARGIN = 0.18
-#: Members of a bucket that are compared as one block.
-BLOCK = 1024
-#: Bytes of full sets in one block, about.
-BLOCK_BYTES = 1 << 22
+#: Members of a bucket in one pack, and bytes of full sets in one, about.
+BLOCK, BLOCK_BYTES = 2048, 1 << 23
+#: Strays that are compared with a pack at once.
+SLICE = 256
 #: Hash buckets of ids that may be broadcast to thin out a scan.
 ID_BUCKETS = 1 << 18
 KEPT_WORDS = 200_000
@@ -102,9 +100,9 @@ def _codes(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, same (128 bits of the set), bands and codes of each row."""
+    """doc_id, n_shingles, same (128 bits of the set), bands, codes and marks (32 bits of each band) of each row."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64())), ("marks", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -114,14 +112,15 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 s = shingles(t)
                 if len(s):
                     m = minima(s)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), _bands(m), _codes(m)))
+                    bands = _bands(m)
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), bands, _codes(m), bands.astype("<u4").tobytes()))
                 else:
-                    rows.append((0, None, None, None))
-            n_, same, bands, codes = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_shingles": n_, "same": same, "bands": bands, "codes": codes}, schema=schema)
+                    rows.append((0, None, None, None, None))
+            n_, same, bands, codes, marks = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n_shingles": n_, "same": same, "bands": bands, "codes": codes, "marks": marks}, schema=schema)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return plain.mapInArrow(made, "doc_id long, n_shingles long, same binary, bands array<long>, codes array<long>")
+    return plain.mapInArrow(made, "doc_id long, n_shingles long, same binary, bands array<long>, codes array<long>, marks binary")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -210,73 +209,109 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_members(in_buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components: key, node, part, and whether it strays from the hub's component."""
+    """Members of the buckets that hold several components: key, node, n and part, the component."""
     label = F.coalesce("component", "node")
-    labelled = in_buckets.filter("n > 2").join(parts, "node", "left").select("key", "node", "hub", label.alias("part"))
-    of_hub = F.max(F.when(F.col("node") == F.col("hub"), F.col("part")))
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), of_hub.alias("hub_part"))
-    mixed = mixed.filter("_low < _high").select("key", F.coalesce("hub_part", "_low").alias("hub_part"))
-    return labelled.join(mixed, "key").select("key", "node", "part", (F.col("part") != F.col("hub_part")).alias("stray"))
-
-
-_PACK = "key long, odd boolean, nodes binary, parts binary, strays binary, codes binary, lengths binary, shingles binary"
-
-
-def _packs(members: DataFrame) -> DataFrame:
-    """members(key, node, part, stray, codes[, shingles]) of a bucket in packs of bounded rows and bytes, written."""
-    if "shingles" not in members.columns:
-        members = members.withColumn("shingles", F.lit(b""))
-    weight = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).alias("_blocks"))
-    dealt = members.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("_blocks", F.lit(1))))
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        stray, sets = pdf["stray"].to_numpy(bool), [bytes(x) for x in pdf["shingles"]]
-        columns = [pdf["node"].to_numpy(np.int64), pdf["part"].to_numpy(np.int64), stray, np.array(pdf["codes"].tolist(), dtype=np.int64), np.array([len(x) // 8 for x in sets], np.int64)]
-        values = [x.tobytes() for x in columns] + [b"".join(sets)]
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "odd": [bool(stray.any())], **{c: [v] for c, v in zip(("nodes", "parts", "strays", "codes", "lengths", "shingles"), values)}})
-
-    return written(dealt.select("key", "block", "node", "part", "stray", "codes", "shingles").groupBy("key", "block").applyInPandas(packed, _PACK), "packs")
-
-
-def _pairs(packs: DataFrame) -> DataFrame:
-    """Packs with strays beside every pack of their bucket."""
-    return packs.filter("odd").join(packs.select("key", *(F.col(c).alias(f"{c}2") for c in ("nodes", "parts", "codes", "lengths", "shingles"))), "key")
-
-
-def _sides(r) -> tuple:
-    """Of a pair of packs: strays and members (nodes, places in the packs), and which of them, of different components, have what estimate."""
-    width = HASHES // CODES
-    at = np.flatnonzero(np.frombuffer(r.strays, bool))
-    a, part_a, codes_a = np.frombuffer(r.nodes, np.int64)[at], np.frombuffer(r.parts, np.int64)[at], np.frombuffer(r.codes, np.uint64).reshape(-1, width)[at]
-    b, part_b = np.frombuffer(r.nodes2, np.int64), np.frombuffer(r.parts2, np.int64)
-    near = _estimates(codes_a, np.frombuffer(r.codes2, np.uint64).reshape(-1, width))
-    near[part_a[:, None] == part_b[None]] = -1.0
-    return at, a, b, near
-
-
-def _likeliest(least: float):
-    """The likeliest partner of each stray in another component, by codes."""
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                _, a, b, near = _sides(r)
-                j = near.argmax(axis=1)
-                top = near[np.arange(len(a)), j]
-                yield pd.DataFrame({"a": a, "b": b[j], "likely": top})[top >= least]
+    labelled = in_buckets.filter("n > 2").join(parts, "node", "left").select("key", "node", "n", label.alias("part"))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select("key")
+    return labelled.join(mixed, "key", "left_semi")
+
+
+_PACKED = ("node", "part", "codes", "marks", "n_shingles")
+
+
+def _packs(members: DataFrame, blocks: Column, *more: str) -> DataFrame:
+    """Members of a bucket in packs, with every other pack of their bucket beside them where there are several: key, mine, theirs (null: mine)."""
+    packs = members.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    packs = packs.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct(*_PACKED, *more)).alias("mine"))
+    alone = packs.select("key", "mine", F.lit(None).cast(packs.schema["mine"].dataType).alias("theirs"))
+    several = packs.filter("blocks > 1")
+    pairs = several.join(several.select("key", F.col("block").alias("block2"), F.col("mine").alias("theirs")), "key").filter("block < block2")
+    return alone.unionByName(pairs.select("key", "mine", "theirs"))
+
+
+class _Pack:
+    def __init__(self, members: pa.StructArray):
+        col = lambda name, width: np.frombuffer(b"".join(members.field(name).to_pylist()), f"<u{width}")
+        self.members = members
+        self.node, self.part, self.size = (members.field(c).to_numpy() for c in ("node", "part", "n_shingles"))
+        codes = members.field("codes")
+        self.codes = codes.flatten().to_numpy().view(np.uint64).reshape(len(self.node), -1)
+        self.marks = col("marks", 4).reshape(len(self.node), BANDS)
+        if members.type.get_field_index("shingles") >= 0:
+            self.sets = [np.frombuffer(x, np.uint64) for x in members.field("shingles").to_pylist()]
+
+    def likely(self, other: _Pack, key: int, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs of different components that may be similar and share no band before that of this key."""
+        band = np.uint32(key & 0xFFFFFFFF)
+        for at in range(0, len(self.node), SLICE):
+            part = slice(at, at + SLICE)
+            near = _estimates(self.codes[part], other.codes) >= least
+            near &= self.part[part, None] > other.part if self is other else self.part[part, None] != other.part
+            short, long = np.minimum(self.size[part, None], other.size), np.maximum(self.size[part, None], other.size)
+            i, j = np.nonzero(near & (100 * short >= percent * long))
+            for k in range(0, len(i), 1 << 16):
+                x, y = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
+                first = (self.marks[x] == other.marks[y]).argmax(axis=1)
+                own = self.marks[x, first] == band
+                yield x[own], y[own]
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Pack, _Pack]]:
+    for b in batches:
+        mine, theirs = b["mine"], b["theirs"]
+        for k, key in enumerate(b["key"].to_pylist()):
+            one = _Pack(mine[k].values)
+            yield key, one, _Pack(theirs[k].values) if theirs[k].is_valid else one
+
+
+_MEMBER = "key long, node long, part long, codes array<long>, marks binary, n_shingles long"
+
+
+def _with_partners(least: float, percent: int):
+    """The members that have a likely partner in another component."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, one, other in _opened(batches):
+            places = list(one.likely(other, key, least, percent))
+            for pack, found in ((one, [i for i, _ in places]), (other, [j for _, j in places])):
+                at = np.unique(np.concatenate(found)) if found else ()
+                if len(at):
+                    rows = pack.members.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), *(rows.field(c) for c in _PACKED)], names=["key", *_PACKED])
 
     return compared
 
 
-def _in_likely_pairs(least: float):
-    """key and node of all that are in a likely pair of different components."""
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                _, a, b, near = _sides(r)
-                near = near >= least
-                yield pd.DataFrame({"key": r.key, "node": np.concatenate([a[near.any(axis=1)], b[near.any(axis=0)]])})
+def _forest(least: float, percent: int):
+    """Links between components by full sets: those that join what is still apart in the task's pair of packs."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, one, other in _opened(batches):
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while above.get(x, x) != x:
+                    x = above[x]
+                return x
+
+            links = []
+            for i, j in one.likely(other, key, least, percent):
+                rows, at_i = np.unique(i, return_inverse=True)
+                cols, at_j = np.unique(j, return_inverse=True)
+                near = np.zeros((len(rows), len(cols)), bool)
+                near[at_i, at_j] = True
+                common = _common([one.sets[k] for k in rows], [other.sets[k] for k in cols], near)[at_i, at_j]
+                sizes = np.array([len(one.sets[k]) for k in rows])[at_i] + np.array([len(other.sets[k]) for k in cols])[at_j]
+                linked = 100 * common >= percent * (sizes - common)
+                for x, y in zip(i[linked].tolist(), j[linked].tolist()):
+                    low, high = sorted((root(int(one.part[x])), root(int(other.part[y]))))
+                    if low != high:
+                        above[high] = low
+                        links.append((int(one.node[x]), int(other.node[y])))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return compared
 
@@ -309,28 +344,6 @@ def _common(sets_a: list[np.ndarray], sets_b: list[np.ndarray], near: np.ndarray
     return out
 
 
-def _linked_partner(least: float, percent: int):
-    """The most similar partner of each stray in another component, by full sets, if it is similar enough: none here means none at all."""
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                at, a, b, near = _sides(r)
-                near = near >= least
-                cut = lambda data, lengths: np.split(np.frombuffer(data, np.uint64), np.cumsum(np.frombuffer(lengths, np.int64))[:-1])
-                mine, theirs = cut(r.shingles, r.lengths), cut(r.shingles2, r.lengths2)
-                mine = [mine[i] for i in at]
-                common = _common(mine, theirs, near)
-                union = np.array([len(x) for x in mine])[:, None] + np.array([len(x) for x in theirs])[None] - common
-                linked = near & (100 * common >= percent * union)
-                like = np.where(linked, common / np.maximum(union, 1), -1.0)
-                j = like.argmax(axis=1) if len(b) else np.zeros(len(a), int)
-                ok = linked[np.arange(len(a)), j]
-                yield pd.DataFrame({"a": np.maximum(a, b[j])[ok], "b": np.minimum(a, b[j])[ok]})
-
-    return compared
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id and kept for each row.
 
@@ -339,50 +352,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     percent * union) are linked; component_id is the smallest doc_id reachable, kept tells that it is
     the own one. Null, empty and blank texts have no shingles and are linked with nothing. A null
     doc_id is linked with nothing either: its component_id is null, and it is kept. Repeated rows are
-    in one component; rows that share an id count as one document with several texts.
+    in one component; rows that share an id count as one document with several texts. Ties are none: a
+    component has one smallest id. Very long texts are compared whole; an empty table gives no rows, and
+    other columns of docs, whatever their names, are not read.
     """
     sigs = written(signatures(docs, n), "signatures")
     live = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = written(live.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("codes").alias("codes")), "classes")
+    kept = (F.first(c).alias(c) for c in ("bands", "codes", "marks", "n_shingles"))
+    classes = written(live.groupBy("same").agg(F.min("doc_id").alias("node"), *kept), "classes")
     members = classes.select("node", F.explode("bands").alias("key"))
-    hubs = written(members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     in_buckets = written(members.join(hubs, "key"), "members")
-    codes = classes.select("node", "codes")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        held = pairs.join(codes.toDF("a", "codes_a"), "a").join(codes.toDF("b", "codes_b"), "b")
-        return held.filter(estimate(F.col("codes_a"), F.col("codes_b")) >= percent / 100 - MARGIN).select("a", "b").distinct()
-
-    stars = likely(in_buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    star_links = written(confirmed(written(stars, "stars"), docs, n, percent), "star-links")
-    first = components(star_links)
-
-    links, parts, least = star_links, first, percent / 100 - MARGIN
-    while True:
-        packs = _packs(_open_members(in_buckets, parts).join(codes, "node"))
-        # Each stray and its likeliest partner: few pairs, which join most of what belongs together.
-        best = _pairs(packs).mapInPandas(_likeliest(least), "a long, b long, likely double").groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
-        best = written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "best-pairs")
-        more = written(confirmed(best, docs, n, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        parts = components(links)
-    while True:
-        # What is still likely, by full sets within the packs, until no stray has a link into another component.
-        likely_members = written(_pairs(packs).mapInPandas(_in_likely_pairs(least), "key long, node long").distinct(), "likely-members")
-        if likely_members.isEmpty():
-            break
-        ids = likely_members.select(F.col("node").alias("doc_id")).distinct()
-        sets = _texts_of(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_shingle_bytes(n), "node long, shingles binary")
-        open_ = _open_members(in_buckets, parts).join(likely_members, ["key", "node"], "left_semi").join(codes, "node").join(sets, "node")
-        more = written(_pairs(_packs(open_)).mapInPandas(_linked_partner(least, percent), "a long, b long").distinct(), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        parts = components(links)
-        packs = _packs(_open_members(in_buckets, parts).join(codes, "node"))
-    final = parts
+    codes, least = classes.select("node", "codes"), percent / 100 - MARGIN
+
+    pairs = in_buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    held = pairs.join(codes.toDF("a", "codes_a"), "a").join(codes.toDF("b", "codes_b"), "b")
+    stars = written(held.filter(estimate(F.col("codes_a"), F.col("codes_b")) >= least).select("a", "b"), "stars")
+    links = written(confirmed(stars, docs, n, percent), "star-links")
+    parts = components(links)
+
+    # What the stars leave open: who has likely partners elsewhere, then these with their full sets.
+    open_ = _open_members(in_buckets, parts).join(classes.select("node", "codes", "marks", "n_shingles"), "node")
+    partners = _packs(open_, F.ceil(F.col("n") / BLOCK)).mapInArrow(_with_partners(least, percent), _MEMBER).dropDuplicates(["key", "node", "marks"])
+    partners = written(partners, "partners")
+    ids = partners.select(F.col("node").alias("doc_id")).distinct()
+    sets = _texts_of(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_shingle_bytes(n), "node long, shingles binary")
+    weight = partners.groupBy("key").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES).alias("weight"))
+    packs = _packs(partners.join(weight, "key").join(sets, "node"), F.ceil("weight"), "shingles")
+    joins = written(packs.mapInArrow(_forest(least, percent), "a long, b long").distinct(), "links")
+    # These links join whole components.
+    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    joins = joins.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    wider = components(joins).toDF("_node", "_wider")
+    every = parts.unionByName(joins.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").withColumn("component", F.col("node")))
+    final = every.join(wider, every["component"] == wider["_node"], "left").select("node", F.coalesce("_wider", "component").alias("component"))
 
     by_class = classes.select("same", "node").join(final, "node", "left").select("same", F.coalesce("component", "node").alias("_component"))
     known = sigs.select("doc_id", "n_shingles", "same").join(by_class, "same", "left")
@@ -393,21 +396,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one document of each group of near-duplicates: that of the smallest doc_id.
 
-    Documents without shingles and rows without an id stay. Of rows that share an id, one stays.
+    Documents without shingles (null, empty and blank texts) and rows without an id stay. Rows that share an id
+    are one document: one of them stays, the first by a hash of its text and the text, and none if one of its
+    texts is linked to a smaller id. Very long texts are compared whole; an empty table stays empty. All
+    columns stay as they are, whatever their names.
     """
     found = written(near_duplicates(docs, n, percent), "near-duplicates").filter(F.col("doc_id").isNotNull())
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    again = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("doc_id")
+    again = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     # Rows whose bucket of ids has none to go stay where they are; only the others meet the table of those that go.
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(ID_BUCKETS))
-    buckets = F.broadcast(gone.select(bucket.alias("_bucket")).distinct())  # at most ID_BUCKETS rows
-    marked = docs.withColumn("_bucket", bucket)
-    sure, maybe = marked.join(buckets, "_bucket", "left_anti"), marked.join(buckets, "_bucket", "left_semi")
-    kept = sure.select(*docs.columns).unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(ID_BUCKETS))
+    buckets = F.broadcast(gone.select(bucket(F.col("doc_id")).alias("bucket")).distinct())  # at most ID_BUCKETS rows
+    hit = bucket(docs["doc_id"]) == buckets["bucket"]
+    sure, maybe = docs.join(buckets, hit, "left_anti"), docs.join(buckets, hit, "left_semi")
+    kept = sure.unionByName(maybe.join(gone, maybe["doc_id"].cast("long") == gone["doc_id"], "left_anti"))
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    same_id = kept["doc_id"].cast("long") == again["doc_id"]
+    order = F.struct(F.xxhash64("text"), F.col("text"))
+    once = kept.join(again, same_id, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in kept.columns)), order).alias("row"))
+    return kept.join(again, same_id, "left_anti").unionByName(once.select("row.*"))
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
