@@ -2,7 +2,9 @@
 
 The lexicon are the terms within a band of inverse document frequency. Document frequencies are
 counted over all documents for each term (by 64-bit hash), added up in each task and then by ranges of
-hashes; the hashes of the band's terms, 8 bytes each, go to the tasks. A document keeps its distinct terms in the band (all its terms,
+hashes; the hashes of the band's terms, 8 bytes each, go to the tasks. Both edges of the band are shares of
+the documents, so a corpus with D distinct terms a document has at most D / LEAST_SHARE terms in it,
+however large it is. A document keeps its distinct terms in the band (all its terms,
 if none is), sorts them, and hashes those of each of 64 random subsets of the lexicon. Subsets come in
 rates from 1/4 to 1/4096: the dense ones tell near-identical texts apart, the sparse ones still agree
 after larger edits of long texts. Likeness is the share of equal hashes among the subsets that either
@@ -20,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,9 +31,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_or_empty, written
 from .lm import _open, _squeeze
 
-BUCKET_BITS = 22
-#: A term is in the band if it is in at least so many documents, and in no more than this share of them (and always up to ALWAYS).
-LEAST_DF, SHARE, ALWAYS = 2, 0.05, 10
+#: A term is in the band if at least this share of the documents have it, and two at least, and no more than this share (and always up to ALWAYS).
+LEAST_SHARE, LEAST_DF, SHARE, ALWAYS = 1e-5, 2, 0.05, 10
 #: Subsets of each rate: (a term is in one of `rate` slots, the first `count` slots are the subsets).
 RATES = ((4, 4), (16, 8), (64, 12), (256, 14), (1024, 14), (4096, 12))
 SUBSETS = sum(n for _, n in RATES)
@@ -48,7 +50,7 @@ def band_terms(docs: DataFrame) -> np.ndarray:
     """The hashes of the terms whose document frequency is in the band, ascending."""
     small_batches(docs.sparkSession)
     n, size = (int(x or 0) for x in docs.agg(F.count("*"), F.sum(F.length("text"))).first())
-    most, shards = max(ALWAYS, math.floor(SHARE * n)), max(SHARDS_LEAST, size // SHARD_CHARS)
+    least, most, shards = max(LEAST_DF, math.ceil(LEAST_SHARE * n)), max(ALWAYS, math.floor(SHARE * n)), max(SHARDS_LEAST, size // SHARD_CHARS)
     schema = pa.schema([("shard", pa.int32()), ("data", pa.binary())])
 
     def packed(df: Counter) -> pa.RecordBatch:
@@ -75,7 +77,7 @@ def band_terms(docs: DataFrame) -> np.ndarray:
         opened = [_open(d) for d in pdf["data"]]
         keys, back = np.unique(np.concatenate([np.cumsum(o[0], dtype=np.uint64) for o in opened]), return_inverse=True)
         df = np.bincount(back, np.concatenate([o[1] for o in opened]).astype(np.float64), len(keys))
-        kept = keys[(df >= LEAST_DF) & (df <= most)]
+        kept = keys[(df >= least) & (df <= most)]
         return pd.DataFrame({"shard": [key[0]], "data": [_squeeze(np.diff(kept, prepend=np.uint64(0)))]})
 
     found = docs.mapInArrow(counted, "shard int, data binary").groupBy("shard").applyInPandas(summed, "shard int, data binary")
@@ -83,14 +85,6 @@ def band_terms(docs: DataFrame) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
-def band(docs: DataFrame) -> np.ndarray:
-    """The band's terms by the low bits of their hashes: a bit per bucket, of a fixed number, that has one."""
-    buckets = np.unique(band_terms(docs) & np.uint64((1 << BUCKET_BITS) - 1))
-    out = np.zeros(1 << (BUCKET_BITS - 6), np.uint64)
-    np.bitwise_or.at(out, (buckets >> np.uint64(6)).astype(np.int64), np.uint64(1) << (buckets & np.uint64(63)))
-    return out
-
-
 class Fingerprinter:
     def __init__(self, lexicon: np.ndarray):
         self.lexicon, self.known = lexicon, {}
@@ -147,9 +141,10 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row.
 
-    The next document is the next by ascending doc_id (null ids last, equal ids by text), after the last
-    the first. A null text counts as empty; an empty text has the fingerprint of no terms, all zeros.
-    Equal texts have equal fingerprints. An empty table gives no rows.
+    The next document is the next by ascending doc_id (null ids last, equal ids by a hash of the text), after
+    the last the first. A null text counts as empty; an empty text has the fingerprint of no terms, all zeros.
+    Equal texts have equal fingerprints; repeated rows each have a row, very long texts are read whole. An
+    empty table gives no rows; other columns of docs, whatever their names, are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -164,12 +159,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         new = marks(terms(other))
         return doc_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), shown(mine), shown(new), likeness(mine, new), likeness(mine, theirs)
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield b.set_column(2, "text", pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in b["text"].to_pylist()], pa.binary()))
+
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A sorted part: finished rows, and the texts at its two ends, which need another part."""
         marks, part, last = Fingerprinter(lexicon.value), TaskContext.get().partitionId(), None
         for b in batches:
             rows = []
-            for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            for i, z in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+                t = zstandard.decompress(z).decode("utf-8", "surrogatepass")
                 mine = marks(terms(t))
                 if last is None:
                     rows.append(("first", part, i, *[None] * 6, t))
@@ -186,13 +187,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             rows = [row(marks, i, t, marks(terms(t)), f, marks(terms(f))) for i, t, f in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "following")))]
             yield pa.RecordBatch.from_pydict(dict(zip(out.names, zip(*rows) if rows else [()] * len(out))), schema=out)
 
+    # Every text moves once, to stand beside its neighbour, compressed.
     order = F.col("doc_id").asc_nulls_last()
-    parts = texts.repartitionByRange(order).sortWithinPartitions(order, "text").mapInArrow(neighbours, f"kind string, part int, {ddl}, text string")
+    moved = texts.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(packed, "doc_id long, tie long, text binary")
+    parts = moved.repartitionByRange(order).sortWithinPartitions(order, "tie", "text").select("doc_id", "text").mapInArrow(neighbours, f"kind string, part int, {ddl}, text string")
     parts = written(parts, "imatch")
-    # One row per part of the range partitioning.
+    # The part after each; a number for each part of the range partitioning goes through the window.
     heads = parts.filter("kind = 'first'").select("part", "text")
     line = W.partitionBy(F.lit(0)).orderBy("part")
-    heads = heads.withColumn("following", F.coalesce(F.lead("text").over(line), F.first("text").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).select("part", "following")
+    after = heads.select("part").select("part", F.coalesce(F.lead("part").over(line), F.first("part").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
+    heads = after.join(heads.toDF("after", "following"), "after").select("part", "following")
     closed = parts.filter("kind = 'last'").select("part", "doc_id", "text").join(heads, "part").select("doc_id", "text", "following").mapInArrow(closing, ddl)
     return parts.filter("kind = 'done'").select(out.names).unionByName(closed)
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from compare import same
 from conftest import SF
 from pyspark.sql import functions as F
@@ -176,27 +177,34 @@ def test_fingerprints(spark, docs):
     for (i, t), f in zip(docs, got["fingerprint"]):
         assert by_text.setdefault(t, f) == f
     assert got["near_edited"].mean() > 0.15 > 0.05 > got["near_next"].mean()
-    # The band by brute force.
-    df = Counter(w for _, t in docs for w in imatch.terms(t))
-    bits, kept = imatch.band(spark.createDataFrame(docs, "doc_id long, text string")), 0
-    import xxhash
-
-    for w, n in list(df.items())[:500]:
-        b = xxhash.xxh3_64_intdigest(w) & ((1 << imatch.BUCKET_BITS) - 1)
-        kept += bool(int(bits[b >> 6]) >> (b & 63) & 1) == (2 <= n <= max(imatch.ALWAYS, len(docs) // 20))
-    assert kept >= 498
+    # Band, fingerprint and likeness by brute force.
+    df = Counter(w for _, t in docs for w in set(t.encode().lower().split()))
+    inside = {w for w, n in df.items() if 2 <= n <= max(imatch.ALWAYS, len(docs) // 20)}
+
+    def marks(text):
+        words = set(text.encode().lower().split())
+        out = []
+        for k, (rate, count) in enumerate(imatch.RATES):
+            before = math.prod(r for r, _ in imatch.RATES[:k])
+            for slot in range(count):
+                own = [w for w in sorted(words & inside or words) if xxhash.xxh3_128_intdigest(w, 5) // before % rate == slot]
+                out.append((xxhash.xxh32_intdigest(b"\n".join(own)) or 1) if own else 0)
+        return out
+
+    def alike(a, b):
+        told = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in told) / len(told) if told else 1.0
+
+    for k in range(0, len(docs), 9):
+        mine, following = docs[k][1], docs[(k + 1) % len(docs)][1]
+        new = marks(imatch.edited(mine, following))
+        assert got["fingerprint"][k] == "".join("%08x" % x for x in marks(mine)) and got["edited_fingerprint"][k] == "".join("%08x" % x for x in new)
+        assert got["near_edited"][k] == alike(marks(mine), new) and got["near_next"][k] == alike(marks(mine), marks(following))
 
 
 def test_band_is_counted_by_term(spark):
-    import xxhash
-
-    by, pairs = {}, []
-    for w in (b"w%d" % k for k in range(20000)):
-        if (other := by.setdefault(xxhash.xxh3_64_intdigest(w) & ((1 << imatch.BUCKET_BITS) - 1), w)) != w:
-            pairs.append((other.decode(), w.decode()))
-    assert len(pairs) > 8
-    # Odd words that share a bucket don't count; a rare word counts that shares its bucket with a frequent one.
-    (often, rare), *single = pairs[:8]
+    often, rare, single = "often", "rare", [(f"a{k}", f"b{k}") for k in range(7)]
+    # Odd words don't count, and do not tell copies apart.
     shared = "some words that three texts share"
     texts = [shared, shared + "".join(" " + a for a, _ in single), shared + "".join(" " + b for _, b in single)]
     texts = [f"{t} {often} {rare}" for t in texts] + [f"{often} {k}" for k in range(30)]
