@@ -6,14 +6,15 @@ are encoded once and their ids are shared by all occurrences. A chunk may begin
 word; the words that a join cuts are encoded again with the known words on either side, and the ids
 stand if those of the neighbours come out as they were; otherwise the text is encoded whole.
 
-Only documents with a shared chunk move. A bit table of fixed size tells, while documents are
-scanned, which chunks may be shared: it has no false negatives, and a false positive only sends a
-document the longer way. All others are encoded where they are read.
+Only documents with a shared chunk move. A bit table, sized from the number of shared chunks, tells
+while documents are scanned which chunks may be shared: it has no false negatives, and a false positive
+only sends a document the longer way. All others are encoded where they are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,9 @@ from .pieces import encoder
 
 #: A chunk ends at one byte in 2**CHUNK_BITS, by the hash of the last WINDOW bytes.
 CHUNK_BITS, WINDOW = 9, 8
-#: Bits of the table of shared chunks, two for each chunk: 2 MB, whatever the corpus.
-TABLE_BITS = 24
+#: Bits of the table for each shared chunk, two of which are set, and the least and most address bits of a table (32 MB; beyond
+#: 2**28 / 16 shared chunks more documents go the longer way, which gives the same ids).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 12, 28
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 _SPACE = b" \t\n\r\x0b\x0c"
 
@@ -54,9 +56,9 @@ def _chunks(data: bytes) -> list[bytes]:
     return [data[s:e] for s, e in zip([0, *ends], ends)]
 
 
-def _positions(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the table for each 128-bit hash."""
-    two = hashes.view("<u8").reshape(-1, 2) >> np.uint64(64 - TABLE_BITS)
+def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a table of 2**bits for each 128-bit hash."""
+    two = hashes.view("<u8").reshape(-1, 2) >> np.uint64(64 - bits)
     return two[:, 0].astype(np.int64), two[:, 1].astype(np.int64)
 
 
@@ -79,21 +81,23 @@ def shared_chunk_table(docs: DataFrame) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"hash": [xxhash.xxh3_128_digest(c) for t in b["text"].to_pylist() for c in _chunks(t.encode())]}, schema=schema)
 
+    shared = written(docs.mapInArrow(hashed, "hash binary").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "bpe-shared")
+    bits = min(max(math.ceil(math.log2(BITS_EACH * max(1, shared.count()))), LEAST_BITS), MOST_BITS)
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = np.concatenate(_positions(np.frombuffer(b"".join(b["hash"].to_pylist()), np.uint8)))
+            both = np.concatenate(_positions(np.frombuffer(b"".join(b["hash"].to_pylist()), np.uint8), bits))
             yield pa.RecordBatch.from_pydict({"bit": pa.array(both, pa.int64())})
 
-    shared = docs.mapInArrow(hashed, "hash binary").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     words = shared.mapInArrow(placed, "bit long").groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
-    out = np.zeros(1 << (TABLE_BITS - 6), np.int64)  # at most as many rows come to the driver
+    out = np.zeros(1 << (bits - 6), np.int64)  # at most as many rows come to the driver
     for b in words.toArrow().to_batches():
         out[b["word"].to_numpy()] = b["bits"].to_numpy()
     return out.view(np.uint64)
 
 
 def _may_be_shared(table: np.ndarray, hashes: list[bytes]) -> np.ndarray:
-    one, two = _positions(np.frombuffer(b"".join(hashes), np.uint8))
+    one, two = _positions(np.frombuffer(b"".join(hashes), np.uint8), 5 + len(table).bit_length())
     has = lambda at: (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
     return (has(one) & has(two)).astype(bool)
 
@@ -103,12 +107,15 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     Ids are those of the tokenizers library for the whole text without special tokens added; special
     tokens written out in a text are encoded as the library does. A null text counts as empty, and the
-    empty text has no ids. Null and repeated ids and repeated rows are encoded row by row.
+    empty text has no ids. Null and repeated ids and repeated rows are encoded row by row, very long texts
+    whole. An empty table gives no rows; other columns of docs, whatever their names, are not read. Chunks
+    are reused by tokenizers that drop white space; others look across it and encode every text where it is read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     small_batches(spark)
-    table = spark.sparkContext.broadcast(shared_chunk_table(texts.select("text")))
+    reuses = encoder(path).kind == "words"
+    table = spark.sparkContext.broadcast(shared_chunk_table(texts.select("text")) if reuses else np.zeros(1 << (LEAST_BITS - 6), np.uint64))
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
     # The texts of documents that wait are compressed one by one; they are most of what moves.
     scanned = pa.schema([("row", pa.int64()), *out, ("text", pa.binary())])
@@ -181,27 +188,28 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                         windows.append((left, carry + head, inner[0] if inner else b""))
                         left = carry + head
                     if inner:
-                        plan.append(("chunk", code, b" ".join(inner)))
+                        plan.append(("chunk", code, inner))
                         left = inner[-1]
                     carry = tail
                 if carry:
                     plan.append(("join", len(windows)))
                     windows.append((left, carry, b""))
                 plans.append((t, plan))
-            apart = e.encode([x.decode() for w in windows for x in w])
-            together = e.encode_batch([b" ".join(filter(None, w)) for w in windows]) if windows else []
-            agreed = [b"".join(apart[3 * i : 3 * i + 3]) == ids for i, (ids, _) in enumerate(together)]
-            new = e.encode([p[2].decode() if p[0] == "chunk" and p[1] is None else "" for _, plan in plans for p in plan])
-            at, rows = 0, []
+            e.turn()
+            e.learn({x for w in windows for x in w if x}.union(*(p[2] for _, plan in plans for p in plan if p[0] == "chunk" and p[1] is None)))
+            known_ids = e.ids
+            different = list({b" ".join(filter(None, w)) for w in windows})
+            together = dict(zip(different, e.through_library(different)))
+            agreed = [b"".join([known_ids[x] for x in w if x]) == together[b" ".join(filter(None, w))] for w in windows]
+            rows = []
             for i, (t, plan) in zip(b["doc_id"].to_pylist(), plans):
                 ids, whole = [], False
                 for p in plan:
                     if p[0] == "join":
                         whole |= not agreed[p[1]]
-                        ids.append(apart[3 * p[1] + 1])
+                        ids.append(known_ids[windows[p[1]][1]])
                     else:
-                        ids.append(new[at] if p[1] is None else p[1])
-                    at += 1
+                        ids.append(b"".join([known_ids[x] for x in p[2]]) if p[1] is None else p[1])
                 all_ids = e.encode_batch([t])[0][0] if whole else b"".join(ids)
                 rows.append((i, *digest(all_ids, e.decode(all_ids))))
             yield pa.RecordBatch.from_pydict(dict(zip(out.names, zip(*rows) if rows else [()] * len(out))), schema=out)

@@ -1,8 +1,10 @@
 """Whole-text encoding by the tokenizers library, piece by piece.
 
 A text is cut where no token can span and no rule of the tokenizer looks across; pieces recur, so a
-worker keeps the ids of those it has met and the library encodes only new ones, in batches. Ids are
-little-endian unsigned 32-bit integers.
+worker keeps the ids of those it has met, in two generations, and the library encodes only new ones.
+A new piece of plain letters, with or without ASCII punctuation after them, is one or two words of the
+tokenizer's own pattern and goes straight to the library's model; all others go through the whole
+library. Ids are little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
@@ -10,14 +12,32 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker keeps before it starts anew.
+#: Pieces in a generation; a worker keeps two, and what it meets again moves to the younger one.
 KEPT = 400_000
-#: In byte-level tokenizers a piece may start at a single space between visible characters.
+#: Pieces that go through the whole library as one text.
+JOINED = 4096
+#: In byte-level tokenizers a piece may start at a single space between visible characters, and a line feed between these is a piece.
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
-_BESIDE = re.compile(r"\s | \s")
+_BESIDE = re.compile(r"\s[ \n]|[ \n]\s|\x00")
+#: ASCII punctuation but the apostrophe, which starts contractions, and letters of Latin-1 in UTF-8, which no normalisation composes.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTER = rb"(?:[A-Za-z]|\xc2[\xaa\xb5\xba]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_is_plain = re.compile(rb"\x00?%s+[%s]*" % (_LETTER, re.escape(_MARKS))).fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The visible character for each byte, as byte-level tokenizers have it: other bytes are numbered from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(others)) for b in range(256)}
+
+
+_LETTERS = _byte_letters() | {10: "\n"}
 
 
 class PieceEncoder:
@@ -43,55 +63,123 @@ class PieceEncoder:
         self.kind = "words" if words else "level" if level else "whole"
         self.joined = made.get("decoder") is None
         self.names = {i: w.encode() for w, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.four = {i: i.to_bytes(4, "little") for i in self.names}
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.between, self.between_id = special[0] if special else (None, None)
+        self.marks: dict[bytes, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
         self.shown: dict[bytes, bytes] = {}
+        self.old: tuple[dict, dict] = {}, {}
 
     def pieces(self, text: str) -> list[bytes]:
+        """Keys of the pieces of a text; those of byte-level pieces leave out the space that most start with, and mark the others by a zero byte."""
         if self.kind == "words":
             return text.encode().split()
         if self.kind == "level":
             if _BESIDE.search(text):
-                return [p.encode() for p in _SPLIT.split(text)]
-            first, *rest = text.encode().split(b" ")
-            return [first, *(b" " + p for p in rest)] if first else [b" " + p for p in rest]
+                first, *rest = _SPLIT.split(text)
+                return [b"\0" + first.encode(), *(p[1:].encode() for p in rest)]
+            found = text.encode().replace(b"\n", b" \0\n \0").split(b" ")
+            if found[0]:
+                found[0] = b"\0" + found[0]
+                return found
+            return found[1:]
         return [text.encode()]
 
+    def _piece(self, key: bytes) -> bytes:
+        return key if self.kind != "level" else key[1:] if key[:1] == b"\0" else b" " + key
+
     def encode_batch(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids and shown tokens of each text, from the library itself."""
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [(np.array(e.ids, "<u4").tobytes(), b" ".join(map(self.names.__getitem__, e.ids)) if self.joined else b"") for e in found]
 
-    def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces.difference(self.ids))
-        if len(self.ids) + len(new) > KEPT:
-            self.ids.clear()
-            self.shown.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, (ids, shown) in zip(some, self.encode_batch(some)):
-                self.ids[p] = ids
+    def _tokenized(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Ids of words of the tokenizer's pattern (keys of plain letters, or marks alone), from the library's model."""
+        data = b"\n".join(words)
+        if self.kind == "words":
+            data = data.decode().lower().encode()
+        tokenize = self.tokenizer.model.tokenize
+        return ([t.id for t in tokenize(w)] for w in data.decode("latin-1").translate(_LETTERS).split("\n")) if words else iter(())
+
+    def _learn_plain(self, keys: list[bytes]) -> None:
+        """Ids of pieces of plain letters, with or without marks after them."""
+        ids, shown, four, names = self.ids, self.shown, self.four, self.names
+        cores = [k.rstrip(_MARKS) for k in keys]
+        for whole, words in ((ids, {c for c in cores if c not in ids}), (self.marks, {k[len(c) :] for k, c in zip(keys, cores)}.difference(self.marks))):
+            some = list(words)
+            spaced = [w[1:] if w[:1] == b"\0" else b" " + w for w in some] if self.kind == "level" and whole is ids else some
+            for w, found in zip(some, self._tokenized(spaced)):
+                whole[w] = b"".join([four[i] for i in found])
+                if self.joined:
+                    shown[w] = b" ".join([names[i] for i in found])
+        for k, c in zip(keys, cores):
+            if k != c:
+                after = k[len(c) :]
+                ids[k] = ids[c] + self.marks[after]
                 if self.joined:
-                    self.shown[p] = shown
+                    shown[k] = shown[c] + b" " + shown[after]
+
+    def through_library(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece; pieces with a special token between them are one text, which the library cuts there first."""
+        if self.between is None:
+            return [ids for ids, _ in self.encode_batch(pieces)]
+        apart = self.between.encode()
+        alone, together = [p for p in pieces if apart in p], [p for p in pieces if apart not in p]
+        out = dict(zip(alone, (ids for ids, _ in self.encode_batch(alone)))) if alone else {}
+        for at in range(0, len(together), JOINED):
+            some = together[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([apart.join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.between_id)).tolist()
+            data = ids.tobytes()
+            out.update(zip(some, (data[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(data)]))))
+        return [out[p] for p in pieces]
+
+    def learn(self, keys: Iterable[bytes]) -> None:
+        """Puts the ids of all of these pieces into the younger generation."""
+        ids, (old_ids, old_shown) = self.ids, self.old
+        new = {k for k in keys if k not in ids}
+        again = new.intersection(old_ids)
+        for key in again:
+            ids[key] = old_ids[key]
+            if self.joined:
+                self.shown[key] = old_shown[key]
+        new -= again
+        plain = [k for k in new if _is_plain(k)] if self.kind != "whole" else []
+        self._learn_plain(plain)
+        others = list(new.difference(plain))
+        for key, found in zip(others, self.through_library([self._piece(k) for k in others])):
+            ids[key] = found
+            if self.joined:
+                self.shown[key] = self.decode(found)
+
+    def turn(self) -> None:
+        """Before a batch: a full generation becomes the old one."""
+        if len(self.ids) > KEPT:
+            self.old, self.ids, self.shown, self.marks = (self.ids, self.shown), {}, {}, {}
+
+    def _known(self, texts: list[str]) -> list[list[bytes]]:
+        self.turn()
+        cut = [self.pieces(t) for t in texts]
+        self.learn(chain.from_iterable(cut))
+        return cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        cut = [self.pieces(t) for t in texts]
-        self.learn(set().union(*cut))
+        cut = self._known(texts)
         return [b"".join(map(self.ids.__getitem__, c)) for c in cut]
 
     def encode_and_show(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of each text, and decode(ids, skip_special_tokens=False) as UTF-8."""
         if not self.joined:
             return [(i, self.decode(i)) for i in self.encode(texts)]
-        cut = [self.pieces(t) for t in texts]
-        self.learn(set().union(*cut))
+        cut = self._known(texts)
         return [(b"".join(map(self.ids.__getitem__, c)), b" ".join(filter(None, map(self.shown.__getitem__, c)))) for c in cut]
 
     def decode(self, ids: bytes) -> bytes:
         """decode(ids, skip_special_tokens=False) as UTF-8; without a decoder, the tokens joined by spaces."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        return b" ".join(map(self.names.__getitem__, numbers)) if self.joined else self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
+        numbers = memoryview(ids).cast("I").tolist()
+        return b" ".join([self.names[i] for i in numbers]) if self.joined else self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -152,7 +152,11 @@ def read_documents(files: DataFrame) -> DataFrame:
         for b in batches:
             for first, payload in zip(b["first"].to_pylist(), b["payload"]):
                 s = Segment(payload.as_buffer())
-                data, at = s.ids().astype("<u4").tobytes(), s.starts.astype(np.int64)
+                ids, at = s.ids(), s.starts.astype(np.int64)
+                ends = at[1:][np.diff(at) > 0] - 1
+                if not np.array_equal(s.at(ends), ids[ends]):  # each document's last id, addressed directly
+                    raise ValueError("a segment's levels and directories disagree")
+                data = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64(), mask=s.null_ids.astype(bool)), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
 
