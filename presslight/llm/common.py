@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="presslight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,3 +63,14 @@ def hex_long(digest: Column, digits: int = 15) -> Column:
 def fold_of(col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with `in:` before every name, so that no column added beside these clashes with one."""
+    return docs.toDF(*(f"in:{c}" for c in docs.columns))
+
+
+def given(name: str) -> Column:
+    """A column of docs after apart(), by its name in docs."""
+    quoted = name.replace("`", "``")
+    return F.col(f"`in:{quoted}`").alias(name)

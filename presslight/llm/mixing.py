@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, hex_long, id_key, text_or_empty
+from .common import WORD, apart, given, hex_long, id_key, text_or_empty
 
-#: Slices of a source (three hex digits of the shuffle key); slices of the time up to the water level, and of each doubling beyond.
-SOURCE_SLICES = 4096
-TIME_SLICES = 2048
+#: Rows of a slice, about; the least hex digits of the shuffle key that slice a source; the least slices of the time up to the
+#: water level, and of each doubling beyond.
+SLICE_ROWS, LEAST_DIGITS, TIME_SLICES = 1 << 20, 3, 2048
+#: What the mix adds to the columns of documents.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def source_targets(sources: DataFrame, share: float = 1.0, max_repeats: int = 3, cycle: int = 3) -> DataFrame:
@@ -57,20 +59,34 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, share: float
     size: words of the text (null: 0); copies: how often the mix takes the document (0 to
     max_repeats); taken = copies * size. weights(source, weight) replaces the cycle of weights;
     sources it lacks weigh 0 and are not taken. A null source is a source of its own. Documents
-    without words take no share of the budget and finish with the document before them. Repeated
-    rows and equal ids are separate documents; rows equal in everything are interchangeable.
-    Columns of docs with one of the names added here are replaced; others pass through.
+    without words take no share of the budget and finish with the document before them; very long texts
+    count in full. Repeated rows and equal ids are separate documents; rows equal in id and text are
+    interchangeable. An empty table gives no rows. Columns of docs with one of the five names are
+    replaced; all others pass through, whatever their names.
     The same table and seed give the same mix, however the rows are dealt out.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text_or_empty()))
-    sized = docs.drop("size", "source_size", "target", "copies", "taken", "weight").withColumns(
+    mixed = _mixed(docs, weights, share, max_repeats, cycle, seed)
+    return mixed.select(*(given(c) for c in docs.columns if c.lower() not in ADDED), *ADDED)
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.0, max_repeats: int = 3, cycle: int = 3, seed: int = 7) -> DataFrame:
+    """apart(docs) with the columns of the mix beside it."""
+    rows = docs.count()
+    digits = LEAST_DIGITS
+    while 16**digits * SLICE_ROWS < rows:
+        digits += 1
+    time_slices = max(TIME_SLICES, max_repeats * rows // SLICE_ROWS)
+    doc_id, text = F.col("doc_id"), F.col("text")
+    named = apart(docs).withColumns({c: given(c) for c in ("doc_id", "text", "source")})
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), text_or_empty()))
+    sized = named.withColumns(
         {
-            "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+            "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
             "_key": key,
             "_source": id_key(F.col("source")),
         }
-    )
-    sized = sized.withColumn("_slice", hex_long(F.col("_key"), 3))
+    ).drop("text")
+    sized = sized.withColumn("_slice", hex_long(F.col("_key"), digits))
 
     # Per slice of a source: what comes before it, and all that is known of the source.
     slices = sized.groupBy("_source", "_slice").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
@@ -97,7 +113,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, share: float
         .withColumn("_at", F.col("_at") + F.col("_repeat") * F.col("source_size"))
         .withColumn("_time", F.col("_at") / F.col("weight"))
         .withColumn("_tick", F.try_divide(F.col("_time"), F.col("level")))
-        .withColumn("_tick", F.coalesce(F.floor(F.when(F.col("_tick") <= 1, F.col("_tick")).otherwise(1 + F.log2("_tick")) * TIME_SLICES), F.lit(0)))
+        .withColumn("_tick", F.coalesce(F.floor(F.when(F.col("_tick") <= 1, F.col("_tick")).otherwise(1 + F.log2("_tick")) * time_slices), F.lit(0)))
     )
     ticks = copies.groupBy("_tick").agg(F.sum("size").alias("_sum"))
     ticks = ticks.withColumn("_done", F.coalesce(F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_tick").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
@@ -113,14 +129,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, share: float
     # A source's copies are taken in order: it is cut at one place. The table is joined per slice, so a large source spreads.
     cuts = slices.select("_source", "_slice").join(kept, "_source", "left")
     taken = sum((F.when(F.col("_at") + e * F.col("source_size") <= F.col("_cut"), 1).otherwise(0) for e in range(max_repeats)), F.lit(0))
-    out = placed.join(cuts, ["_source", "_slice"]).withColumn("copies", taken.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*(c for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}), "size", "source_size", "target", "copies", "taken")
+    return placed.join(cuts, ["_source", "_slice"]).withColumn("copies", taken.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each document as many times as it was taken."""
-    mixed = mix_sources(docs, **options).filter("copies > 0")
-    return mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: the columns of docs as they are, each document as many times as it was taken."""
+    mixed = _mixed(docs, **options).filter("copies > 0")
+    return mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*(given(c) for c in docs.columns))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

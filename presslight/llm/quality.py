@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, small_batches, text_or_empty
+from .common import fold_of, given, small_batches, text_or_empty
 
 BITS, GRAMS = 16, (3, 4)
 #: The most labelled rows that training takes, chosen by a hash of the id.
@@ -30,6 +30,8 @@ DIM, BATCH, RATE, SEED = 12, 2, 1.0, 11
 EXAMPLES, ROUNDS = 20_000, (4, 60)
 #: Stands, as a word of its own, beside a word that repeats the one before it.
 SAME = "\n"
+#: What scoring adds to the columns of documents.
+ADDED = ("held_out", "score", "predicted")
 #: Words whose sums a worker keeps.
 KEPT_WORDS = 200_000
 
@@ -103,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     """The model of the labelled rows outside fold 0, of at most `sample` of them.
 
     Rows of labels without id or quality are not used; of several for one id, the mean decides
-    (0.5 or more: 1). Of documents with one id, each is an example.
+    (0.5 or more: 1). Of documents with one id, each is an example, up to `sample` rows in all, by a hash of id
+    and text. Null texts count as empty ones; an empty table gives a model that scores 0.5.
     """
     marked = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != 0))
@@ -119,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
             yield pa.RecordBatch.from_pydict({"id": b["doc_id"], "label": b["_label"], "at": [x.tobytes() for x, _ in found], "n": [x.tobytes() for _, x in found]}, schema=pa.schema([("id", pa.int64()), ("label", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
     small_batches(docs.sparkSession)
-    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(marked), "doc_id").limit(sample)  # at most `sample` rows
+    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(marked), "doc_id")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample)
     rows = sorted(chosen.mapInArrow(bags, "id long, label int, at binary, n binary").collect(), key=lambda r: (r["id"], r["at"], r["n"]))
     return train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.float32)) for r in rows], np.array([r["label"] for r in rows], dtype=int))
 
@@ -127,13 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
 def score_documents(docs: DataFrame, model: Model, least: float = 0.3, folds: int = 5) -> DataFrame:
     """docs with held_out, score (of label 1; an empty or null text has the score of no features) and predicted.
 
-    Every row is scored by itself: repeated rows alike. Columns of docs with these names are replaced.
+    Every row is scored by itself, from its whole text however long: repeated rows alike, and rows with a null
+    id too. An empty table gives no rows. Columns of docs with these three names are replaced; all others pass
+    through, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in {"held_out", "score", "predicted"}]
-    inner = docs.select(*kept)
+    inner = docs.drop(*ADDED)
     schema = inner.withColumn("score", F.lit(0.0)).schema
     index = inner.columns.index("text")
 
@@ -165,6 +170,13 @@ def score_documents(docs: DataFrame, model: Model, least: float = 0.3, folds: in
     )
 
 
+def good_documents(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows of docs that score `least` or more, with all columns as they are."""
+    clashing = {c: f"in:{c}" for c in docs.columns if c.lower() in ADDED}
+    good = score_documents(docs.withColumnsRenamed(clashing), model, least).filter("predicted = 1")
+    return good.select(*(given(c) if c in clashing else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")

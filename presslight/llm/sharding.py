@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hex_long, id_key, text_or_empty, written
+from .common import apart, given, hex_long, id_key, text_or_empty, written
 
 HASH_BITS = 60
 #: The first summary has 2**FIRST_BITS segments; each refinement splits a segment into 2**SPLIT_BITS.
@@ -117,12 +117,13 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     size: UTF-8 bytes of the text plus 1. A null text counts as the empty one: equal to it, no bytes,
     crc32 0. Equal texts share a shard, so a shard holds at least the largest group. slot counts the
     rows of a shard from 0 without gaps, in an order that spreads large groups; repeated rows get a
-    slot each. An empty table gives no rows. Columns of docs with these names are replaced.
+    slot each, very long texts count in full. An empty table gives no rows. Columns of docs with these names
+    are replaced; all others pass through, whatever their names.
     """
-    own = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
-    bytes_ = text_or_empty().cast("binary")
-    sized = docs.drop(*own).withColumns(
-        {"size": (F.octet_length(bytes_) + 1).cast("long"), "text_crc32": F.crc32(bytes_), "_h": hex_long(F.md5(bytes_))}
+    own = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    bytes_ = text_or_empty("`in:text`").cast("binary")
+    sized = apart(docs).withColumns(
+        {"doc_id": given("doc_id"), "size": (F.octet_length(bytes_) + 1).cast("long"), "text_crc32": F.crc32(bytes_), "_h": hex_long(F.md5(bytes_))}
     )
     groups = written(sized.groupBy(F.col("_h").alias("h")).agg(F.sum("size").alias("bytes")), "shard-groups")
     cuts, _ = minimax_cuts(groups, shards)
@@ -139,7 +140,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         placed.withColumn("_number", number)
         .join(starts, ["shard", "_slice"])
         .withColumns({"slot": F.col("_start") + F.col("_number") - 1, "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-        .select(*(c for c in docs.columns if c not in own), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+        .select(*(given(c) for c in docs.columns if c.lower() not in own), *own)
     )
 
 

@@ -59,20 +59,69 @@ def test_matches_sql(spark, duck, name):
     same(registry.QUERIES[name](spark, SF), duck.sql(registry.SQL[name]))
 
 
+CLASHING = ["weight", "level", "budget", "_key", "_slice", "_source", "_at", "_start", "_h", "_row", "_number", "_bucket", "bucket", "row", "rows", "held_out", "predicted", "size", "copies", "taken", "shard", "slot"]
+
+
 def test_all_on_odd_and_empty_tables(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (5, None)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
-    for df, n in ((odd, len(ODD)), (empty, 0)):
-        assert mixing.mix_sources(df).count() == n
-        assert sharding.shard_documents(df, 8).count() == n
-        assert quality.score_documents(df, model).count() == n
-        assert imatch.fingerprints(df).count() == n
-        assert minhash.near_duplicates(df, 2).count() == n
-        assert bpe.encoded(df, WORD_BPE).count() == n
-        assert lm.score_texts(df).count() == n
-        assert tokenfile.read_documents(tokenfile.token_files(df, BYTE_BPE)).count() == n
+    key = lambda i, x: (i is None, i or 0, str(x))
+    texts = sorted(((i, t or "") for i, t, *_ in ODD), key=lambda r: key(*r))
+
+    sizes = {(i, t): len(words(t)) for i, t, *_ in ODD}
+    mixed = mixing.mix_sources(odd).collect()
+    assert sorted(r["size"] for r in mixed) == sorted(len(words(t)) for _, t, *_ in ODD) and all(r["size"] == sizes[r["doc_id"], r["text"]] for r in mixed)
+    by_source = Counter()
+    for i, t, s, *_ in ODD:
+        by_source[s] += len(words(t))
+    assert all(r["source_size"] == by_source[r["source"]] and 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in mixed)
+
+    dealt = sharding.shard_documents(odd, 8).collect()
+    assert sorted((r["size"], r["text_crc32"]) for r in dealt) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in ODD)
+    assert len({r["shard"] for r in dealt if not r["text"]}) == 1 and len({(r["shard"], r["slot"]) for r in dealt}) == len(ODD)
+
+    scored = {(r["doc_id"], r["text"]): r["score"] for r in quality.score_documents(odd, model).collect()}
+    for (_, t), score in scored.items():
+        at, n = quality.bag(t or "")
+        assert score == pytest.approx(model.score(float((model.weights[at] * n).sum()), int(n.sum())))
+    assert scored[2, None] == scored[3, ""] == scored[4, " \t\n "] == model.score(0.0, 0)
+
+    marked = sorted((r["doc_id"], r["n_chars"]) if r["doc_id"] is not None else (99, r["n_chars"]) for r in imatch.fingerprints(odd).collect())
+    assert marked == sorted((99 if i is None else i, len(t)) for i, t in texts)
+    assert {r["fingerprint"] for r in imatch.fingerprints(odd).filter("doc_id in (2, 3, 4)").collect()} == {"0" * 8 * imatch.SUBSETS}
+
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    assert sorted((r["n_tokens"], r["ids_sha256"]) for r in bpe.encoded(odd, WORD_BPE).collect()) == sorted(expected_bpe(tokenizer, t)[:2] for _, t in texts)
+
+    told = lm.score_texts(odd).collect()
+    assert Counter(r["n_tokens"] for r in told) == Counter(len(words(t)) + 1 for _, t in texts) and all(r["score"] < 0 and r["n_known"] <= r["n_tokens"] for r in told)
+
+    files = tokenfile.read_documents(tokenfile.token_files(odd, BYTE_BPE)).orderBy("start").collect()
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    lengths = [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts]
+    assert [(r["doc_id"], r["n_tokens"], r["start"]) for r in files] == [(i, n, sum(lengths[:k])) for k, ((i, _), n) in enumerate(zip(texts, lengths))]
+
+    for f in (mixing.mix_sources, sharding.shard_documents, lambda d: quality.score_documents(d, model), imatch.fingerprints, minhash.near_duplicates, minhash.deduplicated, mixing.mixed_documents, lambda d: bpe.encoded(d, WORD_BPE), lm.score_texts, lambda d: tokenfile.read_documents(tokenfile.token_files(d, BYTE_BPE))):
+        assert f(empty).count() == 0
     assert quality.fit(empty, labels.limit(0)).score(0.0, 0) == 0.5
-    assert minhash.deduplicated(empty).count() == 0
+
+
+def test_columns_that_clash(spark, odd):
+    wide = odd.select("doc_id", "text", "source", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING))
+    told = lambda r, names: all(r[c] == f"{c}={'-' if r['doc_id'] is None else r['doc_id']}" for c in names)
+    mixed = mixing.mix_sources(wide).collect()
+    assert len(mixed) == len(ODD) and all(told(r, [c for c in CLASHING if c not in mixing.ADDED]) for r in mixed)
+    plain = mixing.mix_sources(odd)
+    assert sorted((r["size"], r["taken"]) for r in mixed) == sorted((r["size"], r["taken"]) for r in plain.collect())
+    dealt = sharding.shard_documents(wide).collect()
+    assert len(dealt) == len(ODD) and all(told(r, [c for c in CLASHING if c not in ("size", "shard", "slot")]) for r in dealt)
+    model = quality.fit(odd, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    for out in (mixing.mixed_documents(wide), minhash.deduplicated(wide), quality.good_documents(wide, model, 0.0)):
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(told(r, CLASHING) for r in rows)
+    # Ids 1 and 6 say the same but for case, and 1 stands twice; the two long texts are alike.
+    assert sorted(r["doc_id"] or 0 for r in minhash.deduplicated(wide).collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
 # 1
