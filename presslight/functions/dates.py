@@ -7,7 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .urls import ARCHIVE_MARKS, _any_in, is_old_url
+from .urls import ARCHIVE_MARKS, _any_in
+
+
+# The first year that is not early, and marks of copies of pages.
+FIRST_YEAR = 2022
+COPY_MARKS = ["archive.org", "archive.is", "wayback", "cached", "/cache/", "webcache.googleusercontent"]
+
+
+def _copied_or_early(url):
+    years = F.regexp_extract_all(url, F.lit(r"/(20\d{2})/"), F.lit(1))
+    return F.coalesce(F.exists(years, lambda y: y.cast("int") < FIRST_YEAR) | _any_in(F.lower(url), COPY_MARKS), F.lit(False))
 
 
 def date_acceptance(df: DataFrame, as_of: str, before: int = 30, after: int = 180, max_age_days: int = 540) -> DataFrame:
@@ -20,7 +30,7 @@ def date_acceptance(df: DataFrame, as_of: str, before: int = 30, after: int = 18
         F.when(age < -7, "future").when(age > max_age_days, "too_old")
         .when(F.col("published") < F.date_sub("start_date", before), "before_window").when(F.col("published") > F.date_add("start_date", after), "after_window").otherwise("ok")
     )
-    undated = F.when(F.col("platform").isin("youtube", "tiktok", "instagram"), F.when(is_old_url(F.col("url"), as_of), "old_url").otherwise("ok_undated")).when(F.col("platform").isin("web", "article"), F.when(old, "old_url").otherwise("undated")).otherwise("unknown_type")
+    undated = F.when(F.col("platform").isin("youtube", "tiktok", "instagram"), F.when(_copied_or_early(F.col("url")), "old_url").otherwise("ok_undated")).when(F.col("platform").isin("web", "article"), F.when(old, "old_url").otherwise("undated")).otherwise("unknown_type")
     reason = F.when(F.col("published").isNotNull(), dated).otherwise(undated)
     return df.withColumn("reason", reason).withColumn("accepted", F.startswith("reason", F.lit("ok")))
 

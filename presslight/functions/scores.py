@@ -14,10 +14,18 @@ from .text import hashtags, mentions, without_hashtags
 
 # Words and phrases that begin a trim.
 TRIMS = [
-    "LX", "EX", "EX-L", "SE", "SEL", "XLE", "XSE", "LE", "SR5", "TRD", "TRD Pro", "Limited", "Platinum", "Touring", "Grand Touring", "Sport", "Premium", "Premium Plus", "Base", "Signature", "Select", "Preferred",
-    "Carbon Edition", "Turbo", "GT", "Raptor", "Lariat", "King Ranch", "Laramie", "Rubicon", "Sahara", "Trailhawk", "Denali", "High Country", "Hybrid", "Plug-in Hybrid", "Prime", "AWD", "4WD", "Crew Cab", "Double Cab",
-    "Long Range", "Special Edition", "Launch Edition", "Nightshade", "Club", "Club RF", "RF",
+    "Limited", "Platinum", "Premium", "Ultimate", "Signature", "Executive", "Elite", "Touring", "Grand Touring", "Luxury", "Reserve", "Ultra Luxury", "Prestige", "Ultra", "Overtrail", "Autobahn",
+    "Sport", "S", "RS", "ST", "GT", "GTI", "Type R", "Type S", "SRT", "AMG", "M Sport", "M Performance", "N Line", "N", "TRD", "SS", "Z71", "Raptor", "Rebel", "Trail Boss", "AT4", "Denali", "R/T", "SRT8", "Carbon Edition", "Track Edition", "Performance", "Club",
+    "Base", "SE", "SEL", "SL", "SR", "SV", "LX", "EX", "EX-L", "LE", "XLE", "XSE", "L", "LS", "LT", "LTZ", "DX", "Value",
+    "TrailHawk", "Rubicon", "Sahara", "Overland", "TRD Pro", "TRD Off-Road", "Trail", "Adventure", "Wilderness", "Badlands", "Bronco Sport", "Big Bend", "Black Diamond", "Outer Banks", "Wildtrak", "ZR2", "FX4", "TrailHunter", "Trail Hunter",
+    "Hybrid", "Plug-in Hybrid", "PHEV", "EV", "Electric", "e-tron", "EQS", "Prime", "Energi", "Blue", "e", "h", "Eco", "BlueDrive", "GreenTec",
+    "Sedan", "Coupe", "Convertible", "Cabriolet", "Roadster", "Hatchback", "Wagon", "Estate", "Avant", "Sportback", "Gran Coupe", "Gran Turismo", "Crew Cab", "Double Cab", "Extended Cab", "Regular Cab", "King Cab", "Quad Cab", "SuperCab", "SuperCrew", "Access Cab",
+    "AWD", "4WD", "FWD", "RWD", "4MATIC", "xDrive", "Quattro", "SH-AWD",
+    "Anniversary Edition", "Special Edition", "Launch Edition", "First Edition", "Night Edition", "Black Edition", "Sport Edition", "Nightshade", "TRD Rally", "Pro S", "Pro", "Plus",
+    "Long Range", "Extended Range", "Max", "XL", "RF", "Club RF", "Grand Touring RF", "Sport RF",
 ]
+# Makes that mark a URL as of another car.
+OTHER_MAKES = ["genesis", "toyota", "honda", "bmw", "mercedes"]
 # Trims that leave the base model when they end a name.
 BASE_TRIMS = {"limited", "sport", "touring", "premium", "base", "platinum", "signature", "select", "preferred", "le", "xle", "se", "xse", "trd", "lx", "ex", "gt", "turbo", "s", "sv", "sl", "lariat", "laramie"}
 # Words that say little about which car it is.
@@ -39,21 +47,33 @@ def _count(text: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.contains(text, F.lit(t)).cast("int") for t in terms))
 
 
-def split_trim(df: DataFrame, model: str = "model", trims: Sequence[str] = TRIMS) -> DataFrame:
-    """base_model and trim: the trim begins at the earliest word with which one, two or three words make a known trim, or is a short last word in capitals."""
-    words = F.split(F.trim(F.col(model)), r"\s+")
-    known = F.array(*(F.lit(t.lower()) for t in trims))
+def split_trim(df: DataFrame, model: str = "model", trims: Sequence[str] = TRIMS, make: Column | None = None) -> DataFrame:
+    """base_model and trim_level: the trim begins at the earliest word with which one, two or three words make a known trim, or is a short last word in capitals.
+
+    Of the make Mazda, MX-5 Miata and the CX- numbers are the base and all else is the trim.
+    """
+    whole = F.trim(F.col(model))
+    words = F.split(whole, r"\s+")
+    known = F.array(*(F.lit(t.lower()) for t in dict.fromkeys(trims)))
     at = lambda i: F.exists(F.array(*(F.lower(F.array_join(F.slice(words, i, n), " ")) for n in (1, 2, 3))), lambda x: F.array_contains(known, x))
     first = F.try_element_at(F.filter(F.sequence(F.lit(1), F.size(words)), at), F.lit(1))
     last = F.element_at(words, -1)
-    short = (F.size(words) >= 2) & last.rlike(r"^[A-Z0-9]*[A-Z][A-Z0-9]*$") & (F.length(last) <= 4)
+    short = (F.size(words) >= 2) & (F.upper(last) == last) & (F.lower(last) != last) & (F.length(last) <= 4)
     start = F.coalesce(first, F.when(short, F.size(words)))
     cut = start.isNotNull() & (start > 1)
     rest = F.size(words) - start + 1
-    return df.withColumns({
-        "base_model": F.when(cut, F.array_join(F.slice(words, F.lit(1), F.greatest(start - 1, F.lit(0))), " ")).otherwise(F.trim(F.col(model))),
-        "trim_level": F.when(cut, F.array_join(F.slice(words, F.greatest(start, F.lit(1)), F.greatest(rest, F.lit(0))), " ")),
-    })
+    base = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.greatest(start - 1, F.lit(0))), " ")).otherwise(whole)
+    level = F.when(cut, F.array_join(F.slice(words, F.greatest(start, F.lit(1)), F.greatest(rest, F.lit(0))), " "))
+    if make is not None:
+        # The names of this make's models.
+        roadster, series = "MX-5 Miata", F.regexp_extract(model, r"(CX-\d+)", 1)
+        without = lambda c, *names: F.nullif(F.trim(reduce(lambda t, n: F.replace(t, n, F.lit("")), names, c)), F.lit(""))
+        two = F.contains(F.col(model), F.lit("MX-5")) | F.contains(F.col(model), F.lit("Miata"))
+        own, numbered = F.coalesce(F.lower(make) == "mazda", F.lit(False)), series != ""
+        base = F.when(own & two, roadster).when(own & numbered, series).otherwise(base)
+        left = F.coalesce(without(F.col(model), F.lit(roadster)), without(F.col(model), F.lit("MX-5"), F.lit("Miata")))
+        level = F.when(own & two, left).when(own & numbered, without(F.col(model), series)).otherwise(level)
+    return df.withColumns({"base_model": base, "trim_level": level})
 
 
 def _variations(make: str, model: str) -> list[str]:
@@ -185,12 +205,26 @@ def score_search_results(candidates: DataFrame) -> DataFrame:
 
 
 def score_url(candidates: DataFrame) -> DataFrame:
-    """Points for make, model and review in a URL, less for another number of the model's series; not below 0."""
-    u, m = F.lower("url"), F.replace(F.lower("model"), F.lit(" "), F.lit("-"))
-    series = F.regexp_extract(m, r"^(.*?)(\d+)$", 1)
-    other = (series != "") & F.contains(u, series) & ~F.contains(u, m)
-    score = F.when(F.contains(u, F.lower("make")), 20).otherwise(0) + F.when(F.contains(u, m), 40).otherwise(0) + F.when(F.contains(u, F.lit("review")), 20).otherwise(0) - F.when(other, 50).otherwise(0)
-    return candidates.withColumn("url_score", F.greatest(score, F.lit(0)))
+    """Points for make, model, a word of the author, a review or test and a recent year in a URL; less for other makes and for another number of the model's series; not below 0.
+
+    A model with a hyphen, or of several words, must stand in the URL whole.
+    """
+    u, make, m = F.lower("url"), F.lower("make"), F.replace(F.lower("model"), F.lit(" "), F.lit("-"))
+    if_ = lambda hit, points: F.when(hit, points).otherwise(0)
+    parts = F.split(m, "-")
+    series, number = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
+    hyphened = F.contains(m, F.lit("-"))
+    score = if_(F.contains(u, make), 30) + F.when(hyphened, if_(F.contains(u, m), 100)).otherwise(if_(F.contains(u, m), 40))
+    if "author" in candidates.columns:
+        score = score + if_(F.exists(F.split(F.lower("author"), r"\s+"), lambda w: (w != "") & F.contains(u, w)), 20)
+    score = score + if_(_has(u, ["review", "test"]), 20) + if_(_has(u, ["2025", "2024"]), 10)
+    for other in OTHER_MAKES:
+        score = score - if_(F.contains(u, F.lit(other)) & (make != other) & (series != other), 50)
+    # Numbers that follow the series in the URL; those that begin with the model's own number are its own.
+    quoted = F.regexp_replace(series, r"([^\p{L}\p{N}])", r"\\$1")
+    others = F.filter(F.regexp_extract_all(u, F.concat(quoted, F.lit("-([0-9]+)")), F.lit(1)), lambda x: ~F.startswith(x, number))
+    score = score - if_(hyphened & (F.size(others) > 0), 200)
+    return candidates.withColumn("url_score", F.coalesce(F.greatest(score, F.lit(0)), F.lit(0)))
 
 
 def title_shortcut(df: DataFrame) -> DataFrame:

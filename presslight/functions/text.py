@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: White space of any script, for patterns.
+SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+
 
 def with_search_model(loans: DataFrame) -> DataFrame:
     """The short model name where there is one, else the full one."""
@@ -100,22 +103,36 @@ def urls_in_json(df: DataFrame, col: str) -> DataFrame:
 
 
 def clean_text(col: Column) -> Column:
-    """White space as single spaces, without boilerplate phrases."""
+    """Runs of white space as single spaces, then boilerplate phrases left out."""
     # Phrases that pages carry around their text.
-    phrases = ["advertisement", "subscribe to our newsletter", "sign up for our newsletter", "share this article", "read more"]
-    return F.trim(F.regexp_replace(F.regexp_replace(col, "(?i)(" + "|".join(phrases) + ")", " "), r"\s+", " "))
+    phrases = ["accept all cookies", "privacy policy", "terms of service", "advertisement", "subscribe now"]
+    return F.trim(F.regexp_replace(F.regexp_replace(col, SPACE + "+", " "), "(?i)(" + "|".join(phrases) + ")", ""))
 
 
-def content_quality(df: DataFrame, text: str, topic: Column) -> DataFrame:
-    """good, or why not: too_short, sidebar, off_topic, fragmented."""
+def content_quality(df: DataFrame, text: str, topic: Column, url: Column | None = None) -> DataFrame:
+    """good, or why not: too_short, navigation, sidebar, off_topic (none of the words of a topic of several), fragmented (short lines)."""
+    # The site of flip books whose texts may be shorter, and marks of their controls, looked for in the text without spaces.
+    flip_site = "spotlightepnews.com"
+    controls = ["firstprevious page", "nextpagelast", "return homezoom", "thumbnailsauto flip", "social sharefullscreen", "emailmoremore"]
     # Marks of side bars.
-    marks = ["related articles", "popular posts", "recent comments", "follow us", "tags:", "categories"]
+    marks = ["recent posts", "related posts", "you may also like", "more stories", "categories:", "tags:", "share this:", "follow us", "subscribe", "advertisement", "sponsored content", "continue reading", "popular articles", "trending now", "recommended for you"]
+    bare = lambda c: F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    count = lambda c, parts: sum((F.contains(c, F.lit(m)).cast("int") for m in parts), F.lit(0))
     t = F.lower(text)
-    hits = sum((F.contains(t, F.lit(m)).cast("int") for m in marks), F.lit(0))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    short = F.size(F.filter(lines, lambda x: F.length(x) < 30))
-    verdict = F.when(F.length(text) < 100, "too_short").when(hits >= 2, "sidebar").when(~F.contains(t, F.lower(topic)), "off_topic").when((F.size(lines) > 5) & (short > 0.7 * F.size(lines)), "fragmented").otherwise("good")
-    return df.withColumn("quality_verdict", F.coalesce(verdict, F.lit("too_short")))
+    host = F.lit("") if url is None else F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    least = F.when(F.contains(host, F.lit(flip_site)), 100).otherwise(200)
+    topics = F.filter(F.split(F.lower(topic), SPACE + "+"), lambda w: w != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), bare), lambda x: x != "")
+    short = F.size(F.filter(lines, lambda x: F.length(x) < 50))
+    verdict = (
+        F.when(F.length(bare(F.col(text))) < least, "too_short")
+        .when(count(F.replace(t, F.lit(" "), F.lit("")), controls) >= 2, "navigation")
+        .when(count(t, marks) >= 2, "sidebar")
+        .when((F.size(topics) > 1) & ~F.exists(topics, lambda w: F.contains(t, w)), "off_topic")
+        .when((F.size(lines) > 5) & (short > 0.7 * F.size(lines)), "fragmented")
+        .otherwise("good")
+    )
+    return df.withColumn("quality_verdict", F.when(F.col(text).isNull(), "too_short").otherwise(verdict))
 
 
 def content_specificity(df: DataFrame, text: str, make: Column, model: Column) -> DataFrame:
@@ -159,13 +176,15 @@ def assemble_transcript(segments: DataFrame, k: str, seq: str, text: str = "text
 
 
 def detect_language(text: Column) -> Column:
-    """ar by share of Arabic letters, es and fr by common words, else en."""
-    # Common words.
-    spanish, french = [" el ", " la ", " los ", " que ", " por ", " una "], [" le ", " les ", " des ", " est ", " une ", " que "]
-    t = F.lower(F.concat(F.lit(" "), text, F.lit(" ")))
-    count = lambda words: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0))
-    arabic = F.length(text) - F.length(F.regexp_replace(text, r"[؀-ۿ]", ""))
-    return F.when(arabic > 0.1 * F.length(text), "ar").when((count(spanish) >= 3) & (count(spanish) >= count(french)), "es").when(count(french) >= 3, "fr").otherwise("en")
+    """Of the first 2000 characters: ar by share of Arabic letters, es and fr by three common words, else en; en for texts under 50 characters."""
+    # Common words, of which one counts twice.
+    spanish = ["el ", "la ", "de ", "que ", "y ", "en ", "un ", "es ", "se ", "no "]
+    french = ["le ", "de ", "et ", "à ", "un ", "il ", "être ", "et ", "en ", "avoir "]
+    sample = F.lower(F.substring(text, 1, 2000))
+    count = lambda words: sum((F.contains(sample, F.lit(w)).cast("int") for w in words), F.lit(0))
+    arabic = F.length(sample) - F.length(F.regexp_replace(sample, r"[\u0600-\u06FF]", ""))
+    found = F.when(F.length(text) < 50, "en").when(arabic > 0.1 * F.length(sample), "ar").when(count(spanish) >= 3, "es").when(count(french) >= 3, "fr")
+    return F.coalesce(found, F.lit("en"))
 
 
 def display_labels(df: DataFrame, mapping: dict[str, str], col: str, out: str = "label") -> DataFrame:

@@ -12,8 +12,10 @@ INDEX_PATHS = ["", "index.html", "index.php", "home", "main", "category/car-revi
 # Parts of listing paths, and what marks an article in spite of them.
 LISTING_PARTS = ["/category/", "/tag/", "/archives/", "/page/", "/reviews/", "/news/", "/blog/"]
 ARTICLE_MARKS = ["2024", "2025", "review-", "-test-", "-drive-"]
-# Parts of URLs that are no article.
-NO_ARTICLE = ["/search", "/tag/", "/category/", "/author/", "/login", ".jpg", ".jpeg", ".png", ".gif", ".pdf", ".mp4"]
+# Parts of paths that are no article.
+NO_ARTICLE = ["/search", "/category", "/tag", "/author", "/page/", "/index", "/sitemap", "/feed", ".pdf", ".jpg", ".png", ".gif"]
+# Marks of old years in a URL.
+OLD_YEARS = ["/2019/", "/2020/", "/2021/", "/2022/", "/2023/", "2019-", "2020-", "2021-", "2022-", "2023-"]
 # Marks of archived pages.
 ARCHIVE_MARKS = ["archive", "wayback", "cached"]
 
@@ -81,14 +83,16 @@ def is_index_url(url: Column) -> Column:
     return whole | (_any_in(path, LISTING_PARTS) & ~_any_in(path, ARTICLE_MARKS))
 
 
-def is_article_url(url: Column, title: Column) -> Column:
-    return url.isNotNull() & ~_any_in(F.lower(url), NO_ARTICLE) & (F.length(F.trim(F.coalesce(title, F.lit("")))) > 0)
+def is_article_url(url: Column) -> Column:
+    """Neither empty nor, by its path, a listing, a feed or a media file; other parts of the URL don't count."""
+    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    return F.coalesce((url != "") & ~_any_in(path, NO_ARTICLE), F.lit(False))
 
 
 def is_old_url(url: Column, as_of: str) -> Column:
-    """A year before that of as_of less one in the path, or a mark of an archive."""
-    years = F.transform(F.regexp_extract_all(url, F.lit(r"/(20\d{2})/"), F.lit(1)), lambda y: y.cast("int"))
-    return F.coalesce(F.exists(years, lambda y: y < F.year(F.lit(as_of).cast("date")) - 1) | _any_in(F.lower(url), ARCHIVE_MARKS), F.lit(False))
+    """Whether the first year in the path, ended by a slash or hyphen, is before that of as_of less one, or a year known to be old stands in it."""
+    first = F.regexp_extract(url, r"/([0-9]{4})[-/]", 1).try_cast("int")
+    return F.coalesce(first < F.year(F.lit(as_of).cast("date")) - 1, F.lit(False)) | F.coalesce(_any_in(url, OLD_YEARS), F.lit(False))
 
 
 def is_index_page(url: Column, raw_len: Column, text_len: Column) -> Column:

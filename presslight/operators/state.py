@@ -89,12 +89,21 @@ def stage_audit(clips: DataFrame) -> DataFrame:
     return clips.filter((F.col("stage") == "sentiment_analyzed") & F.col("analysed").isNull()).select("wo_number", F.array_join(fields, ",").alias("filled"))
 
 
-def expire_stale(runs: DataFrame, as_of, hours: int = 24) -> DataFrame:
-    """Running jobs whose last heartbeat is too old become failed."""
-    stale = (F.col("run_status") == "running") & (F.col("last_heartbeat") < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours)))
+def _silent(as_of, minutes: int):
+    return F.col("last_heartbeat") < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(minutes))
+
+
+def expire_stale(runs: DataFrame, as_of, minutes: int = 5) -> DataFrame:
+    """Running jobs without a heartbeat for so many minutes become failed; was_stale tells which, and so how many."""
+    stale = (F.col("run_status") == "running") & _silent(as_of, minutes)
     return runs.withColumns({"was_stale": F.coalesce(stale, F.lit(False)), "run_status": F.when(stale, "failed").otherwise(F.col("run_status"))})
 
 
+def offline_workers(workers: DataFrame, as_of, minutes: int = 5) -> DataFrame:
+    """Workers without a heartbeat for so many minutes get the status offline."""
+    return workers.withColumn("status", F.when(_silent(as_of, minutes), "offline").otherwise(F.col("status")))
+
+
 def active_processes(procs: DataFrame, as_of) -> DataFrame:
     """Running jobs with days so far, progress and per cent."""
     done = F.col("successful_finds") + F.col("failed_attempts")

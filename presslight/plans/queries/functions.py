@@ -53,13 +53,13 @@ query(
 )(
     lambda c: c.select(*K, U.is_index_url(F.when(F.col("relevance") % 4 == 0, F.col("url")).when(F.col("relevance") % 4 == 1, F.lit("https://a.com/blog/")).when(F.col("relevance") % 4 == 2, F.concat(F.lit("https://a.com/x/category/"), "model")).otherwise(F.concat(F.lit("https://a.com/x/news/review-"), "trim"))).alias("is_index"))
 )
-query("PF-15", "pages", sql=f"SELECT page_id, url IS NOT NULL AND NOT {lit_list(U.NO_ARTICLE, 'lower(url)')} AND length(trim(url)) > 0 AS is_article FROM pages")(
-    lambda p: p.select("page_id", U.is_article_url(F.col("url"), F.col("url")).alias("is_article"))
+query("PF-15", "pages", sql=r"""SELECT page_id, coalesce(url <> '' AND NOT regexp_matches(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/search|/category|/tag|/author|/page/|/index|/sitemap|/feed|\.pdf|\.jpg|\.png|\.gif'), false) AS is_article FROM pages""")(
+    lambda p: p.select("page_id", U.is_article_url(F.col("url")).alias("is_article"))
 )
-query("PF-16", "b_cand", sql=f"SELECT {k}, year(published) BETWEEN 2000 AND 2001 OR {lit_list(U.ARCHIVE_MARKS, 'lower(url)')} AS is_old FROM b_cand")(
+query("PF-16", "b_cand", sql=f"SELECT {k}, coalesce(year(published) < 2002, false) AS is_old FROM b_cand")(
     lambda c: c.select(*K, U.is_old_url(F.col("url"), "2003-06-01").alias("is_old"))
 )
-query("PF-17", "pages", sql=f"SELECT page_id, (length(html) > 5 * 10000 AND length(html) % 1500 < 1000) OR ((p IN ({', '.join(repr(x) for x in U.INDEX_PATHS)}) OR {' OR '.join(f'ends_with(p, {chr(39)}/{x}{chr(39)})' for x in U.INDEX_PATHS[1:])} OR ({lit_list(U.LISTING_PARTS, 'p')} AND NOT {lit_list(U.ARTICLE_MARKS, 'p')})) AND length(html) % 1500 < 0.02 * length(html)) AS is_index FROM (SELECT *, {_PATH.replace('lower(u)', 'lower(url)')} AS p FROM pages)")(
+query("PF-17", "pages", sql=f"SELECT page_id, (length(html) > 50000 AND length(html) % 1500 < 1000) OR ((p IN ({', '.join(repr(x) for x in U.INDEX_PATHS)}) OR {' OR '.join(f'ends_with(p, {chr(39)}/{x}{chr(39)})' for x in U.INDEX_PATHS[1:])} OR ({lit_list(U.LISTING_PARTS, 'p')} AND NOT {lit_list(U.ARTICLE_MARKS, 'p')})) AND length(html) % 1500 < 0.02 * length(html)) AS is_index FROM (SELECT *, {_PATH.replace('lower(u)', 'lower(url)')} AS p FROM pages)")(
     lambda p: p.select("page_id", U.is_index_page(F.col("url"), F.length("html"), F.length("html") % 1500).alias("is_index"))
 )
 query("PF-18", "documents", sql="SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, source)), 'moron') OR contains(lower(concat_ws(' ', text, source)), 'license')")(lambda d: U.on_topic(d, ["text", "source"], ["MORON", "License"]).select("doc_id"))
@@ -110,13 +110,14 @@ query("SF-35", "b_cand", sql=f"SELECT {k}, replace(url, ' ', '') AS url FROM b_c
 query("SF-37", "b_cand", sql=f"SELECT {k}, url AS source_url FROM b_cand")(
     lambda c: U.first_source_url(c.withColumn("original_urls", F.when(F.col("relevance") % 2 == 0, F.to_json(F.array("url", F.lit("b")))).otherwise(F.concat("url", F.lit(";b"))))).select(*K, "source_url")
 )
-query("SF-38", "documents", sql=r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?i)(advertisement|subscribe to our newsletter|sign up for our newsletter|share this article|read more)', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM documents")(lambda d: d.select("doc_id", T.clean_text(F.col("text")).alias("cleaned")))
-_MARKS = ["related articles", "popular posts", "recent comments", "follow us", "tags:", "categories"]
+query("SF-38", "documents", sql=r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g'), '(?i)(accept all cookies|privacy policy|terms of service|advertisement|subscribe now)', '', 'g')) AS cleaned FROM documents")(lambda d: d.select("doc_id", T.clean_text(F.col("text")).alias("cleaned")))
+_MARKS = ["recent posts", "related posts", "you may also like", "more stories", "categories:", "tags:", "share this:", "follow us", "subscribe", "advertisement", "sponsored content", "continue reading", "popular articles", "trending now", "recommended for you"]
+_BARE = r"regexp_replace({0}, '^[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+|[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+$', '', 'g')"
 query(
     "SF-39", "documents",
-    sql=f"""SELECT doc_id, CASE WHEN length(text) < 100 THEN 'too_short' WHEN {' + '.join(f"contains(lower(text), '{m}')::INT" for m in _MARKS)} >= 2 THEN 'sidebar' WHEN NOT contains(lower(text), 'the') THEN 'off_topic'
-    WHEN len(l) > 5 AND len(list_filter(l, lambda x: length(x) < 30)) > 0.7 * len(l) THEN 'fragmented' ELSE 'good' END AS quality_verdict FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)""",
-)(lambda d: T.content_quality(d, "text", F.lit("THE")).select("doc_id", "quality_verdict"))
+    sql=f"""SELECT doc_id, CASE WHEN text IS NULL OR length({_BARE.format('text')}) < 200 THEN 'too_short' WHEN {' + '.join(f"contains(lower(text), '{m}')::INT" for m in _MARKS)} >= 2 THEN 'sidebar' WHEN NOT (contains(lower(text), 'qu') OR contains(lower(text), 'the')) THEN 'off_topic'
+    WHEN len(l) > 5 AND len(list_filter(l, lambda x: length(x) < 50)) > 0.7 * len(l) THEN 'fragmented' ELSE 'good' END AS quality_verdict FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_BARE.format('x')}), lambda x: x <> '') AS l FROM documents)""",
+)(lambda d: T.content_quality(d, "text", F.lit("QU the")).select("doc_id", "quality_verdict"))
 _N = "((length(lower(text)) - length(replace(lower(text), '{0}', ''))) // {1})"
 query("SF-40", "documents", sql=f"SELECT doc_id, CASE WHEN {_N.format('ing', 3)} >= 2 AND contains(lower(text), 'the') THEN 'specific' WHEN {_N.format('ing', 3)} >= 1 THEN 'mention' ELSE 'generic' END AS specificity FROM documents")(lambda d: T.content_specificity(d, "text", F.lit("The"), F.lit("Ing")).select("doc_id", "specificity"))
 query("SF-41", "documents", sql="SELECT doc_id, concat(CASE WHEN s > 1 THEN '...' ELSE '' END, substr(text, s, 600), CASE WHEN length(text) >= s + 600 THEN '...' ELSE '' END) AS part FROM (SELECT doc_id, text, greatest(instr(lower(text), 'moron') - 200, 1) AS s FROM documents)")(lambda d: d.select("doc_id", T.excerpt(F.col("text"), F.lit("Moron"), 200, 600).alias("part")))
@@ -124,15 +125,22 @@ query("SF-42", "documents", sql="SELECT doc_id, array_to_string(list_filter([CAS
     lambda d: d.select("doc_id", F.array_join(T.marketing_sections(F.col("text"), ["License", "Moron"], 50), "|").alias("sections"))
 )
 query("SF-43", "conversations", sql=r"SELECT conv_id, trim(regexp_replace(string_agg(coalesce(text, ''), ' ' ORDER BY turn, text), '\s+', ' ', 'g')) AS transcript FROM conversations GROUP BY 1")(lambda c: T.assemble_transcript(c, "conv_id", "turn"))
-_ES, _FR = [" el ", " la ", " los ", " que ", " por ", " una "], [" le ", " les ", " des ", " est ", " une ", " que "]
+_ES, _FR = ["el ", "la ", "de ", "que ", "y ", "en ", "un ", "es ", "se ", "no "], ["le ", "de ", "et ", "à ", "un ", "il ", "être ", "et ", "en ", "avoir "]
 _sum = lambda words: " + ".join(f"contains(t, '{w}')::INT" for w in words)
-query("SF-44", "documents", sql=f"SELECT doc_id, CASE WHEN {_sum(_ES)} >= 3 AND {_sum(_ES)} >= {_sum(_FR)} THEN 'es' WHEN {_sum(_FR)} >= 3 THEN 'fr' ELSE 'en' END AS language FROM (SELECT doc_id, lower(concat(' ', text, ' ')) AS t FROM documents)")(lambda d: d.select("doc_id", T.detect_language(F.col("text")).alias("language")))
+query("SF-44", "documents", sql=f"SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 50 THEN 'en' WHEN length(t) - length(regexp_replace(t, '[\\x{{0600}}-\\x{{06FF}}]', '', 'g')) > 0.1 * length(t) THEN 'ar' WHEN {_sum(_ES)} >= 3 THEN 'es' WHEN {_sum(_FR)} >= 3 THEN 'fr' ELSE 'en' END AS language FROM (SELECT doc_id, text, lower(substr(text, 1, 2000)) AS t FROM documents)")(lambda d: d.select("doc_id", T.detect_language(F.col("text")).alias("language")))
 query("SF-47", "b_loan", sql="SELECT wo_number, start_date AS stored FROM b_loan")(lambda l: l.select("wo_number", D.to_storage_date(F.when(F.col("wo_number") % 2 == 0, F.concat(F.col("start_date").cast("string"), F.lit("T10:00:00Z"))).otherwise(F.col("start_date").cast("string"))).alias("stored")))
 query("SF-48", "b_clip", sql="SELECT wo_number, CASE status WHEN 'approved' THEN 'Approved' WHEN 'pending_review' THEN 'In review' ELSE status END AS label FROM b_clip")(lambda c: T.display_labels(c, {"approved": "Approved", "pending_review": "In review"}, "status").select("wo_number", "label"))
 query("SF-49", "b_clip", sql="SELECT wo_number, coalesce(published_date BETWEEN start_date AND start_date + 90, false) AS inside FROM b_clip")(lambda c: c.select("wo_number", D.in_forward_window(F.col("published_date"), F.col("start_date"), 90).alias("inside")))
 query("SF-50", "b_clip", sql="SELECT wo_number, relevance FROM b_clip WHERE relevance >= 8")(lambda c: S.high_quality(c).select("wo_number", "relevance"))
 
-query("SF-08", "part", sql="SELECT p_partkey, CASE p_size % 3 WHEN 2 THEN concat(p_name, ' of late') ELSE p_name END AS base_model, CASE p_size % 3 WHEN 0 THEN 'Grand Touring AWD' WHEN 1 THEN 'XLT' END AS trim_level FROM part")(
+_AT = lambda n: f"list_contains(known, lower(array_to_string(w[i : i + {n}], ' ')))"
+query(
+    "SF-08", "part",
+    sql=f"""WITH m AS (SELECT p_partkey, concat(p_name, CASE p_size % 3 WHEN 0 THEN ' Grand Touring AWD' WHEN 1 THEN ' XLT' ELSE ' of late' END) AS model FROM part),
+    s AS (SELECT *, string_split(model, ' ') AS w, [{', '.join(f"'{t.lower()}'" for t in S.TRIMS)}] AS known FROM m),
+    f AS (SELECT *, coalesce(list_filter(range(1, len(w) + 1), lambda i: {_AT(0)} OR {_AT(1)} OR {_AT(2)})[1], CASE WHEN len(w[-1]) <= 4 AND upper(w[-1]) = w[-1] AND lower(w[-1]) <> w[-1] AND len(w) > 1 THEN len(w) END) AS i FROM s)
+    SELECT p_partkey, CASE WHEN i > 1 THEN array_to_string(w[1 : i - 1], ' ') ELSE model END AS base_model, CASE WHEN i > 1 THEN array_to_string(w[i :], ' ') END AS trim_level FROM f""",
+)(
     lambda p: S.split_trim(p.withColumn("model", F.concat("p_name", F.lit(" "), F.when(F.col("p_size") % 3 == 0, "Grand Touring AWD").when(F.col("p_size") % 3 == 1, "XLT").otherwise("of late")))).select("p_partkey", "base_model", "trim_level")
 )
 
@@ -168,7 +176,11 @@ query(
 )(
     lambda c: S.score_search_results(c.withColumn("title", F.concat(F.split_part("model", F.lit(" "), F.lit(1)), F.when(F.col("relevance") % 2 == 0, F.concat(F.lit(" - "), "make")).otherwise("")))).select(*K, "search_score")
 )
-query("SF-18", "b_cand", sql=f"SELECT {k}, 60 + CASE WHEN contains(lower(url), lower(make)) THEN 20 ELSE 0 END AS url_score FROM b_cand")(lambda c: S.score_url(c).select(*K, "url_score"))
+query(
+    "SF-18", "b_cand",
+    sql=f"""SELECT {k}, greatest(30 * contains(u, lower(make))::INT + CASE WHEN contains(m, '-') THEN 100 ELSE 40 END * contains(u, m)::INT + 20 * (contains(u, 'review') OR contains(u, 'test'))::INT + 10 * (contains(u, '2025') OR contains(u, '2024'))::INT, 0) AS url_score
+    FROM (SELECT *, lower(url) AS u, replace(lower(model), ' ', '-') AS m FROM b_cand)""",
+)(lambda c: S.score_url(c).select(*K, "url_score"))
 query("SF-19", "documents", sql="SELECT doc_id, CASE WHEN length(text) < 100 THEN 0 WHEN contains(lower(text), 'thing') AND contains('a thing', 'thing') AND length(text) >= 1000 THEN 8 END AS shortcut FROM documents")(
     lambda d: S.title_shortcut(d.withColumns({"title": F.lit("A Thing"), "model": F.lit("Thing")})).select("doc_id", "shortcut")
 )

@@ -69,9 +69,9 @@ query(
 )(lambda t, c: J.merge_by_key(t.select("wo_number", "status", "attempt_count", "last_attempt_date"), c.filter("status = 'no_content_found'").select("wo_number", "status", F.lit(1).alias("attempt_count")), ["wo_number"], ["attempt_count"]))
 query(
     "JN-13", "b_clip",
-    sql="""WITH p AS (SELECT CASE WHEN wo_number % 7 = 0 THEN NULL WHEN wo_number % 5 = 0 THEN -wo_number ELSE wo_number END AS wo_number, wo_number AS src, CASE WHEN wo_number % 2 = 0 THEN upper(make) END AS make, model FROM b_clip WHERE make IS NOT NULL)
+    sql="""WITH c AS MATERIALIZED (SELECT wo_number, make, model FROM b_clip), p AS (SELECT CASE WHEN wo_number % 7 = 0 THEN NULL WHEN wo_number % 5 = 0 THEN -wo_number ELSE wo_number END AS wo_number, wo_number AS src, CASE WHEN wo_number % 2 = 0 THEN upper(make) END AS make, model FROM c WHERE make IS NOT NULL)
     SELECT p.wo_number, CASE WHEN p.wo_number IS NULL THEN 'invalid' WHEN b.wo_number IS NULL THEN 'not_found' WHEN (p.make IS NULL OR p.make = b.make) AND (p.model IS NULL OR p.model = b.model) THEN 'no_change' ELSE 'updated' END AS outcome,
-    coalesce(p.make, b.make) AS make, coalesce(p.model, b.model) AS model FROM p LEFT JOIN b_clip b ON p.wo_number = b.wo_number""",
+    coalesce(p.make, b.make) AS make, coalesce(p.model, b.model) AS model FROM p LEFT JOIN c b ON p.wo_number = b.wo_number""",
 )(
     lambda c: J.patch_columns(
         c.select("wo_number", "make", "model"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import state as S
 from ...operators.windows import best_clip
-from ..bindings import AS_OF
+from ..bindings import AS_OF, EVENTS_AS_OF
 from ..registry import query
 
 _RES = "CASE relevance % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'no_content' WHEN 2 THEN 'timeout' WHEN 3 THEN 'blocked_403' ELSE 'other' END"
@@ -43,9 +43,12 @@ query("ST-07", "b_clip", sql=f"SELECT wo_number, CASE WHEN processed_date < DATE
 )
 query("ST-08", "b_clip", sql="SELECT wo_number, coalesce(version, 'v1') AS version, coalesce(relevance, 0) AS relevance FROM b_clip")(lambda c: S.backfill_defaults(c.select("wo_number", "version", "relevance"), {"version": "v1", "relevance": 0}))
 query("ST-09", "b_clip", sql="SELECT wo_number, array_to_string(list_filter([CASE WHEN sentiment IS NOT NULL THEN 'sentiment' END, CASE WHEN version IS NOT NULL THEN 'version' END, CASE WHEN relevance IS NOT NULL THEN 'relevance' END], lambda x: x IS NOT NULL), ',') AS filled FROM b_clip WHERE stage = 'sentiment_analyzed' AND analysed IS NULL")(S.stage_audit)
-query("ST-10", "b_run", sql=f"SELECT run_id, run_status = 'running' AND end_time < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS AS was_stale, CASE WHEN run_status = 'running' AND end_time < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS THEN 'failed' ELSE run_status END AS run_status FROM b_run")(
+query("ST-10", "b_run", sql=f"SELECT run_id, run_status = 'running' AND end_time < TIMESTAMP '{AS_OF}' - INTERVAL 5 MINUTES AS was_stale, CASE WHEN run_status = 'running' AND end_time < TIMESTAMP '{AS_OF}' - INTERVAL 5 MINUTES THEN 'failed' ELSE run_status END AS run_status FROM b_run")(
     lambda r: S.expire_stale(r.withColumnRenamed("end_time", "last_heartbeat"), AS_OF).select("run_id", "was_stale", "run_status")
 )
+query("ST-10b", "b_event", sql=f"SELECT worker_id, CASE WHEN max(ts) < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 5 MINUTES THEN 'offline' ELSE 'online' END AS status FROM b_event GROUP BY worker_id")(
+    lambda e: S.offline_workers(e.groupBy("worker_id").agg(F.max("ts").alias("last_heartbeat")).withColumn("status", F.lit("online")), EVENTS_AS_OF).select("worker_id", "status")
+)
 query("ST-11", "b_run", sql=f"SELECT run_id, date_diff('day', CAST(start_time AS DATE), DATE '{AS_OF}') AS days_running, concat(CAST(successful_finds + failed_attempts AS BIGINT), '/', total_records) AS progress, round(100.0 * (successful_finds + failed_attempts) / total_records, 2)::DOUBLE AS percent FROM b_run WHERE run_status = 'running'")(
     lambda r: S.active_processes(r, AS_OF)
 )

@@ -31,6 +31,9 @@ def one(spark, expr):
         ("2022-06-01", "2022-05-01", "web", None, "too_old"),
         (None, "2025-05-01", "youtube", "https://youtu.be/abcdef", "ok_undated"),
         (None, "2025-05-01", "tiktok", "https://t.com/2020/x", "old_url"),
+        (None, "2025-05-01", "youtube", "https://t.com/2022/x", "ok_undated"),
+        (None, "2025-05-01", "youtube", "https://Archive.org/x", "old_url"),
+        (None, "2025-05-01", "instagram", None, "ok_undated"),
         (None, "2025-05-01", "web", "https://a.com/2020/x", "old_url"),
         (None, "2025-05-01", "web", "https://a.com/x", "undated"),
         (None, "2025-05-01", "radio", None, "unknown_type"),
@@ -51,6 +54,89 @@ def test_trims(spark, model, base, trim):
     assert (row["base_model"], row["trim_level"]) == (base, trim)
 
 
+@pytest.mark.parametrize(
+    "make, model, base, trim",
+    [("Mazda", "MX-5 Miata RF", "MX-5 Miata", "RF"), ("mazda", "MX-5", "MX-5 Miata", "MX-5"), ("Mazda", "MX-5 Miata", "MX-5 Miata", None), ("Mazda", "CX-90 Premium Plus", "CX-90", "Premium Plus"), ("Mazda", "CX-5", "CX-5", None), ("Honda", "Accord EX-L", "Accord", "EX-L"), ("Ford", "Bronco Sport Big Bend", "Bronco Sport Big Bend", None), ("Ford", "Bronco Big Bend", "Bronco", "Big Bend"), ("Kia", "EV6 GT-L", "EV6", "GT-L"), ("Honda", "Sport", "Sport", None)],
+)
+def test_trims_of_makes(spark, make, model, base, trim):
+    row = S.split_trim(spark.createDataFrame([(make, model)], "make string, model string"), make=F.col("make")).first()
+    assert (row["base_model"], row["trim_level"]) == (base, trim)
+
+
+@pytest.mark.parametrize(
+    "url, make, model, author, points",
+    [
+        ("https://a.com/2025/mazda-cx-5-review", "Mazda", "CX-5", None, 160),
+        ("https://a.com/mazda-cx-90-drive", "Mazda", "CX-5", None, 0),
+        ("https://a.com/mazda-cx-50-drive", "Mazda", "CX-5", None, 130),
+        ("https://a.com/honda/civic-road-test-by-lee", "Honda", "Civic", "Ann Lee", 110),
+        ("https://a.com/toyota-or-civic", "Honda", "Civic", "", 0),
+        ("https://a.com/bmw-honda-civic", "Honda", "Civic", None, 20),
+        (None, "Honda", "Civic", None, 0),
+    ],
+)
+def test_url_points(spark, url, make, model, author, points):
+    assert S.score_url(spark.createDataFrame([(url, make, model, author)], "url string, make string, model string, author string")).first()["url_score"] == points
+
+
+@pytest.mark.parametrize(
+    "url, article, old",
+    [
+        ("https://a.com/2025/05/civic-review", True, False),
+        ("https://a.com/2023/05/civic-review", True, True),
+        ("https://a.com/2022-civic-review", True, True),
+        ("https://a.com/civic-review-2021-limited", True, True),
+        ("https://a.com/1999-in-cars", True, True),
+        ("https://a.com/2025/a/2019-b", True, True),
+        ("https://a.com/Search?q=civic", False, False),
+        ("https://a.com/tags/civic", False, False),
+        ("https://a.com/x/photo.PNG", False, False),
+        ("https://a.com/login?next=/feed", True, False),
+        ("", False, False),
+        (None, False, False),
+    ],
+)
+def test_article_and_old_urls(spark, url, article, old):
+    row = spark.createDataFrame([(url,)], "url string").select(U.is_article_url(F.col("url")).alias("article"), U.is_old_url(F.col("url"), "2025-07-01").alias("old")).first()
+    assert (row["article"], row["old"]) == (article, old)
+
+
+def test_text_verdicts(spark):
+    long = "The new car drives well on every road that we tried, and its seats held us for hours. " * 4
+    rows = [
+        (long, "VW Jetta", "https://a.com/x", "off_topic"),
+        (long + "A Jetta.", "VW Jetta", "https://a.com/x", "good"),
+        (long, "Car", "https://a.com/x", "good"),
+        (long[:150], "", "https://a.com/x", "too_short"),
+        (long[:150], "", "https://www.spotlightepnews.com/x", "good"),
+        (long + "Recent posts. Follow us.", "", "https://a.com/x", "sidebar"),
+        (long + "Next page last: NextPageLast, email more more: EmailMoreMore", "", "https://a.com/x", "navigation"),
+        ("A short line of a menu, no more\n" * 9, "", "https://a.com/x", "fragmented"),
+        (None, "", "https://a.com/x", "too_short"),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, text string, topic string, url string, expected string")
+    for r in T.content_quality(df, "text", F.col("topic"), F.col("url")).collect():
+        assert r["quality_verdict"] == r["expected"], r
+    said = spark.createDataFrame([("Read \u00a0 more.\n\nPrivacy Policy Good  car ADVERTISEMENT",)], "t string").select(T.clean_text(F.col("t")).alias("t")).first()
+    assert said["t"] == "Read more.  Good car"
+
+
+@pytest.mark.parametrize(
+    "text, language",
+    [
+        ("el coche de la prensa no es nuevo", "en"),
+        ("el coche de la prensa no es nuevo y se conduce bien en la ciudad", "es"),
+        ("Tous les jours il est bon d'avoir raison avec le temps et à propos", "fr"),
+        ("The quick brown fox jumps over that lazy dog with much joy today", "en"),
+        ("\u0633\u064a\u0627\u0631\u0629 " * 12, "ar"),
+        ("x" * 2000 + " el coche de la prensa no es nuevo y se conduce bien", "en"),
+        (None, "en"),
+    ],
+)
+def test_languages(spark, text, language):
+    assert spark.createDataFrame([(text,)], "t string").select(T.detect_language(F.col("t")).alias("l")).first()["l"] == language
+
+
 @pytest.mark.parametrize(
     "title, model, expected",
     [("2025 hyundai kona limited", "kona limited awd", True), ("the 2025 honda accord touring is a blissful hybrid sedan", "accord hybrid touring", True), ("the mazda cx-50 2.5 turbo review", "cx-50 turbo", True), ("the mazda cx-5 review", "cx-50", False), ("a boat", "civic", False)],
