@@ -19,9 +19,11 @@ def oem_vs_media(clips: DataFrame, oem: DataFrame) -> DataFrame:
 
 
 def prefix_join(clips: DataFrame, oem: DataFrame) -> DataFrame:
-    """Clips whose model begins with the intended model, within the make ("CX-5" also meets "CX-50")."""
-    o = oem.select("make", F.col("model").alias("oem_model"))
-    return clips.join(o, "make").filter(F.startswith("model", "oem_model"))
+    """Clips whose model begins with the intended model, within the make ("CX-5" also meets "CX-50"). Different models meet by each of their prefixes."""
+    models = clips.select("make", "model").distinct()
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("model")), lambda n: F.substring(F.col("model"), F.lit(1), n))
+    begun = models.withColumn("oem_model", F.explode(prefixes)).join(oem.select("make", F.col("model").alias("oem_model")), ["make", "oem_model"])
+    return clips.join(begun, ["make", "model"])
 
 
 def _name(col: str) -> Column:
@@ -36,19 +38,21 @@ def contact_to_person(df: DataFrame, outlets: DataFrame, keep: str = "first") ->
 
 
 def url_outlet_join(urls: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Each person's URLs with those of their outlets whose domain is the URL's or above it."""
+    """Each person's URLs with those of their outlets whose domain is the URL's or above it: the host and what follows each of its dots meet the outlets' hosts."""
     host = lambda c: F.regexp_replace(F.lower(F.try_parse_url(F.col(c), F.lit("HOST"))), r"www\.", "")
-    o = outlets.select("person_id", "outlet_id", "outlet_name", host("outlet_url").alias("_outlet"))
-    hit = (F.col("_host") == F.col("_outlet")) | F.endswith("_host", F.concat(F.lit("."), "_outlet"))
-    return urls.withColumn("_host", host("url")).join(o, "person_id").filter(hit).drop("_host", "_outlet")
+    o = outlets.select("person_id", "outlet_id", "outlet_name", host("outlet_url").alias("_domain"))
+    parts = F.split(host("url"), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return urls.withColumn("_domain", F.explode(above)).join(o, ["person_id", "_domain"]).drop("_domain")
 
 
 def match_outlet(clips: DataFrame, outlets: DataFrame) -> DataFrame:
-    """The person's outlet named as the affiliation, else the first (by id) whose name the affiliation holds, else none."""
+    """The person's outlet named as the affiliation, else the first (by id) whose name the affiliation holds, else none. Each affiliation of a person is matched once."""
     o = outlets.select("person_id", "outlet_id", "outlet_name")
+    named = clips.select("person_id", "affiliation").distinct()
     rank = F.when(F.lower("outlet_name") == F.lower("affiliation"), 1).when(F.contains(F.lower("affiliation"), F.lower("outlet_name")), 2)
-    best = clips.join(o, "person_id").withColumn("_rank", rank).filter("_rank IS NOT NULL").groupBy("wo_number").agg(F.min_by("outlet_name", F.struct("_rank", "outlet_id")).alias("matched_outlet"))
-    return clips.join(best, "wo_number", "left")
+    best = named.join(o, "person_id").withColumn("_rank", rank).filter("_rank IS NOT NULL").groupBy("person_id", "affiliation").agg(F.min_by("outlet_name", F.struct("_rank", "outlet_id")).alias("matched_outlet"))
+    return clips.join(best, ["person_id", "affiliation"], "left")
 
 
 def _touch(a: str, b: str) -> Column:
@@ -62,9 +66,14 @@ def substring_all_matches(left: DataFrame, right: DataFrame, k: Sequence[str], l
     return a.join(b, list(k)).filter(_touch(lcol, rcol))
 
 
-def substring_first_match(left: DataFrame, right: DataFrame, k: Sequence[str], lcol: str, rcol: str) -> DataFrame:
-    """Each left label with its first right label (in their order) or null. Labels are matched once, not once per row."""
-    found = substring_all_matches(left, right, k, lcol, rcol).groupBy(*k, lcol).agg(F.min(rcol).alias(rcol))
+def substring_first_match(left: DataFrame, right: DataFrame, k: Sequence[str], lcol: str, rcol: str, pos: str | None = None) -> DataFrame:
+    """Each left label with its first right label, by the column pos of right (or in their own order), or null. Labels are matched once, not once per row."""
+    pairs = substring_all_matches(left, right, k, lcol, rcol)
+    if pos is None:
+        found = pairs.groupBy(*k, lcol).agg(F.min(rcol).alias(rcol))
+    else:
+        places = right.groupBy(*k, F.lower(F.trim(F.col(rcol))).alias(rcol)).agg(F.min(pos).alias("_pos"))
+        found = pairs.join(places, [*k, rcol]).groupBy(*k, lcol).agg(F.min_by(rcol, F.struct("_pos", rcol)).alias(rcol))
     return left.withColumn(lcol, F.lower(F.trim(F.col(lcol)))).join(found, [*k, lcol], "left")
 
 
@@ -72,9 +81,9 @@ def semantic_match(left: DataFrame, right: DataFrame, synonyms: DataFrame, k: Se
     """Distinct label pairs of a key that share a synonym group or of which one holds the other. synonyms(group, term)."""
     a = left.select(*k, F.lower(F.col(lcol)).alias(lcol)).filter(F.col(lcol) != "").distinct()
     b = right.select(*k, F.lower(F.col(rcol)).alias(rcol)).filter(F.col(rcol) != "").distinct()
-    terms = synonyms.groupBy("group").agg(F.collect_set("term").alias("_terms"))
-    grouped = lambda df, c, g: df.select(c).distinct().join(F.broadcast(terms), F.exists("_terms", lambda t: F.contains(F.col(c), t))).select(c, F.col("group").alias(g))
-    by_group = a.join(b, list(k)).join(grouped(a, lcol, "_g"), lcol).join(grouped(b, rcol, "_h"), rcol).filter("_g = _h").select(*k, lcol, rcol)
+    # Groups are found for each different label, and labels meet by key and group.
+    grouped = lambda df, c: df.join(df.select(c).distinct().join(synonyms, F.contains(F.col(c), F.col("term"))).select(c, "group").distinct(), c)
+    by_group = grouped(a, lcol).join(grouped(b, rcol), [*k, "group"]).select(*k, lcol, rcol)
     return by_group.unionByName(a.join(b, list(k)).filter(_touch(lcol, rcol)).select(*k, lcol, rcol)).distinct()
 
 

@@ -110,8 +110,9 @@ def job_history(runs: DataFrame) -> DataFrame:
 def post_summary(posts: DataFrame, n: int = 10) -> DataFrame:
     """Top creators with their share of all impressions."""
     by = posts.groupBy("creator").agg(F.count("*").alias("posts"), F.sum("impressions").alias("impressions"), F.avg("impressions").alias("mean"))
-    share = F.round(100.0 * F.col("impressions") / F.sum("impressions").over(W.partitionBy(F.lit(0))), 4).cast("double")
-    return by.withColumn("share", share).withColumn("mean", F.round("mean", 4)).orderBy(F.desc("posts"), "creator").limit(n)
+    whole = posts.agg(F.sum("impressions").alias("_all"))  # one row
+    share = F.round(100.0 * F.col("impressions") / F.col("_all"), 4).cast("double")
+    return by.join(F.broadcast(whole)).withColumn("share", share).drop("_all").withColumn("mean", F.round("mean", 4)).orderBy(F.desc("posts"), "creator").limit(n)
 
 
 def post_totals(posts: DataFrame) -> DataFrame:

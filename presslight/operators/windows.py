@@ -75,10 +75,14 @@ def tag_priority(features: DataFrame, k: str, pos: str, primary: int = 3, cap: i
 
 
 def skip_limit(df: DataFrame, ordinal: Sequence[str], skip: int, limit: int | None = None) -> DataFrame:
-    """Rows after the first skip by ordinal, limit of them; skip counts for nothing where there are no more rows than it."""
-    ordered = df.orderBy(*ordinal)
-    out = ordered if df.limit(skip + 1).count() <= skip else ordered.offset(skip)
-    return out if limit is None else out.limit(limit)
+    """Rows after the first skip by ordinal, limit of them; skip counts for nothing where there are no more rows than it.
+
+    One of two parts has rows: the ordered rows after skip, or, by a count in one row, all of them.
+    """
+    part = lambda x: x if limit is None else x.limit(limit)
+    few = df.agg((F.count("*") <= skip).alias("_few")).filter("_few")
+    whole = df.join(F.broadcast(few)).drop("_few")
+    return part(df.orderBy(*ordinal).offset(skip)).union(part(whole.orderBy(*ordinal)))
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

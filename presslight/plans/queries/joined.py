@@ -44,8 +44,8 @@ query(
     ).select("wo_number", "matched_outlet")
 )
 _TOUCH = "(contains(lower(model), lower(feature)) OR contains(lower(feature), lower(model)))"
-query("JN-07", "b_cand", "b_intent", sql=f"SELECT wo_number, url_pos, part_id, price, (SELECT min(lower(feature)) FROM b_intent i WHERE i.make = c.make AND {_TOUCH}) AS feature FROM b_cand c")(
-    lambda c, i: J.substring_first_match(c, i, ["make"], "model", "feature").select("wo_number", "url_pos", "part_id", "price", "feature")
+query("JN-07", "b_cand", "b_intent", sql=f"SELECT wo_number, url_pos, part_id, price, (SELECT arg_min(lower(feature), (length(feature), lower(feature))) FROM b_intent i WHERE i.make = c.make AND {_TOUCH}) AS feature FROM b_cand c")(
+    lambda c, i: J.substring_first_match(c, i.withColumn("place", F.length("feature")), ["make"], "model", "feature", "place").select("wo_number", "url_pos", "part_id", "price", "feature")
 )
 query("JN-08", "b_cand", "b_intent", sql=f"SELECT DISTINCT c.make, lower(model) AS model, lower(feature) AS feature FROM b_cand c JOIN b_intent i ON i.make = c.make AND {_TOUCH}")(
     lambda c, i: J.substring_all_matches(c, i, ["make"], "model", "feature")

@@ -41,21 +41,19 @@ _add(
 
 
 def _attempts(spark, sf_dir):
-    """Each batch merged into the tracking table by its key; the table is rewritten beside the old one."""
+    """Each batch merged into the tracking table by its key; an epoch's table lies beside the one before, which it is made from again after a restart."""
     from ...operators.joins import merge_by_key
 
     base = scratch(spark, "attempts")
-    schema = "worker_id long, attempts long, last_at timestamp_ntz"
-    spark.createDataFrame([], schema).write.parquet(f"{base}/start")
-    state = {"path": f"{base}/start"}
+    schema = spark.createDataFrame([], "worker_id long, attempts long, last_at timestamp_ntz").schema
+    spark.createDataFrame([], schema).write.parquet(f"{base}/table/epoch=-1")
 
     def merge(batch, epoch):
-        old = spark.read.schema(schema).parquet(state["path"])
-        merge_by_key(old, batch, ["worker_id"], ["attempts"]).write.mode("overwrite").parquet(f"{base}/{epoch}")
-        state["path"] = f"{base}/{epoch}"
+        old = S.latest_epoch(batch.sparkSession, f"{base}/table", schema, epoch)
+        merge_by_key(old, batch, ["worker_id"], ["attempts"]).write.mode("overwrite").parquet(f"{base}/table/epoch={epoch}")
 
     S.stream_attempts(S.event_stream(spark, sf_dir), merge, f"{base}/state").awaitTermination()
-    return spark.read.schema(schema).parquet(state["path"])
+    return S.latest_epoch(spark, f"{base}/table", schema)
 
 
 _add("SS-05", _attempts, "SELECT worker_id, count(*) AS attempts, max(ts) AS last_at FROM b_event GROUP BY 1")

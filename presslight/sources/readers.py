@@ -85,9 +85,9 @@ def read_sentiment_json(spark: SparkSession, path: str, schema: str) -> DataFram
 
 
 def profile_json_files(spark: SparkSession, folder: str, keys: Sequence[str] = ("posts", "campaign", "data"), large: int = 100_000) -> DataFrame:
-    """Size, kind and key hits of each JSON file of a folder, largest first."""
-    raw = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), "value")
+    """Size in bytes, kind and key hits of each JSON file of a folder, largest first."""
+    raw = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.col("content").cast("string").alias("value"))
     kind = F.when(F.ltrim("value").startswith("["), "array").when(F.ltrim("value").startswith("{"), "object").otherwise("other")
     hits = F.array_compact(F.array(*(F.when(F.contains("value", F.lit(f'"{k}"')), k) for k in keys)))
-    out = raw.select("file", F.length("value").alias("size"), kind.alias("kind"), F.array_join(hits, ",").alias("keys"), (F.length("value") >= large).alias("large"))
+    out = raw.select("file", F.col("length").alias("size"), kind.alias("kind"), F.array_join(hits, ",").alias("keys"), (F.col("length") >= large).alias("large"))
     return out.withColumn("candidate", (F.col("keys") != "") & (F.col("kind") != "other")).orderBy(F.desc("size"), "file")

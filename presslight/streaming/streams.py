@@ -6,7 +6,6 @@ function takes a streaming (or, for the first three, also a batch) frame with ev
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,18 +63,24 @@ def stream_error_alerts(logs: DataFrame, workers: DataFrame) -> DataFrame:
     return logs.filter(F.col("level").isin("ERROR", "CRITICAL")).join(workers, "worker_id")
 
 
+def latest_epoch(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """The rows of the newest folder epoch=N of path (before a given epoch), as storage has it; after a restart too."""
+    kept = spark.read.schema(schema).option("basePath", path).parquet(path).withColumn("epoch", F.regexp_extract("_metadata.file_path", r"epoch=(-?\d+)/", 1).cast("long"))
+    kept = kept if before is None else kept.filter(F.col("epoch") < before)
+    return kept.join(F.broadcast(kept.agg(F.max("epoch").alias("epoch"))), "epoch", "left_semi").drop("epoch")  # one row
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All a stream gives for the data that is there, as a table: a run with trigger availableNow into a file or memory sink."""
+    """All a stream gives for the data that is there, as a table: a run with trigger availableNow into files; in complete mode each epoch's whole result."""
     spark: SparkSession = stream.sparkSession
     folder = scratch(spark, "stream")
+    out = stream.writeStream.option("checkpointLocation", folder + "/state").trigger(availableNow=True)
     if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
-        q.awaitTermination()
+        out.format("parquet").option("path", folder + "/out").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(folder + "/out")
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/epoch=-1")  # for a stream without data
+    out.outputMode(mode).foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")).start().awaitTermination()
+    return latest_epoch(spark, folder + "/out", stream.schema)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
