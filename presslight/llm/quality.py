@@ -14,6 +14,8 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,22 @@ ADDED = ("held_out", "score", "predicted")
 KEPT_WORDS = 200_000
 
 
+_MASK = (1 << BITS) - 1
+#: Each size of n-gram and the checksum of its digit, with which the checksums of its n-grams begin.
+_STARTS = [(n, zlib.crc32(b"%d" % n)) for n in GRAMS]
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word and of the character n-grams of <word>."""
-    marked, mask = f"<{word}>", (1 << BITS) - 1
-    found = [zlib.crc32(marked.encode()) & mask]
-    for n in GRAMS:
-        found += [zlib.crc32(b"%d" % n + marked[i : i + n].encode()) & mask for i in range(len(marked) - n + 1)] if len(marked) > n else []
+    marked, crc = f"<{word}>", zlib.crc32
+    data = marked.encode()
+    found = [crc(data) & _MASK]
+    for n, start in _STARTS:
+        places = range(len(marked) - n + 1) if len(marked) > n else ()
+        if len(data) == len(marked):
+            found += [crc(data[i : i + n], start) & _MASK for i in places]
+        else:
+            found += [crc(marked[i : i + n].encode(), start) & _MASK for i in places]
     return found
 
 
@@ -128,6 +140,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     return train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.float32)) for r in rows], np.array([r["label"] for r in rows], dtype=int))
 
 
+class _Sums(dict):
+    """Of each word the sum of its buckets' weights and, as the imaginary part, their number; a text's are the sums of its words'."""
+
+    def __init__(self, weights: list[float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> complex:
+        at = features(word)
+        found = self[word] = complex(sum(map(self.weights.__getitem__, at)), len(at))
+        return found
+
+
 def score_documents(docs: DataFrame, model: Model, least: float = 0.3, folds: int = 5) -> DataFrame:
     """docs with held_out, score (of label 1; an empty or null text has the score of no features) and predicted.
 
@@ -143,26 +168,16 @@ def score_documents(docs: DataFrame, model: Model, least: float = 0.3, folds: in
     index = inner.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, sums = shared.value, {}
-        same = (float(m.weights[features(SAME)].sum()), len(features(SAME)))
+        m, known = shared.value, _Sums(shared.value.weights.tolist())
+        same = known[SAME]
         for b in batches:
             scores = []
             for t in b.column(index).to_pylist():
-                total, n, last = 0.0, 0, None
-                for w in (t or "").split():
-                    if w == last:
-                        total += same[0]
-                        n += same[1]
-                    last = w
-                    hit = sums.get(w)
-                    if hit is None:
-                        if len(sums) >= KEPT_WORDS:
-                            sums.clear()
-                        at = features(w)
-                        hit = sums[w] = (float(m.weights[at].sum()), len(at))
-                    total += hit[0]
-                    n += hit[1]
-                scores.append(m.score(total, n))
+                words = (t or "").split()
+                both = sum(map(known.__getitem__, words), 0j) + same * sum(map(eq, words, islice(words, 1, None)))
+                scores.append(m.score(both.real, round(both.imag)))
+            if len(known) >= KEPT_WORDS:
+                known.clear()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=schema.names)
 
     return inner.mapInArrow(scored, schema).withColumns(
