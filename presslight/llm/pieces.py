@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces in a generation; a worker keeps two, and what it meets again moves to the younger one.
-KEPT = 400_000
+KEPT = 300_000
 #: Pieces that go through the whole library as one text.
 JOINED = 4096
 #: In byte-level tokenizers a piece may start at a single space between visible characters, and a line feed between these is a piece.
