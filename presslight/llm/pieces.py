@@ -24,6 +24,8 @@ JOINED = 4096
 #: In byte-level tokenizers a piece may start at a single space between visible characters, and a line feed between these is a piece.
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 _BESIDE = re.compile(r"\s[ \n]|[ \n]\s|\x00")
+#: White space but the space and the line feed; the last of Unicode is U+3000.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: ASCII punctuation but the apostrophe, which starts contractions, and letters of Latin-1 in UTF-8, which no normalisation composes.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTER = rb"(?:[A-Za-z]|\xc2[\xaa\xb5\xba]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
@@ -40,6 +42,13 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters() | {10: "\n"}
 
 
+def _beside(text: str) -> bool:
+    """Whether _BESIDE is found; plain searches tell for texts with no other white space."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
+        return True
+    return any(map(text.__contains__, _OTHER_SPACE)) and _BESIDE.search(text) is not None
+
+
 class PieceEncoder:
     """Encodes whole texts exactly as tokenizer.encode(text, add_special_tokens=False) does.
 
@@ -76,7 +85,7 @@ class PieceEncoder:
         if self.kind == "words":
             return text.encode().split()
         if self.kind == "level":
-            if _BESIDE.search(text):
+            if _beside(text):
                 first, *rest = _SPLIT.split(text)
                 return [b"\0" + first.encode(), *(p[1:].encode() for p in rest)]
             found = text.encode().replace(b"\n", b" \0\n \0").split(b" ")
@@ -138,13 +147,12 @@ class PieceEncoder:
     def learn(self, keys: Iterable[bytes]) -> None:
         """Puts the ids of all of these pieces into the younger generation."""
         ids, (old_ids, old_shown) = self.ids, self.old
-        new = {k for k in keys if k not in ids}
-        again = new.intersection(old_ids)
-        for key in again:
+        absent = set(keys).difference(ids)
+        new = absent.difference(old_ids)  # looks up the set's keys; an intersection with a dict would go through the whole dict
+        for key in absent - new:
             ids[key] = old_ids[key]
             if self.joined:
                 self.shown[key] = old_shown[key]
-        new -= again
         plain = [k for k in new if _is_plain(k)] if self.kind != "whole" else []
         self._learn_plain(plain)
         others = list(new.difference(plain))
