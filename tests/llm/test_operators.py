@@ -14,7 +14,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from presslight.llm import bpe, chat, eliasfano, imatch, knn, lm, minhash, mixing, quality, registry, sharding, tokenfile
+from presslight.llm import bpe, chat, eliasfano, imatch, knn, lm, minhash, mixing, pieces, quality, registry, sharding, tokenfile
 from presslight.llm.pieces import PieceEncoder
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -182,6 +182,29 @@ def test_pieces_are_the_librarys():
 
 # 3
 
+def test_white_space_that_crowds():
+    """The plain searches agree with the pattern for every pair and single of white space, marks and letters."""
+    some = [c for c in map(chr, range(0x3100)) if c.isspace()] + ["\0", "a", "é", "世", "!"]
+    texts = ["", *some, *(f"{x}{a}{b}{y}" for a in some for b in some for x in ("", "w") for y in ("", "w"))]
+    for text in texts:
+        assert pieces._beside(text) == (pieces._BESIDE.search(text) is not None), repr(text)
+    assert not any(c.isspace() for c in map(chr, range(0x3001, 0x110000)))
+
+
+def test_pieces_across_generations(monkeypatch):
+    """A cache that turns over before every batch gives the library's ids, for pieces met in both generations or new."""
+    monkeypatch.setattr(pieces, "KEPT", 3)
+    batches = [[t for _, t, *_ in ODD if t and t != LONG], ["the cat sat", "one two, three! été"], ["the dog, sat!", "one\ntwo  three"], ["", "the cat\u3000sat"]]
+    for path in (WORD_BPE, BYTE_BPE):
+        e, t = PieceEncoder(path), Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        for texts in batches + batches[::-1]:
+            ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+            assert [np.frombuffer(i, "<u4").tolist() for i in e.encode(texts)] == ids
+            assert [shown.decode() for _, shown in e.encode_and_show(texts)] == [t.decode(i, skip_special_tokens=False) for i in ids]
+
+
 def test_quality_on_held_out_labels(spark):
     path = SF.replace("sf0.001", "sf0.01")
     got = registry.QUERIES["op3_quality_classifier"](spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").filter("held_out").toPandas()
