@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, imatch, knn, lm, minhash, mixing, quality, sharding, tokenfile
+from . import bpe, chat, imatch, knn, lm, minhash, mixing, quality, sharding, tokenfile, trie
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_token_files": tokenfile.op10_token_files,
+    "op12_prefix_trie": trie.op12_prefix_trie,
 }
 
 #: The others can't be expressed in SQL; tests/llm hold them against brute force, round trips or held-out labels.
@@ -22,4 +23,5 @@ SQL = {
     "op1_mixing": mixing.SQL,
     "op6_exact_top_k": knn.SQL,
     "op8_chat_formatting": chat.SQL,
+    "op12_prefix_trie": trie.SQL,
 }
