@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, imatch, knn, lm, minhash, mixing, quality, sharding, tokenfile, trie
+from . import bpe, chat, collocations, imatch, knn, lm, minhash, mixing, quality, sharding, tokenfile, trie
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_token_files": tokenfile.op10_token_files,
     "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 #: The others can't be expressed in SQL; tests/llm hold them against brute force, round trips or held-out labels.
@@ -24,4 +25,5 @@ SQL = {
     "op6_exact_top_k": knn.SQL,
     "op8_chat_formatting": chat.SQL,
     "op12_prefix_trie": trie.SQL,
+    "op13_collocations": collocations.SQL,
 }
