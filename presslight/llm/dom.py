@@ -202,57 +202,59 @@ COLUMNS = [
     *(f"is_{t}" for t in TAGS), *(f"in_{t}" for t in ("nav", "header", "footer", "aside", "article", "main", "form", "li", "td", "p")),
 ]
 TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
-WITHIN = [c[3:] for c in COLUMNS if c.startswith("in_")]
-MARKS, STOPS, DIGITS = re.compile(r"[,;:.!?]"), re.compile(r"[.!?]"), re.compile(r"\d")
+BIT = {c[3:]: 1 << i for i, c in enumerate(c for c in COLUMNS if c.startswith("in_"))}
+MARKS, STOPS = re.compile(r"[,;:.!?]"), re.compile(r"[.!?]")
 
 
-def features(page: Page, token_scores: dict[str, float]) -> np.ndarray:
-    """One row of COLUMNS for each node: tag, depth and place among siblings, tokens' scores (own, of ancestors, inside), and what the subtree holds."""
-    n = len(page.tag)
-    parent, end, index = np.array(page.parent), np.array(page.end), np.arange(n)
-    is_run = np.array([t == "run" for t in page.tag])
-    chars = np.array([len(t) for t in page.text], float)
-    per_run = [(len(MARKS.findall(t)), len(STOPS.findall(t)), len(DIGITS.findall(t)), "©" in t) if t else (0, 0, 0, False) for t in page.text]
-    marks, stops, digits, rights = (np.array(x, float) for x in zip(*per_run))
-    own = [[token_scores.get(k, 0.0) for k in t] for t in page.tokens]
-    low, high = np.array([min([0.0, *s]) for s in own]), np.array([max([0.0, *s]) for s in own])
-    over_low, over_high, over_near, depth, child, inside = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, len(WITHIN)))
-    place, kids, previous, following = np.zeros(n), np.zeros(n), np.full(n, -1), np.full(n, -1)
-    latest: dict[int, int] = {}
-    column = {t: i for i, t in enumerate(WITHIN)}
-    near = low + high
-    for i in range(1, n):
-        p = page.parent[i]
+def features(pages: list[Page], token_scores: dict[str, float]) -> np.ndarray:
+    """A row of COLUMNS for each node of some pages: tag, depth and place among siblings, tokens' scores (own, of ancestors, inside), and what the subtree holds."""
+    sizes = [len(p.tag) for p in pages]
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
+    tags, texts, parents, n = [t for p in pages for t in p.tag], [t for p in pages for t in p.text], [q + s if q >= 0 else -1 for p, s in zip(pages, starts.tolist()) for q in p.parent], sum(sizes)
+    if not n:
+        return np.zeros((0, len(COLUMNS)), np.float32)
+    root = np.repeat(starts, sizes)
+    end = np.array([e for p in pages for e in p.end]) + root
+    index, parent = np.arange(n), np.array(parents)
+    parent = np.where(parent < 0, index, parent)
+    chars = np.array([len(t) for t in texts], float)
+    marks, stops, digits, rights = (np.array(x, float) for x in zip(*((len(MARKS.findall(t)), len(STOPS.findall(t)), sum(map(t.count, "0123456789")), "\u00a9" in t) if t else (0, 0, 0, False) for t in texts)))
+    own = [[token_scores.get(k, 0.0) for k in t] if t else () for p in pages for t in p.tokens]
+    low, high = [min(0.0, *x) if x else 0.0 for x in own], [max(0.0, *x) if x else 0.0 for x in own]
+    over_low, over_high, over_near, depth, within = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n, [0] * n
+    place, kids, latest, previous, following = [0] * n, [0] * n, [-1] * n, [-1] * n, [-1] * n
+    inner_low, inner_high, longest = [0.0] * n, [0.0] * n, [len(t) for t in texts]
+    for i, p in enumerate(parents):
+        if p < 0:
+            continue
         over_low[i], over_high[i], depth[i] = min(over_low[p], low[p]), max(over_high[p], high[p]), depth[p] + 1
-        over_near[i] = near[p] or over_near[p]
-        inside[i] = inside[p]
-        if (c := column.get(page.tag[p])) is not None:
-            inside[i, c] = 1
-        place[i], kids[p] = kids[p], kids[p] + 1
-        if (b := latest.get(p)) is not None:
+        over_near[i] = low[p] + high[p] or over_near[p]
+        within[i] = within[p] | BIT.get(tags[p], 0)
+        place[i] = kids[p]
+        kids[p] += 1
+        if (b := latest[p]) >= 0:
             previous[i], following[b] = b, i
         latest[p] = i
+    for i in range(n - 1, -1, -1):
+        if (p := parents[i]) >= 0:
+            inner_low[p], inner_high[p], longest[p] = min(inner_low[p], inner_low[i], low[i]), max(inner_high[p], inner_high[i], high[i]), max(longest[p], longest[i])
     total = lambda x: (c := np.concatenate(([0.0], np.cumsum(x))))[end] - c[index]
-    held, linked, runs, held_marks = total(chars), total(np.array(page.linked, float)), total(is_run.astype(float)), total(marks)
-    inner_low, inner_high = np.zeros(n), np.zeros(n)
-    longest = chars.copy()
-    for i in range(n - 1, 0, -1):
-        p = page.parent[i]
-        inner_low[p], inner_high[p] = min(inner_low[p], inner_low[i], low[i]), max(inner_high[p], inner_high[i], high[i])
-        longest[p] = max(longest[p], longest[i])
-    whole = max(held[0], 1.0)
-    links = linked / np.maximum(held, 1)
-    mean = held / np.maximum(runs, 1)
-    nodes = (end - index).astype(float)
+    held, linked, runs, held_marks = total(chars), total(np.array([x for p in pages for x in p.linked], float)), total([t == "run" for t in tags]), total(marks)
+    passed = np.concatenate(([0.0], np.cumsum(chars)))
+    previous, following, kids = np.array(previous), np.array(following), np.array(kids, float)
+    whole, links, mean, nodes = np.maximum(held[root], 1.0), linked / np.maximum(held, 1), held / np.maximum(runs, 1), (end - index).astype(float)
     at = lambda x, which: np.where(which >= 0, x[which], -1.0)
     numbers = [
-        depth, place / np.maximum(kids[parent], 1), kids[parent], kids, nodes, np.log1p(held), held / whole, np.concatenate(([0.0], np.cumsum(chars)))[index] / whole, links, held / nodes, np.log1p(mean),
+        depth, np.array(place) / np.maximum(kids[parent], 1), kids[parent], kids, nodes, np.log1p(held), held / whole, (passed[index] - passed[root]) / whole, links, held / nodes, np.log1p(mean),
         held_marks / np.maximum(held, 1), total(stops), total(digits) / np.maximum(held, 1), total(rights), low, high, over_low, over_high, over_near,
         np.log1p(np.maximum(at(held, previous), 0)), np.log1p(np.maximum(at(held, following), 0)), at(links, previous), at(links, following), np.log1p(held[parent]), links[parent], np.log1p(mean[parent]), held / np.maximum(held[parent], 1),
-        runs, total(np.array([t == "p" for t in page.tag], float)), inner_low, inner_high, np.log1p(longest),
+        runs, total([t == "p" for t in tags]), inner_low, inner_high, np.log1p(longest),
     ]
-    tags = np.zeros((n, len(TAGS)))
-    for i, t in enumerate(page.tag):
-        if (c := TAG_NUMBER.get(t)) is not None:
-            tags[i, c] = 1
-    return np.column_stack([*numbers, tags, inside]).astype(np.float32)
+    out = np.zeros((n, len(COLUMNS)), np.float32)
+    for j, x in enumerate(numbers):
+        out[:, j] = x
+    kind = np.array([TAG_NUMBER.get(t, -1) for t in tags])
+    known = np.flatnonzero(kind >= 0)
+    out[known, len(numbers) + kind[known]] = 1
+    out[:, len(numbers) + len(TAGS) :] = (np.array(within)[:, None] >> np.arange(len(BIT))) & 1
+    return out

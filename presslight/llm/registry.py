@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, collocations, imatch, knn, lm, minhash, mixing, quality, sharding, tokenfile, trie
+from . import bpe, chat, collocations, htmltext, imatch, knn, lm, minhash, mixing, quality, sharding, tokenfile, trie
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_token_files": tokenfile.op10_token_files,
+    "op11_html_extraction": htmltext.op11_html_extraction,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_collocations": collocations.op13_collocations,
 }
