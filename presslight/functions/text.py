@@ -97,11 +97,6 @@ def sentiment_columns(df: DataFrame, col: str = "sentiment_json") -> DataFrame:
     })
 
 
-def urls_in_json(df: DataFrame, col: str) -> DataFrame:
-    """Distinct URLs anywhere in a JSON text, one row each."""
-    return df.select("*", F.explode(F.array_distinct(F.regexp_extract_all(col, F.lit(r"(https?://[^\s\"\\<>]+)"), F.lit(1)))).alias("url"))
-
-
 def clean_text(col: Column) -> Column:
     """Runs of white space as single spaces, then boilerplate phrases left out."""
     # Phrases that pages carry around their text.

@@ -101,12 +101,9 @@ query("SF-30", "b_cand", sql=f"SELECT {k}, CASE WHEN url_pos - 1 > 0 THEN round(
 query("SF-32", "b_cand", sql=f"SELECT {k}, relevance AS score, model AS name FROM b_cand")(
     lambda c: T.repair_json(c.withColumn("answer", F.concat(F.lit('Sure! ```json\n{"score": '), F.col("relevance").cast("string"), F.lit(', "name": "'), "model", F.lit('",}\n``` done'))), "answer", "score int, name string").select(*K, "repaired.score", "repaired.name")
 )
-query("SF-34", "b_cand", sql=f"SELECT {k}, sentiment AS classification, 2 AS features_count, 1 AS attributes_count, 0 AS drivers_count FROM b_cand")(
+query("SF-34c", "b_cand", sql=f"SELECT {k}, sentiment AS classification, 2 AS features_count, 1 AS attributes_count, 0 AS drivers_count FROM b_cand")(
     lambda c: T.sentiment_columns(c.withColumn("sentiment_json", F.to_json(F.struct(F.struct(F.col("sentiment").alias("overall")).alias("sentiment_classification"), F.array("model", "trim").alias("key_features_mentioned"), F.array("trim").alias("brand_attributes_identified"))))).select(*K, "classification", "features_count", "attributes_count", "drivers_count")
 )
-query("SF-35", "b_cand", sql=f"SELECT {k}, replace(url, ' ', '') AS url FROM b_cand UNION ALL SELECT {k}, concat('http://x.com/', trim) FROM b_cand")(
-    lambda c: T.urls_in_json(c.select(*K, F.to_json(F.struct(F.replace("url", F.lit(" "), F.lit("")).alias("a"), F.struct(F.concat(F.lit("http://x.com/"), "trim").alias("c"), F.replace("url", F.lit(" "), F.lit("")).alias("d")).alias("b"))).alias("j")), "j").select(*K, "url")
-)
 query("SF-37", "b_cand", sql=f"SELECT {k}, url AS source_url FROM b_cand")(
     lambda c: U.first_source_url(c.withColumn("original_urls", F.when(F.col("relevance") % 2 == 0, F.to_json(F.array("url", F.lit("b")))).otherwise(F.concat("url", F.lit(";b"))))).select(*K, "source_url")
 )
