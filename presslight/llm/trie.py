@@ -81,10 +81,11 @@ def with_lent_heads(turns: DataFrame, span: int = 100, most: int = 6) -> tuple[D
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted (key, conv_id) -> comma-joined runs of at most RUN ids of one key."""
     for pdf in batches:
-        for key, ids in pdf.groupby("key", sort=False)["conv_id"]:
-            for at in range(0, len(ids), RUN):
-                part = ids.iloc[at : at + RUN]
-                yield pd.DataFrame({"key": [key], "conv_id": [part.iloc[0]], "n_convs": [len(part)], "ids": [",".join(map(str, part))]})
+        key, ids = pdf["key"].to_numpy(object), pdf["conv_id"].tolist()
+        starts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+        parts = [(a, min(a + RUN, end)) for begin, end in zip(starts, starts[1:]) for a in range(begin, end, RUN)]
+        rows = [(key[a], ids[a], b - a, ",".join(map(str, ids[a:b]))) for a, b in parts]
+        yield pd.DataFrame(rows, columns=["key", "conv_id", "n_convs", "ids"])
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
