@@ -100,15 +100,6 @@ def model_variations(vehicles: DataFrame) -> DataFrame:
     return vehicles.select("make", "model").dropna().distinct().mapInPandas(made, "make string, model string, variation string")
 
 
-def fuzzy_match(docs: DataFrame, variations: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """docs(doc_id, make, text) with each vehicle of their make: whether a variation is in the text, or enough of the model's words are."""
-    v = variations.groupBy("make", "model").agg(F.collect_set("variation").alias("_v"))
-    words = F.split(F.lower("model"), r"[\s-]+")
-    share = F.size(F.filter(words, lambda w: F.contains(F.lower("text"), w))) / F.size(words)
-    hit = F.exists("_v", lambda x: F.contains(F.lower("text"), x)) | (share >= threshold)
-    return docs.join(v, "make").select("doc_id", "make", "model", hit.alias("matched"))
-
-
 def link_tier_score(links: DataFrame, variations: DataFrame) -> DataFrame:
     """1000 to 300 by whether make, a full variation, base model and variant are in the URL or its title; 0 without."""
     v = variations.groupBy("make", "model").agg(F.collect_set("variation").alias("_v"))

@@ -1,3 +1,3 @@
 """Registered queries, by group."""
 
-from . import basics, documents, files, functions, joined, messages, reports, states, streams  # noqa: F401
+from . import basics, documents, files, functions, joined, matching, messages, reports, states, streams  # noqa: F401

@@ -147,7 +147,6 @@ def _vehicles(p):
 
 
 query("SF-09", "part")(lambda p: S.model_variations(_vehicles(p)))
-query("SF-10", "b_cand", "part")(lambda c, p: S.fuzzy_match(c.select(F.col("url").alias("doc_id"), "make", F.col("url").alias("text")).distinct(), S.model_variations(_vehicles(p))).filter("matched"))
 query("SF-11", "b_cand", "part")(lambda c, p: S.link_tier_score(c.select(*K, "make", "model", "url"), S.model_variations(_vehicles(p))).select(*K, "tier_score"))
 query("TK-02", "b_cand", "part")(lambda c, p: S.top_links(c.select(*K, "make", "model", "url"), S.model_variations(_vehicles(p)), ["make"], 10))
 query("SF-12", "b_cand", sql=f"SELECT {k}, relevance % 3 <> 2 AS matched FROM b_cand")(
