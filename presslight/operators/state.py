@@ -114,12 +114,21 @@ def active_processes(procs: DataFrame, as_of) -> DataFrame:
 
 
 def split_oem_document(oem: DataFrame) -> dict[str, DataFrame]:
-    """A document's child rows: features, attributes, drivers, each with its position from 1."""
+    """A document's child rows: features, attributes, drivers, each with its position from 1. What its entries leave out gets the defaults of a manual entry."""
+
     def rows(field: str) -> DataFrame:
         return oem.select("model_id", F.posexplode(field).alias("_p", "_x")).withColumn("position", F.col("_p") + 1)
 
+    def value(field: str, name: str, default: str):
+        there = name in oem.schema[field].dataType.elementType.fieldNames()
+        return (F.coalesce(f"_x.{name}", F.lit(default)) if there else F.lit(default)).alias(name)
+
+    features, drivers = "key_features_intended", "purchase_drivers_intended"
     return {
-        "features": rows("key_features_intended").select("model_id", "position", F.col("_x.feature").alias("feature"), F.coalesce("_x.priority", F.when(F.col("position") <= 3, "primary").otherwise("secondary")).alias("priority")),
-        "attributes": rows("brand_attributes_intended").select("model_id", "position", F.col("_x").alias("attribute")),
-        "drivers": rows("purchase_drivers_intended").select("model_id", "position", F.col("_x.reason").alias("reason"), F.col("_x.priority").alias("priority")),
+        "features": rows(features).select(
+            "model_id", "position", F.col("_x.feature").alias("feature"), value(features, "category", ""), F.coalesce("_x.priority", F.when(F.col("position") <= 3, "primary").otherwise("secondary")).alias("priority"),
+            value(features, "messaging", ""), value(features, "target_sentiment", "positive"),
+        ),
+        "attributes": rows("brand_attributes_intended").select("model_id", "position", F.col("_x").alias("attribute"), F.lit("core").alias("importance")),
+        "drivers": rows(drivers).select("model_id", "position", F.col("_x.reason").alias("reason"), F.col("_x.priority").alias("priority"), value(drivers, "target_audience", "")),
     }

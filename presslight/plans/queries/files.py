@@ -14,6 +14,7 @@ from ...operators.windows import best_clip
 from ...sources import readers as R
 from ...sources import writers as Wr
 from ...sources.scratch import scratch
+from ...sources.versions import VersionedTables
 from ..bindings import AS_OF, bind, duck
 from ..registry import QUERIES, SQL, query
 
@@ -131,7 +132,11 @@ def _sk05(c):
 
 @query("SK-06", "b_clip", sql="SELECT wo_number, CASE WHEN stage = 'rejected' THEN 'rejected' ELSE status END AS status FROM b_clip")
 def _sk06(c):
-    return Wr.upsert_table(c.select("wo_number", "status"), c.filter("stage = 'rejected'").select("wo_number", F.lit("rejected").alias("status")), ["wo_number"], _path(c, "clips"))
+    tables = VersionedTables(c.sparkSession, _path(c, "clips"))
+    tables.publish(lambda old: {"clips": c.select("wo_number", "status")})
+    Wr.upsert_version(tables, "clips", c.filter("stage = 'rejected'").select("wo_number", F.lit("rejected").alias("status")), ["wo_number"])
+    tables.expire(keep=1)
+    return tables.read("clips")
 
 
 def _with_states(p):

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import state as S
 from ...operators.windows import best_clip
+from ...sources.scratch import scratch
+from ...sources.versions import VersionedTables
+from ...sources.writers import save_oem_documents
 from ..bindings import AS_OF, EVENTS_AS_OF
 from ..registry import query
 
@@ -52,11 +58,42 @@ query("ST-10b", "b_event", sql=f"SELECT worker_id, CASE WHEN max(ts) < TIMESTAMP
 query("ST-11", "b_run", sql=f"SELECT run_id, date_diff('day', CAST(start_time AS DATE), DATE '{AS_OF}') AS days_running, concat(CAST(successful_finds + failed_attempts AS BIGINT), '/', total_records) AS progress, round(100.0 * (successful_finds + failed_attempts) / total_records, 2)::DOUBLE AS percent FROM b_run WHERE run_status = 'running'")(
     lambda r: S.active_processes(r, AS_OF)
 )
-query("ST-12", "part", sql="SELECT p_brand AS model_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS position, p_name AS feature, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3 THEN 'primary' ELSE 'secondary' END AS priority FROM part WHERE p_name IS NOT NULL")(
-    lambda p: S.split_oem_document(
-        p.filter("p_name IS NOT NULL").groupBy(F.col("p_brand").alias("model_id")).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: F.struct(s["p_name"].alias("feature"), F.lit(None).cast("string").alias("priority"))).alias("key_features_intended"),
-            F.array(F.lit("a")).alias("brand_attributes_intended"), F.array(F.struct(F.lit("r").alias("reason"), F.lit(1).alias("priority"))).alias("purchase_drivers_intended"),
-        )
-    )["features"]
+
+
+def _documents(p):
+    """A document for each brand from its parts: features by part, attributes by type, drivers by size."""
+    named = p.filter("p_name IS NOT NULL")
+    of = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
+    return named.groupBy(F.col("p_brand").alias("model_id")).agg(
+        F.first("p_brand").alias("make"), F.min("p_name").alias("model"), F.max("p_size").alias("year"), F.min("p_type").alias("positioning_statement"), F.max("p_type").alias("target_audience"),
+        F.transform(of("p_partkey", "p_name", "p_type", "p_size"), lambda s: F.struct(s["p_name"].alias("feature"), s["p_type"].alias("category"), F.when(s["p_size"] % 2 == 0, "secondary").alias("priority"))).alias("key_features_intended"),
+        F.array_sort(F.collect_set("p_type")).alias("brand_attributes_intended"),
+        F.transform(F.array_sort(F.collect_set("p_size")), lambda s: F.struct(F.concat(F.lit("size "), s).alias("reason"), s.alias("priority"), F.lit("all").alias("target_audience"))).alias("purchase_drivers_intended"),
+    )
+
+
+@query(
+    "ST-12", "part",
+    sql="""WITH d AS (SELECT * FROM part WHERE p_name IS NOT NULL),
+    n AS (SELECT p_brand AS model_id, 'features' AS kind, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS position, p_name AS item, CASE WHEN p_size % 2 = 0 THEN 'secondary' WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3 THEN 'primary' ELSE 'secondary' END AS more FROM d
+      UNION ALL SELECT p_brand, 'attributes', row_number() OVER (PARTITION BY p_brand ORDER BY p_type)::INTEGER, p_type, NULL FROM (SELECT DISTINCT p_brand, p_type FROM d)
+      UNION ALL SELECT p_brand, 'drivers', row_number() OVER (PARTITION BY p_brand ORDER BY p_size)::INTEGER, concat('size ', p_size), CAST(p_size AS STRING) FROM (SELECT DISTINCT p_brand, p_size FROM d))
+    SELECT model_id, 'models' AS kind, 0 AS position, min(p_name) AS item, concat(min(p_type), '/', max(p_type), '/', CAST(max(p_size) AS STRING)) AS more FROM (SELECT p_brand AS model_id, * FROM d) GROUP BY 1
+    UNION ALL SELECT * FROM n""",
 )
+def _st12(p):
+    """Documents with other content are saved first, for every second brand; the whole ones replace their children and update the parents."""
+    tables = VersionedTables(p.sparkSession, scratch(p.sparkSession, "oem"))
+    whole = _documents(p)
+    first = whole.filter(F.crc32("model_id") % 2 == 0).withColumns({"model": F.lit("draft"), "key_features_intended": F.slice("key_features_intended", 1, 1), "brand_attributes_intended": F.array(F.lit("draft"))})
+    save_oem_documents(tables, first)
+    save_oem_documents(tables, whole)
+    tables.expire(keep=1)
+    text = lambda c: F.col(c).cast("string")
+    rows = [
+        tables.read("models").select("model_id", F.lit("models").alias("kind"), F.lit(0).alias("position"), F.col("model").alias("item"), F.concat_ws("/", "positioning_statement", "target_audience", text("year")).alias("more")),
+        tables.read("features").select("model_id", F.lit("features").alias("kind"), "position", F.col("feature").alias("item"), F.col("priority").alias("more")),
+        tables.read("attributes").select("model_id", F.lit("attributes").alias("kind"), "position", F.col("attribute").alias("item"), F.lit(None).cast("string").alias("more")),
+        tables.read("drivers").select("model_id", F.lit("drivers").alias("kind"), "position", F.col("reason").alias("item"), text("priority").alias("more")),
+    ]
+    return reduce(DataFrame.unionByName, rows)

@@ -6,9 +6,12 @@ data stay open; the SQL leaves out the same ones.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ...sources.scratch import scratch
+from ...sources.versions import VersionedTables
 from ...streaming import streams as S
 from ..bindings import duck
 from ..registry import QUERIES, SQL
@@ -35,28 +38,43 @@ _add(
     SELECT worker_id, min(ts) AS started, max(ts) + INTERVAL 5 MINUTES AS ended, count(*) AS events FROM n GROUP BY worker_id, burst HAVING max(ts) + INTERVAL 5 MINUTES <= {_CLOSED}""",
 )
 _add(
-    "SS-04", lambda s, d: S.run_available(S.stream_stale(S.event_stream(s, d), "2024-01-31", "48 hours"), "complete").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz")),
+    "SS-04b", lambda s, d: S.run_available(S.stream_stale(S.event_stream(s, d), "2024-01-31", "48 hours"), "complete").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz")),
     "SELECT worker_id, max(ts) AS last_seen, max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 48 HOURS AS stale FROM b_event GROUP BY 1",
 )
 
 
-def _attempts(spark, sf_dir):
-    """Each batch merged into the tracking table by its key; an epoch's table lies beside the one before, which it is made from again after a restart."""
-    from ...operators.joins import merge_by_key
+def _silences(spark, sf_dir):
+    with S.keyed_state(spark):
+        return S.run_available(S.stream_silences(S.event_stream(spark, sf_dir), timedelta(hours=48))).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_seen", "stale_at")})
 
-    base = scratch(spark, "attempts")
-    schema = spark.createDataFrame([], "worker_id long, attempts long, last_at timestamp_ntz").schema
-    spark.createDataFrame([], schema).write.parquet(f"{base}/table/epoch=-1")
 
-    def merge(batch, epoch):
-        old = S.latest_epoch(batch.sparkSession, f"{base}/table", schema, epoch)
-        merge_by_key(old, batch, ["worker_id"], ["attempts"]).write.mode("overwrite").parquet(f"{base}/table/epoch={epoch}")
+_add(
+    "SS-04", _silences,
+    f"""SELECT worker_id, ts AS last_seen, ts + INTERVAL 48 HOURS AS stale_at FROM (SELECT worker_id, ts, lead(ts) OVER (PARTITION BY worker_id ORDER BY ts) AS next FROM b_event)
+    WHERE (next IS NULL OR next > ts + INTERVAL 48 HOURS) AND ts + INTERVAL 48 HOURS <= {_CLOSED}""",
+)
 
-    S.stream_attempts(S.event_stream(spark, sf_dir), merge, f"{base}/state").awaitTermination()
-    return S.latest_epoch(spark, f"{base}/table", schema)
+#: What came of an attempt, by the level of its log line.
+_RESULT = "CASE level WHEN 'ERROR' THEN 'crawl_failed' WHEN 'CRITICAL' THEN 'blocked_403' WHEN 'WARNING' THEN 'no_content' ELSE 'success' END"
 
 
-_add("SS-05", _attempts, "SELECT worker_id, count(*) AS attempts, max(ts) AS last_at FROM b_event GROUP BY 1")
+def _attempts(spark, sf_dir):
+    """The log as attempts, each batch published as a version of the tracking table."""
+    base = scratch(spark, "attempts")
+    tables = VersionedTables(spark, f"{base}/tables")
+    log = S.event_stream(spark, sf_dir).select(F.col("worker_id").alias("wo_number"), F.expr(_RESULT).alias("result"), F.col("ts").alias("at"))
+    S.stream_attempts(log, tables, "tracking", f"{base}/state").awaitTermination()
+    tables.expire(keep=1)
+    return tables.read("tracking").withColumn("last_attempt_date", F.col("last_attempt_date").cast("timestamp_ntz"))
+
+
+_add(
+    "SS-05", _attempts,
+    f"""WITH a AS (SELECT worker_id AS wo_number, ts, {_RESULT} AS result FROM b_event),
+    l AS (SELECT wo_number, count(*) AS attempt_count, max(ts) AS tried_at, max_by(result, {{'t': ts, 'r': result}}) AS result FROM a GROUP BY wo_number)
+    SELECT wo_number, CASE WHEN result = 'success' THEN 'found' ELSE 'searching' END AS status, tried_at AS last_attempt_date, attempt_count,
+    CAST(tried_at AS DATE) + CASE result WHEN 'no_content' THEN 4 WHEN 'blocked_403' THEN 2 WHEN 'crawl_failed' THEN 1 END AS retry_after FROM l""",
+)
 _add("SS-06", lambda s, d: S.run_available(S.stream_first_by_key(S.event_stream(s, d).unionByName(S.event_stream(s, d)), "event_id")).select("event_id", "worker_id"), "SELECT event_id, worker_id FROM b_event")
 _add(
     "SS-07", lambda s, d: S.run_available(S.stream_error_alerts(S.event_stream(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("worker_id"), "c_name"))).select("event_id", "level", "c_name"),
