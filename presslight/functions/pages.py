@@ -124,35 +124,6 @@ def parse(html: str | None) -> _Page:
     return page
 
 
-def _article(html: str | None) -> tuple[str, str, str]:
-    """Title, text and method: the block with the most paragraph text, else all paragraphs, else the stripped page."""
-    page = parse(html)
-    by: dict[int, int] = {}
-    for block, text in page.paragraphs:
-        by[block] = by.get(block, 0) + len(text)
-    title = page.h1 or page.title
-    if by:
-        best = max(by, key=lambda b: (by[b], -b))
-        kept = [t for b, t in page.paragraphs if b == best]
-        if by[best] >= 0.6 * sum(by.values()):
-            return title, "\n".join(kept), "container"
-        return title, "\n".join(t for _, t in page.paragraphs), "paragraphs"
-    text = re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]+>", " ", html or "")
-    return title, re.sub(r"\s+", " ", text).strip(), "stripped"
-
-
-def extract_articles(pages: DataFrame) -> DataFrame:
-    """page_id, title, text, method, n_chars and quality of each page."""
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *_article(h)) for i, h in zip(pdf["page_id"], pdf["html"])]
-            yield pd.DataFrame(rows, columns=["page_id", "title", "text", "method"])
-
-    out = pages.select("page_id", "html").mapInPandas(made, "page_id long, title string, text string, method string")
-    return out.withColumn("n_chars", F.length("text")).withColumn("quality", F.when(F.col("n_chars") < 100, "poor").when(F.col("method") == "container", "good").otherwise("fair"))
-
-
 def _links(url: str | None, html: str | None) -> list[tuple[str, str, str]]:
     """Distinct absolute links with anchor text and category, likely articles first, each as where it is likeliest."""
     own, seen = urlsplit(url or "").netloc.lower(), {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import articles as A
 from ...functions import dates as D
 from ...functions import pages as P
 from ...functions import text as T
@@ -147,7 +148,7 @@ def _with_states(p):
     return p.select("page_id", F.concat(F.substring("html", F.lit(1), at - 1), script, F.substring("html", at, F.length("html"))).alias("html"))
 
 
-query("UD-01", "pages")(lambda p: P.extract_articles(p))
+query("UD-01", "pages")(lambda p: A.extract_articles(p))
 query("UD-02", "pages")(lambda p: P.extract_links(p))
 query("UD-02b", "pages")(lambda p: P.link_counts(p))
 query("UD-03", "pages")(lambda p: P.extract_bylines(p))

@@ -193,9 +193,6 @@ HTML = """<html><head><title>T</title><meta name="author" content="Pat Doe"><scr
 
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "https://a.com/x", HTML), (2, None, None), (3, "https://a.com/y", "plain <b>words</b>")], "page_id long, url string, html string")
-    rows = {r["page_id"]: r for r in P.extract_articles(pages).collect()}
-    assert rows[1]["title"] == "Head" and rows[1]["text"] == "First paragraph of the article, long enough.\nSecond paragraph next of the article." and rows[1]["method"] == "container"
-    assert rows[2]["text"] == "" and rows[3]["text"] == "plain words"
     assert [(r["link"], r["anchor"], r["category"]) for r in P.extract_links(pages).collect()] == [("https://a.com/next", "next", "article")]
     assert {r["page_id"]: r["byline"] for r in P.extract_bylines(pages).collect()} == {1: "Pat Doe", 2: None, 3: None}
     assert {r["page_id"]: r["page_date"] for r in P.page_date(pages, "2025-07-01").collect()} == {1: dt.date(2025, 2, 3), 2: None, 3: None}
