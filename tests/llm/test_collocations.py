@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
+import pandas as pd
 
 from presslight.llm import collocations
 
@@ -49,23 +49,43 @@ def texts(n, rng):
         yield i, "".join(w + m for w, m in zip(words, marks)), rng.choice(["en", "en", "fr", None, ""])
 
 
-@pytest.mark.parametrize("slice_, run", [(1 << 20, 1 << 20), (40, 100)])
-def test_equals_brute_force(spark, monkeypatch, slice_, run):
-    monkeypatch.setattr(collocations, "SLICE", slice_)
-    monkeypatch.setattr(collocations, "RUN", run)
+def test_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "CODED", 5)  # some words have codes, some have none
     rows = list(texts(400, random.Random(3)))
     for how in ({"least": 5, "percent": 80, "top": 40}, {"least": 2, "percent": 50, "top": 2000}):
         assert made(spark, rows, **how) == brute(rows, **how)
 
 
-def test_full_table_changes_no_count(spark, monkeypatch):
-    """With eight slots or so, every word and pair seems frequent; only the work grows."""
-    monkeypatch.setattr(collocations, "_holds", lambda table, hashes: hashes == hashes)
+def test_full_tables_change_no_count(spark, monkeypatch):
+    """Where every slot is taken, every word and pair seems frequent; only the work grows."""
+    monkeypatch.setattr(collocations, "bit_table", lambda hashes: b"\xff" * (collocations.TABLE_BITS // 8))
     rows = list(texts(150, random.Random(4)))
     how = {"least": 4, "percent": 80, "top": 100}
     assert made(spark, rows, **how) == brute(rows, **how)
 
 
+def test_slices_and_runs_change_nothing(monkeypatch):
+    """The workers' functions, called here, over texts cut where pieces end and flushed often."""
+    rng = random.Random(6)
+    pdf = pd.DataFrame([(lang or "und", text) for _, text, lang in texts(200, rng)], columns=["lang", "text"])
+
+    def all_of():
+        counts, ids = Counter(), defaultdict(list)
+        for out in collocations._word_counts(iter([pdf])):
+            for lang, word, n in out.itertuples(index=False):
+                counts[lang, word] += n
+        for lang, found in collocations._hashed(iter([pdf])):
+            ids[lang] += found.tolist()
+        packed = {lang: [x for i, x in enumerate(v) if x or (i and v[i - 1])] for lang, v in ids.items()}  # empty pieces don't count
+        return counts, packed
+
+    whole = all_of()
+    monkeypatch.setattr(collocations, "SLICE", 20)
+    monkeypatch.setattr(collocations, "RUN", 50)
+    monkeypatch.setattr(collocations, "REMEMBERED", 5)
+    assert all_of() == whole and sum(whole[0].values()) == sum(x > 0 for v in whole[1].values() for x in v)
+
+
 def test_odd_rows_and_empty_table(spark):
     rows = [(1, None, "en"), (2, "", None), (3, " \t\n..", "en"), (4, "one", "en"), (None, "Red Car " * 30_000, "en"), (5, "Red Car", None), (5, "Red Car", None), (6, "red car! red\ncar", "und")]
     how = {"least": 2, "percent": 80, "top": 2000}

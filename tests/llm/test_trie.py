@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
 from presslight.llm import trie
@@ -56,13 +57,24 @@ def made(spark, rows):
 @pytest.mark.parametrize("turns", [1, 7, 100_000])
 def test_equals_brute_force_whatever_the_blocks(spark, monkeypatch, turns):
     monkeypatch.setattr(trie, "BLOCK_TURNS", turns)
-    monkeypatch.setattr(trie, "RUN", 3)
     rng = random.Random(5)
     rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice("ab" if c % 3 else ["é" * rng.randrange(4), "b"])) for c in range(95, 330) if c != 200 for t in range(rng.randrange(9))]
     rows += [(c, t, "user", "same") for c in range(1000, 1060) for t in range(4)]  # many copies of one conversation
     assert made(spark, rows) == brute(rows)
 
 
+def test_digests_of_runs_of_any_length(monkeypatch):
+    """The workers' functions, called here: runs of a key over several batches give the digest of all its ids."""
+    ids = {"a": list(range(-3, 20)), "b": [5], "c": list(range(100, 130))}
+    rows = [(k, i) for k, v in ids.items() for i in v]
+    for run in (1, 4, 8192):
+        monkeypatch.setattr(trie, "RUN", run)
+        for size in (1, 7, 100):
+            batches = [pd.DataFrame(rows[i : i + size], columns=["key", "conv_id"]) for i in range(0, len(rows), size)] + [pd.DataFrame([], columns=["key", "conv_id"])]
+            found = [tuple(r) for out in trie._digests(trie._runs(iter(batches))) for r in out.itertuples(index=False)]
+            assert found == [(k, v[0], len(v), hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()) for k, v in ids.items()]
+
+
 def test_odd_rows(spark):
     rows = [
         (7, None, None, None), (7, 1, "user", ""), (7, 1, "user", ""), (7, 1, None, "x"),  # nulls, ties, repeated rows
