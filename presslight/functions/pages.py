@@ -254,13 +254,44 @@ def embedded_json(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(made, "page_id long, position int, json string")
 
 
+_ITEM = "struct<title: string, link: array<struct<_VALUE: string, _href: string>>, description: string, summary: string, content: string>"
+#: RSS (items in the channel, or beside it) and Atom (entries) under one schema; names with a prefix are other names.
+FEED = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>, _broken string"
+
+
+def parse_feeds(feeds: DataFrame) -> DataFrame:
+    """feeds(page_id, xml) -> page_id, kind (rss, atom), items and, for documents without any, reject_reason (empty, broken, no_items).
+
+    A document is parsed whole or not at all; namespaces, attributes and CDATA are the parser's care.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "attributePrefix": "_", "valueTag": "_VALUE"}
+    blank = F.coalesce(F.trim("xml"), F.lit("")) == ""
+    # text before the root, such as a byte order mark, is not the document's
+    parsed = feeds.withColumn("_d", F.when(~blank, F.from_xml(F.regexp_replace("xml", r"^[^<]+", ""), FEED, options)))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    items = F.coalesce(some("_d.channel.item"), some("_d.item"), some("_d.entry"))
+    kind = F.when((F.size("_d.channel.item") > 0) | (F.size("_d.item") > 0), "rss").when(F.size("_d.entry") > 0, "atom")
+    reason = F.when(blank, "empty").when(F.col("_d._broken").isNotNull() | F.col("_d").isNull(), "broken").when(items.isNull(), "no_items")
+    return parsed.select("page_id", F.when(reason.isNull(), kind).alias("kind"), F.when(reason.isNull(), items).alias("items"), reason.alias("reject_reason"))
+
+
 def feed_items(feeds: DataFrame, term: str) -> DataFrame:
-    """Items of RSS documents (page_id, xml) whose title or description holds a term; documents that don't parse give none."""
-    sound = feeds.filter(F.col("xml").isNotNull() & F.contains("xml", F.lit("<item>")))
-    lists = sound.select("page_id", *(F.xpath("xml", F.lit(f"rss/channel/item/{t}/text()")).alias(t) for t in ("title", "link", "description")))
-    items = lists.select("page_id", F.posexplode(F.arrays_zip("title", "link", "description")).alias("position", "_i")).select("page_id", "position", "_i.title", "_i.link", "_i.description")
-    hit = F.contains(F.lower("title"), F.lit(term.lower())) | F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lit(term.lower()))
-    return items.filter(hit)
+    """Items of RSS and Atom documents (page_id, xml) whose title or description holds a term: page_id, kind, position, title, link, description.
+
+    The description is the item's own, else its summary, else its content; the link its first one's address, else its text.
+    """
+    items = parse_feeds(feeds).select("page_id", "kind", F.posexplode("items").alias("position", "_i"))
+    link = F.get("_i.link", F.lit(0))
+    items = items.select(
+        "page_id", "kind", "position", F.trim(F.coalesce("_i.title", F.lit(""))).alias("title"), F.trim(F.coalesce(F.nullif(link["_href"], F.lit("")), link["_VALUE"])).alias("link"),
+        F.trim(F.coalesce("_i.description", "_i.summary", "_i.content", F.lit(""))).alias("description"),
+    )
+    return items.filter(F.contains(F.lower("title"), F.lit(term.lower())) | F.contains(F.lower("description"), F.lit(term.lower())))
+
+
+def feed_rejects(feeds: DataFrame) -> DataFrame:
+    """Documents that gave no items, with the reason."""
+    return parse_feeds(feeds).filter("reject_reason IS NOT NULL").select("page_id", "reject_reason")
 
 
 # Words by which features fall into categories (the first that fits), features found by pattern, and attributes by lexicon.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import answers as An
 from ...functions import documents as D
 from ..registry import query
 
@@ -44,3 +45,24 @@ query(
     sql="""SELECT event_id, CASE WHEN t.parent IS NULL THEN '$' ELSE concat('$.', t.key) END AS path, CASE WHEN t.parent IS NULL THEN 0 ELSE 1 END AS depth, CASE t.type WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind, CASE WHEN t.type <> 'OBJECT' THEN CAST(t.atom AS STRING) END AS value
     FROM events, json_tree(props) AS t""",
 )(lambda e: D.json_nodes(e, "props", ["event_id"]))
+
+#: By relevance: a fenced answer without a score, one amid other text, one without commas between objects, one broken off, none.
+_ANSWER = """CASE relevance % 6 WHEN 0 THEN concat('Sure! ```json\n{"name": "', model, '", "aspects": {"value": {"score": ', CAST(url_pos AS STRING), '}, "design": {"score": ', CAST(url_pos + 1 AS STRING), ',}, "other": 1},}\n``` Done {x}')
+    WHEN 1 THEN concat('Here: {"relevance_score": 3, "summary": "say \\\\"', model, '\\\\"", "overall_score": ', CAST(url_pos AS STRING), '} and more')
+    WHEN 2 THEN concat('{"aspects": [], "list": [{"x": 1} {"x": 2}], "name": "', model, '"}')
+    WHEN 3 THEN concat('{"relevance_score": ', CAST(url_pos AS STRING), ', "pros": ["', model, '", "quiet"], "aspects": {"performance": {"score": 1, "note": "fast"}, "value": {"score": 2')
+    WHEN 4 THEN concat('{"name": "', model) ELSE concat('no answer for ', model) END"""
+query(
+    "SF-32b", "b_cand",
+    sql=f"""SELECT {k}, CASE relevance % 6 WHEN 0 THEN 'clean' WHEN 1 THEN 'clean' WHEN 2 THEN 'commas' WHEN 3 THEN 'fields' END AS how, CASE relevance % 6 WHEN 4 THEN 'broken' WHEN 5 THEN 'no_object' END AS reject_reason,
+    CASE relevance % 6 WHEN 0 THEN round_even(url_pos + 0.5, 0)::DOUBLE WHEN 1 THEN url_pos::DOUBLE WHEN 2 THEN 5.0 WHEN 3 THEN 5.0 END AS overall_score,
+    CASE relevance % 6 WHEN 0 THEN model WHEN 2 THEN model END AS name, CASE relevance % 6 WHEN 1 THEN 3 WHEN 3 THEN url_pos END AS relevance_score, CASE relevance % 6 WHEN 1 THEN concat('say "', model, '"') WHEN 3 THEN 'Comprehensive analysis completed using enhanced parsing techniques.' END AS summary,
+    CASE WHEN relevance % 6 = 3 THEN model END AS first_pro, CASE WHEN relevance % 6 = 3 THEN 'fast' END AS note FROM b_cand""",
+)(
+    lambda c: An.parse_answers(c.select(*K, F.expr(_ANSWER).alias("text")), "text").select(
+        *K, "how", "reject_reason", "overall_score", *(F.try_variant_get("answer", p, t).alias(n) for n, p, t in (("name", "$.name", "string"), ("relevance_score", "$.relevance_score", "int"), ("summary", "$.summary", "string"), ("first_pro", "$.pros[0]", "string"), ("note", "$.aspects.performance.note", "string")))
+    )
+)
+query("SF-32c", "b_cand", sql="SELECT CASE WHEN relevance % 6 < 4 THEN 'answer' WHEN relevance % 6 = 4 THEN 'broken' ELSE 'no_object' END AS side, count(*) AS n FROM b_cand GROUP BY 1")(
+    lambda c: (lambda good, bad: good.select(F.lit("answer").alias("side")).unionByName(bad.select(F.col("reject_reason").alias("side"))).groupBy("side").agg(F.count("*").alias("n")))(*An.answers_and_rejects(c.select(*K, F.expr(_ANSWER).alias("text")), "text"))
+)

@@ -156,10 +156,25 @@ query("SF-22", "pages")(lambda p: P.page_date(p, AS_OF))
 query("SF-36", "pages", sql="SELECT page_id, 0 AS position, concat('{\"page\": ', page_id, '}') AS json FROM pages")(
     lambda p: P.embedded_json(_with_states(p))
 )
-query("UD-04", "b_cand", sql="SELECT c.page_id, c.title, c.link FROM (SELECT wo_number AS page_id, model AS title, concat('http://site', outlet_id) AS link FROM b_cand) c WHERE contains(lower(title), 'widget')")(
-    lambda c: P.feed_items(
-        c.select(F.col("wo_number").alias("page_id"), F.concat(F.lit("<item><title>"), "model", F.lit("</title><link>http://site"), "outlet_id", F.lit("</link><description>d</description></item>")).alias("x")).groupBy("page_id").agg(F.concat(F.lit("<rss><channel>"), F.concat_ws("", F.collect_list("x")), F.lit("</channel></rss>")).alias("xml")), "Widget"
-    ).select("page_id", "title", "link")
+
+
+def _feeds(c):
+    """A feed for each work order: RSS for even ones, Atom for odd ones, cut short for every 17th, without items for every 13th, none for every 11th."""
+    rss = F.concat(F.lit("<item><media:title>other</media:title><title><![CDATA["), "model", F.lit(" &]]></title><atom:link href='http://self'/><link>http://site"), "outlet_id", F.lit("</link><description>"), "trim", F.lit("</description></item>"))
+    atom = F.concat(F.lit('<entry><title type="html">'), "model", F.lit(' &amp;</title><link rel="alternate" href="http://site'), "outlet_id", F.lit('"/><link href="http://other"/><summary>'), "trim", F.lit("</summary><content>c</content></entry>"))
+    by = c.groupBy(F.col("wo_number").alias("page_id")).agg(F.concat_ws("", F.collect_list(rss)).alias("rss"), F.concat_ws("", F.collect_list(atom)).alias("atom"))
+    p = F.col("page_id")
+    items = lambda x: F.when(p % 13 == 0, "").otherwise(F.col(x))
+    whole = F.when(p % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:media="http://m" xmlns:atom="http://a"><channel><title>t</title>'), items("rss"), F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'), items("atom"), F.lit("</feed>")))
+    return by.select("page_id", F.when(p % 11 == 0, None).when(p % 17 == 0, F.substring(whole, F.lit(1), F.length(whole) - 4)).otherwise(whole).alias("xml"))
+
+
+_WHOLE = "wo_number % 11 <> 0 AND wo_number % 17 <> 0 AND wo_number % 13 <> 0"
+query("UD-04", "b_cand", sql=f"SELECT wo_number AS page_id, CASE WHEN wo_number % 2 = 0 THEN 'rss' ELSE 'atom' END AS kind, concat(model, ' &') AS title, concat('http://site', outlet_id) AS link, trim AS description FROM b_cand WHERE {_WHOLE} AND (contains(lower(model), 'widget') OR contains(lower(trim), 'widget'))")(
+    lambda c: P.feed_items(_feeds(c), "Widget").drop("position")
+)
+query("UD-04b", "b_cand", sql=f"SELECT DISTINCT wo_number AS page_id, CASE WHEN wo_number % 11 = 0 THEN 'empty' WHEN wo_number % 17 = 0 THEN 'broken' ELSE 'no_items' END AS reject_reason FROM b_cand WHERE NOT ({_WHOLE})")(
+    lambda c: P.feed_rejects(_feeds(c))
 )
 query("SF-45", "documents")(lambda d: P.parse_oem_text(d, 2024))
 query("SF-45b", "documents")(lambda d: P.parse_oem_messages(d))
