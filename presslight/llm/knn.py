@@ -30,12 +30,12 @@ PIVOTS_LEAST, PIVOTS_MOST = 8, 256
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """vec_id and v = floor(scale * x) of each component as long; rows without id, null or with non-finite parts take no part.
 
-    A row repeated in full counts once. The range of long bounds a component.
+    Each row stays, also one that repeats another in id or in full. The range of long bounds a component.
     """
     x = F.col(vec_col)
     sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     whole = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
-    return vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & sound).select(F.col(id_col).alias("vec_id"), whole.alias("v")).distinct()
+    return vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & sound).select(F.col(id_col).alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(rows, width: int) -> np.ndarray:
@@ -77,18 +77,19 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """vectors(vec_id, v) -> query_id, rank, vec_id, score: each query's k rows of the largest inner product.
 
-    Queries are the rows for which is_query holds; candidates all rows but those with the query's id.
-    Ties go to the smaller vec_id. Fewer candidates than k give fewer rows, an empty table none.
+    Queries are the rows for which is_query holds; candidates all rows but the query's own, whatever their ids: rows are told apart by
+    a number that each gets here, so a repeated row is a candidate as often as it stands, and two queries of one id have
+    a ranking each. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows, an empty table none.
     Vectors of unequal length compare as if zeros followed the shorter one.
     """
     spark = vectors.sparkSession
-    vectors = written(vectors, "vectors")  # read several times below
+    vectors = written(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")  # the numbers hold, and it is read several times below
     width, rows = vectors.agg(F.max(F.size("v")), F.count("*")).first()
     width = width or 0
-    sample = vectors.withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id").limit(SAMPLE).collect()
+    sample = vectors.withColumn("_h", F.xxhash64("vec_id", "row")).orderBy("_h", "row").limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    ids, points = np.array([r["vec_id"] for r in sample], dtype=np.int64), _matrix([r["v"] for r in sample], width)
+    sampled, points = np.array([r["row"] for r in sample], dtype=np.int64), _matrix([r["v"] for r in sample], width)
     centres = _pivots(points, int(min(PIVOTS_MOST, max(PIVOTS_LEAST, rows // BLOCK))))
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +98,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             near, radius = _nearest(m, centres)
             yield pdf.assign(grp=near.astype("int32"), radius=radius, norm=np.linalg.norm(m, axis=1))
 
-    data = vectors.mapInPandas(grouped, "vec_id long, v array<long>, grp int, radius double, norm double")
+    data = vectors.mapInPandas(grouped, "vec_id long, v array<long>, row long, grp int, radius double, norm double")
     summary = data.groupBy("grp").agg(F.count("*").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).orderBy("grp").toPandas()
     alive = summary["grp"].to_numpy()
     counts, radii, norms, middle = summary["n"].to_numpy(), summary["radius"].to_numpy(), summary["norm"].to_numpy(), centres[alive]
@@ -114,49 +115,53 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             order = np.argsort(-low, axis=1)
             sure = np.cumsum(counts[order], axis=1) >= k + 1  # one may be the query itself
             floor_ = np.where(sure.any(axis=1), np.take_along_axis(low, order, axis=1)[np.arange(len(q)), sure.argmax(axis=1)], -np.inf)
-            if len(ids) > k:
+            if len(sampled) > k:
                 seen = _products(q, points).astype(np.float64)
-                seen[pdf["vec_id"].to_numpy()[:, None] == ids[None]] = -np.inf
+                seen[pdf["row"].to_numpy()[:, None] == sampled[None]] = -np.inf
                 floor_ = np.maximum(floor_, np.partition(seen, -k, axis=1)[:, -k])
             i, g = np.nonzero(high >= floor_[:, None])
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[i], "v": [pdf["v"].iloc[x] for x in i], "grp": alive[g].astype("int32")})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[i], "row": pdf["row"].to_numpy()[i], "v": [pdf["v"].iloc[x] for x in i], "grp": alive[g].astype("int32")})
 
     queries = vectors.filter(is_query)
     packs = max(1, -(-queries.count() // PACK))
     blocks = F.create_map(*(F.lit(int(x)) for g, n in zip(alive, counts) for x in (g, -(-int(n) // BLOCK))))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({"grp": pdf["grp"].iloc[:1], "part": pdf["part"].iloc[:1], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "m": [_matrix(pdf["v"].tolist(), width).tobytes()]})
-
-    pack = "grp int, part long, ids binary, m binary"
-    held = data.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), blocks[F.col("grp")].cast("long"))).groupBy("grp", "part").applyInPandas(packed, pack)
+        pdf = pdf.sort_values(["vec_id", "row"], kind="stable")
+        return pd.DataFrame({
+            "grp": pdf["grp"].iloc[:1], "part": pdf["part"].iloc[:1], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
+            "own": [pdf["row"].to_numpy(np.int64).tobytes()], "m": [_matrix(pdf["v"].tolist(), width).tobytes()],
+        })
+
+    pack = "grp int, part long, ids binary, own binary, m binary"
+    held = data.withColumn("part", F.pmod(F.xxhash64("row"), blocks[F.col("grp")].cast("long"))).groupBy("grp", "part").applyInPandas(packed, pack)
     asked = (
-        queries.mapInPandas(sent, "vec_id long, v array<long>, grp int")
-        .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(packs)))
+        queries.mapInPandas(sent, "vec_id long, row long, v array<long>, grp int")
+        .withColumn("part", F.pmod(F.xxhash64("row"), F.lit(packs)))
         .groupBy("grp", "part")
         .applyInPandas(packed, pack)
     )
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for q_ids, q_m, d_ids, d_m in zip(pdf["q_ids"], pdf["q_m"], pdf["ids"], pdf["m"]):
-                qi, di = np.frombuffer(q_ids, np.int64), np.frombuffer(d_ids, np.int64)
+            for q_ids, q_own, q_m, d_ids, d_own, d_m in zip(*(pdf[c] for c in ("q_ids", "q_own", "q_m", "ids", "own", "m"))):
+                qi, q_rows, di, d_rows = (np.frombuffer(x, np.int64) for x in (q_ids, q_own, d_ids, d_own))
                 scores = _products(np.frombuffer(q_m, np.int64).reshape(len(qi), width), np.frombuffer(d_m, np.int64).reshape(len(di), width))
                 best = []
-                for i, s in zip(qi, scores):
-                    at = np.flatnonzero(di != i)
+                for i, row, s in zip(qi, q_rows, scores):
+                    at = np.flatnonzero(d_rows != row)
                     if len(at) > k:
                         s_ = s[at]
                         at = at[s_ >= np.partition(s_, -k)[-k]]
                     at = at[np.argsort(-s[at], kind="stable")[:k]]  # di ascends, so ties go to the smaller id
-                    best.append((np.full(len(at), i), di[at], s[at]))
-                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*best))} if best else {"query_id": [], "vec_id": [], "score": []})
+                    best.append((np.full(len(at), i), np.full(len(at), row), di[at], d_rows[at], s[at]))
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*best))} if best else {c: [] for c in names})
 
     small_batches(spark)
-    pairs = asked.select("grp", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")).join(held.select("grp", "ids", "m"), "grp")
-    best = pairs.mapInPandas(solved, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    names = ["query_id", "query_row", "vec_id", "row", "score"]
+    pairs = asked.select("grp", F.col("ids").alias("q_ids"), F.col("own").alias("q_own"), F.col("m").alias("q_m")).join(held.select("grp", "ids", "own", "m"), "grp")
+    best = pairs.mapInPandas(solved, ", ".join(f"{c} long" for c in names))
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -167,10 +172,10 @@ def op6_exact_top_k(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+s AS (SELECT q.n AS q, c.n AS c, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON c.n <> q.n WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

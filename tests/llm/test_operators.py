@@ -290,15 +290,17 @@ def test_band_is_counted_by_term(spark):
 # 6
 
 def test_top_k_with_ties_and_odd_vectors(spark):
-    rows = [(i, [0.5, float(i % 3)]) for i in range(60)] + [(60, None), (61, [1.0, None]), (62, [float("nan"), 1.0]), (63, [float("inf"), 1.0]), (None, [1.0, 1.0]), (64, [2.0]), (65, []), (0, [0.5, 0.0])]
+    rows = [(i, [0.5, float(i % 3)]) for i in range(60)] + [(60, None), (61, [1.0, None]), (62, [float("nan"), 1.0]), (63, [float("inf"), 1.0]), (None, [1.0, 1.0]), (64, [2.0]), (65, [])]
+    rows += [(0, [0.5, 0.0])] + [(1, [0.5, 2.0])] * 3 + [(20, [0.5, 1.0]), (20, [1.0, 2.0])]  # repeated rows and ids
     v = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = [tuple(r) for r in knn.top_k(v, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()]
-    clean = {i: [math.floor(64 * x) for x in e] for i, e in rows if i is not None and i not in (60, 61, 62, 63)}
+    got = [tuple(r) for r in knn.top_k(v, F.col("vec_id") % 20 == 0, 20).collect()]
+    clean = [(i, [math.floor(64 * x) for x in e]) for i, e in rows if i is not None and i not in (60, 61, 62, 63)]
     want = []
-    for q in sorted(i for i in clean if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(clean[q], clean[c])), c) for c in clean if c != q)[:20]
-        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
-    assert got == want
+    for k, (q, x) in enumerate(clean):
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for j, (c, y) in enumerate(clean) if j != k)[:20]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)]
+    assert sorted(got) == sorted(want)
     assert knn.top_k(v.limit(0), F.lit(True)).count() == 0
 
 
