@@ -35,16 +35,20 @@ def date_acceptance(df: DataFrame, as_of: str, before: int = 30, after: int = 18
     return df.withColumn("reason", reason).withColumn("accepted", F.startswith("reason", F.lit("ok")))
 
 
+# Full dates in the path of a URL, and years in it.
+FULL_DATES = [r"/(\d{4})/(\d{1,2})/(\d{1,2})(?:/|$)", r"/(\d{4})-(\d{1,2})-(\d{1,2})", r"_(\d{4})(\d{2})(\d{2})"]
+YEARS = [r"/(\d{4})-[^/]*/", r"/(\d{4})/\d{2}/", r"/(\d{4})/", r"(\d{4})-[a-zA-Z-]+"]
+
+
 def date_from_url(url: Column, as_of: str) -> Column:
     """A full date in the path, else 1 January of a year in it from 2000 to that of as_of."""
     now = F.year(F.lit(as_of).cast("date"))
-    full = [(r"/(\d{4})/(\d{1,2})/(\d{1,2})(?:/|$)",), (r"/(\d{4})-(\d{1,2})-(\d{1,2})",), (r"_(\d{4})(\d{2})(\d{2})",)]
     dates = []
-    for (p,) in full:
+    for p in FULL_DATES:
         parts = [F.nullif(F.regexp_extract(url, p, k), F.lit("")) for k in (1, 2, 3)]
         dates.append(F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd"))
     years = []
-    for p in (r"/(\d{4})-[^/]*/", r"/(\d{4})/\d{2}/", r"/(\d{4})/", r"(\d{4})-[a-zA-Z-]+"):
+    for p in YEARS:
         y = F.try_element_at(F.filter(F.regexp_extract_all(url, F.lit(p), F.lit(1)), lambda m: m.cast("int").between(2000, now)), F.lit(1))
         years.append(F.make_date(y.cast("int"), F.lit(1), F.lit(1)))
     return F.coalesce(*dates, *years)

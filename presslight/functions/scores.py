@@ -186,12 +186,34 @@ def validate_social(df: DataFrame, term: Column, seconds: Column) -> DataFrame:
     return df.withColumns({"validation": F.round(score, 2), "flags": F.array_join(flags, ",")}).withColumn("valid", (F.col("validation") >= 0.5) & (F.col("flags") == ""))
 
 
+# Parts of a review's address, kinds of articles, marks of price lists and of templates, makes and models that are not a Jetta.
+REVIEW_PATHS = ["/review", "/first-test", "/road-test"]
+ARTICLE_KINDS = ["review", "first test", "first drive", "test drive", "road test"]
+PRICE_LISTS = ["expert insights, pricing, and trims", "pricing and trims", "msrp", "specifications", "compare", "top competitors"]
+TEMPLATES = ["related posts", "recent posts", "you may also like", "more stories", "other articles", "similar content"]
+NOT_JETTA = ["dodge", "charger", "camaro", "mustang", "bmw", "lexus"]
+
+
 def score_search_results(candidates: DataFrame) -> DataFrame:
-    """Points for a review URL, the model's words and the author in the title, a recent year; less for specification pages."""
-    t = F.lower(F.coalesce("title", F.lit("")))
-    words = F.filter(F.split(F.lower("model"), " "), lambda w: w != "")
-    hit, miss = F.size(F.filter(words, lambda w: F.contains(t, w))), F.size(F.filter(words, lambda w: ~F.contains(t, w)))
-    score = F.when(F.contains(F.lower("url"), F.lit("review")), 200).otherwise(0) + F.when(F.contains(t, F.lower("make")), 100).otherwise(0) + hit * 30 - miss * 50 + F.when(_has(t, YEARS), 20).otherwise(0) - F.when(_has(t, ["specs", "for sale", "dealer"]), 40).otherwise(0)
+    """search_score of a result from its title, snippet, and the model and author that were searched for (quotes in these don't count).
+
+    200 for a review's address in the snippet; 100 if the title has all words of the model, 30 from 70 % of them, else -50; 75 for a word of the
+    author in the title, else 50 in the snippet; 50 for each kind of article in the title; -150 for each mark of a price list, -50 for each of a template;
+    -200 for each wrong car, if a Jetta is looked for; 10 if recent; 15 for a snippet of over 200 characters. Null counts as empty, and asks for nothing.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    title, snippet = low("title"), low("snippet")
+    words = lambda c: F.filter(F.split(F.replace(low(c), F.lit('"'), F.lit("")), r"\s+"), lambda w: w != "")
+    model, author = words("model"), words("author")
+    if_ = lambda hit, points: F.when(hit, points).otherwise(0)
+    share = F.coalesce(F.try_divide(F.size(F.filter(model, lambda w: F.contains(title, w))), F.size(model)), F.lit(0.0))
+    by = lambda text: F.exists(author, lambda w: F.contains(text, w))
+    score = if_(_has(snippet, REVIEW_PATHS), 200) + if_(F.coalesce("model", F.lit("")) != "", F.when(share >= 1, 100).when(share >= 0.7, 30).otherwise(-50))
+    score = score + F.when(by(title), 75).when(by(snippet), 50).otherwise(0) + 50 * _count(title, ARTICLE_KINDS)
+    for mark in PRICE_LISTS:
+        score = score - if_(F.contains(title, F.lit(mark)) | F.contains(snippet, F.lit(mark)), 150)
+    score = score - 50 * _count(snippet, TEMPLATES) - if_(F.contains(low("model"), F.lit("jetta")), 200 * _count(title, NOT_JETTA))
+    score = score + if_(F.contains(snippet, F.lit("days ago")) | F.contains(title, F.lit("2025")), 10) + if_(F.length(snippet) > 200, 15)
     return candidates.withColumn("search_score", score)
 
 

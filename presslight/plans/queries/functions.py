@@ -165,12 +165,22 @@ query(
 )(lambda d: S.lexicon_analysis(d, "text", F.lit("moron"), F.lit("scum")).select("doc_id", "lex_relevance", "lex_sentiment", "overall_score", "brand_alignment"))
 query("SF-15", "b_cand")(lambda c: S.social_score(c.select(*K, "make", "model", F.concat("make", F.lit(" "), "model").alias("title"), F.concat(F.lit("ride #"), F.replace("model", F.lit(" "), F.lit(""))).alias("description"), F.col("url").alias("transcript"))).select(*K, "social_score", "confidence"))
 query("SF-16", "documents")(lambda d: S.validate_social(d, F.lit("the"), F.col("n_chars") / 20).select("doc_id", "validation", "flags", "valid"))
+#: Title and snippet by part, outlet and relevance: whole, half or no model, author, address, marks of lists and templates, length.
+_FOUND_TITLE = "concat(CASE part_id % 3 WHEN 0 THEN upper(model) WHEN 1 THEN split_part(model, ' ', 1) ELSE 'Jetta and Mustang' END, CASE relevance % 4 WHEN 0 THEN ' Review 2025' WHEN 1 THEN ' First Drive by Pat Doe' WHEN 2 THEN ' MSRP' ELSE '' END)"
+_FOUND_SNIPPET = "concat(url, CASE outlet_id % 4 WHEN 0 THEN ' /road-test 3 days ago' WHEN 1 THEN ' by doe. Recent posts, more stories' WHEN 2 THEN repeat(' long words', 20) ELSE ' Compare specifications' END)"
+_ASKED = "CASE WHEN url_pos % 5 = 0 THEN 'VW \"Jetta\"' WHEN url_pos % 7 <> 0 THEN model END"
 query(
     "SF-17", "b_cand",
-    sql=f"""SELECT {k}, 200 + CASE WHEN relevance % 2 = 0 THEN 100 ELSE 0 END + 30 * len(list_filter(w, lambda x: contains(title, x))) - 50 * len(list_filter(w, lambda x: NOT contains(title, x))) AS search_score
-    FROM (SELECT *, string_split(lower(model), ' ') AS w, lower(concat(split_part(model, ' ', 1), CASE WHEN relevance % 2 = 0 THEN concat(' - ', make) ELSE '' END)) AS title FROM b_cand)""",
+    sql=f"""SELECT {k}, 200 * (contains(s, '/review') OR contains(s, '/first-test') OR contains(s, '/road-test'))::INT + CASE WHEN w IS NULL THEN 0 WHEN hits = len(w) THEN 100 WHEN hits >= 0.7 * len(w) THEN 30 ELSE -50 END
+    + CASE WHEN contains(t, 'pat') OR contains(t, 'doe') THEN 75 WHEN contains(s, 'pat') OR contains(s, 'doe') THEN 50 ELSE 0 END
+    + 50 * (contains(t, 'review')::INT + contains(t, 'first test')::INT + contains(t, 'first drive')::INT + contains(t, 'test drive')::INT + contains(t, 'road test')::INT)
+    - 150 * len(list_filter(['expert insights, pricing, and trims', 'pricing and trims', 'msrp', 'specifications', 'compare', 'top competitors'], lambda m: contains(t, m) OR contains(s, m)))
+    - 50 * len(list_filter(['related posts', 'recent posts', 'you may also like', 'more stories', 'other articles', 'similar content'], lambda m: contains(s, m)))
+    - CASE WHEN list_contains(w, 'jetta') THEN 200 * len(list_filter(['dodge', 'charger', 'camaro', 'mustang', 'bmw', 'lexus'], lambda m: contains(t, m))) ELSE 0 END
+    + 10 * (contains(s, 'days ago') OR contains(t, '2025'))::INT + 15 * (length(s) > 200)::INT AS search_score
+    FROM (SELECT *, len(list_filter(w, lambda x: contains(t, x))) AS hits FROM (SELECT *, lower({_FOUND_TITLE}) AS t, lower({_FOUND_SNIPPET}) AS s, string_split(replace(lower({_ASKED}), '"', ''), ' ') AS w FROM b_cand))""",
 )(
-    lambda c: S.score_search_results(c.withColumn("title", F.concat(F.split_part("model", F.lit(" "), F.lit(1)), F.when(F.col("relevance") % 2 == 0, F.concat(F.lit(" - "), "make")).otherwise("")))).select(*K, "search_score")
+    lambda c: S.score_search_results(c.select(*K, F.expr(_FOUND_TITLE).alias("title"), F.expr(_FOUND_SNIPPET).alias("snippet"), F.expr(_ASKED).alias("model"), F.lit("Pat Doe").alias("author"))).select(*K, "search_score")
 )
 query(
     "SF-18", "b_cand",

@@ -290,3 +290,14 @@ def test_required_columns(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿WO #, Make ,Model,Links\n\"1,024\",Hyundai,Kona,http://a.com\n")
     row = R.read_loans(spark, f"file://{tmp_path}/m.csv").first()
     assert (row["wo_number"], row["make"], row["model"], row["links"]) == ("1024", "Hyundai", "Kona", "http://a.com")
+
+
+@pytest.mark.parametrize("title, snippet, model, author, score", [
+    ("2025 Kona N Review", "https://a.com/review/kona 2 days ago", "Kona N", None, 200 + 100 + 50 + 10),
+    ("Kona", "", "Kona N Line", "", -50), ("Kona N first drive and road test", "x", "Kona N Line Ultimate", None, -50 + 100), ("a b c", "", "a b c d", None, 30), ("a b c d", "", 'a "b c d"', None, 100),
+    ("By Doe", "doe", None, "Pat Doe", 75), ("x", "by pat", None, "Pat Doe", 50), ("Kona MSRP", "compare specifications", None, None, -450), ("x", "Related posts. More stories", None, None, -100),
+    ("Jetta beats Mustang and BMW", "", "Jetta", None, 100 - 400), ("x", "y" * 201, None, None, 15), (None, None, None, None, 0), (None, None, "Kona", "Doe", -50),
+])
+def test_search_result_points(spark, title, snippet, model, author, score):
+    df = spark.createDataFrame([(title, snippet, model, author)], "title string, snippet string, model string, author string")
+    assert S.score_search_results(df).first()["search_score"] == score
