@@ -92,7 +92,7 @@ def _mixed(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.0
     slices = sized.groupBy("_source", "_slice").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
     sources = slices.groupBy("_source").agg(F.sum("_sum").alias("source_size"), F.first("source").alias("source"))
     if weights is not None:
-        asked = weights.select(id_key(F.col("source")).alias("_source"), F.col("weight").cast("long").alias("weight"))
+        asked = weights.groupBy(id_key(F.col("source")).alias("_source")).agg(F.sum(F.col("weight").cast("long")).alias("weight"))  # a source may be listed twice
         sources = sources.join(asked, "_source", "left").fillna({"weight": 0})
         live = sources.filter("weight > 0")
         idle = sources.filter("weight <= 0").select("source", "source_size", "weight", F.lit(0.0).alias("target"), F.lit(0.0).alias("level"), F.lit(0).cast("long").alias("budget"))

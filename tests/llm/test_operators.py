@@ -309,6 +309,14 @@ def test_products_stay_exact():
     assert knn._products(big, np.array([[2**20, 1]], dtype=np.int64))[0, 0] == 2**60 + 3
 
 
+def test_a_source_listed_twice_doubles_no_document(spark):
+    df = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", "x"), (3, "f", "y")], "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "source string, weight int")
+    once = spark.createDataFrame([("x", 2), ("y", 2)], "source string, weight int")
+    made = lambda w: sorted((r["doc_id"], r["target"], r["taken"]) for r in mixing.mix_sources(df, weights=w).collect())
+    assert len(made(weights)) == 3 and made(weights) == made(once)
+
+
 # 7
 
 def test_language_model_by_brute_force(spark, docs):
