@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dates import duration_text
+
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole > 0, F.round(100.0 * part / whole, digits)).otherwise(F.lit(0.0)).cast("double")
@@ -98,6 +100,15 @@ def batching_potential(requests: DataFrame, n: int = 10) -> DataFrame:
     return out.orderBy(F.desc("loans"), "contact").limit(n)
 
 
+def batching_totals(requests: DataFrame, n: int = 10) -> DataFrame:
+    """What batching saves the n contacts with the most loans, by bucket and, in the row `all`, in all."""
+    out = batching_potential(requests, n).groupingSets([["bucket"], []], "bucket").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("contacts"), *(F.sum(c).alias(c) for c in ("loans", "vehicles", "requests_now", "requests_batched")),
+        _pct(F.sum(F.col("requests_now") - F.col("requests_batched")), F.sum("requests_now"), 2).alias("saving"),
+    )
+    return out.select(F.when(F.col("level") == 1, "all").otherwise(F.col("bucket")).alias("bucket"), "contacts", "loans", "vehicles", "requests_now", "requests_batched", "saving")
+
+
 def job_history(runs: DataFrame) -> DataFrame:
     """Each run's skipped count, duration and success rate."""
     days = F.datediff("end_time", "start_time").cast("long")
@@ -107,6 +118,40 @@ def job_history(runs: DataFrame) -> DataFrame:
     )
 
 
+def job_durations(runs: DataFrame) -> DataFrame:
+    """Each run's counts, its errors (its own count, else the failed attempts), duration as text and user; null counts are 0, a null user is System."""
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    seconds = F.unix_timestamp("end_time") - F.unix_timestamp("start_time")
+    duration = F.when(F.col("start_time").isNotNull() & F.col("end_time").isNotNull(), duration_text(seconds)).when(F.col("run_status") == "running", "Running").when(F.col("run_status") == "queued", "Queued").otherwise("N/A")
+    errors = F.coalesce("error_count", "failed_attempts") if "error_count" in runs.columns else F.col("failed_attempts")
+    return runs.select(
+        "run_id", "run_status", n("total_records").alias("processed"), n("successful_finds").alias("successful"), n("failed_attempts").alias("failed"),
+        F.greatest(F.lit(0), n("total_records") - n("successful_finds") - n("failed_attempts")).alias("skipped"), n(errors).alias("errors"), duration.alias("duration"), F.coalesce("created_by", F.lit("System")).alias("user"),
+    )
+
+
+def job_totals(runs: DataFrame) -> DataFrame:
+    """Jobs and distinct users by status and, in the row `all`, of all; the success rate is that of ended jobs."""
+    ended = F.count_if(F.col("run_status").isin("completed", "failed"))
+    out = runs.groupingSets([["run_status"], []], "run_status").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("jobs"), F.count_distinct(F.coalesce("created_by", F.lit("System"))).alias("users"), _pct(F.count_if(F.col("run_status") == "completed"), ended).alias("success_rate")
+    )
+    return out.select(F.when(F.col("level") == 1, "all").otherwise(F.col("run_status")).alias("run_status"), "jobs", "users", "success_rate")
+
+
+def post_breakdown(posts: DataFrame) -> DataFrame:
+    """Posts, sums and means by platform, by creator and in all, from one aggregation: level, name, posts, impressions, engagements, means and share of all posts in percent."""
+    name = lambda c: F.coalesce(c, F.lit("Unknown")).alias(c)
+    metrics = ("impressions", "engagements")
+    filled = posts.select(name("platform"), name("creator"), *(F.coalesce(m, F.lit(0)).alias(m) for m in metrics))
+    out = filled.groupingSets([["platform"], ["creator"], []], "platform", "creator").agg(
+        F.grouping_id().alias("g"), F.count("*").alias("posts"), *(F.sum(m).alias(m) for m in metrics), *(F.round(F.avg(m), 4).alias(f"mean_{m}") for m in metrics)
+    )
+    level = F.when(F.col("g") == 1, "platform").when(F.col("g") == 2, "creator").otherwise("all")
+    whole = posts.agg(F.count("*").alias("_all"))  # one row
+    return out.join(F.broadcast(whole)).select(level.alias("level"), F.coalesce("platform", "creator", F.lit("")).alias("name"), "posts", *metrics, *(f"mean_{m}" for m in metrics), _pct(F.col("posts"), F.col("_all"), 2).alias("share"))
+
+
 def post_summary(posts: DataFrame, n: int = 10) -> DataFrame:
     """Top creators with their share of all impressions."""
     by = posts.groupBy("creator").agg(F.count("*").alias("posts"), F.sum("impressions").alias("impressions"), F.avg("impressions").alias("mean"))
@@ -155,6 +200,18 @@ def cooldown_overview(tracking: DataFrame, as_of, n: int = 50) -> DataFrame:
     return tracking.filter(F.lit(as_of).cast("date") < F.col("retry_after")).withColumn("days_left", left).orderBy(F.desc("days_left"), "wo_number").limit(n)
 
 
+def cooldown_counts(tracking: DataFrame, clips: DataFrame, as_of) -> DataFrame:
+    """Work orders in cooldown and clips that failed, in one row."""
+    waiting = tracking.agg(F.count_if(F.col("retry_after") > F.lit(as_of).cast("date")).alias("in_cooldown"))
+    failed = clips.agg(F.count_if(F.col("status").isin("no_content_found", "processing_failed")).alias("failed_clips"))
+    return waiting.join(F.broadcast(failed))  # a row each
+
+
+def latest_failures(clips: DataFrame, n: int = 50) -> DataFrame:
+    """The last n clips that failed, newest first."""
+    return clips.filter(F.col("status").isin("no_content_found", "processing_failed")).orderBy(F.desc_nulls_last("processed_date"), "wo_number").limit(n)
+
+
 def group_by_url(records: DataFrame) -> DataFrame:
     return records.groupBy("url").agg(F.count("*").alias("records"), F.concat_ws(",", F.array_sort(F.collect_set("model"))).alias("models"))
 

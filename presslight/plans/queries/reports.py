@@ -63,6 +63,27 @@ query("AG-30", "b_run", sql=f"SELECT run_id, run_status, total_records, successf
 query("AG-31", "b_event", sql="SELECT worker_id AS creator, count(*) AS posts, sum(event_id % 1000)::BIGINT AS impressions, round(avg(event_id % 1000), 4) AS mean, round(100.0 * sum(event_id % 1000) / (SELECT sum(event_id % 1000) FROM b_event), 4)::DOUBLE AS share FROM b_event GROUP BY 1 ORDER BY posts DESC, creator LIMIT 10")(
     lambda e: M.post_summary(e.select(F.col("worker_id").alias("creator"), (F.col("event_id") % 1000).alias("impressions")))
 )
+_JOBS = "count(*) AS jobs, count(DISTINCT created_by) AS users, " + _PCT.format("count(*) FILTER (run_status = 'completed')", "count(*) FILTER (run_status IN ('completed', 'failed'))", 1) + " AS success_rate"
+query("AG-30b", "b_run", sql=f"SELECT run_status, {_JOBS} FROM b_run GROUP BY run_status UNION ALL SELECT 'all', {_JOBS} FROM b_run")(M.job_totals)
+query("AG-30c", "b_run", sql="SELECT run_id, run_status, total_records AS processed, successful_finds AS successful, failed_attempts AS failed, greatest(0, total_records - successful_finds - failed_attempts) AS skipped, failed_attempts AS errors, CASE WHEN run_status = 'running' THEN 'Running' ELSE 'ended' END AS duration, created_by AS user FROM b_run")(
+    lambda r: M.job_durations(r.withColumn("end_time", F.when(F.col("run_status") != "running", F.col("end_time")))).withColumn("duration", F.when(F.col("duration") == "Running", "Running").otherwise("ended"))
+)
+query(
+    "AG-29b", "b_cand", "b_loan",
+    sql=f"""WITH t AS (SELECT contact, count(DISTINCT c.wo_number) AS loans, count(DISTINCT (make, model)) AS vehicles, count(*) AS requests_now, count(DISTINCT url) AS requests_batched FROM b_cand c JOIN b_loan l ON c.wo_number = l.wo_number GROUP BY contact ORDER BY loans DESC, contact LIMIT 10),
+    u AS (SELECT *, CASE WHEN vehicles = 1 THEN '1' WHEN vehicles <= 5 THEN '2-5' ELSE '6+' END AS bucket FROM t)
+    SELECT coalesce(bucket, 'all') AS bucket, count(*) AS contacts, sum(loans)::BIGINT AS loans, sum(vehicles)::BIGINT AS vehicles, sum(requests_now)::BIGINT AS requests_now, sum(requests_batched)::BIGINT AS requests_batched, {_PCT.format('sum(requests_now - requests_batched)', 'sum(requests_now)', 2)} AS saving FROM u GROUP BY GROUPING SETS ((bucket), ())""",
+)(lambda c, l: M.batching_totals(c.join(l.select("wo_number", "contact"), "wo_number")))
+query(
+    "AG-31b", "b_event",
+    sql=f"""WITH p AS (SELECT CASE event_type WHEN 'view' THEN 'Unknown' ELSE event_type END AS platform, CAST(worker_id AS STRING) AS creator, event_id % 1000 AS impressions, event_id % 7 AS engagements FROM b_event)
+    SELECT CASE WHEN platform IS NOT NULL THEN 'platform' WHEN creator IS NOT NULL THEN 'creator' ELSE 'all' END AS level, coalesce(platform, creator, '') AS name, count(*) AS posts, sum(impressions)::BIGINT AS impressions, sum(engagements)::BIGINT AS engagements,
+    round(avg(impressions), 4) AS mean_impressions, round(avg(engagements), 4) AS mean_engagements, {_PCT.format('count(*)', '(SELECT count(*) FROM p)', 2)} AS share FROM p GROUP BY GROUPING SETS ((platform), (creator), ())""",
+)(
+    lambda e: M.post_breakdown(e.select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("platform"), F.col("worker_id").cast("string").alias("creator"), (F.col("event_id") % 1000).alias("impressions"), (F.col("event_id") % 7).alias("engagements")))
+)
+query("AG-35b", "b_track", "b_clip", sql=f"SELECT (SELECT count(*) FROM b_track WHERE retry_after > DATE '{AS_OF}') AS in_cooldown, (SELECT count(*) FROM b_clip WHERE status IN ('no_content_found', 'processing_failed')) AS failed_clips")(lambda t, c: M.cooldown_counts(t, c, AS_OF))
+query("AG-35c", "b_clip", sql="SELECT wo_number, processed_date FROM b_clip WHERE status IN ('no_content_found', 'processing_failed') ORDER BY processed_date DESC NULLS LAST, wo_number LIMIT 50")(lambda c: M.latest_failures(c).select("wo_number", "processed_date"))
 query("AG-32", "b_cand", sql=f"SELECT outlet_id AS domain, count(*) AS total, count(*) FILTER (published > DATE '{AS_OF}') AS valid, count(*) FILTER (published <= DATE '{AS_OF}') AS expired FROM b_cand GROUP BY 1")(
     lambda c: M.cache_stats(c.select(F.col("outlet_id").alias("domain"), F.col("published").alias("expires_at")), AS_OF)
 )

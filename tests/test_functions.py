@@ -301,3 +301,20 @@ def test_required_columns(spark, tmp_path):
 def test_search_result_points(spark, title, snippet, model, author, score):
     df = spark.createDataFrame([(title, snippet, model, author)], "title string, snippet string, model string, author string")
     assert S.score_search_results(df).first()["search_score"] == score
+
+
+def test_job_durations_and_totals(spark):
+    runs = spark.createDataFrame(
+        [("a", "completed", 10, 6, 3, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 2, 5), "u"), ("b", "failed", 5, None, 9, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 0, 7), None), ("c", "running", None, None, None, dt.datetime(2024, 1, 1), None, "u"), ("d", "queued", 1, 0, 0, None, None, None), ("e", "other", 1, 0, 0, None, None, "v")],
+        "run_id string, run_status string, total_records int, successful_finds int, failed_attempts int, start_time timestamp, end_time timestamp, created_by string",
+    )
+    found = {r["run_id"]: tuple(r)[2:] for r in M.job_durations(runs).collect()}
+    assert found == {"a": (10, 6, 3, 1, 3, "2h 5m", "u"), "b": (5, 0, 9, 0, 9, "7s", "System"), "c": (0, 0, 0, 0, 0, "Running", "u"), "d": (1, 0, 0, 1, 0, "Queued", "System"), "e": (1, 0, 0, 1, 0, "N/A", "v")}
+    totals = {r["run_status"]: tuple(r)[1:] for r in M.job_totals(runs).collect()}
+    assert totals["all"] == (5, 3, 50.0) and totals["completed"] == (1, 1, 100.0) and totals["running"] == (1, 1, 0.0) and len(totals) == 6
+
+
+def test_post_breakdown(spark):
+    posts = spark.createDataFrame([("A", "x", 10, 1), ("A", None, None, 3), (None, "x", 20, None)], "platform string, creator string, impressions long, engagements long")
+    found = {(r["level"], r["name"]): tuple(r)[2:] for r in M.post_breakdown(posts).collect()}
+    assert found == {("all", ""): (3, 30, 4, 10.0, 1.3333, 100.0), ("platform", "A"): (2, 10, 4, 5.0, 2.0, 66.67), ("platform", "Unknown"): (1, 20, 0, 20.0, 0.0, 33.33), ("creator", "x"): (2, 30, 1, 15.0, 0.5, 66.67), ("creator", "Unknown"): (1, 0, 3, 0.0, 3.0, 33.33)}
