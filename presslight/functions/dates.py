@@ -91,6 +91,11 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
+def minutes_between(start: Column, end: Column) -> Column:
+    """Minutes from one time to another, with their part to two digits."""
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 60e6, 2)
+
+
 def eta(done: Column, total: Column, elapsed: Column) -> Column:
     """Seconds left at the rate so far, null without progress."""
     return F.when((done > 0) & (total > done), F.floor(elapsed * (total - done) / done).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dates import duration_text
+from ..functions.dates import duration_text, minutes_between
 
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -33,10 +33,10 @@ def status_share(clips: DataFrame, since) -> DataFrame:
 
 
 def batch_summary(clips: DataFrame, since, as_of) -> DataFrame:
-    """Counts and times of the clips since a date, and days since the last."""
+    """Counts and times of the clips since a date, and minutes since the last."""
     return clips.filter(F.col("processed_date") >= F.lit(since).cast("date")).agg(
         F.count("*").alias("clips"), F.count_if(F.col("status") == "approved").alias("found"), F.count_if(F.col("status") == "no_content_found").alias("not_found"),
-        F.min("processed_date").alias("first_date"), F.max("processed_date").alias("last_date"), F.datediff(F.lit(as_of).cast("date"), F.max("processed_date")).cast("long").alias("days_since"),
+        F.min("processed_date").alias("first_date"), F.max("processed_date").alias("last_date"), minutes_between(F.max("processed_date"), F.lit(as_of)).alias("minutes_since"),
     )
 
 

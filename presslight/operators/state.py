@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dates import minutes_between
 from .joins import should_retry
 
 # Days until a result is tried again; others are free at once.
@@ -105,10 +106,10 @@ def offline_workers(workers: DataFrame, as_of, minutes: int = 5) -> DataFrame:
 
 
 def active_processes(procs: DataFrame, as_of) -> DataFrame:
-    """Running jobs with days so far, progress and per cent."""
+    """Running jobs with minutes so far, progress and per cent."""
     done = F.col("successful_finds") + F.col("failed_attempts")
     return procs.filter(F.col("run_status") == "running").select(
-        "run_id", F.datediff(F.lit(as_of).cast("date"), "start_time").cast("long").alias("days_running"), F.concat(done.cast("string"), F.lit("/"), F.col("total_records").cast("string")).alias("progress"),
+        "run_id", minutes_between(F.col("start_time"), F.lit(as_of)).alias("minutes_running"), F.concat(done.cast("string"), F.lit("/"), F.col("total_records").cast("string")).alias("progress"),
         F.round(F.try_divide(100.0 * done, F.nullif("total_records", F.lit(0))), 2).cast("double").alias("percent"),
     )
 

@@ -17,7 +17,7 @@ query(
     count(analysed) AS with_sentiment, round(avg(relevance), 1) AS avg_relevance FROM b_clip GROUP BY 1) c ON r.run_id = c.run_id""",
 )(lambda r, c: M.run_stats(r, c).select("run_id", "total_records", "clips", "approved", "pending_review", "no_content_found", "with_sentiment", "avg_relevance", "success_rate"))
 query("AG-06", "b_clip", sql="SELECT status, count(*) AS clips, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent FROM b_clip WHERE processed_date >= DATE '1998-01-01' GROUP BY status")(lambda c: M.status_share(c, "1998-01-01"))
-query("AG-07", "b_clip", sql=f"SELECT count(*) AS clips, count(*) FILTER (status = 'approved') AS found, count(*) FILTER (status = 'no_content_found') AS not_found, min(processed_date) AS first_date, max(processed_date) AS last_date, date_diff('day', max(processed_date), DATE '{AS_OF}') AS days_since FROM b_clip WHERE processed_date >= DATE '1999-01-01'")(
+query("AG-07", "b_clip", sql=f"SELECT count(*) AS clips, count(*) FILTER (status = 'approved') AS found, count(*) FILTER (status = 'no_content_found') AS not_found, min(processed_date) AS first_date, max(processed_date) AS last_date, round((epoch(TIMESTAMP '{AS_OF}') - epoch(max(processed_date)::TIMESTAMP)) / 60.0, 2)::DOUBLE AS minutes_since FROM b_clip WHERE processed_date >= DATE '1999-01-01'")(
     lambda c: M.batch_summary(c, "1999-01-01", AS_OF)
 )
 query("AG-08", "b_clip", sql="SELECT processed_date, count(*) AS clips, count(*) FILTER (status = 'approved') AS found, count(*) FILTER (status <> 'approved') AS not_found, count(DISTINCT wo_number) AS work_orders, max(processed_date) AS last_date FROM b_clip GROUP BY processed_date")(

@@ -55,7 +55,7 @@ query("ST-10", "b_run", sql=f"SELECT run_id, run_status = 'running' AND end_time
 query("ST-10b", "b_event", sql=f"SELECT worker_id, CASE WHEN max(ts) < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 5 MINUTES THEN 'offline' ELSE 'online' END AS status FROM b_event GROUP BY worker_id")(
     lambda e: S.offline_workers(e.groupBy("worker_id").agg(F.max("ts").alias("last_heartbeat")).withColumn("status", F.lit("online")), EVENTS_AS_OF).select("worker_id", "status")
 )
-query("ST-11", "b_run", sql=f"SELECT run_id, date_diff('day', CAST(start_time AS DATE), DATE '{AS_OF}') AS days_running, concat(CAST(successful_finds + failed_attempts AS BIGINT), '/', total_records) AS progress, round(100.0 * (successful_finds + failed_attempts) / total_records, 2)::DOUBLE AS percent FROM b_run WHERE run_status = 'running'")(
+query("ST-11", "b_run", sql=f"SELECT run_id, round((epoch(TIMESTAMP '{AS_OF}') - epoch(start_time::TIMESTAMP)) / 60.0, 2)::DOUBLE AS minutes_running, concat(CAST(successful_finds + failed_attempts AS BIGINT), '/', total_records) AS progress, round(100.0 * (successful_finds + failed_attempts) / total_records, 2)::DOUBLE AS percent FROM b_run WHERE run_status = 'running'")(
     lambda r: S.active_processes(r, AS_OF)
 )
 
