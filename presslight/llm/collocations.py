@@ -30,6 +30,10 @@ from .common import small_batches, text_or_empty, written
 LEAST, LONGEST, PERCENT, TOP = 30, 4, 80, 2000
 #: Bits of a table: 16 MB, whatever the corpus.
 TABLE_BITS = 1 << 27
+#: Bits of a pair's hash (the pair table needs no more), and bytes of input that one task counts windows of: frequent windows stand in every part, so larger parts send fewer rows.
+PAIR_BITS, PART_BYTES = 40, 64 << 20
+#: The seed of Spark's xxhash64, so that both sides agree on a word's hash.
+SEED = 42
 #: Tokens of a text and of a run of texts that are held at once; words a worker remembers the hashes of.
 SLICE, RUN, REMEMBERED = 1 << 20, 1 << 20, 1 << 20
 #: Lower-cases A-Z, turns tabs to spaces and the marks that end a piece to line feeds.
@@ -50,12 +54,12 @@ def _slices(text: str) -> Iterator[bytes]:
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, text) -> (lang, word, h, n), a row for each word of a run of texts."""
+    """(lang, text) -> (lang, word, n), a row for each word of a run of texts."""
 
     def flushed() -> pd.DataFrame:
-        rows = [(lang, w.decode(), np.int64(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)), n) for lang, c in counts.items() for w, n in c.items() if w]
+        rows = [(lang, w.decode(), n) for lang, c in counts.items() for w, n in c.items() if w]
         counts.clear()
-        return pd.DataFrame(rows, columns=["lang", "word", "h", "n"])
+        return pd.DataFrame(rows, columns=["lang", "word", "n"])
 
     counts: dict[str, Counter] = {}
     held = 0
@@ -80,7 +84,7 @@ class _Hashes(dict):
             self.update({b"\n": 0, b"": 1})
         if word in (b"\n", b""):
             return self.setdefault(word, 0 if word else 1)
-        self[word] = found = xxhash.xxh64_intdigest(word)
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
         return found
 
 
@@ -148,7 +152,7 @@ def pair_rows(words) -> Callable:
         for lang, ids in _hashed(batches):
             ids = _frequent_words(table, lang, ids)
             both = (ids[:-1] > 0) & (ids[1:] > 0)
-            h, n = np.unique(_pairs(ids[:-1][both], ids[1:][both], lang), return_counts=True)
+            h, n = np.unique(_pairs(ids[:-1][both], ids[1:][both], lang) >> np.uint64(64 - PAIR_BITS), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "n": n})
 
     return rows
@@ -188,8 +192,8 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
-    counted = rows.mapInPandas(_word_counts, "lang string, word string, h long, n long")
-    words = written(counted.groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("n").alias("n")), "words")
+    counted = rows.mapInPandas(_word_counts, "lang string, word string, n long")
+    words = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).select("lang", "word", F.xxhash64("word").alias("h"), "n"), "words")
     total = words.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("h"), "n")
     frequent = words.filter(F.col("n") >= least)
 
@@ -201,8 +205,11 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     send = spark.sparkContext.broadcast
     word_table = send(bit_table(frequent.select("lang", "h").mapInPandas(salted, "h long")))
     pairs = rows.mapInPandas(pair_rows(word_table), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    pair_table = send(bit_table(pairs.select("h")))
-    windows = rows.mapInPandas(window_rows(word_table, pair_table), "lang string, w1 long, w2 long, w3 long, w4 long, n long")
+    pair_table = send(bit_table(pairs.select(F.shiftleft("h", 64 - PAIR_BITS).alias("h"))))
+    parts, split = rows.rdd.getNumPartitions(), spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
+    size = int(split) if split.isdigit() else int(split[:-1]) << {"k": 10, "m": 20, "g": 30}[split[-1]]
+    together = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-parts * size // max(size, PART_BYTES))))
+    windows = together.mapInPandas(window_rows(word_table, pair_table), "lang string, w1 long, w2 long, w3 long, w4 long, n long")
     summed = spark.sql(
         """SELECT lang, w1, w2, coalesce(w3, 0) AS w3, coalesce(w4, 0) AS w4, n
            FROM (SELECT lang, w1, w2, w3, w4, sum(n) AS n FROM {windows} GROUP BY lang, w1, w2, ROLLUP (w3, w4))

@@ -49,8 +49,7 @@ def texts(n, rng):
         yield i, "".join(w + m for w, m in zip(words, marks)), rng.choice(["en", "en", "fr", None, ""])
 
 
-def test_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "CODED", 5)  # some words have codes, some have none
+def test_equals_brute_force(spark):
     rows = list(texts(400, random.Random(3)))
     for how in ({"least": 5, "percent": 80, "top": 40}, {"least": 2, "percent": 50, "top": 2000}):
         assert made(spark, rows, **how) == brute(rows, **how)
