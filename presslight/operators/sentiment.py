@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -156,6 +157,33 @@ def pullthrough_review(intended: DataFrame, mentions: DataFrame, synonyms: DataF
     return out.withColumn("rate", F.round(100.0 * F.col("found") / F.col("total"), 4))
 
 
+KINDS = ("feature", "attribute", "driver")
+# Drivers that reviews call by another name, and what these names hold.
+DRIVER_NAMES = [("driver", "price/deal", "affordability"), ("driver", "exterior styling", "design")]
+
+
+def pullthrough_kinds(intended: DataFrame, said: DataFrame, reviews: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """intended(make, kind, item), said(make, review, kind, item), reviews(make, review), synonyms(kind, group, term) -> make, review, kind, total, found, rate.
+
+    Items of all kinds are matched at once, as distinct labels of make and kind: one holds the other, both hold a term of one group of their kind,
+    or a driver's other name is said. The kind `overall` has the mean of the three rates, where a kind without intended items counts 0.
+    """
+    k, pair = ["make", "kind"], ["make", "kind", "item", "intended"]
+    i, s = _clean(intended, *k).distinct().withColumnRenamed("item", "intended"), _clean(said, *k, "review").distinct()
+    labels = s.select(*k, "item").distinct()
+    grouped = lambda df, c: df.join(df.select("kind", c).distinct().join(synonyms, "kind").filter(F.contains(c, "term")).select("kind", c, "group").distinct(), ["kind", c])
+    by_group = grouped(labels, "item").join(grouped(i, "intended"), [*k, "group"])
+    names = said.sparkSession.createDataFrame(DRIVER_NAMES, "kind string, intended string, term string")
+    by_name = i.join(F.broadcast(names), ["kind", "intended"]).join(labels, k).filter(F.contains("item", "term"))
+    pairs = reduce(DataFrame.unionByName, (df.select(*pair) for df in (substring_all_matches(labels, i, k, "item", "intended"), by_group, by_name))).distinct()
+    found = s.join(pairs, [*k, "item"]).groupBy(*k, "review").agg(F.count_distinct("intended").alias("found"))
+    rows = reviews.select("make", "review").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, KINDS))))
+    rows = rows.join(i.groupBy(*k).agg(F.count("*").alias("total")), k, "left").join(found, [*k, "review"], "left").fillna(0, ["total", "found"])
+    rows = rows.withColumn("rate", F.when(F.col("total") > 0, 100.0 * F.col("found") / F.col("total")).otherwise(0.0))
+    out = rows.groupingSets([["make", "review", "kind"], ["make", "review"]], "make", "review", "kind").agg(F.grouping("kind").alias("_all"), F.sum("total").alias("total"), F.sum("found").alias("found"), F.round(F.avg("rate"), 4).alias("rate"))
+    return out.select("make", "review", F.when(F.col("_all") == 1, "overall").otherwise(F.col("kind")).alias("kind"), "total", "found", "rate")
+
+
 def pullthrough_portfolio(features: DataFrame, attributes: DataFrame, said_features: DataFrame, said_attributes: DataFrame, reviews: DataFrame) -> DataFrame:
     """Per make: features by substring, attributes exactly, and the share of positive reviews; each review counts once."""
     hit = substring_all_matches(said_features, features.withColumnRenamed("item", "intended"), ["make"], "item", "intended").select("make", F.col("intended").alias("item")).distinct().withColumn("_hit", F.lit(1))

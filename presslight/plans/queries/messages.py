@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ...operators import sentiment as S
@@ -127,6 +129,32 @@ query(
     mm AS (SELECT DISTINCT make, lower(model) AS item FROM b_cand WHERE relevance >= 6), p AS (SELECT mm.make, mm.item, i.item AS intended FROM mm JOIN i ON mm.make = i.make WHERE {_HIT.format('mm.item', 'i.item')} OR EXISTS (SELECT 1 FROM syn a, syn b WHERE a.g = b.g AND contains(mm.item, a.t) AND contains(i.item, b.t)))
     SELECT c.make, wo_number AS review, total, count(DISTINCT intended) AS found, round(100.0 * count(DISTINCT intended) / total, 4)::DOUBLE AS rate FROM b_cand c JOIN tot ON c.make = tot.make LEFT JOIN p ON p.make = c.make AND p.item = lower(c.model) WHERE relevance >= 6 GROUP BY 1, 2, 3""",
 )(lambda c, p: S.pullthrough_review(_few(p), _features(c), c.sparkSession.createDataFrame(_SYN, "group string, term string")))
+_KIND_SYN = [("feature", g, t) for g, t in _SYN]
+_SAID_DRIVER = "CASE flag WHEN 'A' THEN 'great affordability' WHEN 'N' THEN 'Comfort and space' ELSE 'bold design' END"
+_MEANT_DRIVER = "CASE p_size % 4 WHEN 0 THEN 'price/deal' WHEN 1 THEN 'exterior styling' WHEN 2 THEN 'comfort' ELSE 'safety' END"
+query(
+    "AG-18b", "b_cand", "part",
+    sql=f"""WITH syn(kind, g, t) AS (VALUES {', '.join(str(x) for x in _KIND_SYN)}), nm(intended, term) AS (VALUES ('price/deal', 'affordability'), ('exterior styling', 'design')),
+    i AS (SELECT DISTINCT p_brand AS make, 'feature' AS kind, lower(split_part(p_name, ' ', 2)) AS item FROM part UNION SELECT DISTINCT p_brand, 'attribute', lower(p_type) FROM part UNION SELECT DISTINCT p_brand, 'driver', {_MEANT_DRIVER} FROM part),
+    s AS (SELECT DISTINCT make, wo_number AS review, 'feature' AS kind, lower(model) AS item FROM b_cand UNION SELECT DISTINCT make, wo_number, 'attribute', lower(trim) FROM b_cand UNION SELECT DISTINCT make, wo_number, 'driver', lower({_SAID_DRIVER}) FROM b_cand),
+    l AS (SELECT DISTINCT make, kind, item FROM s),
+    p AS (SELECT l.make, l.kind, l.item, i.item AS intended FROM l JOIN i ON l.make = i.make AND l.kind = i.kind WHERE contains(l.item, i.item) OR contains(i.item, l.item)
+       OR EXISTS (SELECT 1 FROM syn a, syn b WHERE a.g = b.g AND a.kind = l.kind AND b.kind = l.kind AND contains(l.item, a.t) AND contains(i.item, b.t))
+       OR EXISTS (SELECT 1 FROM nm WHERE l.kind = 'driver' AND nm.intended = i.item AND contains(l.item, nm.term))),
+    f AS (SELECT s.make, s.review, s.kind, count(DISTINCT intended) AS found FROM s JOIN p ON p.make = s.make AND p.kind = s.kind AND p.item = s.item GROUP BY ALL),
+    t AS (SELECT make, kind, count(*) AS total FROM i GROUP BY ALL),
+    r AS (SELECT c.make, c.review, k.kind, coalesce(t.total, 0) AS total, coalesce(f.found, 0) AS found FROM (SELECT DISTINCT make, wo_number AS review FROM b_cand) c CROSS JOIN (VALUES ('feature'), ('attribute'), ('driver')) k(kind)
+      LEFT JOIN t ON t.make = c.make AND t.kind = k.kind LEFT JOIN f ON f.make = c.make AND f.review = c.review AND f.kind = k.kind)
+    SELECT make, review, coalesce(kind, 'overall') AS kind, sum(total)::BIGINT AS total, sum(found)::BIGINT AS found, round(avg(CASE WHEN total > 0 THEN 100.0 * found / total ELSE 0 END), 4)::DOUBLE AS rate FROM r GROUP BY GROUPING SETS ((make, review, kind), (make, review))""",
+)(
+    lambda c, p: S.pullthrough_kinds(
+        *(reduce(lambda a, b: a.unionByName(b), (df.select(*key, F.lit(kind).alias("kind"), item.alias("item")) for kind, item in items)) for df, key, items in (
+            (p.withColumnRenamed("p_brand", "make"), ["make"], (("feature", F.split_part("p_name", F.lit(" "), F.lit(2))), ("attribute", F.col("p_type")), ("driver", F.expr(_MEANT_DRIVER)))),
+            (c.withColumnRenamed("wo_number", "review"), ["make", "review"], (("feature", F.col("model")), ("attribute", F.col("trim")), ("driver", F.expr(_SAID_DRIVER)))),
+        )),
+        c.select("make", F.col("wo_number").alias("review")), c.sparkSession.createDataFrame(_KIND_SYN, "kind string, group string, term string"),
+    )
+)
 query(
     "AG-19", "b_cand", "part",
     sql=f"""WITH i AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_name, ' ', 2)) AS item FROM part), ia AS (SELECT DISTINCT p_brand AS make, lower(p_type) AS item FROM part WHERE p_type IN ('PROMO', 'LARGE'))

@@ -318,3 +318,18 @@ def test_post_breakdown(spark):
     posts = spark.createDataFrame([("A", "x", 10, 1), ("A", None, None, 3), (None, "x", 20, None)], "platform string, creator string, impressions long, engagements long")
     found = {(r["level"], r["name"]): tuple(r)[2:] for r in M.post_breakdown(posts).collect()}
     assert found == {("all", ""): (3, 30, 4, 10.0, 1.3333, 100.0), ("platform", "A"): (2, 10, 4, 5.0, 2.0, 66.67), ("platform", "Unknown"): (1, 20, 0, 20.0, 0.0, 33.33), ("creator", "x"): (2, 30, 1, 15.0, 0.5, 66.67), ("creator", "Unknown"): (1, 0, 3, 0.0, 3.0, 33.33)}
+
+
+def test_pullthrough_of_all_kinds(spark):
+    from presslight.operators import sentiment as Se
+
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    intended = make([("A", "feature", "Cargo room"), ("A", "feature", "moonroof"), ("A", "attribute", "Bold"), ("A", "driver", "price/deal"), ("A", "driver", "range"), ("B", "feature", "x"), ("A", "driver", "")], "make string, kind string, item string")
+    said = make([("A", 1, "feature", "big trunk space"), ("A", 1, "feature", "Moonroof glass"), ("A", 1, "attribute", "trunk space"), ("A", 1, "driver", "real affordability"), ("A", 2, "attribute", "a bold one"), ("A", 2, "driver", None), ("B", 3, "driver", "affordability")], "make string, review int, kind string, item string")
+    reviews = make([("A", 1), ("A", 2), ("B", 3), ("B", 3)], "make string, review int")
+    synonyms = make([("feature", "cargo", "cargo"), ("feature", "cargo", "trunk space")], "kind string, group string, term string")
+    found = {(r["review"], r["kind"]): tuple(r)[3:] for r in Se.pullthrough_kinds(intended, said, reviews, synonyms).collect()}
+    assert found == {
+        (1, "feature"): (2, 2, 100.0), (1, "attribute"): (1, 0, 0.0), (1, "driver"): (2, 1, 50.0), (1, "overall"): (5, 3, 50.0), (2, "feature"): (2, 0, 0.0), (2, "attribute"): (1, 1, 100.0), (2, "driver"): (2, 0, 0.0), (2, "overall"): (5, 1, 33.3333),
+        (3, "feature"): (1, 0, 0.0), (3, "attribute"): (0, 0, 0.0), (3, "driver"): (0, 0, 0.0), (3, "overall"): (1, 0, 0.0),
+    }
