@@ -35,7 +35,7 @@ PAIR_BITS, PART_BYTES = 40, 64 << 20
 #: The seed of Spark's xxhash64, so that both sides agree on a word's hash.
 SEED = 42
 #: Tokens of a text and of a run of texts that are held at once; words a worker remembers the hashes of.
-SLICE, RUN, REMEMBERED = 1 << 20, 1 << 20, 1 << 20
+SLICE, RUN, REMEMBERED = 1 << 20, 1 << 20, 1 << 18
 #: Lower-cases A-Z, turns tabs to spaces and the marks that end a piece to line feeds.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
