@@ -123,3 +123,10 @@ def first_source_url(df: DataFrame, col: str = "original_urls") -> DataFrame:
     """The first URL of a JSON list or of separated text."""
     listed = F.from_json(col, "array<string>")
     return df.withColumn("source_url", F.coalesce(F.try_element_at(listed, F.lit(1)), F.try_element_at(url_list(col), F.lit(1))))
+
+
+def searched_urls(details: Column) -> Column:
+    """The URLs of a rejection's details ("URL: what came of it; ..."), one a line; says so where there are none, or no details."""
+    parts = F.filter(F.transform(F.split(details, ";"), lambda d: F.trim(d)), lambda d: d.rlike("^https?://"))
+    urls = F.transform(parts, lambda d: F.trim(F.split_part(d, F.lit(": "), F.lit(1))))
+    return F.when(F.coalesce(details, F.lit("")) == "", "No URLs processed").when(F.size(urls) == 0, "No URLs found").otherwise(F.array_join(urls, "\n"))

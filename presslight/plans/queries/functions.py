@@ -107,6 +107,11 @@ query("SF-34c", "b_cand", sql=f"SELECT {k}, sentiment AS classification, 2 AS fe
 query("SF-37", "b_cand", sql=f"SELECT {k}, url AS source_url FROM b_cand")(
     lambda c: U.first_source_url(c.withColumn("original_urls", F.when(F.col("relevance") % 2 == 0, F.to_json(F.array("url", F.lit("b")))).otherwise(F.concat("url", F.lit(";b"))))).select(*K, "source_url")
 )
+_DETAILS = "CASE relevance % 4 WHEN 0 THEN concat(url, ': too old (', trim, '); ', 'http://x.com/', trim, ' ; note: http://y.com') WHEN 1 THEN concat('no page of ', model) WHEN 2 THEN concat(' ', url, ';', url, ': off: topic;') END"
+query(
+    "SF-37b", "b_cand",
+    sql=f"SELECT {k}, CASE relevance % 4 WHEN 0 THEN concat(url, chr(10), 'http://x.com/', trim) WHEN 1 THEN 'No URLs found' WHEN 2 THEN concat(url, chr(10), url) ELSE 'No URLs processed' END AS searched FROM b_cand",
+)(lambda c: c.select(*K, U.searched_urls(F.expr(_DETAILS)).alias("searched")))
 query("SF-38", "documents", sql=r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g'), '(?i)(accept all cookies|privacy policy|terms of service|advertisement|subscribe now)', '', 'g')) AS cleaned FROM documents")(lambda d: d.select("doc_id", T.clean_text(F.col("text")).alias("cleaned")))
 _MARKS = ["recent posts", "related posts", "you may also like", "more stories", "categories:", "tags:", "share this:", "follow us", "subscribe", "advertisement", "sponsored content", "continue reading", "popular articles", "trending now", "recommended for you"]
 _BARE = r"regexp_replace({0}, '^[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+|[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+$', '', 'g')"

@@ -333,3 +333,10 @@ def test_pullthrough_of_all_kinds(spark):
         (1, "feature"): (2, 2, 100.0), (1, "attribute"): (1, 0, 0.0), (1, "driver"): (2, 1, 50.0), (1, "overall"): (5, 3, 50.0), (2, "feature"): (2, 0, 0.0), (2, "attribute"): (1, 1, 100.0), (2, "driver"): (2, 0, 0.0), (2, "overall"): (5, 1, 33.3333),
         (3, "feature"): (1, 0, 0.0), (3, "attribute"): (0, 0, 0.0), (3, "driver"): (0, 0, 0.0), (3, "overall"): (1, 0, 0.0),
     }
+
+
+@pytest.mark.parametrize("details, urls", [
+    (None, "No URLs processed"), ("", "No URLs processed"), (" ; x: http://a", "No URLs found"), ("https://a.com/x:8: gone; http://b.com ;ftp://c; https://d.com/?q=a: b: c", "https://a.com/x:8\nhttp://b.com\nhttps://d.com/?q=a"),
+])
+def test_searched_urls(spark, details, urls):
+    assert spark.createDataFrame([(details,)], "d string").select(U.searched_urls(F.col("d"))).first()[0] == urls
