@@ -101,17 +101,24 @@ def is_index_page(url: Column, raw_len: Column, text_len: Column) -> Column:
 
 
 def authorised_urls(urls: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Whether a person's URL is of one of their outlets; persons without outlets may use any. reason names the outlet or why.
+    """Whether a person's URL is of one of their outlets; persons without outlets may use any. reason names the outlet (the one of the least id) or why.
 
-    outlets(person_id, outlet_id, outlet_name, outlet_url) are gathered per person, so a URL row stays one row.
+    outlets(person_id, outlet_id, outlet_name, outlet_url). Each host of a person is looked up once: it and what follows each of its dots meet
+    the outlets' hosts by an equi-join, and what was found goes back to the rows.
     """
-    by = outlets.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("outlet_id", domain(F.col("outlet_url")).alias("host"), "outlet_name"))).alias("_outlets"))
-    host = domain(F.col("url"))
-    fits = F.filter("_outlets", lambda o: (host == o["host"]) | F.endswith(host, F.concat(F.lit("."), o["host"])))
-    first = F.try_element_at(fits, F.lit(1))
-    allowed = F.col("person_id").isNull() | F.col("_outlets").isNull() | (F.size(fits) > 0)
-    reason = F.when(F.col("person_id").isNull(), "No person_id provided").when(F.col("_outlets").isNull(), "Person not in mapping").otherwise(F.coalesce(first["outlet_name"], F.lit("Not from authorized outlets")))
-    return urls.join(by, "person_id", "left").withColumns({"allowed": F.coalesce(allowed, F.lit(False)), "reason": reason}).drop("_outlets")
+    hosted = urls.withColumn("_host", domain(F.col("url")))
+    looked = hosted.select("person_id", "_host").distinct()
+    parts = F.split("_host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    least = outlets.select("person_id", domain(F.col("outlet_url")).alias("_above"), "outlet_id", "outlet_name").filter("_above IS NOT NULL").groupBy("person_id", "_above").agg(F.min(F.struct("outlet_id", "_above", "outlet_name")).alias("_outlet"))
+    met = looked.filter("_host IS NOT NULL").withColumn("_above", F.explode(above)).join(least, ["person_id", "_above"]).groupBy("person_id", "_host").agg(F.min("_outlet").alias("_outlet"))
+    known = outlets.select("person_id").distinct().withColumn("_known", F.lit(True))
+    found = looked.join(known, "person_id", "left").join(met, ["person_id", "_host"], "left").select(F.col("person_id").alias("_person"), F.col("_host").alias("_of"), "_known", "_outlet")
+    allowed = F.col("person_id").isNull() | F.col("_known").isNull() | F.col("_outlet").isNotNull()
+    reason = F.when(F.col("person_id").isNull(), "No person_id provided").when(F.col("_known").isNull(), "Person not in mapping").otherwise(F.coalesce("_outlet.outlet_name", F.lit("Not from authorized outlets")))
+    # every row has its look-up, nulls as well; from the left, so that a frequent host may be split
+    rows = hosted.join(found, F.col("person_id").eqNullSafe(F.col("_person")) & F.col("_host").eqNullSafe(F.col("_of")), "left")
+    return rows.withColumns({"allowed": allowed, "reason": reason}).drop("_host", "_person", "_of", "_known", "_outlet")
 
 
 def on_topic(df: DataFrame, text_cols: Sequence[str], terms: Sequence[str]) -> DataFrame:

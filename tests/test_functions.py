@@ -340,3 +340,18 @@ def test_pullthrough_of_all_kinds(spark):
 ])
 def test_searched_urls(spark, details, urls):
     assert spark.createDataFrame([(details,)], "d string").select(U.searched_urls(F.col("d"))).first()[0] == urls
+
+
+def test_outlets_are_looked_up_by_host(spark):
+    outlets = spark.createDataFrame(
+        [(1, 7, "Seven", "http://a.com"), (1, 3, "Three", "http://www.A.com/x"), (1, 2, "Two", "http://b.a.com"), (1, 9, None, "http://c.com"), (1, 5, "None", "no url"), (2, 1, "Other", "http://z.com"), (None, 1, "Nobody's", "http://a.com")],
+        "person_id int, outlet_id int, outlet_name string, outlet_url string",
+    )
+    urls = [(1, "http://a.com/1"), (1, "http://x.b.a.com"), (1, "http://ba.com"), (1, "http://c.com"), (1, None), (1, "http://a.com/1"), (2, "http://a.com"), (3, "http://a.com"), (None, "http://a.com"), (None, None)]
+    out = U.authorised_urls(spark.createDataFrame(urls, "person_id int, url string"), outlets)
+    not_from, missing = "Not from authorized outlets", "Person not in mapping"
+    expected = [(1, "http://a.com/1", True, "Three")] * 2 + [(1, "http://x.b.a.com", True, "Two"), (1, "http://ba.com", False, not_from), (1, "http://c.com", True, not_from), (1, None, False, not_from), (2, "http://a.com", False, not_from)]
+    expected += [(3, "http://a.com", True, missing), (None, "http://a.com", True, "No person_id provided"), (None, None, True, "No person_id provided")]
+    assert sorted(map(repr, map(tuple, out.select("person_id", "url", "allowed", "reason").collect()))) == sorted(map(repr, expected))
+    # a person's outlets are never held together, so that a row costs no look at each of them
+    assert "collect_list" not in out._jdf.queryExecution().toString()
