@@ -23,3 +23,12 @@ def test_entry_works_without_the_llm_folders(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, key", [("b_cand", "p_partkey"), ("b_loan", "c_custkey"), ("b_clip", "c_custkey")])
+def test_tables_that_grow_are_not_sent_whole(spark, name, key):
+    from presslight.plans.bindings import bind
+
+    plan = bind(spark, SF, name)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "HashJoin" in line and key in line]
+    assert joins and all("ShuffledHashJoin" in line for line in joins)
