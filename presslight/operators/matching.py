@@ -12,8 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 #: Characters of a gram; a spelling whose runs are all shorter is filed under the longest of them.
 GRAM = 4
+#: Up to so many terms, they and their index are sent to every task; more of them meet the texts by shuffles.
+SENT = 200_000
 
 # What a model's name is misheard as.
 MISHEARD = {"emira": ["amir", "amira", "amera"], "cayenne": ["cayenne", "cayene", "cayen"], "macan": ["makan", "macann"], "giulia": ["julia", "guilia"]}
@@ -94,15 +98,23 @@ def texts_with(texts: DataFrame, terms: DataFrame, text: str = "text", on: Seque
     """texts x terms(term, ..) -> the pairs whose term is contained in the lower-case text and whose columns `on` are equal, as texts' and terms' columns.
 
     Texts are taken one by one: repeated rows give repeated pairs. Null texts and empty terms hold and match nothing. The grams of a
-    text that no term is filed under meet nothing.
+    text that no term is filed under meet nothing. The terms are written once, so that their number says how they meet the texts; while
+    they are sent, the texts stay where they are, however many grams they have.
     """
-    index = index_of(terms.filter("term <> ''"))
+    terms = _kept(terms.filter("term <> ''"), "terms")
+    index = _kept(index_of(terms), "index")
+    met_by = "broadcast" if terms.count() <= SENT else "merge"
     sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # five at most
     numbered = texts.withColumn("_low", F.lower(text)).filter("_low IS NOT NULL")
     grams = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_low"), n) if n else F.array(F.lit("")) for n in sorted(sizes))))) if sizes else F.array().cast("array<string>")
-    met = numbered.withColumn("_gram", F.explode(grams)).join(index.select(F.col("gram").alias("_gram"), F.col("term").alias("_term")), "_gram")
+    met = numbered.withColumn("_gram", F.explode(grams)).join(index.select(F.col("gram").alias("_gram"), F.col("term").alias("_term")).hint(met_by), "_gram")
     held = met.filter(F.contains("_low", F.col("_term"))).drop("_gram", "_low")
-    return held.join(terms.withColumnRenamed("term", "_term"), ["_term", *on]).withColumnRenamed("_term", "term")
+    return held.join(terms.withColumnRenamed("term", "_term").hint(met_by), ["_term", *on]).withColumnRenamed("_term", "term")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    df.write.parquet(place := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def fuzzy_model_match(docs: DataFrame, vehicles: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -111,12 +123,13 @@ def fuzzy_model_match(docs: DataFrame, vehicles: DataFrame, threshold: float = 0
     A vehicle matches by any spelling of its name; or by one of its base model, if it has no trim, or one of a trim's words is there too, or
     threshold is 0.5 or less. Rows of one doc_id count as one text.
     """
-    held = texts_with(docs.select("doc_id", "make", "text").distinct(), model_terms(vehicles), on=["make"])
-    roles = held.groupBy("doc_id", "make", "model").agg(F.collect_set("role").alias("r"), F.first("trimmed").alias("trimmed"))
-    has = lambda role: F.array_contains("r", role)
-    return roles.filter(has("full") | (has("base") & (~F.col("trimmed") | has("trim") | F.lit(threshold <= 0.5)))).select("doc_id", "make", "model")
+    # a text's pairs are counted where the text is
+    held = texts_with(docs.select("doc_id", "make", "text").repartition("doc_id", "make").distinct(), model_terms(vehicles), on=["make"])
+    said = lambda role: F.bool_or(F.col("role") == role).alias(role)
+    roles = held.groupBy("doc_id", "make", "model").agg(said("full"), said("base"), said("trim"), F.bool_or("trimmed").alias("trimmed"))
+    return roles.filter(F.col("full") | (F.col("base") & (~F.col("trimmed") | F.col("trim") | F.lit(threshold <= 0.5)))).select("doc_id", "make", "model")
 
 
 def makes_named(docs: DataFrame, makes: DataFrame) -> DataFrame:
     """docs(doc_id, text), makes(make) -> doc_id, make for every make that a text names, by whatever name."""
-    return texts_with(docs.select("doc_id", "text"), make_terms(makes)).select("doc_id", "make").distinct()
+    return texts_with(docs.select("doc_id", "text").repartition("doc_id"), make_terms(makes)).select("doc_id", "make").distinct()

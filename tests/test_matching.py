@@ -47,3 +47,18 @@ def test_makes_by_other_names(spark):
     makes = spark.createDataFrame([("Volkswagen",), ("Rolls-Royce",), ("Tin",), (None,)], "make string")
     docs = spark.createDataFrame([(1, "the V.W. of a friend"), (2, "a ROLLS"), (3, "nothing of it, Martin"), (4, None)], "doc_id int, text string")
     assert sorted(map(tuple, M.makes_named(docs, makes).collect())) == [(1, "Volkswagen"), (2, "Rolls-Royce"), (3, "Tin")]
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('Brand', id % 3) AS make", "concat('the hot bolt ', id) AS text")
+    vehicles = spark.createDataFrame([(f"Brand{i}", m) for i in range(3) for m in ("Hot Bolt", "Cold Ring")], "make string, model string")
+    found = M.fuzzy_model_match(docs, vehicles)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # texts are dealt once, before their grams are made, and only terms are sent to every task
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("BroadcastExchange") == 2 and "SortMergeJoin" not in plan
+    assert "BuildLeft" not in M.makes_named(docs, vehicles.select("make"))._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(M, "SENT", 0)  # more terms than are sent: the same rows by shuffles
+    apart = M.fuzzy_model_match(docs, vehicles)
+    assert "BroadcastHashJoin" not in apart._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, apart.collect())) == rows and len(rows) == 2000
