@@ -105,11 +105,12 @@ def link_tier_score(links: DataFrame, variations: DataFrame) -> DataFrame:
     v = variations.groupBy("make", "model").agg(F.collect_set("variation").alias("_v"))
     text = F.lower(F.concat_ws(" ", "url", F.regexp_replace(F.regexp_extract("url", r"([^/]+)/?$", 1), "[-_]", " ")))
     words = F.split(F.lower("model"), " ")
-    has = lambda c: F.coalesce(F.contains(text, c), F.lit(False))
+    has = lambda c: F.coalesce(F.contains("_text", c), F.lit(False))
     make, base, variant = has(F.lower("make")), has(F.element_at(words, 1)), has(F.try_element_at(words, F.lit(2)))
-    full = F.exists("_v", lambda x: F.contains(text, x))
+    full = F.exists("_v", lambda x: F.contains(F.col("_text"), x))
     score = F.when(make & full, 1000).when(full, 800).when(make & base & variant, 700).when(base & variant, 600).when(make & base, 500).when(base, 300).otherwise(0)
-    return links.join(v, ["make", "model"]).withColumn("tier_score", score).drop("_v")
+    # the text is made below the join, once a link; in the score it would be made again for every variation
+    return links.withColumn("_text", text).join(v, ["make", "model"]).withColumn("tier_score", score).drop("_v", "_text")
 
 
 def top_links(links: DataFrame, variations: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:

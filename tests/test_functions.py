@@ -355,3 +355,10 @@ def test_outlets_are_looked_up_by_host(spark):
     assert sorted(map(repr, map(tuple, out.select("person_id", "url", "allowed", "reason").collect()))) == sorted(map(repr, expected))
     # a person's outlets are never held together, so that a row costs no look at each of them
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_text_of_a_link_is_made_once(spark):
+    links = spark.createDataFrame([(1, "Mazda", "CX-5 Sport", "http://a.com/mazda/cx_5-sport/"), (2, "Mazda", "CX-5 Sport", "http://a.com/other"), (3, "Mazda", "CX-5 Sport", None)], "id int, make string, model string, url string")
+    out = S.link_tier_score(links, S.model_variations(links))
+    assert "_text" not in out.columns and {r["id"]: r["tier_score"] for r in out.collect()} == {1: 1000, 2: 0, 3: 0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
