@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements without text of the article, and elements that never close.
@@ -262,17 +262,22 @@ FEED = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<
 def parse_feeds(feeds: DataFrame) -> DataFrame:
     """feeds(page_id, xml) -> page_id, kind (rss, atom), items and, for documents without any, reject_reason (empty, broken, no_items).
 
-    A document is parsed whole or not at all; namespaces, attributes and CDATA are the parser's care.
+    A document is parsed whole or not at all; namespaces, attributes and CDATA are the parser's care. Each is parsed once: what is told of it
+    is exploded from an array of one element, through which no filter on it is pushed (a filter would parse anew for every field it names).
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "attributePrefix": "_", "valueTag": "_VALUE"}
     blank = F.coalesce(F.trim("xml"), F.lit("")) == ""
+    some = lambda c: F.when(F.size(c) > 0, c)
+
+    def told(d: Column) -> Column:
+        rss, atom = F.coalesce(some(d["channel"]["item"]), some(d["item"])), some(d["entry"])
+        reason = F.when(blank, "empty").when(d["_broken"].isNotNull() | d.isNull(), "broken").when(rss.isNull() & atom.isNull(), "no_items")
+        kind = F.when(rss.isNotNull(), "rss").otherwise("atom")
+        return F.struct(F.when(reason.isNull(), kind).alias("kind"), F.when(reason.isNull(), F.coalesce(rss, atom)).alias("items"), reason.alias("reject_reason"))
+
     # text before the root, such as a byte order mark, is not the document's
-    parsed = feeds.withColumn("_d", F.when(~blank, F.from_xml(F.regexp_replace("xml", r"^[^<]+", ""), FEED, options)))
-    some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    items = F.coalesce(some("_d.channel.item"), some("_d.item"), some("_d.entry"))
-    kind = F.when((F.size("_d.channel.item") > 0) | (F.size("_d.item") > 0), "rss").when(F.size("_d.entry") > 0, "atom")
-    reason = F.when(blank, "empty").when(F.col("_d._broken").isNotNull() | F.col("_d").isNull(), "broken").when(items.isNull(), "no_items")
-    return parsed.select("page_id", F.when(reason.isNull(), kind).alias("kind"), F.when(reason.isNull(), items).alias("items"), reason.alias("reject_reason"))
+    document = F.when(~blank, F.from_xml(F.regexp_replace("xml", r"^[^<]+", ""), FEED, options))
+    return feeds.select("page_id", F.explode(F.transform(F.array(document), told)).alias("_d")).select("page_id", "_d.kind", "_d.items", "_d.reject_reason")
 
 
 def feed_items(feeds: DataFrame, term: str) -> DataFrame:

@@ -162,10 +162,11 @@ def _feeds(c):
     """A feed for each work order: RSS for even ones, Atom for odd ones, cut short for every 17th, without items for every 13th, none for every 11th."""
     rss = F.concat(F.lit("<item><media:title>other</media:title><title><![CDATA["), "model", F.lit(" &]]></title><atom:link href='http://self'/><link>http://site"), "outlet_id", F.lit("</link><description>"), "trim", F.lit("</description></item>"))
     atom = F.concat(F.lit('<entry><title type="html">'), "model", F.lit(' &amp;</title><link rel="alternate" href="http://site'), "outlet_id", F.lit('"/><link href="http://other"/><summary>'), "trim", F.lit("</summary><content>c</content></entry>"))
-    by = c.groupBy(F.col("wo_number").alias("page_id")).agg(F.concat_ws("", F.collect_list(rss)).alias("rss"), F.concat_ws("", F.collect_list(atom)).alias("atom"))
+    item = F.when(F.col("wo_number") % 2 == 0, rss).otherwise(atom)
+    by = c.select(F.col("wo_number").alias("page_id"), item.alias("item")).groupBy("page_id").agg(F.concat_ws("", F.collect_list("item")).alias("all"))
     p = F.col("page_id")
-    items = lambda x: F.when(p % 13 == 0, "").otherwise(F.col(x))
-    whole = F.when(p % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:media="http://m" xmlns:atom="http://a"><channel><title>t</title>'), items("rss"), F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'), items("atom"), F.lit("</feed>")))
+    items = F.when(p % 13 == 0, "").otherwise(F.col("all"))
+    whole = F.when(p % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:media="http://m" xmlns:atom="http://a"><channel><title>t</title>'), items, F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'), items, F.lit("</feed>")))
     return by.select("page_id", F.when(p % 11 == 0, None).when(p % 17 == 0, F.substring(whole, F.lit(1), F.length(whole) - 4)).otherwise(whole).alias("xml"))
 
 
