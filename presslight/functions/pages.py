@@ -256,10 +256,10 @@ def embedded_json(pages: DataFrame) -> DataFrame:
 
 _ITEM = "struct<title: string, link: array<struct<_VALUE: string, _href: string>>, description: string, summary: string, content: string>"
 #: RSS (items in the channel, or beside it) and Atom (entries) under one schema; names with a prefix are other names.
-FEED = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>, _broken string"
+_FEED = "channel struct<item: array<{0}>>, item array<{0}>, entry array<{0}>, _broken string"
 
 
-def parse_feeds(feeds: DataFrame) -> DataFrame:
+def parse_feeds(feeds: DataFrame, item: str = _ITEM) -> DataFrame:
     """feeds(page_id, xml) -> page_id, kind (rss, atom), items and, for documents without any, reject_reason (empty, broken, no_items).
 
     A document is parsed whole or not at all; namespaces, attributes and CDATA are the parser's care. Each is parsed once: what is told of it
@@ -276,7 +276,7 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
         return F.struct(F.when(reason.isNull(), kind).alias("kind"), F.when(reason.isNull(), F.coalesce(rss, atom)).alias("items"), reason.alias("reject_reason"))
 
     # text before the root, such as a byte order mark, is not the document's
-    document = F.when(~blank, F.from_xml(F.regexp_replace("xml", r"^[^<]+", ""), FEED, options))
+    document = F.when(~blank, F.from_xml(F.regexp_replace("xml", r"^[^<]+", ""), _FEED.format(item), options))
     return feeds.select("page_id", F.explode(F.transform(F.array(document), told)).alias("_d")).select("page_id", "_d.kind", "_d.items", "_d.reject_reason")
 
 
@@ -295,8 +295,8 @@ def feed_items(feeds: DataFrame, term: str) -> DataFrame:
 
 
 def feed_rejects(feeds: DataFrame) -> DataFrame:
-    """Documents that gave no items, with the reason."""
-    return parse_feeds(feeds).filter("reject_reason IS NOT NULL").select("page_id", "reject_reason")
+    """Documents that gave no items, with the reason; of items only their number matters, so no more than titles is converted."""
+    return parse_feeds(feeds, "struct<title: string>").filter("reject_reason IS NOT NULL").select("page_id", "reject_reason")
 
 
 # Words by which features fall into categories (the first that fits), features found by pattern, and attributes by lexicon.

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.scratch import kept
 
 #: Characters of a gram; a spelling whose runs are all shorter is filed under the longest of them.
 GRAM = 4
@@ -101,8 +101,8 @@ def texts_with(texts: DataFrame, terms: DataFrame, text: str = "text", on: Seque
     text that no term is filed under meet nothing. The terms are written once, so that their number says how they meet the texts; while
     they are sent, the texts stay where they are, however many grams they have.
     """
-    terms = _kept(terms.filter("term <> ''"), "terms")
-    index = _kept(index_of(terms), "index")
+    terms = kept(terms.filter("term <> ''"), "terms")
+    index = kept(index_of(terms), "index")
     met_by = "broadcast" if terms.count() <= SENT else "merge"
     sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # five at most
     numbered = texts.withColumn("_low", F.lower(text)).filter("_low IS NOT NULL")
@@ -112,11 +112,6 @@ def texts_with(texts: DataFrame, terms: DataFrame, text: str = "text", on: Seque
     return held.join(terms.withColumnRenamed("term", "_term").hint(met_by), ["_term", *on]).withColumnRenamed("_term", "term")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    df.write.parquet(place := scratch(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
 def fuzzy_model_match(docs: DataFrame, vehicles: DataFrame, threshold: float = 0.6) -> DataFrame:
     """docs(doc_id, make, text), vehicles(make, model) -> doc_id, make, model of the vehicles of their make that the texts speak of.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .joins import semantic_match, substring_all_matches
 
 DOCUMENT = """struct<sentiment_classification: struct<overall: string, confidence: double, rationale: string>,
@@ -157,31 +158,43 @@ def pullthrough_review(intended: DataFrame, mentions: DataFrame, synonyms: DataF
     return out.withColumn("rate", F.round(100.0 * F.col("found") / F.col("total"), 4))
 
 
+#: Up to so many pairs of labels, they are sent to every task; more of them meet what is said by shuffles.
+SENT = 200_000
 KINDS = ("feature", "attribute", "driver")
 # Drivers that reviews call by another name, and what these names hold.
 DRIVER_NAMES = [("driver", "price/deal", "affordability"), ("driver", "exterior styling", "design")]
 
 
-def pullthrough_kinds(intended: DataFrame, said: DataFrame, reviews: DataFrame, synonyms: DataFrame) -> DataFrame:
+def pullthrough_kinds(intended: DataFrame, said: DataFrame, reviews: DataFrame | None, synonyms: DataFrame) -> DataFrame:
     """intended(make, kind, item), said(make, review, kind, item), reviews(make, review), synonyms(kind, group, term) -> make, review, kind, total, found, rate.
 
     Items of all kinds are matched at once, as distinct labels of make and kind: one holds the other, both hold a term of one group of their kind,
     or a driver's other name is said. The kind `overall` has the mean of the three rates, where a kind without intended items counts 0.
+    Without reviews, those of said count, also where they say nothing. Pairs of labels are written once, so that their number says how they meet
+    what is said; while they are sent, all of a review is counted where one shuffle by make and review has put it.
     """
     k, pair = ["make", "kind"], ["make", "kind", "item", "intended"]
-    i, s = _clean(intended, *k).distinct().withColumnRenamed("item", "intended"), _clean(said, *k, "review").distinct()
-    labels = s.select(*k, "item").distinct()
+    i, labels = _clean(intended, *k).distinct().withColumnRenamed("item", "intended"), _clean(said, *k).distinct()
+    labels = kept(labels, "labels")
     grouped = lambda df, c: df.join(df.select("kind", c).distinct().join(synonyms, "kind").filter(F.contains(c, "term")).select("kind", c, "group").distinct(), ["kind", c])
     by_group = grouped(labels, "item").join(grouped(i, "intended"), [*k, "group"])
     names = said.sparkSession.createDataFrame(DRIVER_NAMES, "kind string, intended string, term string")
     by_name = i.join(F.broadcast(names), ["kind", "intended"]).join(labels, k).filter(F.contains("item", "term"))
-    pairs = reduce(DataFrame.unionByName, (df.select(*pair) for df in (substring_all_matches(labels, i, k, "item", "intended"), by_group, by_name))).distinct()
-    found = s.join(pairs, [*k, "item"]).groupBy(*k, "review").agg(F.count_distinct("intended").alias("found"))
-    rows = reviews.select("make", "review").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, KINDS))))
-    rows = rows.join(i.groupBy(*k).agg(F.count("*").alias("total")), k, "left").join(found, [*k, "review"], "left").fillna(0, ["total", "found"])
-    rows = rows.withColumn("rate", F.when(F.col("total") > 0, 100.0 * F.col("found") / F.col("total")).otherwise(0.0))
-    out = rows.groupingSets([["make", "review", "kind"], ["make", "review"]], "make", "review", "kind").agg(F.grouping("kind").alias("_all"), F.sum("total").alias("total"), F.sum("found").alias("found"), F.round(F.avg("rate"), 4).alias("rate"))
-    return out.select("make", "review", F.when(F.col("_all") == 1, "overall").otherwise(F.col("kind")).alias("kind"), "total", "found", "rate")
+    pairs = kept(reduce(DataFrame.unionByName, (df.select(*pair) for df in (substring_all_matches(labels, i, k, "item", "intended"), by_group, by_name))).distinct(), "pairs")
+    s = said.select("make", "review", "kind", F.lower(F.trim("item")).alias("item"))
+    if reviews is not None:
+        none = F.lit(None).cast("string")
+        s = s.unionByName(reviews.select("make", "review", none.alias("kind"), none.alias("item")))
+    met = s.join(pairs.hint("broadcast" if pairs.count() <= SENT else "merge"), [*k, "item"], "left").select("make", "review", "kind", "intended").distinct()
+    counts = met.groupBy("make", "review").agg(*(F.count_if((F.col("kind") == kind) & F.col("intended").isNotNull()).alias(f"_found_{kind}") for kind in KINDS))
+    totals = i.groupBy("make").agg(*(F.count_if(F.col("kind") == kind).alias(f"_total_{kind}") for kind in KINDS))  # one row per make
+    rows = counts.join(F.broadcast(totals), "make", "left").fillna(0)
+    of = [(kind, F.col(f"_total_{kind}"), F.col(f"_found_{kind}")) for kind in KINDS]
+    rate = lambda total, found: F.when(total > 0, 100.0 * found / total).otherwise(0.0)
+    add = lambda x: reduce(Column.__add__, x)
+    overall = (F.lit("overall"), add([t for _, t, _ in of]), add([f for _, _, f in of]), F.round(add([rate(t, f) for _, t, f in of]) / len(of), 4))
+    each = F.array(*(F.struct(kind.alias("kind"), total.alias("total"), found.alias("found"), r.alias("rate")) for kind, total, found, r in [*((F.lit(n), t, f, F.round(rate(t, f), 4)) for n, t, f in of), overall]))
+    return rows.select("make", "review", F.explode(each).alias("x")).select("make", "review", "x.*")
 
 
 def pullthrough_portfolio(features: DataFrame, attributes: DataFrame, said_features: DataFrame, said_attributes: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -62,3 +62,9 @@ def test_feeds(spark):
         (1, "rss", 0, "Kona & more", "http://a/1", ""), (1, "rss", 1, "None", "http://a/2", "of the KONA"), (2, "atom", 0, "Kona <b>", "http://b/1", "c"), (2, "atom", 1, "x", None, "a kona"), (3, "rss", 0, "Kona", "http://d", ""),
     ]
     assert {r["page_id"]: r["reject_reason"] for r in P.feed_rejects(feeds).collect()} == {4: "broken", 5: "no_items", 6: "empty", 7: "broken", 8: "no_items"}
+
+
+def test_a_feed_is_parsed_once(spark):
+    feeds = spark.createDataFrame(FEEDS, "page_id int, xml string")
+    for df in (P.feed_items(feeds, "Kona"), P.feed_rejects(feeds)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1

@@ -32,3 +32,8 @@ def test_tables_that_grow_are_not_sent_whole(spark, name, key):
     plan = bind(spark, SF, name)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "HashJoin" in line and key in line]
     assert joins and all("ShuffledHashJoin" in line for line in joins)
+
+
+def test_pullthrough_reads_what_is_said_once(spark):
+    plan = registry.QUERIES["AG-18b"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
