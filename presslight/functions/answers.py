@@ -57,22 +57,29 @@ def parse_answers(df: DataFrame, col: str) -> DataFrame:
     by its fields. A missing score is the rounded mean of the aspects' scores (half to even), 5 without any.
     """
     text = F.col(col)
-    df = df.withColumn("_clean", _once(text, _cleaned))
-    mended = F.replace("_clean", F.lit('\\"'), F.lit('"'))
-    commas = F.regexp_replace(F.regexp_replace(mended, r"\}\s*\{", "},{"), r"\]\s*\[", "],[")
+    mended = lambda c: F.replace(c, F.lit('\\"'), F.lit('"'))
+    commas = lambda c: F.regexp_replace(F.regexp_replace(c, r"\}\s*\{", "},{"), r"\]\s*\[", "],[")
     parsed = lambda c: F.when(F.startswith(c, F.lit("{")), F.try_parse_json(c))
-    df = df.withColumns({"_1": F.coalesce(parsed(F.col("_clean")), parsed(mended)), "_2": parsed(commas)})
-    df = df.withColumn("_3", F.when(F.col("_1").isNull() & F.col("_2").isNull(), _once(text, _fields)))
+    differs = lambda c, f: F.when(F.startswith(c, F.lit("{")), F.nullif(f(c), c))  # noqa: E731  a text that failed once is not tried again
+    _tried = lambda how, answer: F.when(answer.isNotNull(), F.struct(F.lit(how).alias("how"), answer.alias("answer")))
+
+    def tries(clean: Column) -> Column:
+        as_it_stands = _once(parsed(clean), lambda v: _tried("clean", v))
+        with_quotes = _once(differs(clean, mended), lambda m: _once(parsed(m), lambda v: _tried("clean", v)))
+        with_commas = _once(mended(clean), lambda m: _once(differs(m, commas), lambda c: _once(parsed(c), lambda v: _tried("commas", v))))
+        by_fields = F.when(F.contains(text, F.lit("relevance_score")), _once(_fields(text), lambda v: _tried("fields", v)))
+        return F.coalesce(as_it_stands, with_quotes, with_commas, by_fields)
+
+    # exploded from an array of one element, through which no filter on the answer is pushed (it would parse anew for every name of it)
+    df = df.withColumn("_t", F.explode(F.transform(F.transform(F.array(text), _cleaned), tries)))
     df = df.withColumns({
-        "answer": F.coalesce("_1", "_2", "_3"),
-        "how": F.when(F.col("_1").isNotNull(), "clean").when(F.col("_2").isNotNull(), "commas").when(F.col("_3").isNotNull(), "fields"),
-        "reject_reason": F.when(F.coalesce("_1", "_2", "_3").isNull(), F.when(~F.coalesce(text, F.lit("")).rlike(r"\S"), "empty").when(~F.contains(text, F.lit("{")), "no_object").otherwise("broken")),
+        "answer": F.col("_t.answer"), "how": F.col("_t.how"),
+        "reject_reason": F.when(F.col("_t").isNull(), F.when(~F.coalesce(text, F.lit("")).rlike(r"\S"), "empty").when(~F.contains(text, F.lit("{")), "no_object").otherwise("broken")),
     })
     each = F.transform(F.map_values(F.try_variant_get("answer", "$.aspects", "map<string,variant>")), lambda a: F.try_variant_get(a, "$.score", "double"))
-    scores = F.filter(each, lambda s: s.isNotNull())
-    mean = F.when(F.size(scores) > 0, F.bround(F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.size(scores)))
+    mean = _once(F.filter(each, lambda s: s.isNotNull()), lambda scores: F.when(F.size(scores) > 0, F.bround(F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.size(scores))))
     overall = F.coalesce(F.try_variant_get("answer", "$.overall_score", "double"), mean, F.lit(float(NO_SCORE)))
-    return df.withColumn("overall_score", F.when(F.col("answer").isNotNull(), overall)).drop("_clean", "_1", "_2", "_3")
+    return df.withColumn("overall_score", F.when(F.col("answer").isNotNull(), overall)).drop("_t")
 
 
 def answers_and_rejects(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:

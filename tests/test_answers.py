@@ -68,3 +68,11 @@ def test_a_feed_is_parsed_once(spark):
     feeds = spark.createDataFrame(FEEDS, "page_id int, xml string")
     for df in (P.feed_items(feeds, "Kona"), P.feed_rejects(feeds)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
+def test_no_filter_parses_answers_again(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "none")], "id int, t string")
+    for side in A.answers_and_rejects(df, "t"):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "parse_json" in line]
+        assert side.count() == 1
