@@ -32,16 +32,19 @@ def json_nodes(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
 
     Members are named .member and elements [position] below the root $. A text that is no JSON has no nodes. Each level of
     nesting is one pass over the containers of the level above, kept as a table in the shared folder, so a walk takes as many passes
-    as the deepest document has levels and holds no document's nodes together.
+    as the deepest document has levels and holds no document's nodes together. The texts are dealt over all tasks first, as a small file may
+    hold many; a container is told by its children and its text is never made.
     """
     spark = df.sparkSession
     kept = [f"k{i}" for i in range(len(keys))]
     names = ", ".join(kept)
-    level = df.select(*(F.col(k).alias(n) for k, n in zip(keys, kept)), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(col).alias("node")).filter("node IS NOT NULL")
+    dealt = df.select(*(F.col(k).alias(n) for k, n in zip(keys, kept)), F.col(col).alias("text")).repartition(*kept, "text")
+    level = dealt.select(*kept, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.try_parse_json("text").alias("node")).filter("node IS NOT NULL")
     found = None
     while True:
+        held = F.when(F.try_variant_get("node", "$", "array<variant>").isNotNull(), "array").when(F.try_variant_get("node", "$", "map<string,variant>").isNotNull(), "object")
         mark = F.substring(F.to_json("node"), 1, 1)
-        kind = F.when(mark == "{", "object").when(mark == "[", "array").when(mark == '"', "string").when(mark.isin("t", "f"), "boolean").when(F.is_variant_null("node"), "null").otherwise("number")
+        kind = held.when(mark == '"', "string").when(mark.isin("t", "f"), "boolean").when(F.is_variant_null("node"), "null").otherwise("number")
         place = scratch(spark, "nodes")
         level.withColumn("kind", kind).write.parquet(place)
         level = spark.read.parquet(place)

@@ -51,3 +51,9 @@ def test_export_keeps_known_fields_or_gives_the_placeholder(spark):
 def test_fields_of_a_sentiment_document(spark):
     rows = D.sentiment_fields(frame(spark, ['{"sentiment_classification": {"overall": "positive", "confidence": 0.5}, "key_features_mentioned": [1, {"a": 2}], "purchase_drivers": null}', '{"key_features_mentioned": "no list"}', None]), "j").orderBy("id").collect()
     assert tuple(rows[0][2:]) == ("positive", 0.5, None, 2, 0, 0) and tuple(rows[1][2:]) == tuple(rows[2][2:]) == (None, None, None, 0, 0, 0)
+
+
+def test_texts_of_one_partition_are_dealt(spark):
+    texts = spark.range(0, 20000, 1, 1).select("id", F.concat(F.lit('{"a": "'), F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512), F.lit('"}')).alias("j"))
+    nodes = D.json_nodes(texts, "j", ["id"])
+    assert nodes.count() == 40000 and len(nodes.inputFiles()) > 2  # of two levels
