@@ -19,11 +19,24 @@ purchase_drivers: array<struct<reason: string, sentiment: string, strength: stri
 competitive_context: struct<direct_comparisons: array<string>, market_positioning: string>>"""
 
 
+#: The array fields of a document whose items are counted.
+ITEMS = {
+    "key_features_mentioned": "array<struct<feature: string, sentiment: string, quote: string>>", "brand_attributes_captured": "array<struct<attribute: string, sentiment: string, evidence: string>>",
+    "purchase_drivers": "array<struct<reason: string, sentiment: string, strength: string, quote: string>>",
+}
+
+
 def documents(clips: DataFrame, col: str = "sentiment_json") -> DataFrame:
     """Clips with the parsed document as doc; text that isn't one gives null."""
     return clips.withColumn("doc", F.from_json(col, DOCUMENT, {"mode": "PERMISSIVE"}))
 
 
+def _elements(clips: DataFrame, field: str, col: str = "sentiment_json") -> DataFrame:
+    """The elements of one array field of the documents, as x. No other field is converted, and a text is parsed once: no filter is pushed through the outer explosion."""
+    doc = F.from_json(col, f"struct<{field}: {ITEMS[field]}>", {"mode": "PERMISSIVE"})
+    return clips.select(F.explode(F.array(doc)).alias("doc")).select(F.explode(f"doc.{field}").alias("x"))
+
+
 def _of(clips: DataFrame, make=None, model=None, date_from=None, date_to=None) -> DataFrame:
     for col, value in (("make", make), ("model", model)):
         if value is not None:
@@ -33,25 +46,25 @@ def _of(clips: DataFrame, make=None, model=None, date_from=None, date_to=None) -
     return clips if date_to is None else clips.filter(F.col("published_date") <= F.lit(date_to).cast("date"))
 
 
-def _items(docs: DataFrame, field: str, name: str, states: dict[str, Sequence[str]], quote: str, n: int) -> DataFrame:
+def _items(clips: DataFrame, field: str, name: str, states: dict[str, Sequence[str]], quote: str, n: int) -> DataFrame:
     """Elements of an array field by name: total, a count for each state of each key, distinct quotes (the first n, sorted)."""
-    x = docs.select(F.explode(f"doc.{field}").alias("x"))
+    x = _elements(clips, field)
     counts = [F.count_if(F.col(f"x.{key}") == s).alias(s) for key, ss in states.items() for s in ss]
     quotes = F.concat_ws("|", F.slice(F.array_sort(F.collect_set(f"x.{quote}")), 1, n)).alias("quotes")
     return x.filter(F.col(f"x.{name}").isNotNull()).groupBy(F.col(f"x.{name}").alias(name)).agg(F.count("*").alias("total"), *counts, quotes)
 
 
 def aggregate_features(clips: DataFrame, make=None, model=None, date_from=None, date_to=None) -> DataFrame:
-    return _items(documents(_of(clips, make, model, date_from, date_to)), "key_features_mentioned", "feature", {"sentiment": ("positive", "neutral", "negative")}, "quote", 5)
+    return _items(_of(clips, make, model, date_from, date_to), "key_features_mentioned", "feature", {"sentiment": ("positive", "neutral", "negative")}, "quote", 5)
 
 
 def aggregate_attributes(clips: DataFrame, make=None, model=None, date_from=None, date_to=None) -> DataFrame:
-    return _items(documents(_of(clips, make, model, date_from, date_to)), "brand_attributes_captured", "attribute", {"sentiment": ("reinforced", "neutral", "challenged")}, "evidence", 5)
+    return _items(_of(clips, make, model, date_from, date_to), "brand_attributes_captured", "attribute", {"sentiment": ("reinforced", "neutral", "challenged")}, "evidence", 5)
 
 
 def aggregate_drivers(clips: DataFrame, make=None, model=None, date_from=None, date_to=None) -> DataFrame:
     """Drivers by positive and negative, primary and secondary mentions; most primary first, then total, then name."""
-    out = _items(documents(_of(clips, make, model, date_from, date_to)), "purchase_drivers", "reason", {"sentiment": ("positive", "negative"), "strength": ("primary", "secondary")}, "quote", 5)
+    out = _items(_of(clips, make, model, date_from, date_to), "purchase_drivers", "reason", {"sentiment": ("positive", "negative"), "strength": ("primary", "secondary")}, "quote", 5)
     return out.orderBy(F.desc("primary"), F.desc("total"), "reason")
 
 

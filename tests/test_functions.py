@@ -362,3 +362,12 @@ def test_text_of_a_link_is_made_once(spark):
     out = S.link_tier_score(links, S.model_variations(links))
     assert "_text" not in out.columns and {r["id"]: r["tier_score"] for r in out.collect()} == {1: 1000, 2: 0, 3: 0}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+@pytest.mark.parametrize("name", ["aggregate_features", "aggregate_attributes", "aggregate_drivers"])
+def test_sentiment_documents_are_parsed_once(spark, name):
+    from presslight.operators import sentiment as Se
+
+    clips = spark.createDataFrame([("{}",), ("broken",), (None,)], "sentiment_json string")
+    df = getattr(Se, name)(clips)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1 and df.count() == 0
