@@ -1,15 +1,15 @@
-"""Articles, links, bylines and dates of HTML pages with the standard library's parser, in mapInPandas (UD, SF-22, SF-36)."""
+"""Articles, links, bylines and dates of HTML pages with the standard library's parser, in mapInArrow (UD, SF-22, SF-36)."""
 
 from __future__ import annotations
 
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +124,25 @@ def parse(html: str | None) -> _Page:
     return page
 
 
+#: Pages of a batch that are taken at once; a worker holds no more pages and rows of them as Python objects.
+SLICE = 128
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+
+def by_page(pages: DataFrame, cols: list[str], rows_of: Callable[..., Iterable[tuple]], fields: dict[str, str]) -> DataFrame:
+    """The rows that rows_of(*cols) gives for each page; fields are their names and types."""
+    schema = pa.schema([(name, _TYPES[t]) for name, t in fields.items()])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = [r for page in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns)) for r in rows_of(*page)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return pages.select(*cols).mapInArrow(made, ", ".join(f"{name} {t}" for name, t in fields.items()))
+
+
 def _links(url: str | None, html: str | None) -> list[tuple[str, str, str]]:
     """Distinct absolute links with anchor text and category, likely articles first, each as where it is likeliest."""
     own, seen = urlsplit(url or "").netloc.lower(), {}
@@ -146,65 +165,51 @@ def _links(url: str | None, html: str | None) -> list[tuple[str, str, str]]:
 def extract_links(pages: DataFrame, n: int = 100) -> DataFrame:
     """The first n article links of each page, absolute and distinct, with anchor text: on its domain, no listings or files, likely articles first."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                articles = [x for x in _links(url, html) if x[2] == "article"]
-                rows += [(i, k + 1, *x) for k, x in enumerate(articles[:n])]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "link", "anchor", "category"])
+    def rows(i, url, html):
+        articles = [x for x in _links(url, html) if x[2] == "article"]
+        return [(i, k + 1, *x) for k, x in enumerate(articles[:n])]
 
-    return pages.select("page_id", "url", "html").mapInPandas(made, "page_id long, position int, link string, anchor string, category string")
+    return by_page(pages, ["page_id", "url", "html"], rows, {"page_id": "long", "position": "int", "link": "string", "anchor": "string", "category": "string"})
 
 
 def link_counts(pages: DataFrame) -> DataFrame:
     """How many distinct links of each category (article, listing, video, external) each page has, all of them."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, kind, n) for i, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]) for kind, n in Counter(kind for _, _, kind in _links(url, html)).items()]
-            yield pd.DataFrame(rows, columns=["page_id", "category", "links"])
+    def rows(i, url, html):
+        return [(i, kind, n) for kind, n in Counter(kind for _, _, kind in _links(url, html)).items()]
 
-    return pages.select("page_id", "url", "html").mapInPandas(made, "page_id long, category string, links long")
+    return by_page(pages, ["page_id", "url", "html"], rows, {"page_id": "long", "category": "string", "links": "long"})
 
 
 def extract_bylines(pages: DataFrame) -> DataFrame:
     """page_id and byline: from an author mark or meta tag, else from a line "By Name"."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, html in zip(pdf["page_id"], pdf["html"]):
-                page = parse(html)
-                found = [page.meta.get("author", ""), *page.bylines, *(m[1] for _, t in page.paragraphs if (m := re.match(r"By ([A-Z][\w.'-]+(?: [A-Z][\w.'-]+){1,2})", t)))]
-                names = [re.sub(r"(?i)^\s*by\s+", "", re.sub(r"\s+", " ", f)).strip() for f in found]
-                rows.append((i, next((x for x in names if 2 < len(x) < 60), None)))
-            yield pd.DataFrame(rows, columns=["page_id", "byline"])
+    def rows(i, html):
+        page = parse(html)
+        found = [page.meta.get("author", ""), *page.bylines, *(m[1] for _, t in page.paragraphs if (m := re.match(r"By ([A-Z][\w.'-]+(?: [A-Z][\w.'-]+){1,2})", t)))]
+        names = [re.sub(r"(?i)^\s*by\s+", "", re.sub(r"\s+", " ", f)).strip() for f in found]
+        return [(i, next((x for x in names if 2 < len(x) < 60), None))]
 
-    return pages.select("page_id", "html").mapInPandas(made, "page_id long, byline string")
+    return by_page(pages, ["page_id", "html"], rows, {"page_id": "long", "byline": "string"})
 
 
 def page_date(pages: DataFrame, as_of: str) -> DataFrame:
     """The first sound date of each page: JSON-LD, meta tags, time elements, text; from 10 years before as_of to 30 days after."""
     from .dates import parse_date
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, html in zip(pdf["page_id"], pdf["html"]):
-                page, found = parse(html), []
-                for text in page.json_ld:
-                    try:
-                        data = json.loads(text)
-                    except ValueError:
-                        continue
-                    found += [d[k] for d in (data if isinstance(data, list) else [data]) if isinstance(d, dict) for k in ("datePublished", "dateCreated") if isinstance(d.get(k), str)]
-                found += [page.meta[k] for k in ("article:published_time", "og:published_time", "date", "pubdate") if k in page.meta]
-                found += page.times + [m[0] for _, t in page.paragraphs for m in [re.search(r"\b[A-Z][a-z]+ \d{1,2}, \d{4}\b|\b\d{4}-\d{2}-\d{2}\b", t)] if m]
-                rows.append((i, found))
-            yield pd.DataFrame(rows, columns=["page_id", "found"])
-
-    dates = pages.select("page_id", "html").mapInPandas(made, "page_id long, found array<string>").select("page_id", F.posexplode_outer("found").alias("rank", "raw"))
+    def rows(i, html):
+        page, found = parse(html), []
+        for text in page.json_ld:
+            try:
+                data = json.loads(text)
+            except ValueError:
+                continue
+            found += [d[k] for d in (data if isinstance(data, list) else [data]) if isinstance(d, dict) for k in ("datePublished", "dateCreated") if isinstance(d.get(k), str)]
+        found += [page.meta[k] for k in ("article:published_time", "og:published_time", "date", "pubdate") if k in page.meta]
+        found += page.times + [m[0] for _, t in page.paragraphs for m in [re.search(r"\b[A-Z][a-z]+ \d{1,2}, \d{4}\b|\b\d{4}-\d{2}-\d{2}\b", t)] if m]
+        return [(i, found)]
+
+    dates = by_page(pages, ["page_id", "html"], rows, {"page_id": "long", "found": "array<string>"}).select("page_id", F.posexplode_outer("found").alias("rank", "raw"))
     day = parse_date(F.col("raw"))
     now = F.lit(as_of).cast("date")
     sound = F.when(day.between(F.add_months(now, -120), F.date_add(now, 30)), day)
@@ -246,12 +251,10 @@ def _states(html: str | None) -> Iterator[tuple[int, str]]:
 def embedded_json(pages: DataFrame) -> DataFrame:
     """State objects that scripts assign (window.X = {..}, var X, __NEXT_DATA__), as JSON text that parses; position counts a page's assignments."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, t) for i, html in zip(pdf["page_id"], pdf["html"]) for k, t in _states(html)]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "json"])
+    def rows(i, html):
+        return [(i, k, t) for k, t in _states(html)]
 
-    return pages.select("page_id", "html").mapInPandas(made, "page_id long, position int, json string")
+    return by_page(pages, ["page_id", "html"], rows, {"page_id": "long", "position": "int", "json": "string"})
 
 
 _ITEM = "struct<title: string, link: array<struct<_VALUE: string, _href: string>>, description: string, summary: string, content: string>"
