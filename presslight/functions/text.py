@@ -104,7 +104,7 @@ def clean_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(col, SPACE + "+", " "), "(?i)(" + "|".join(phrases) + ")", ""))
 
 
-def content_quality(df: DataFrame, text: str, topic: Column, url: Column | None = None) -> DataFrame:
+def quality_of(text: Column, topic: Column, url: Column | None = None) -> Column:
     """good, or why not: too_short, navigation, sidebar, off_topic (none of the words of a topic of several), fragmented (short lines)."""
     # The site of flip books whose texts may be shorter, and marks of their controls, looked for in the text without spaces.
     flip_site = "spotlightepnews.com"
@@ -113,21 +113,30 @@ def content_quality(df: DataFrame, text: str, topic: Column, url: Column | None
     marks = ["recent posts", "related posts", "you may also like", "more stories", "categories:", "tags:", "share this:", "follow us", "subscribe", "advertisement", "sponsored content", "continue reading", "popular articles", "trending now", "recommended for you"]
     bare = lambda c: F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
     count = lambda c, parts: sum((F.contains(c, F.lit(m)).cast("int") for m in parts), F.lit(0))
-    t = F.lower(text)
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  what f names many times is worked out once
     host = F.lit("") if url is None else F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     least = F.when(F.contains(host, F.lit(flip_site)), 100).otherwise(200)
     topics = F.filter(F.split(F.lower(topic), SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.transform(F.split(text, "\n"), bare), lambda x: x != "")
-    short = F.size(F.filter(lines, lambda x: F.length(x) < 50))
-    verdict = (
-        F.when(F.length(bare(F.col(text))) < least, "too_short")
-        .when(count(F.replace(t, F.lit(" "), F.lit("")), controls) >= 2, "navigation")
-        .when(count(t, marks) >= 2, "sidebar")
-        .when((F.size(topics) > 1) & ~F.exists(topics, lambda w: F.contains(t, w)), "off_topic")
-        .when((F.size(lines) > 5) & (short > 0.7 * F.size(lines)), "fragmented")
-        .otherwise("good")
-    )
-    return df.withColumn("quality_verdict", F.when(F.col(text).isNull(), "too_short").otherwise(verdict))
+    fragmented = once(lines, lambda ls: (F.size(ls) > 5) & (F.size(F.filter(ls, lambda x: F.length(x) < 50)) > 0.7 * F.size(ls)))
+
+    def of(t: Column) -> Column:
+        """The verdict on a text that is long enough, from its lower case."""
+        return (
+            F.when(once(F.replace(t, F.lit(" "), F.lit("")), lambda c: count(c, controls)) >= 2, "navigation")
+            .when(count(t, marks) >= 2, "sidebar")
+            .when((F.size(topics) > 1) & ~F.exists(topics, lambda w: F.contains(t, w)), "off_topic")
+            .when(fragmented, "fragmented")
+            .otherwise("good")
+        )
+
+    verdict = F.when(F.length(bare(text)) < least, "too_short").otherwise(once(F.lower(text), of))
+    return F.when(text.isNull(), "too_short").otherwise(verdict)
+
+
+def content_quality(df: DataFrame, text: str, topic: Column, url: Column | None = None) -> DataFrame:
+    """quality_verdict of a column of texts."""
+    return df.withColumn("quality_verdict", quality_of(F.col(text), topic, url))
 
 
 def content_specificity(df: DataFrame, text: str, make: Column, model: Column) -> DataFrame:

@@ -90,3 +90,8 @@ def test_given_pages(spark):
         blocks = [html.unescape(re.sub(r"<[^>]*>", "", b)) for b in re.split(r"</?p>", inside[2])]
         text = " ".join([html.unescape(inside[1]), *(b for b in blocks if len(b.strip()) > 20)])
         assert (r["text"], r["method"]) == (boiler.sub("", plain(text)).strip(), "basic") or r["quality"] != "good"
+
+
+def test_texts_are_judged_by_one_expression(spark):
+    plan = A.extract_articles(spark.createDataFrame([(1, "http://a/b", "<p>x</p>")], "page_id long, url string, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("recommended for you") == 1
