@@ -87,7 +87,7 @@ class PieceEncoder:
         if self.kind == "level":
             if _beside(text):
                 first, *rest = _SPLIT.split(text)
-                return [b"\0" + first.encode(), *(p[1:].encode() for p in rest)]
+                return [b"\0" + first.encode(), *((p[1:] if p[1] != "\0" else "\0" + p).encode() for p in rest)]
             found = text.encode().replace(b"\n", b" \0\n \0").split(b" ")
             if found[0]:
                 found[0] = b"\0" + found[0]
@@ -153,7 +153,7 @@ class PieceEncoder:
             ids[key] = old_ids[key]
             if self.joined:
                 self.shown[key] = old_shown[key]
-        plain = [k for k in new if _is_plain(k)] if self.kind != "whole" else []
+        plain = [k for k in new if _is_plain(k) and (k[0] or self.kind == "level")] if self.kind != "whole" else []
         self._learn_plain(plain)
         others = list(new.difference(plain))
         for key, found in zip(others, self.through_library([self._piece(k) for k in others])):

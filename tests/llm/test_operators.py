@@ -205,6 +205,14 @@ def test_pieces_across_generations(monkeypatch):
             assert [shown.decode() for _, shown in e.encode_and_show(texts)] == [t.decode(i, skip_special_tokens=False) for i in ids]
 
 
+def test_pieces_that_start_with_a_zero_byte():
+    """A zero byte after a space is text, not the mark of a piece without one."""
+    for path in (WORD_BPE, BYTE_BPE):
+        e, t = PieceEncoder(path), Tokenizer.from_file(path)
+        for text in ["a \0 b", "a \0b", "\0", "\0a", " \0", "a \0\0 \0", "a\0 b"]:
+            assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_quality_on_held_out_labels(spark):
     path = SF.replace("sf0.001", "sf0.01")
     got = registry.QUERIES["op3_quality_classifier"](spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").filter("held_out").toPandas()
