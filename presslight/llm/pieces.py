@@ -2,6 +2,7 @@
 
 A text is cut where no token can span and no rule of the tokenizer looks across; pieces recur, so a
 worker keeps the ids of those it has met, in two generations, and the library encodes only new ones.
+Arrow numbers the different pieces of a batch, so each is looked up once, and lays out their ids.
 A new piece of plain letters, with or without ASCII punctuation after them, is one or two words of the
 tokenizer's own pattern and goes straight to the library's model; all others go through the whole
 library. Ids are little-endian unsigned 32-bit integers.
@@ -16,8 +17,9 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces in a generation; a worker keeps two, and what it meets again moves to the younger one.
+#: Pieces in a generation; a worker keeps two, and what it meets again moves to the younger one. Encoders that keep no shown tokens hold twice as many.
 KEPT = 300_000
 #: Pieces that go through the whole library as one text.
 JOINED = 4096
@@ -40,6 +42,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters() | {10: "\n"}
+#: Ends a piece among others; no byte of UTF-8.
+_END = b"\xff"
 
 
 def _beside(text: str) -> bool:
@@ -58,7 +62,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -73,6 +77,13 @@ class PieceEncoder:
         self.joined = made.get("decoder") is None
         self.names = {i: w.encode() for w, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.four = {i: i.to_bytes(4, "little") for i in self.names}
+        #: The model alone, on a word a line: for byte-level tokenizers whose tokens hold every byte as one letter.
+        self.lines = None
+        if self.kind == "level" and not self.joined and not (made["model"].get("continuing_subword_prefix") or made["model"].get("end_of_word_suffix")) and made["model"]["vocab"].keys() >= set(_byte_letters().values()):
+            self.lines = Tokenizer(self.tokenizer.model)
+            self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            self.lengths = np.zeros(max(self.names) + 1, np.int64)
+            self.lengths[list(self.names)] = [len(w.decode()) for w in self.names.values()]
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.between, self.between_id = special[0] if special else (None, None)
         self.marks: dict[bytes, bytes] = {}
@@ -95,6 +106,14 @@ class PieceEncoder:
             return found[1:]
         return [text.encode()]
 
+    def _ended(self, text: str) -> bytes:
+        """The keys of the pieces of a text, each with _END after it."""
+        if self.kind != "level" or not text or _beside(text):
+            return b"".join([p + _END for p in self.pieces(text)])
+        data = text.encode().replace(b"\n", b" \0\n \0")
+        data = data[1:] if data[:1] == b" " else b"\0" + data
+        return data.replace(b" ", _END) + _END
+
     def _piece(self, key: bytes) -> bytes:
         return key if self.kind != "level" else key[1:] if key[:1] == b"\0" else b" " + key
 
@@ -111,6 +130,18 @@ class PieceEncoder:
         tokenize = self.tokenizer.model.tokenize
         return ([t.id for t in tokenize(w)] for w in data.decode("latin-1").translate(_LETTERS).split("\n")) if words else iter(())
 
+    def _line_by_line(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of words as _tokenized has them, from the library's model many at a time; told apart by the bytes that tokens and words have."""
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self.lines.encode_batch_fast([b"\n".join(some).decode("latin-1").translate(_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
+            reached, ends = np.concatenate([[0], np.cumsum(self.lengths[ids])]), np.cumsum(list(map(len, some)))
+            n_ids = np.searchsorted(reached, ends, side="right") - 1
+            if reached[-1] != ends[-1] or not np.array_equal(reached[n_ids], ends):
+                raise ValueError("tokens do not end where words do")
+            data, cuts = ids.tobytes(), (4 * n_ids).tolist()
+            yield from (data[x:y] for x, y in zip([0, *cuts], cuts))
+
     def _learn_plain(self, keys: list[bytes]) -> None:
         """Ids of pieces of plain letters, with or without marks after them."""
         ids, shown, four, names = self.ids, self.shown, self.four, self.names
@@ -118,6 +149,9 @@ class PieceEncoder:
         for whole, words in ((ids, {c for c in cores if c not in ids}), (self.marks, {k[len(c) :] for k, c in zip(keys, cores)}.difference(self.marks))):
             some = list(words)
             spaced = [w[1:] if w[:1] == b"\0" else b" " + w for w in some] if self.kind == "level" and whole is ids else some
+            if self.lines:
+                whole.update(zip(some, self._line_by_line(spaced)))
+                continue
             for w, found in zip(some, self._tokenized(spaced)):
                 whole[w] = b"".join([four[i] for i in found])
                 if self.joined:
@@ -153,7 +187,7 @@ class PieceEncoder:
             ids[key] = old_ids[key]
             if self.joined:
                 self.shown[key] = old_shown[key]
-        plain = [k for k in new if _is_plain(k) and (k[0] or self.kind == "level")] if self.kind != "whole" else []
+        plain = [k for k in new if k.isalpha() or _is_plain(k) and (k[0] or self.kind == "level")] if self.kind != "whole" else []
         self._learn_plain(plain)
         others = list(new.difference(plain))
         for key, found in zip(others, self.through_library([self._piece(k) for k in others])):
@@ -163,7 +197,7 @@ class PieceEncoder:
 
     def turn(self) -> None:
         """Before a batch: a full generation becomes the old one."""
-        if len(self.ids) > KEPT:
+        if len(self.ids) > (KEPT if self.joined else 2 * KEPT):
             self.old, self.ids, self.shown, self.marks = (self.ids, self.shown), {}, {}, {}
 
     def _known(self, texts: list[str]) -> list[list[bytes]]:
@@ -174,8 +208,22 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        cut = self._known(texts)
-        return [b"".join(map(self.ids.__getitem__, c)) for c in cut]
+        self.turn()
+        ended = [self._ended(t) for t in texts]
+        data = b"".join(ended)
+        if not data:
+            return [b""] * len(texts)
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == _END[0]) + 1
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        keys = [k[:-1] for k in found.dictionary.to_numpy(zero_copy_only=False)]
+        self.learn(keys)
+        laid = pa.array([self.ids[k] for k in keys], pa.large_binary()).take(found.indices)
+        _, places, ids = laid.buffers()
+        ids = ids.to_pybytes() if ids else b""
+        last = np.searchsorted(ends, np.cumsum(list(map(len, ended))), side="right")
+        cuts = np.frombuffer(places, np.int64)[last].tolist()
+        return [ids[x:y] for x, y in zip([0, *cuts], cuts)]
 
     def encode_and_show(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of each text, and decode(ids, skip_special_tokens=False) as UTF-8."""

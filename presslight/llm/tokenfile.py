@@ -29,6 +29,8 @@ MAGIC = 0x43414431
 #: Ids after which a segment is closed, at the end of a document.
 SEGMENT_IDS = 1 << 18
 RANK_BITS = 512
+#: Documents encoded at once, if their texts take no more than a batch's bytes: the more, the fewer times a worker looks up a piece that recurs.
+BATCH_ROWS = 2048
 
 
 def pack(ids: np.ndarray, doc_ids: list, counts: list[int]) -> bytes:
@@ -112,7 +114,7 @@ def token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     order, null ids last, equal ids by text. A file is what one task wrote; before counts the file's ids
     in earlier segments. An empty table gives no segments.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=BATCH_ROWS)
     order = F.col("doc_id").asc_nulls_last()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     schema = pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])

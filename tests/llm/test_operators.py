@@ -213,6 +213,27 @@ def test_pieces_that_start_with_a_zero_byte():
             assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_are_looked_up_once_a_batch(monkeypatch):
+    """However often a piece recurs in a batch it is looked up once, and byte-level words meet the library's model many in a call; ids stay the library's."""
+    texts = ["", "the cat, the cat; the cat", " the dog\nthe dog, été", "\n", " ", "x ", "\nthe\n", "ÿ þ <|endoftext|> \0 a  b", "it's the CAT's 12 cats!", "", "\u3000 the\u0301 ﬁn 世界"]
+    texts += [" ".join(f"{a}{b}{c}{m}" for a in "abcdé" for b in "abcdefghij" for c in "aeiouy" for m in ("", ",", ".")) * 20]
+    looked_up, apart = [], []
+    learn, tokenized = PieceEncoder.learn, PieceEncoder._tokenized
+    monkeypatch.setattr(PieceEncoder, "learn", lambda self, keys: learn(self, keys if looked_up.append(keys := list(keys)) else keys))
+    monkeypatch.setattr(PieceEncoder, "_tokenized", lambda self, words: apart.append(len(words)) or tokenized(self, words))
+    for path in (WORD_BPE, BYTE_BPE):
+        looked_up.clear(), apart.clear()
+        e, t = PieceEncoder(path), Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(i, "<u4").tolist() for i in e.encode(texts)] == want
+        assert [len(k) for k in looked_up] == [len(set(looked_up[0]))] and len(looked_up[0]) > 900
+        assert [np.frombuffer(i, "<u4").tolist() for i in e.encode(texts[::-1])] == want[::-1]
+        assert e.encode([]) == [] and e.encode(["", ""]) == [b"", b""]
+    assert apart == []  # of the byte-level tokenizer
+
+
 def test_quality_on_held_out_labels(spark):
     path = SF.replace("sf0.001", "sf0.01")
     got = registry.QUERIES["op3_quality_classifier"](spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").filter("held_out").toPandas()
