@@ -1,21 +1,22 @@
 """Names in texts by an inverted index of their spellings (SF-10).
 
-A spelling stands in a text only if each of its runs of letters and digits lies within such a run of the text. So every spelling
-is filed under one gram of its runs, the one that the fewest other spellings have, and meets the texts that hold
-this gram by an equi-join; what met is then verified. No text meets a spelling of which it holds nothing.
+A spelling stands in a text only if each of its grams does. So every spelling is filed under one of its grams, the one that
+the fewest other spellings have, and meets the texts that hold this gram by an equi-join; what met is then verified. No text
+meets a spelling of which it holds nothing. Grams run over spaces and hyphens too, so that few spellings share their rarest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import kept
 
-#: Characters of a gram; a spelling whose runs are all shorter is filed under the longest of them.
-GRAM = 4
+#: Characters of a gram; a spelling is filed under grams of the largest size that it has. Few sizes, as each is a pass over a text.
+SIZES = (1, 2, 3, 6)
 #: Up to so many terms, they and their index are sent to every task; more of them meet the texts by shuffles.
 SENT = 200_000
 
@@ -59,16 +60,16 @@ def components(model: Column) -> tuple[Column, Column]:
 
 
 def model_terms(vehicles: DataFrame) -> DataFrame:
-    """vehicles(make, model) -> make, model, role (full, base, trim), term and whether the model has a trim: the spellings that are looked for. A trim word counts from three characters on."""
+    """vehicles(make, model) -> make, model, role (full, base), term, whether the model has a trim, and with its base the spellings of the trim's words: what is looked for. A trim word counts from three characters on."""
     base, trim = components(F.col("model"))
     v = vehicles.select("make", "model").dropna().distinct().withColumns({"_base": base, "_trim": trim})
+    v = v.withColumn("_trims", F.array_distinct(F.flatten(F.transform(F.filter("_trim", lambda t: F.length(t) > 2), spellings))))
     looked = F.array(
-        F.struct(F.lit("full").alias("role"), spellings(F.col("model")).alias("terms")),
-        F.struct(F.lit("base").alias("role"), spellings(F.col("_base")).alias("terms")),
-        F.struct(F.lit("trim").alias("role"), F.flatten(F.transform(F.filter("_trim", lambda t: F.length(t) > 2), spellings)).alias("terms")),
+        F.when((F.size("_trim") > 0) | (F.col("_base") != F.lower("model")), F.struct(F.lit("full").alias("role"), spellings(F.col("model")).alias("terms"), F.array().cast("array<string>").alias("trims"))),  # else the base is the name
+        F.struct(F.lit("base").alias("role"), spellings(F.col("_base")).alias("terms"), F.col("_trims").alias("trims")),
     )
-    v = v.select("make", "model", (F.size("_trim") > 0).alias("trimmed"), F.explode(looked).alias("x"))
-    return v.select("make", "model", "trimmed", F.col("x.role").alias("role"), F.explode(F.array_distinct("x.terms")).alias("term"))
+    v = v.select("make", "model", (F.size("_trim") > 0).alias("trimmed"), F.explode(F.array_compact(looked)).alias("x"))
+    return v.select("make", "model", "trimmed", F.col("x.role").alias("role"), F.col("x.trims").alias("trims"), F.explode("x.terms").alias("term"))
 
 
 def make_terms(makes: DataFrame) -> DataFrame:
@@ -78,18 +79,25 @@ def make_terms(makes: DataFrame) -> DataFrame:
     return makes.select("make").dropna().distinct().select("make", F.explode(F.array_distinct(F.concat(F.array(lower), F.coalesce(F.try_element_at(known, lower), F.array().cast("array<string>"))))).alias("term"))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct grams of the text's runs of letters and digits; with `size` below GRAM, those of that size."""
-    runs = F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")), lambda r: F.length(r) >= size)
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - size + 1), lambda i: F.substring(r, i, F.lit(size))))))
+def _grams(text: Column, places: Sequence[str]) -> Column:
+    """The text's overlapping grams that fit a pattern for each place; in one pass, as substring would count from the text's start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({''.join(places)}))."), F.lit(1))
+
+
+def _patterns(index: DataFrame) -> list[list[str]]:
+    """For each size of the index's grams and each place in them a pattern of the characters that stand there; beyond ASCII any does, so that this is small."""
+    chars = index.select(F.length("gram").alias("n"), F.posexplode(F.split("gram", ""))).select("n", "pos", F.when(F.col("col") < "\x80", F.col("col")).alias("c")).distinct().collect()
+    there: dict[tuple[int, int], set[str]] = {}
+    for n, pos, c in chars:
+        there.setdefault((n, pos), set()).add(r"\x{80}-\x{10ffff}" if c is None else f"\\x{ord(c):02x}")
+    return [["[" + "".join(sorted(there[n, i])) + "]" for i in range(n)] for n in SIZES if (n, 0) in there]
 
 
 def index_of(terms: DataFrame) -> DataFrame:
-    """terms(term) -> term, gram: each term under its longest gram that the fewest terms have (ties: the first); one without letters or digits under the empty gram."""
+    """terms(term) -> term, gram: each term under its gram, of the largest size it has, that the fewest terms have (ties: the first)."""
     t = terms.select("term").distinct()
-    size = F.least(F.array_max(F.transform(F.split("term", r"[^\p{L}\p{N}]+"), F.length)), F.lit(GRAM))
-    by_size = F.array(F.array(F.lit("")), *(_grams(F.col("term"), n) for n in range(1, GRAM + 1)))
-    filed = t.select("term", F.explode(F.get(by_size, size)).alias("gram"))
+    by_size = reduce(lambda shorter, n: F.when(F.length("term") >= n, _grams(F.col("term"), "." * n)).otherwise(shorter), SIZES, F.array().cast("array<string>"))
+    filed = t.select("term", F.explode(F.array_distinct(by_size)).alias("gram"))
     shared = filed.groupBy("gram").agg(F.count("*").alias("n"))
     return filed.join(shared, "gram").groupBy("term").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
 
@@ -98,16 +106,15 @@ def texts_with(texts: DataFrame, terms: DataFrame, text: str = "text", on: Seque
     """texts x terms(term, ..) -> the pairs whose term is contained in the lower-case text and whose columns `on` are equal, as texts' and terms' columns.
 
     Texts are taken one by one: repeated rows give repeated pairs. Null texts and empty terms hold and match nothing. The grams of a
-    text that no term is filed under meet nothing. The terms are written once, so that their number says how they meet the texts; while
-    they are sent, the texts stay where they are, however many grams they have.
+    text that no term is filed under meet nothing, and those with an ASCII character that no such gram has there are not even made. The terms
+    are written once, so that their number says how they meet the texts; while they are sent, the texts stay where they are, however many grams they have.
     """
     terms = kept(terms.filter("term <> ''"), "terms")
     index = kept(index_of(terms), "index")
     met_by = "broadcast" if terms.count() <= SENT else "merge"
-    sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # five at most
-    numbered = texts.withColumn("_low", F.lower(text)).filter("_low IS NOT NULL")
-    grams = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_low"), n) if n else F.array(F.lit("")) for n in sorted(sizes))))) if sizes else F.array().cast("array<string>")
-    met = numbered.withColumn("_gram", F.explode(grams)).join(index.select(F.col("gram").alias("_gram"), F.col("term").alias("_term")).hint(met_by), "_gram")
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *(_grams(F.col("_low"), places) for places in _patterns(index))))
+    # empty for null: a filter of nulls would be pushed to where the texts are made, and make each twice
+    met = texts.withColumn("_low", F.coalesce(F.lower(text), F.lit(""))).withColumn("_gram", F.explode(grams)).join(index.select(F.col("gram").alias("_gram"), F.col("term").alias("_term")).hint(met_by), "_gram")
     held = met.filter(F.contains("_low", F.col("_term"))).drop("_gram", "_low")
     return held.join(terms.withColumnRenamed("term", "_term").hint(met_by), ["_term", *on]).withColumnRenamed("_term", "term")
 
@@ -116,13 +123,17 @@ def fuzzy_model_match(docs: DataFrame, vehicles: DataFrame, threshold: float = 0
     """docs(doc_id, make, text), vehicles(make, model) -> doc_id, make, model of the vehicles of their make that the texts speak of.
 
     A vehicle matches by any spelling of its name; or by one of its base model, if it has no trim, or one of a trim's words is there too, or
-    threshold is 0.5 or less. Rows of one doc_id count as one text.
+    threshold is 0.5 or less. Rows of one doc_id count as one text; without that column a text is its own doc_id.
     """
-    # a text's pairs are counted where the text is
-    held = texts_with(docs.select("doc_id", "make", "text").repartition("doc_id", "make").distinct(), model_terms(vehicles), on=["make"])
-    said = lambda role: F.bool_or(F.col("role") == role).alias(role)
-    roles = held.groupBy("doc_id", "make", "model").agg(said("full"), said("base"), said("trim"), F.bool_or("trimmed").alias("trimmed"))
-    return roles.filter(F.col("full") | (F.col("base") & (~F.col("trimmed") | F.col("trim") | F.lit(threshold <= 0.5)))).select("doc_id", "make", "model")
+    # what a text holds is told apart where the text is
+    if "doc_id" in docs.columns:
+        said = docs.select("doc_id", "make", "text").repartition("doc_id", "make").groupBy("doc_id", "make").agg(F.collect_set(F.lower("text")).alias("_said")).withColumn("text", F.explode("_said"))
+    else:
+        said = docs.select("make", "text").repartition("text", "make").distinct().select(F.col("text").alias("doc_id"), "make", "text", F.array(F.lower("text")).alias("_said"))
+    held = texts_with(said, model_terms(vehicles), on=["make"])
+    # a trim's words stand in texts of many models, so they are looked for only where the base is
+    trim_said = F.exists("trims", lambda t: F.exists("_said", lambda s: F.contains(s, t)))
+    return held.filter((F.col("role") == "full") | ~F.col("trimmed") | F.lit(threshold <= 0.5) | trim_said).select("doc_id", "make", "model").distinct()
 
 
 def makes_named(docs: DataFrame, makes: DataFrame) -> DataFrame:

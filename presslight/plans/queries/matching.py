@@ -29,7 +29,7 @@ query(
     SELECT t.doc_id, t.make, s.model FROM t JOIN s ON s.make = t.make
     WHERE len(list_filter(full_, lambda x: contains(low, x))) > 0
        OR (len(list_filter(base_, lambda x: contains(low, x))) > 0 AND (NOT trimmed OR len(list_filter(trim_, lambda x: contains(low, x))) > 0))""",
-)(lambda c, p: M.fuzzy_model_match(c.select("make", F.expr(_TEXT).alias("text")).withColumn("doc_id", F.col("text")), p.select(F.col("p_brand").alias("make"), F.expr(_MODEL).alias("model"))))
+)(lambda c, p: M.fuzzy_model_match(c.select("make", F.expr(_TEXT).alias("text")), p.select(F.col("p_brand").alias("make"), F.expr(_MODEL).alias("model"))))
 
 _MAKE = "CASE p_brand WHEN 'Brand#1' THEN 'Ford' WHEN 'Brand#2' THEN 'Volkswagen' WHEN 'Brand#3' THEN 'Mercedes-Benz' ELSE p_brand END"
 _SAID = f"concat(p_name, CASE p_size % 4 WHEN 0 THEN ' by FoMoCo' WHEN 1 THEN ' by VW, not V.W., and Brand#7' WHEN 2 THEN ' from the Benz family' ELSE concat(' of ', {_MAKE}) END)"

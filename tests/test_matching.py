@@ -62,3 +62,32 @@ def test_texts_stay_where_they_are(spark, monkeypatch):
     apart = M.fuzzy_model_match(docs, vehicles)
     assert "BroadcastHashJoin" not in apart._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, apart.collect())) == rows and len(rows) == 2000
+
+
+def test_index_takes_any_characters(spark):
+    rng = random.Random(2)
+    letters = ["a", "ß", "]", "\\", "^", "&&", "[", "🚗", "\n", "\x00", "Σ"]
+    texts = [(i, "".join(rng.choices(letters, k=rng.randrange(30)))) for i in range(200)]
+    terms = {"".join(rng.choices(letters, k=rng.randrange(1, 9))).lower() for _ in range(150)} | {t[3:11].lower() for _, t in texts[:50]}
+    low = dict(spark.createDataFrame(texts, "id int, text string").select("id", F.lower("text")).collect())
+    found = M.texts_with(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(t,) for t in terms], "term string")).select("id", "term")
+    assert sorted(map(tuple, found.collect())) == sorted((i, t) for i, text in low.items() for t in terms if t and t in text)
+
+
+def test_few_terms_share_a_gram(spark):
+    names = spark.createDataFrame([(f"{a} bolt",) for a in ("red", "hot", "old", "new", "big")], "term string")
+    assert M.index_of(names).groupBy("gram").count().agg(F.max("count")).first()[0] == 1
+    vehicles = spark.createDataFrame([("A", f"Model {c} Sport") for c in "bcdfgh"], "make string, model string")
+    assert M.model_terms(vehicles).filter("term = 'sport'").count() == 0  # of no use without its base
+
+
+def test_rows_of_one_text(spark):
+    vehicles = spark.createDataFrame([("A", "Corona Sport"), ("A", "Ring"), ("A", "Two  Rings")], "make string, model string")
+    rows = [(1, "A", "a Corona"), (1, "A", "in SPORT dress"), (2, "A", "a corona"), (2, "B", "sport"), (3, "A", "sport"), (4, "A", "the Ring"), (4, "A", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, make string, text string")
+    assert sorted(map(tuple, M.fuzzy_model_match(docs, vehicles).collect())) == [(1, "A", "Corona Sport"), (4, "A", "Ring")]
+    spaced = spark.createDataFrame([(5, "A", "two  rings"), (6, "A", "two rings")], "doc_id int, make string, text string")
+    assert sorted(map(tuple, M.fuzzy_model_match(spaced, vehicles.filter("model LIKE 'Two%'")).collect())) == [(5, "A", "Two  Rings"), (6, "A", "Two  Rings")]
+    # without doc_id a text is its own, whatever others say
+    alone = M.fuzzy_model_match(docs.drop("doc_id").union(spark.createDataFrame([("A", "the Ring"), ("A", "sport corona")], "make string, text string")), vehicles)
+    assert sorted(map(tuple, alone.collect())) == [("sport corona", "A", "Corona Sport"), ("the Ring", "A", "Ring")]
