@@ -18,6 +18,10 @@ brand_attributes_captured: array<struct<attribute: string, sentiment: string, ev
 purchase_drivers: array<struct<reason: string, sentiment: string, strength: string, quote: string>>,
 competitive_context: struct<direct_comparisons: array<string>, market_positioning: string>>"""
 
+#: Up to so many pairs of labels, they are sent to every task; more of them meet what is said by shuffles.
+SENT = 200_000
+KINDS = ("feature", "attribute", "driver")
+
 
 #: The array fields of a document whose items are counted.
 ITEMS = {
@@ -123,19 +127,52 @@ def feature_coverage(intended: DataFrame, mentions: DataFrame, reviews: DataFram
     return out.withColumn("coverage", F.round(F.when(F.col("n_reviews") > 0, 100.0 * F.col("reviews") / F.col("n_reviews")).otherwise(0.0), 4))
 
 
-def pullthrough_model(features: DataFrame, attributes: DataFrame, drivers: DataFrame, said_features: DataFrame, said_attributes: DataFrame, said_drivers: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Per make: share of intended features mentioned, attributes reinforced and drivers positive, their mean, and consistency."""
-    share = lambda hit, name: F.round(100.0 * F.sum(F.when(hit, 1).otherwise(0)) / F.count("*"), 4).alias(name)
-    f = feature_coverage(features, said_features, reviews)
-    enough = F.col("reviews") >= F.greatest(F.floor(0.2 * F.col("n_reviews")), F.lit(1))
-    by_feature = f.groupBy("make").agg(F.first("n_reviews").alias("n_reviews"), share(F.col("mentions") > 0, "features_pct"), share(enough, "consistency_pct"))
+def pullthrough_model(intended: DataFrame, reviews: DataFrame) -> DataFrame:
+    """intended(make, kind, item[, position]), reviews(make, review, sentiment and features, attributes, drivers as arrays of struct(item, sentiment)) -> a row for each make with intended items.
 
-    def by(intended: DataFrame, said: DataFrame, good: str, every: bool, name: str) -> DataFrame:
-        hit = matched_mentions(intended, said, every).filter((F.col("sentiment") == good) & F.col("intended").isNotNull()).select("make", F.col("intended").alias("item")).distinct().withColumn("_hit", F.lit(True))
-        return _clean(intended, "make").distinct().join(hit, ["make", "item"], "left").groupBy("make").agg(share(F.col("_hit"), name))
+    It has the number of reviews, the shares of intended features mentioned (and of those in a fifth of the reviews at least, which is consistency),
+    of attributes reinforced and of drivers positive, the mean of these three, and the shares of reviews by sentiment. What a review
+    says of a feature or driver counts for the first intended one that it touches, by position (or in their own order), of an attribute for each.
+    An item without sentiment is neutral, a review without none of the three. Rows of one review are taken together; of their sentiments
+    negative goes before neutral, neutral before positive.
 
-    out = by_feature.join(by(attributes, said_attributes, "reinforced", True, "attributes_pct"), "make", "left").join(by(drivers, said_drivers, "positive", False, "drivers_pct"), "make", "left")
-    return out.fillna(0.0, ["attributes_pct", "drivers_pct"]).withColumn("alignment_pct", F.round((F.col("features_pct") + F.col("attributes_pct") + F.col("drivers_pct")) / 3, 3))
+    Reviews are read twice: for the different labels, which are matched, and to count features and sentiments by review, in one shuffle.
+    """
+    k, at = ["make", "kind"], "position" in intended.columns
+    i = _clean(intended, *k, *(["position"] if at else [])).groupBy(*k, F.col("item").alias("intended")).agg((F.min("position") if at else F.first(F.lit(0))).alias("_pos"))
+    i = kept(i, "intended")
+    of_kinds = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}s").alias("items")) for kind in KINDS))).alias("x")
+    said = reviews.select("make", of_kinds).select("make", "x.kind", F.explode("x.items").alias("x")).select(*k, "x.*").distinct()
+    good = F.lower("sentiment") == F.when(F.col("kind") == "attribute", "reinforced").otherwise("positive")
+    labels = kept(_clean(said.withColumn("good", F.coalesce(good, F.lit(False))), *k, "good").groupBy(*k, "item").agg(F.bool_or("good").alias("good")), "labels")
+    touched = substring_all_matches(labels, i, k, "item", "intended").join(i, [*k, "intended"]).withColumn("_n", F.row_number().over(W.partitionBy(*k, "item").orderBy("_pos", "intended")))
+    pairs = kept(touched.filter("kind = 'attribute' OR _n = 1").join(labels, [*k, "item"]).select(*k, "item", "intended", "good"), "pairs")
+    hits = pairs.groupBy(*k, "intended").agg(F.bool_or("good").alias("good"))
+
+    features = pairs.filter("kind = 'feature'").select("make", "item", "intended").hint("broadcast" if pairs.count() <= SENT else "merge")
+    dealt = reviews.select("make", "review", F.lower("sentiment").alias("sentiment"), F.col("features.item").alias("items")).repartition("make", "review")
+    none = F.array().cast("array<string>")
+    # each row's sentiment is a row of no item, so that a review counts whatever it says
+    rows = dealt.select("make", "review", "sentiment", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("items", none))).alias("item")).withColumn("item", F.lower(F.trim("item")))
+    met = rows.join(features, ["make", "item"], "left").filter("item IS NULL OR intended IS NOT NULL")
+    by_review = met.groupBy("make", "review", "intended").agg(*(F.bool_or(F.col("sentiment") == x).alias(x) for x in ("negative", "neutral", "positive")))
+    sentiments = {"negative": F.expr("negative"), "neutral": F.expr("neutral AND NOT negative"), "positive": F.expr("positive AND NOT neutral AND NOT negative")}
+    counts = kept(by_review.groupBy("make", "intended").agg(F.count("*").alias("reviews"), *(F.count_if(c).alias(name) for name, c in sentiments.items())), "counts")
+
+    by_make = counts.filter("intended IS NULL").select("make", F.col("reviews").alias("n_reviews"), *sentiments)
+    mentions = counts.select("make", F.lit("feature").alias("kind"), "intended", "reviews")
+    items = i.join(hits, [*k, "intended"], "left").join(mentions, [*k, "intended"], "left").join(by_make, "make", "left").fillna(0, ["reviews", "n_reviews", *sentiments])
+
+    def share(kind: str, hit: Column, name: str) -> Column:
+        n = F.count_if(F.col("kind") == kind)
+        return F.round(F.when(n > 0, 100.0 * F.count_if((F.col("kind") == kind) & hit) / n).otherwise(0.0), 4).alias(name)
+
+    out = items.groupBy("make").agg(
+        F.max("n_reviews").alias("n_reviews"), share("feature", F.col("good").isNotNull(), "features_pct"),
+        share("feature", F.col("reviews") >= F.greatest(F.floor(0.2 * F.col("n_reviews")), F.lit(1)), "consistency_pct"), share("attribute", F.col("good"), "attributes_pct"), share("driver", F.col("good"), "drivers_pct"),
+        *(F.round(100.0 * F.max(x) / F.greatest(F.max("n_reviews"), F.lit(1)), 4).alias(f"{x}_pct") for x in ("positive", "neutral", "negative")),
+    )
+    return out.withColumn("alignment_pct", F.round((F.col("features_pct") + F.col("attributes_pct") + F.col("drivers_pct")) / 3, 3))
 
 
 def emergent_features(intended: DataFrame, mentions: DataFrame, n: int = 10) -> DataFrame:
@@ -171,9 +208,6 @@ def pullthrough_review(intended: DataFrame, mentions: DataFrame, synonyms: DataF
     return out.withColumn("rate", F.round(100.0 * F.col("found") / F.col("total"), 4))
 
 
-#: Up to so many pairs of labels, they are sent to every task; more of them meet what is said by shuffles.
-SENT = 200_000
-KINDS = ("feature", "attribute", "driver")
 # Drivers that reviews call by another name, and what these names hold.
 DRIVER_NAMES = [("driver", "price/deal", "affordability"), ("driver", "exterior styling", "design")]
 

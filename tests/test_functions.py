@@ -371,3 +371,41 @@ def test_sentiment_documents_are_parsed_once(spark, name):
     clips = spark.createDataFrame([("{}",), ("broken",), (None,)], "sentiment_json string")
     df = getattr(Se, name)(clips)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1 and df.count() == 0
+
+
+def test_pullthrough_of_a_model(spark):
+    from presslight.operators import sentiment as Se
+
+    i = [("A", "feature", " Cold plate", 2), ("A", "feature", "old", 1), ("A", "feature", "gear", 3), ("A", "attribute", "bold", 1), ("A", "attribute", "Bold look", 2), ("A", "driver", "price", 1), ("B", "driver", "price", 1), ("C", "feature", "x", 1)]
+    intended = spark.createDataFrame(i, "make string, kind string, item string, position int")
+    s = [
+        ("A", n, "overall", None, sentiment) for n, sentiment in ((1, "Positive"), (2, "neutral"), (2, "negative"), (3, None), (4, "mixed"), (5, "positive"), (6, "positive"), (7, "neutral"), (8, "neutral"), (9, "x"), (10, "positive"))
+    ] + [
+        ("A", 1, "feature", "the cold plate", "positive"), ("A", 1, "feature", "cold", "negative"), ("A", 2, "feature", "GEAR ", None), ("A", 3, "feature", "gears", "neutral"), ("A", 4, "feature", "", "positive"), ("A", 4, "feature", None, "positive"),
+        ("A", 4, "attribute", "a bold look", "REINFORCED"), ("A", 5, "attribute", "bold", "challenged"), ("A", 5, "driver", "Price", "negative"), ("A", 5, "driver", "price of it", None), ("D", 1, "overall", None, "positive"),
+        ("B", 7, "overall", None, "negative"), ("B", 7, "driver", "low price", "Positive"),
+    ]
+    # a row of its review for each, arrays empty or null where it says nothing
+    row = lambda make, n, kind, item, sentiment: (make, n, sentiment, *[None] * 3) if kind == "overall" else (make, n, None, *([(item, sentiment)] if kind == x else [] for x in Se.KINDS))
+    items = "array<struct<item: string, sentiment: string>>"
+    reviews = spark.createDataFrame([row(*x) for x in s], f"make string, review int, sentiment string, features {items}, attributes {items}, drivers {items}")
+    found = lambda i: {r["make"]: r.asDict() for r in Se.pullthrough_model(i, reviews).collect()}
+    rows = found(intended)
+    assert set(rows) == {"A", "B", "C"}
+    # cold touches two intended features and counts for the first in their list; gear is said in two reviews of ten, old in one
+    assert rows["A"] == {"make": "A", "n_reviews": 10, "features_pct": 66.6667, "consistency_pct": 33.3333, "attributes_pct": 100.0, "drivers_pct": 0.0, "positive_pct": 40.0, "neutral_pct": 20.0, "negative_pct": 10.0, "alignment_pct": 55.556}
+    assert rows["B"] == {"make": "B", "n_reviews": 1, "features_pct": 0.0, "consistency_pct": 0.0, "attributes_pct": 0.0, "drivers_pct": 100.0, "positive_pct": 0.0, "neutral_pct": 0.0, "negative_pct": 100.0, "alignment_pct": 33.333}
+    assert rows["C"]["n_reviews"] == rows["C"]["features_pct"] == rows["C"]["positive_pct"] == 0
+    other = found(intended.withColumn("position", -F.col("position")))["A"]  # the cold plate before old: old is not said
+    assert other["features_pct"] == 66.6667 and other["consistency_pct"] == 33.3333
+    assert found(intended.drop("position"))["A"] == other
+
+
+def test_pullthrough_counts_all_that_is_said(spark):
+    from conftest import SF
+
+    from presslight.plans import registry
+
+    # every candidate says something, whatever its relevance and price, so all of a make's names are mentioned
+    found = registry.QUERIES["AG-14"](spark, SF).agg(F.min("features_pct"), F.min("attributes_pct"), F.min(F.col("positive_pct") + F.col("neutral_pct") + F.col("negative_pct"))).first()
+    assert found[0] == 100.0 and found[1] > 80.0 and found[2] > 99.999
